@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siltstone.llm import simhash, substring_dedup
+from siltstone.llm import simhash, substring_dedup, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_substring_dedup": substring_dedup.op1_substring_dedup,
+        "op3_toxicity": toxicity.op3_toxicity,
         "op10_simhash": simhash.op10_simhash,
     }
 
