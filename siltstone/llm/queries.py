@@ -6,16 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siltstone.llm import simhash, substring_dedup, toxicity
+from siltstone.llm import quality, simhash, substring_dedup, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_substring_dedup": substring_dedup.op1_substring_dedup,
         "op3_toxicity": toxicity.op3_toxicity,
+        "op5_quality_rules": quality.op5_quality_rules,
         "op10_simhash": simhash.op10_simhash,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op5_quality_rules": quality.ORACLE_SQL,
+    }
