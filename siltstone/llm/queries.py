@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siltstone.llm import packing, quality, simhash, substring_dedup, toxicity
+from siltstone.llm import bpe, packing, quality, simhash, substring_dedup, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_substring_dedup": substring_dedup.op1_substring_dedup,
         "op3_toxicity": toxicity.op3_toxicity,
         "op5_quality_rules": quality.op5_quality_rules,
+        "op7_bpe": bpe.op7_bpe,
         "op9_packing": packing.op9_packing,
         "op10_simhash": simhash.op10_simhash,
     }
