@@ -6,15 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siltstone.llm import bpe, packing, quality, simhash, substring_dedup, toxicity
+from siltstone.llm import bpe, chat, packing, quality, simhash, substring_dedup, token_count, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_substring_dedup": substring_dedup.op1_substring_dedup,
+        "op2_chat_format": chat.op2_chat_format,
         "op3_toxicity": toxicity.op3_toxicity,
         "op5_quality_rules": quality.op5_quality_rules,
         "op7_bpe": bpe.op7_bpe,
+        "op8_token_counts": token_count.op8_token_counts,
         "op9_packing": packing.op9_packing,
         "op10_simhash": simhash.op10_simhash,
     }
@@ -22,5 +24,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op2_chat_format": chat.ORACLE_SQL,
         "op5_quality_rules": quality.ORACLE_SQL,
     }
