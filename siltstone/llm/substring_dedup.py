@@ -8,17 +8,19 @@ are compared in full.
 
 Each task first settles what it can among the documents of a block: of equal anchors or windows of a block only the
 earliest goes on as a contender for the hash, so a passage that a third of all documents share has a row a block, not a
-row a document, wherever rows of one hash meet.
+row a document, wherever rows of one hash meet. Blocks travel as compressed arrays by hash bucket.
 """
 
 from __future__ import annotations
 
 import re
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+import zstandard
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.llm.common import DOCUMENT_COLUMNS, map_arrow, mix, pair_hash, table, words
@@ -60,14 +62,12 @@ def windows_near(anchors: np.ndarray, n_words: int) -> np.ndarray:
     return np.flatnonzero(total[PERIOD : PERIOD + n] > total[:n])
 
 
-def _settle(h: np.ndarray, doc: np.ndarray, pos: np.ndarray):
-    """(order, first of its hash, same place as that first) after sorting a block by hash and place."""
+def _first(h: np.ndarray, doc: np.ndarray, pos: np.ndarray):
+    """(order by hash and place, row that begins each run of a hash, its index for every row) of a block."""
     order = np.lexsort((pos, doc, h))
-    h, doc, pos = h[order], doc[order], pos[order]
     new = np.ones(len(h), bool)
-    new[1:] = h[1:] != h[:-1]
-    start = np.flatnonzero(new)[np.cumsum(new) - 1]
-    return order, new, (doc == doc[start]) & (pos == pos[start]), np.diff(np.append(np.flatnonzero(new), len(h)))[np.cumsum(new) - 1]
+    new[1:] = np.diff(h[order].view(np.int64)) != 0
+    return order, new, np.flatnonzero(new)[np.cumsum(new) - 1]
 
 
 def _spread(doc: np.ndarray, pos: np.ndarray) -> np.ndarray:
@@ -75,69 +75,150 @@ def _spread(doc: np.ndarray, pos: np.ndarray) -> np.ndarray:
     return mix(doc.view(np.uint64) * np.uint64(31) + pos.astype(np.uint64)) & np.uint64(0xFFFE)
 
 
-def _anchors(batches):
-    """(h, doc, pos) for anchors; bit 0 of h is set for those that a block already knows to be repeated."""
+def pack(h: np.ndarray, doc: np.ndarray, pos: np.ndarray, buckets: int):
+    """(bucket, blob) columns: rows dealt by hash to buckets, each bucket's rows sorted and compressed by byte planes."""
+    bucket = ((h >> np.uint64(1)) % np.uint64(buckets)).astype(np.int32)
+    order = np.lexsort((h, bucket))
+    h, doc, pos, bucket = h[order], doc[order], pos[order], bucket[order]
+    edge = np.append(np.flatnonzero(np.diff(bucket, prepend=-1)), len(bucket))
+    squeeze, blobs = zstandard.ZstdCompressor(level=1), []
+    for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+        planes = [np.diff(h[a:b], prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8), doc[a:b].view(np.uint8).reshape(-1, 8), pos[a:b].view(np.uint8).reshape(-1, 4)]
+        blobs.append(squeeze.compress(b"".join(x.T.tobytes() for x in planes)))
+    return [bucket[edge[:-1]], pa.array(blobs, pa.binary())]
+
 
-    def block(hs, docs, ats):
-        h, doc, pos = np.concatenate(hs) & np.uint64(0xFFFFFFFFFFFFFFFE), np.concatenate(docs), np.concatenate(ats)
-        order, new, _, size = _settle(h, doc, pos)
-        h, doc, pos = h[order], doc[order], pos[order]
-        known = size > 1
-        h = np.where(known & ~new, _spread(doc, pos), h) | known.astype(np.uint64)
-        return [h.view(np.int64), doc, pos]
+def unpack(blob: bytes):
+    """(h, doc, pos) of a blob."""
+    data = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8)
+    n = len(data) // 20
+    part = lambda a, width, kind: np.ascontiguousarray(data[a * n : (a + width) * n].reshape(width, n).T).view(kind)[:, 0]
+    return np.cumsum(part(0, 8, np.uint64), dtype=np.uint64), part(8, 8, np.int64), part(16, 4, np.int32)
 
+
+def _blocks(found, buckets: int, settle):
+    """Packs what found yields, (hashes, doc, starts) by document, in bounded blocks."""
     hs, docs, ats, held = [], [], [], 0
-    for batch in batches:
-        for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            tokens = words(text.as_py())
-            at = anchor_positions(len(tokens))
-            if len(at):
-                hs.append(_grams(tokens, ANCHOR)[at])
-                docs.append(np.full(len(at), doc))
-                ats.append(at.astype(np.int32))
-                held += len(at)
-            if held >= BLOCK:
-                yield block(hs, docs, ats)
-                hs, docs, ats, held = [], [], [], 0
+
+    def block():
+        h, doc, pos = settle(np.concatenate(hs) & np.uint64(0xFFFFFFFFFFFFFFFE), np.concatenate(docs), np.concatenate(ats))
+        return pack(h, doc, pos, buckets)
+
+    for h, doc, at in found:
+        hs.append(h)
+        docs.append(np.full(len(at), doc, np.int64))
+        ats.append(at.astype(np.int32))
+        held += len(at)
+        if held >= BLOCK:
+            yield block()
+            hs, docs, ats, held = [], [], [], 0
     if held:
-        yield block(hs, docs, ats)
+        yield block()
 
 
-def _row(text: str) -> int:
-    return xxhash.xxh32_intdigest(text.encode("utf-8", "surrogatepass"))
+def _settle_anchors(h, doc, pos):
+    """Bit 0 of the hash is set where the block itself repeats the anchor; one row of each hash goes on as contender."""
+    order, new, start = _first(h, doc, pos)
+    h, doc, pos = h[order], doc[order], pos[order]
+    known = np.bincount(start, minlength=len(h))[start] > 1
+    return np.where(known & ~new, _spread(doc, pos), h) | known.astype(np.uint64), doc, pos
 
 
-def _windows(batches):
-    """(h, doc, place) for windows around repeated anchors; bit 0 of h: a block knows of an earlier equal window.
+def _settle_windows(h, doc, pos):
+    """Bit 0 of the hash is set where the block has an earlier equal window; the others go on as contenders."""
+    order, _, start = _first(h, doc, pos)
+    h, doc, pos = h[order], doc[order], pos[order]
+    late = (doc != doc[start]) | (pos != pos[start])
+    return np.where(late, _spread(doc, pos) | np.uint64(1), h), doc, pos
 
-    place is the start in its upper half and a hash of the row's text in its lower half.
-    """
 
-    def block(hs, docs, places):
-        h, doc, place = np.concatenate(hs) & np.uint64(0xFFFFFFFFFFFFFFFE), np.concatenate(docs), np.concatenate(places)
-        order, _, same, _ = _settle(h, doc, place >> 32)
-        h, doc, place = h[order], doc[order], place[order]
-        h = np.where(same, h, _spread(doc, place) | np.uint64(1))
-        return [h.view(np.int64), doc, place]
+def _anchors(buckets: int):
+    def found(batches):
+        for batch in batches:
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                tokens = words(text.as_py())
+                at = anchor_positions(len(tokens))
+                if len(at):
+                    yield _grams(tokens, ANCHOR)[at], doc, at
 
-    hs, docs, places, held = [], [], [], 0
-    for batch in batches:
-        for doc, text, anchors in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
-            text = text.as_py()
-            tokens = words(text)
-            if len(tokens) < WINDOW:
-                continue
-            at = windows_near(anchors.values.to_numpy(), len(tokens))
-            if len(at):
-                hs.append(_grams(tokens, WINDOW)[at])
-                docs.append(np.full(len(at), doc))
-                places.append((at << 32) | _row(text))
-                held += len(at)
+    return lambda batches: _blocks(found(batches), buckets, _settle_anchors)
+
+
+def _windows(buckets: int):
+    def found(batches):
+        for batch in batches:
+            for doc, text, anchors in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
+                tokens = words(text.as_py())
+                if len(tokens) < WINDOW:
+                    continue
+                at = windows_near(anchors.values.to_numpy(), len(tokens))
+                if len(at):
+                    yield _grams(tokens, WINDOW)[at], doc, at
+
+    return lambda batches: _blocks(found(batches), buckets, _settle_windows)
+
+
+def _met(h, doc, pos):
+    """Places of the anchors that are known to be repeated or that another contender repeats."""
+    known = (h & np.uint64(1)).astype(bool)
+    _, at, size = np.unique(h >> np.uint64(1), return_inverse=True, return_counts=True)
+    # a contender that its own block repeats has bit 0 set, others of its hash may not: all meet here
+    keep = known | (size[at] > 1)
+    return doc[keep], pos[keep]
+
+
+def _late(h, doc, pos):
+    """Places of the windows that are known to be repeated or that an earlier contender precedes."""
+    known = (h & np.uint64(1)).astype(bool)
+    order, _, start = _first(h[~known], doc[~known], pos[~known])
+    d, p = doc[~known][order], pos[~known][order]
+    late = (d != d[start]) | (p != p[start])
+    return np.concatenate([doc[known], d[late]]), np.concatenate([pos[known], p[late]])
+
+
+def _whole(batches, parts):
+    """For (bucket, blob) sorted by bucket: the joined arrays of each bucket."""
+    now, blobs = None, []
+    rows = (x for b in batches for x in zip(b.column(0).to_pylist(), b.column(1), strict=True))
+    for bucket, blob in chain(rows, [(None, None)]):
+        if bucket != now and blobs:
+            yield [np.concatenate(x) for x in zip(*map(parts, blobs), strict=True)]
+            blobs = []
+        now = bucket
+        if blob is not None:
+            blobs.append(blob.as_py())
+
+
+def _places(solve, buckets: int):
+    """The places that solve picks from each whole bucket, packed by document."""
+
+    def block(docs, ats):
+        doc, at = np.concatenate(docs), np.concatenate(ats)
+        return pack(mix(doc.view(np.uint64)) << np.uint64(1), doc, at, buckets)
+
+    def run(batches):
+        docs, ats, held = [], [], 0
+        for arrays in _whole(batches, unpack):
+            doc, at = solve(*arrays)
+            docs.append(doc)
+            ats.append(at)
+            held += len(at)
             if held >= BLOCK:
-                yield block(hs, docs, places)
-                hs, docs, places, held = [], [], [], 0
-    if held:
-        yield block(hs, docs, places)
+                yield block(docs, ats)
+                docs, ats, held = [], [], 0
+        if held:
+            yield block(docs, ats)
+
+    return run
+
+
+def _lists(batches):
+    """(doc, starts): one row a document."""
+    for _, doc, at in _whole(batches, unpack):
+        order = np.argsort(doc, kind="stable")
+        doc, at = doc[order], at[order]
+        edge = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
+        yield [doc[edge], pa.ListArray.from_arrays(pa.array(np.append(edge, len(doc)), pa.int32()), pa.array(at, pa.int32()))]
 
 
 def covered_words(starts: np.ndarray, n_words: int) -> np.ndarray:
@@ -171,8 +252,8 @@ def _kept(batches):
             n, gone = len(tokens), 0
             kept, trimmed = None, text
             if places.is_valid and n:
-                place = places.values.to_numpy()
-                mask = covered_words(place[(place & 0xFFFFFFFF) == _row(text)] >> 32, n)
+                at = places.values.to_numpy()
+                mask = covered_words(at[at <= n - WINDOW], n)
                 gone = int(mask.sum())
                 if gone:
                     kept = b" ".join([t for t, m in zip(tokens, mask.tolist(), strict=True) if not m])
@@ -185,19 +266,18 @@ def _kept(batches):
 
 
 def repeated_windows(docs: DataFrame) -> DataFrame:
-    """(doc, places array<long>) for texts with repeated windows; docs has doc (no nulls) and text."""
-    anchors = map_arrow(docs, _anchors, "h long, doc long, pos int")
-    met = F.count(F.lit(1)).over(Window.partitionBy("h"))
-    known = F.col("h").bitwiseAND(1) == 1
-    # An anchor known to one block and new to another differs in bit 0 only: both halves of its hash meet here.
-    anchors = anchors.select("doc", "pos", known.alias("known"), F.shiftright("h", 1).alias("h"))
-    repeated = anchors.withColumn("met", met).where("known or met > 1").groupBy("doc").agg(F.collect_list("pos").alias("anchors"))
+    """(doc, places array<int>): starts of the repeated windows; docs has doc (no nulls) and text."""
+    buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def sent(df: DataFrame, function) -> DataFrame:
+        return map_arrow(df, function, "bucket int, blob binary").repartition("bucket").sortWithinPartitions("bucket")
+
+    def gathered(dealt: DataFrame, solve, name: str) -> DataFrame:
+        return map_arrow(sent(dealt, _places(solve, buckets)), _lists, "doc long, at array<int>").withColumnRenamed("at", name)
+
+    repeated = gathered(sent(docs, _anchors(2 * buckets)), _met, "anchors")
     near = docs.join(repeated.hint("shuffle_hash"), "doc").select("doc", "text", "anchors")
-    found = map_arrow(near, _windows, "h long, doc long, place long")
-    by_place = Window.partitionBy("h").orderBy("doc", "place")  # running: holds no group
-    found = found.withColumn("first_doc", F.first("doc").over(by_place)).withColumn("first_place", F.first("place").over(by_place))
-    late = found.where((F.col("h").bitwiseAND(1) == 1) | (F.col("first_doc") != F.col("doc")) | (F.shiftright("first_place", 32) != F.shiftright("place", 32)))
-    return late.groupBy("doc").agg(F.collect_list("place").alias("places"))
+    return gathered(sent(near, _windows(2 * buckets)), _late, "places")
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
@@ -205,8 +285,8 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
     kept: the words that stay, joined by one space (UTF-8); text: the text without the words that go, white space around
     the others unchanged. Windows are judged on the input. Null and empty texts have no words; texts of under WINDOW words
-    stay whole. Rows of one doc_id are one document: equal rows keep equal windows at equal starts, so repeated rows both
-    stay. A null doc_id counts as before every other. An empty table gives no rows. Other columns are not read.
+    stay whole. Rows of one doc_id are one document: repeated rows both stay, and where texts of one doc_id
+    differ, a start that is repeated in one counts in all of them. A null doc_id counts as before every other. An empty table gives no rows. Other columns are not read.
     """
     plain = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), F.col("text").cast("string").alias("text"))
     both = plain.join(repeated_windows(plain).hint("shuffle_hash"), "doc", "left").select("doc", "text", "places")
