@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siltstone.llm import bpe, chat, packing, quality, simhash, substring_dedup, token_count, toxicity
+from siltstone.llm import bpe, chat, knn, packing, quality, simhash, substring_dedup, token_count, toxicity, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,7 +14,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_substring_dedup": substring_dedup.op1_substring_dedup,
         "op2_chat_format": chat.op2_chat_format,
         "op3_toxicity": toxicity.op3_toxicity,
+        "op4_warc": warc.op4_warc,
         "op5_quality_rules": quality.op5_quality_rules,
+        "op6_top_k": knn.op6_top_k,
         "op7_bpe": bpe.op7_bpe,
         "op8_token_counts": token_count.op8_token_counts,
         "op9_packing": packing.op9_packing,
@@ -26,4 +28,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op2_chat_format": chat.ORACLE_SQL,
         "op5_quality_rules": quality.ORACLE_SQL,
+        "op6_top_k": knn.ORACLE_SQL,
     }
