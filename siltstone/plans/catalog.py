@@ -1,15 +1,550 @@
-"""Registry of the site-analytics queries and their SQL twins."""
+"""Registry of the site-analytics queries and their SQL twins. Each query runs an operator over whole tables."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from siltstone.functions import dates, net, text, urls
+from siltstone.operators import discovery, issues, keywords, ranks, reads, state
+from siltstone.plans import analogues as A
+from siltstone.plans.oracles import ORACLES
+from siltstone.sources import html
+from siltstone.sources.sitemap import robots_check, sitemap_urls
+
+ZONE, OWNER = "America/Toronto", 3
+PAIR = ["user_id", "event_type"]
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+
+
+def query(function):
+    _QUERIES[function.__name__] = function
+    return function
+
+
+def _values(spark: SparkSession, rows: str, names: str) -> DataFrame:
+    return spark.sql(f"SELECT * FROM VALUES {rows} AS t({names})")
+
+
+# --- pages and rules
+
+
+@query
+def page_title(spark, d):
+    return A.table(spark, d, "pages").select("page_id", html.flat_title(F.col("html")).alias("title"))
+
+
+@query
+def page_h1(spark, d):
+    return A.table(spark, d, "pages").select("page_id", F.try_element_at(html.flat_h1s(F.col("html")), F.lit(1)).alias("h1"), F.size(html.flat_h1s(F.col("html"))).cast("long").alias("n_h1"))
+
+
+@query
+def page_lang(spark, d):
+    return A.table(spark, d, "pages").select("page_id", html.flat_lang(F.col("html")).alias("lang"))
+
+
+@query
+def page_main_text_words(spark, d):
+    x = html.flat_main_text(F.col("html"))
+    return A.table(spark, d, "pages").select("page_id", x.alias("main_text"), text.word_count(x).cast("long").alias("words"))
+
+
+@query
+def page_facts(spark, d):
+    """Every scalar fact, by the lenient parser."""
+    f = html.page_facts(A.table(spark, d, "pages"))
+    return f.select("page_id", "title", "meta_description", F.size("h1s").alias("n_h1s"), F.size("headings").alias("n_headings"), "canonical", "robots", "lang", "images_total", F.size("images_missing_alt").alias("n_missing_alt"), "insecure_resources", "script_count", "word_count", F.sha2("main_text", 256).alias("main_text_sha256"))
+
+
+@query
+def doc_word_count(spark, d):
+    return A.table(spark, d, "documents").select("doc_id", text.word_count(F.col("text")).cast("long").alias("words"))
+
+
+@query
+def page_issues(spark, d):
+    return issues.find_issues(A.site_facts(spark, d), resolved_canonical=False).select("page_id", "code", "severity", "message")
+
+
+@query
+def page_issue_counts(spark, d):
+    facts = A.site_facts(spark, d)
+    return issues.issue_counts(facts, issues.find_issues(facts, resolved_canonical=False))
+
+
+@query
+def issue_histogram(spark, d):
+    found = issues.find_issues(A.site_facts(spark, d), resolved_canonical=False)
+    return found.groupBy("code", "severity").agg(F.count(F.lit(1)).alias("pages"))
+
+
+@query
+def title_duplicates(spark, d):
+    f = issues.with_title_count(A.site_pages(spark, d).select("page_id", "site", html.flat_title(F.col("html")).alias("title")))
+    return f.where("title_count > 1").select("page_id", "site", "title", "title_count")
+
+
+@query
+def noindex_directives(spark, d):
+    rows = _values(spark, "(1, 'googlebot: noindex'), (2, 'otherbot: noindex'), (3, 'max-image-preview:none'), (4, 'index, NOINDEX'), (5, ','), (6, 'none'), (7, 'bingbot: none, follow'), (8, 'unavailable_after: noindex'), (9, 'noindexed')", "id, robots")
+    return rows.select("id", issues.blocks_indexing(F.col("robots")).alias("blocked"))
+
+
+@query
+def fetch_failures(spark, d):
+    o = A.table(spark, d, "orders").select(F.col("o_orderkey").alias("page_id"), F.when(F.col("o_orderstatus") == "F", 404).alias("status"), F.lower("o_orderpriority").alias("reason"))
+    return issues.fetch_failure_issues(o).select("page_id", "code", "severity", "message")
+
+
+# --- URLs
+
+
+@query
+def url_site_key(spark, d):
+    return A.site_pages(spark, d).select("page_id", "site")
+
+
+@query
+def url_normalized(spark, d):
+    return A.table(spark, d, "pages").select("page_id", urls.normalize_page_url(F.col("url")).alias("url"))
+
+
+@query
+def url_dedup_per_site(spark, d):
+    p = A.site_pages(spark, d).select("page_id", "site", urls.normalize_page_url(F.col("url")).alias("url"))
+    return p.groupBy("site", "url").agg(F.min("page_id").alias("page_id"), F.count(F.lit(1)).alias("copies"))
+
+
+@query
+def pages_per_site(spark, d):
+    return A.site_pages(spark, d).groupBy("site").agg(F.count(F.lit(1)).alias("pages"))
+
+
+@query
+def slug_text(spark, d):
+    return A.table(spark, d, "pages").select("page_id", urls.slug_text(F.col("url")).alias("slug"))
+
+
+@query
+def article_shaped(spark, d):
+    made = F.concat(F.lit("https://a.example/"), F.lower("r"), F.lit("/"), F.regexp_replace(F.lower("p_name"), " ", "-"))
+    p = A.table(spark, d, "part").select("p_partkey", "p_name", F.substring("p_type", 1, 4).alias("r"))
+    x = urls.path(made)
+    return p.select("p_partkey", x.alias("path"), urls.is_article_shaped(x).alias("shaped"), urls.is_archive_or_file(x).alias("archive"))
+
+
+@query
+def url_section_share(spark, d):
+    s = discovery.section_shares(A.site_pages(spark, d).select("site", "url"))
+    return s.select("site", "segment", "n", F.round("share", 9).alias("share"))
+
+
+@query
+def website_urls(spark, d):
+    rows = _values(spark, "(1, ' https://WWW.Yoast.com/blog?x=1#y '), (2, 'ftp://a.com'), (3, 'http://user:pw@a.com/'), (4, 'http://localhost/'), (5, 'yoast.com'), (6, 'HTTPS://yoast.com.'), (7, 'http://a.com:80/x'), (8, 'https://b.org:8443')", "id, entered")
+    return rows.select("id", urls.parse_website(F.col("entered")).alias("w")).select("id", "w.url", "w.origin", "w.site_key")
+
+
+@query
+def ip_public(spark, d):
+    """Addresses made from order keys, spread over the whole IPv4 space."""
+    n = F.pmod(F.col("o_orderkey") * 2654435761, F.lit(4294967296))
+    o = A.table(spark, d, "orders").select("o_orderkey", F.concat_ws(".", *[F.shiftright(n, 24 - 8 * i).bitwiseAND(255).cast("string") for i in range(4)]).alias("ip"))
+    return o.select("o_orderkey", "ip", net.is_public_ipv4(F.col("ip")).alias("public"))
+
+
+# --- phrases and picks
+
+
+@query
+def doc_phrases(spark, d):
+    return keywords.phrases(A.table(spark, d, "documents"), "doc_id", "text", compose=False).groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def term_document_frequency(spark, d):
+    t = A.table(spark, d, "documents").select("doc_id", "source", "text")
+    terms = t.select("source", "doc_id", F.explode(F.array_distinct(text.phrase_array(F.col("text"), False, False))).alias("term"))
+    return terms.groupBy("source", "term").agg(F.count(F.lit(1)).alias("df"))
+
+
+@query
+def term_idf(spark, d):
+    t = A.table(spark, d, "documents").select("doc_id", "source", "text")
+    terms = t.select("source", F.explode(F.array_distinct(text.phrase_array(F.col("text"), False, False))).alias("term"))
+    df = terms.groupBy("source", "term").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    n = t.groupBy("source").agg(F.count(F.lit(1)).alias("n"))
+    return df.join(n, "source").select("source", "term", F.round(F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1, 9).alias("idf"))
+
+
+@query
+def keyword_candidates(spark, d):
+    c = keywords.candidates(A.site_facts(spark, d), compose=False)
+    return c.select("site", "page_id", "term", F.array_join("sources", ",").alias("sources"), "body_count")
+
+
+@query
+def keyword_scores(spark, d):
+    f = A.site_facts(spark, d)
+    s = keywords.keyword_scores(keywords.candidates(f, compose=False), f.select("site"))
+    return s.select("site", "page_id", "term", F.round("score", 9).alias("score"), F.array_join("sources", ",").alias("sources"))
+
+
+@query
+def keyword_picks(spark, d):
+    p = keywords.keyword_picks(A.site_facts(spark, d), compose=False)
+    return p.select("site", "page_id", F.col("rank_order").cast("long").alias("rank_order"), "term", "score", F.array_join("sources", ",").alias("sources"))
+
+
+@query
+def brand_suffix(spark, d):
+    """Titles with a made-up site name: pages of a host of four or more are branded by it."""
+    p = A.site_pages(spark, d).select("page_id", "site", F.concat(F.coalesce(html.flat_title(F.col("html")), F.lit("x")), F.when(F.col("page_id") % 4 != 0, F.concat(F.lit(" | "), F.split("site", r"\.")[0])).otherwise("")).alias("title"))
+    return keywords.brand_words(p, compose=False)
+
+
+# --- ranks
+
+
+@query
+def rank_latest(spark, d):
+    return ranks.latest_positions(A.pairs(spark, d), A.snapshots(spark, d), ZONE, PAIR)
+
+
+@query
+def rank_best(spark, d):
+    latest = ranks.latest_positions(A.pairs(spark, d), A.snapshots(spark, d), ZONE, PAIR)
+    return ranks.best_positions(latest, ["user_id"])
+
+
+@query
+def rank_local_day(spark, d):
+    return A.snapshots(spark, d).select("event_id", dates.local_day(F.col("captured_at"), ZONE).alias("day"))
+
+
+@query
+def rank_history_range(spark, d):
+    h = ranks.page_history(A.pairs(spark, d), A.snapshots(spark, d).drop("event_id"), PAIR, ZONE, "2024-01-10", "2024-01-12")
+    return h.select(*PAIR, dates.iso_utc(F.col("captured_at")).alias("captured_at"), "date", "position")
+
+
+@query
+def rank_history_pivot(spark, d):
+    h = ranks.page_history(A.pairs(spark, d), A.snapshots(spark, d), PAIR, ZONE, "2024-01-01", "2024-01-31").where("user_id = 8")
+    return ranks.history_pivot(h, "event_type", ["click", "error", "purchase", "signup", "view"])
+
+
+@query
+def rank_series_nested(spark, d):
+    h = ranks.page_history(A.pairs(spark, d), A.snapshots(spark, d).drop("event_id"), PAIR, ZONE, "2024-01-10", "2024-01-12")
+    s = ranks.history_series(A.pairs(spark, d), h, PAIR)
+    return s.select(*PAIR, F.array_join(F.transform("points", lambda p: F.concat(p["date"], F.lit(":"), F.coalesce(p["position"].cast("string"), F.lit("-")))), " ").alias("points"))
+
+
+@query
+def rank_gap_fill(spark, d):
+    days = F.sequence(F.lit("2024-01-01").cast("date"), F.lit("2024-01-30").cast("date"))
+    daily = ranks.first_of_day(A.snapshots(spark, d), PAIR)
+    return ranks.missing_days(A.pairs(spark, d), daily, PAIR, days)
+
+
+@query
+def rank_dedupe_daily(spark, d):
+    f = ranks.first_of_day(A.snapshots(spark, d), PAIR)
+    return f.select(*PAIR, "snapshot_date", dates.iso_utc(F.col("captured_at")).alias("captured_at"), "position")
+
+
+@query
+def rank_generator(spark, d):
+    """A year of invented history for every term; compared with a plain sequential version by the tests."""
+    p = A.table(spark, d, "part").select(F.col("p_partkey").alias("pair_id"), F.concat(F.lit("https://a.example/|"), F.col("p_name")).alias("seed_key"), (F.col("p_size") % 8 + 1).alias("rank_order"))
+    days = dates.snapshot_days(F.lit("2026-10-07").cast("date"), 60)
+    return ranks.generate_series(p, F.col("seed_key"), F.col("rank_order"), days).select("pair_id", "snapshot_date", "position")
+
+
+@query
+def rank_generated_gaps(spark, d):
+    """Generated rows for the pair days without a capture."""
+    pairs = A.pairs(spark, d).withColumn("k", F.concat_ws("|", "user_id", "event_type"))
+    days = F.sequence(F.lit("2024-01-01").cast("date"), F.lit("2024-01-30").cast("date"))
+    return ranks.fill_snapshots(ranks.first_of_day(A.snapshots(spark, d), PAIR), pairs, PAIR, F.col("k"), F.lit(1), days).select(*PAIR, "snapshot_date", "position")
+
+
+@query
+def position_tone(spark, d):
+    s = A.snapshots(spark, d)
+    return s.groupBy(ranks.position_tone(F.col("position"), F.col("captured_at")).alias("tone")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def chart_axis(spark, d):
+    return ranks.axis(A.snapshots(spark, d)).select(F.col("worst").cast("long").alias("worst"), F.col("step").cast("long").alias("step"), F.col("bottom").cast("long").alias("bottom"), F.array_join("ticks", " ").alias("ticks"))
+
+
+@query
+def snapshot_count(spark, d):
+    return A.snapshots(spark, d).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("position").isNull()).alias("unranked"))
+
+
+# --- reads
+
+
+def _list(spark, d, **kw):
+    found = reads.list_pages(A.read_tables(spark, d), OWNER, ZONE, **kw)
+    keys = F.array_join(F.transform("keywords", lambda k: F.concat_ws(":", k["id"].cast("string"), k["term"], F.coalesce(k["position"].cast("string"), F.lit("-")), F.coalesce(k["date"], F.lit("-")))), ";")
+    return found.select("id", "url", "title", "fetch_status", "client_id", "client_name", "issue_count", "error_count", F.coalesce(keys, F.lit("")).alias("keywords"), F.col("best_position").cast("long").alias("best_position"))
+
+
+@query
+def pages_list(spark, d):
+    return _list(spark, d)
+
+
+@query
+def pages_page_n(spark, d):
+    return _list(spark, d, page=3, page_size=50)
+
+
+@query
+def pages_search(spark, d):
+    return _list(spark, d, q=" URGENT ", page_size=100)
+
+
+@query
+def pages_search_term(spark, d):
+    return _list(spark, d, q="olive", page_size=100)
+
+
+@query
+def pages_search_literal(spark, d):
+    """A percent sign is a character, not a wildcard: nothing holds one."""
+    return _list(spark, d, q="%")
+
+
+@query
+def pages_count(spark, d):
+    t = A.read_tables(spark, d)
+    return reads.count_pages(t, OWNER).crossJoin(reads.count_pages(t, OWNER, q="urgent").withColumnRenamed("total", "urgent"))
+
+
+@query
+def page_detail_keywords(spark, d):
+    t = A.read_tables(spark, d)
+    k = reads._keyword_lists(t, t.pages.where("client_id <= 100").select("id"), ZONE, "score")
+    return k.select("page_id", F.inline("keywords")).select("page_id", "id", "term", "score", "position", "date")
+
+
+@query
+def page_detail_issues(spark, d):
+    i = A.read_tables(spark, d).seo_issues
+    rank = F.when(F.col("severity") == "error", 0).otherwise(1)
+    return i.groupBy("page_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(rank.alias("r"), "code"))), lambda x: x["code"]), ",").alias("codes"))
+
+
+@query
+def client_list(spark, d):
+    return reads.list_clients(A.read_tables(spark, d).clients, OWNER).select("id", "name")
+
+
+@query
+def client_keyword_counts(spark, d):
+    return reads.client_keyword_counts(A.read_tables(spark, d))
+
+
+@query
+def rank_pairs(spark, d):
+    return reads.all_pairs(A.read_tables(spark, d))
+
+
+# --- state
+
+
+@query
+def crawl_outcome(spark, d):
+    o = A.table(spark, d, "orders").select("o_custkey", F.when(F.col("o_orderstatus") == "F", "failed").otherwise("ok").alias("fetch_status"))
+    return state.crawl_outcome(o, "o_custkey")
+
+
+@query
+def fetch_outcome(spark, d):
+    kinds = F.when(F.col("o_orderkey") % 5 == 0, "application/pdf").otherwise("text/HTML; charset=utf-8")
+    status = F.element_at(F.array(*map(F.lit, [200, 301, 403, 404, 429, 500])), (F.col("o_orderkey") % 6 + 1).cast("int"))
+    return A.table(spark, d, "orders").select("o_orderkey", state.fetch_outcome(status, kinds, F.when(F.col("o_orderkey") % 97 == 0, "challenge")).alias("outcome"))
+
+
+@query
+def consecutive_blocks(spark, d):
+    e = A.table(spark, d, "events").select("event_id", "user_id", "ts", "event_type")
+    return state.consecutive_blocks(e, "user_id", ["ts", "event_id"], F.col("event_type") == "error").select("event_id", F.col("run").cast("long").alias("run"), "stopped")
+
+
+def _clients(spark, d):
+    c = A.table(spark, d, "customer")
+    status = F.element_at(F.array(*map(F.lit, ["pending", "discovering", "crawling", "done", "partial", "failed"])), (F.col("c_custkey") % 6 + 1).cast("int"))
+    beat = F.when(F.col("c_custkey") % 7 != 0, F.timestamp_seconds(F.col("c_custkey") * 1000))
+    return c.select(F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("user_id"), status.alias("crawl_status"), beat.alias("crawl_heartbeat_at"), F.timestamp_seconds("c_custkey").alias("created_at"), F.lit(15).alias("pages_total"), F.lit(3).alias("pages_done"))
+
+
+@query
+def state_requeue(spark, d):
+    return state.requeue_stale(_clients(spark, d), F.timestamp_seconds(F.lit(500000))).select("id", "crawl_status")
+
+
+@query
+def state_claim(spark, d):
+    c = state.claim_crawl(_clients(spark, d), 6, F.timestamp_seconds(F.lit(1)))
+    return state.requeue_client(c, 9, 9).select("id", "crawl_status", F.col("pages_total").cast("long").alias("pages_total"), F.col("pages_done").cast("long").alias("pages_done"))
+
+
+@query
+def state_pending(spark, d):
+    return state.pending(_clients(spark, d)).select("id")
+
+
+@query
+def crawl_queue(spark, d):
+    r = A.table(spark, d, "events").where("event_type = 'signup'").select(F.col("user_id").alias("client_id"), F.col("ts").alias("requested_at"))
+    return state.crawl_queue(r).select("client_id", F.col("place").cast("long").alias("place"), "running")
+
+
+@query
+def session_active(spark, d):
+    s = A.table(spark, d, "events").select(F.col("event_id").alias("id"), "user_id", (F.col("ts").cast("timestamp") + F.expr("INTERVAL 7 DAYS")).alias("expires_at"))
+    now = F.lit("2024-01-20 00:00:00").cast("timestamp")
+    live = state.purge_sessions(s, now)
+    return live.groupBy("user_id").agg(F.count(F.lit(1)).alias("active"), F.count_if(F.col("expires_at") <= now + F.expr("INTERVAL 84 HOURS")).alias("renewable"))
+
+
+@query
+def login_limit(spark, d):
+    e = A.table(spark, d, "events").select("event_id", F.lit("10.0.0.1").alias("ip"), F.concat(F.lit(" User"), (F.col("user_id") % 3).cast("string"), F.lit("@Example.com")).alias("email"), "ts")
+    return state.limited_logins(e, 1).where("allowed").select("event_id")
+
+
+def _pairs_version(spark, d, odd: int):
+    li = A.table(spark, d, "lineitem").where(F.col("l_linenumber") % 3 != odd)
+    return li.groupBy(F.col("l_orderkey").alias("page_id"), F.col("l_partkey").alias("keyword_id")).agg(F.max("l_quantity").alias("score"))
+
+
+@query
+def replace_keyword_set(spark, d):
+    old = _pairs_version(spark, d, 0).withColumn("id", F.col("page_id") * 1000000 + F.col("keyword_id"))
+    analysed = A.table(spark, d, "orders").where("o_orderstatus <> 'F'").select(F.col("o_orderkey").alias("page_id"))
+    return state.replace_keyword_set(old, _pairs_version(spark, d, 1), analysed).select("page_id", "keyword_id", "id", "score")
+
+
+@query
+def upsert_pages(spark, d):
+    old = A.table(spark, d, "orders").where("o_orderkey % 3 <> 0").select(F.col("o_orderkey").alias("url"), F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("title"))
+    new = A.table(spark, d, "orders").where("o_orderkey % 3 <> 1").select(F.col("o_orderkey").alias("url"), (-F.col("o_orderkey")).alias("id"), F.lit("X").alias("status"))
+    return state.upsert(old, new, ["url"])
+
+
+@query
+def insert_ignore_terms(spark, d):
+    old = A.table(spark, d, "part").where("p_partkey % 2 = 0").select(F.col("p_name").alias("term")).distinct()
+    new = A.table(spark, d, "part").select(F.concat(F.col("p_name"), F.when(F.col("p_size") > 25, " x").otherwise("")).alias("term"))
+    return state.insert_ignore(old, new, ["term"])
+
+
+@query
+def replace_issues(spark, d):
+    old = A.read_tables(spark, d).seo_issues.select("page_id", "code", "severity")
+    done = A.table(spark, d, "orders").where("o_orderstatus = 'O'").select(F.col("o_orderkey").alias("page_id"))
+    new = done.select("page_id", F.lit("http_error").alias("code"), F.lit("error").alias("severity"))
+    return state.replace_issues(old, new, done)
+
+
+# --- discovery
+
+
+def _documents(spark, d):
+    """Every site's pages as if listed in two sitemaps by language, in page order."""
+    from pyspark.sql import Window
+
+    p = A.site_pages(spark, d)
+    name = F.when(F.col("page_id") % 3 == 0, "/post-sitemap2.xml").when(F.col("page_id") % 3 == 1, "/post-sitemap.xml").otherwise("/product-sitemap.xml")
+    listed = p.select("site", F.concat(F.lit("https://"), "site", name).alias("sitemap_url"), F.lit("urlset").alias("kind"), "page_id", F.col("url").alias("loc"))
+    return listed.withColumn("ord", F.row_number().over(Window.partitionBy("sitemap_url").orderBy("page_id")) - 1)
+
+
+@query
+def hub_link_scores(spark, d):
+    p = A.table(spark, d, "pages")
+    href = F.regexp_extract_all(F.col("html"), F.lit(r'(?i)<a href="(/[^"]*)"'), F.lit(1))
+    origin = F.regexp_extract("url", r"^https?://[^/]+", 0)
+    links = p.select("page_id", "url", origin.alias("o"), F.posexplode(href).alias("ord", "p")).withColumn("href", F.concat("o", "p"))
+    links = links.withColumn("text", F.when(F.col("ord") % 2 == 0, "blog").otherwise("news")).withColumn("in_nav", F.col("page_id") % 2 == 0)
+    return discovery.hub_link_scores(links, resolved=False).select("page_id", F.col("ord").cast("long").alias("ord"), "target", F.col("score").cast("long").alias("score"))
+
+
+@query
+def page_anchors(spark, d):
+    a = html.anchors(A.table(spark, d, "pages"))
+    return a.groupBy("page_id").agg(F.count(F.lit(1)).alias("links"), F.count_if("in_nav").alias("in_nav"))
+
+
+@query
+def sitemap_family_score(spark, d):
+    docs = _documents(spark, d)
+    maps = docs.select("site", "sitemap_url").distinct().withColumn("ord", F.when(F.contains("sitemap_url", F.lit("product")), 3).when(F.contains("sitemap_url", F.lit("2")), 2).otherwise(1))
+    hubs = A.site_pages(spark, d).select("site", F.lit(None).cast("string").alias("hub_url")).distinct()
+    s = discovery.family_scores(maps, docs, hubs)
+    return s.select("site", "family", F.size("members").cast("long").alias("members"), F.col("prior").cast("long").alias("prior"), "n", F.round("score", 9).alias("score"))
+
+
+@query
+def select_posts(spark, d):
+    p = A.site_pages(spark, d)
+    sites = p.select("site", F.lit(None).cast("string").alias("hub_path"), F.lit(True).alias("posts_only")).distinct()
+    return discovery.select_posts(p.select("site", F.col("page_id").alias("ord"), F.col("url").alias("loc")), sites).select("site", F.col("post").cast("long").alias("post"), "url")
+
+
+@query
+def discover_blog(spark, d):
+    """The whole discovery over sitemap documents made from the pages."""
+    docs = _documents(spark, d)
+    rounds = docs.select("site", "sitemap_url").distinct().select("site", F.lit(1).alias("round"), "sitemap_url", F.when(F.contains("sitemap_url", F.lit("product")), 3).when(F.contains("sitemap_url", F.lit("2")), 2).otherwise(1).alias("ord"))
+    hubs = A.site_pages(spark, d).select("site", F.lit(None).cast("string").alias("hub_url")).distinct()
+    return discovery.discover_blog(rounds, docs, hubs).select("site", "round", F.col("post").cast("long").alias("post"), "url")
+
+
+@query
+def sitemap_source(spark, d):
+    """Sitemaps written from the pages and read back."""
+    p = A.site_pages(spark, d)
+    entry = F.concat(F.lit("<url><loc>"), F.replace(F.col("url"), F.lit("&"), F.lit("&amp;")), F.lit("</loc></url>"))
+    body = F.concat(F.lit('<?xml version="1.0" encoding="UTF-8"?><urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9">'), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_id", entry.alias("e")))), lambda x: x["e"]), ""), F.lit("</urlset>"))
+    docs = p.groupBy("site").agg(body.alias("body")).withColumn("sitemap_url", F.concat(F.lit("https://"), "site", F.lit("/sitemap.xml")))
+    return sitemap_urls(docs).select("site", "kind", F.col("ord").cast("long").alias("ord"), "loc")
+
+
+@query
+def robots_allowed(spark, d):
+    p = A.table(spark, d, "pages").select("page_id", "url", F.lit(200).alias("status"), F.lit("text/plain").alias("content_type"), F.lit("User-agent: *\nDisallow: /en/\nAllow: /en/6\nCrawl-delay: 2").alias("robots"))
+    found = robots_check(p, "ExampleBot")
+    return found.groupBy("allowed", "crawl_delay").agg(F.count(F.lit(1)).alias("urls"))
+
+
+@query
+def redirect_targets(spark, d):
+    o = A.table(spark, d, "orders").select("o_orderkey")
+    u = o.where("o_orderkey % 2 = 1").select(F.concat(F.lit("https://a.example/"), F.col("o_orderkey").cast("string")).alias("url"))
+    r = o.where("o_orderkey % 5 = 0").select(F.concat(F.lit("https://a.example/"), F.col("o_orderkey").cast("string")).alias("src"), F.when(F.col("o_orderkey") % 10 == 0, "https://10.0.0.1/").otherwise(F.concat(F.lit("https://a.example/n/"), F.col("o_orderkey").cast("string"))).alias("dst"))
+    return net.follow_redirects(u, r).select("url", "final_url", F.col("hops").cast("long").alias("hops"), "error")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: v for k, v in ORACLES.items() if k in _QUERIES}
+
+
+#: The day that a default range ends on is a parameter everywhere else; named here for interactive use.
+TODAY = date.today
