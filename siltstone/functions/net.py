@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from siltstone.functions.constants import BASE_DELAY_MS, BLOCKED_IPV4, BLOCKED_IPV6, MAX_ATTEMPTS, MAX_REDIRECTS, MAX_RETRY_AFTER_MS, RETRY_STATUSES
+from siltstone.functions.lineage import cut
 
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 _IPV4 = rf"^{_OCTET}(?:\.{_OCTET}){{3}}$"
@@ -80,7 +81,7 @@ def follow_redirects(urls: DataFrame, redirects: DataFrame, most: int = MAX_REDI
     error: that of a forbidden target, or too_many_redirects beyond the limit.
     """
     at = urls.select("url", F.col("url").alias("final_url"), F.lit(0).alias("hops"), target_error(F.col("url")).alias("error"))
-    checked = redirects.select(F.col("src").alias("final_url"), "dst", target_error(F.col("dst")).alias("dst_error"))  # each target once
+    checked = cut(redirects.select(F.col("src").alias("final_url"), "dst", target_error(F.col("dst")).alias("dst_error")))  # each target once
     for hop in range(most + 1):
         moved = at.join(checked, "final_url", "left").withColumn("go", F.col("dst").isNotNull() & F.col("error").isNull())
         if hop == most:

@@ -1 +1,196 @@
-ORACLES = {}
+"""DuckDB SQL for the registered queries, written apart from the Spark code."""
+
+from __future__ import annotations
+
+from siltstone.functions.constants import ARCHIVE_SEGMENTS, BLOCK_TAGS, BLOCKED_IPV4, NOISE_TAGS, SOURCE_WEIGHTS, STOPWORDS
+
+
+def _list(values) -> str:
+    return "[" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + "]"
+
+
+_ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")]
+
+
+def _decode(x: str) -> str:
+    for name, value in _ENTITIES:
+        x = f"replace({x}, '{name}', '{value}')"
+    return x
+
+
+def _collapse(x: str) -> str:
+    return rf"trim(regexp_replace({x}, '\s+', ' ', 'g'))"
+
+
+_TITLE = f"nullif({_collapse(_decode(r"regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)"))}, '')"
+_H1S = f"list_filter(list_transform(regexp_extract_all(html, '(?is)<h1[^>]*>(.*?)</h1>', 1), lambda h: {_collapse(_decode("regexp_replace(h, '(?s)<[^>]*>', '', 'g')"))}), lambda h: h <> '')"
+_LANG = r"""nullif(trim(regexp_extract(html, '(?is)<html[^>]*\slang\s*=\s*["'']([^"'']*)["'']', 1)), '')"""
+_NOISE, _BLOCK = "|".join(NOISE_TAGS), "|".join(BLOCK_TAGS)
+_MAIN = r"regexp_extract(html, '(?is)<article[^>]*>(.*?)</article>', 1)"
+_MAIN = rf"regexp_replace({_MAIN}, '(?is)<({_NOISE})\b.*?</({_NOISE})>', '', 'g')"
+_MAIN = rf"regexp_replace(regexp_replace({_MAIN}, '(?is)<!--.*?-->', '', 'g'), '(?i)</?({_BLOCK})\b[^>]*>', ' ', 'g')"
+_MAIN = _collapse(_decode(f"regexp_replace({_MAIN}, '(?s)<[^>]*>', '', 'g')"))
+_WORDS = r"len(regexp_extract_all({x}, '[\p{{L}}\p{{N}}]+(?:[''’-][\p{{L}}\p{{N}}]+)*'))"
+_SITE = r"regexp_replace(regexp_replace(lower(regexp_extract(url, '(?i)^https?://([^/?#:]+)', 1)), '^www\.', ''), '\.$', '')"
+_PATH = r"lower(CASE WHEN regexp_extract(url, '(?i)^https?://[^/?#]+([^?#]*)', 1) = '' THEN '/' ELSE regexp_extract(url, '(?i)^https?://[^/?#]+([^?#]*)', 1) END)"
+_CUT = "split_part(url, '#', 1)"
+_QUERY = rf"array_to_string(list_filter(string_split(CASE WHEN contains({_CUT}, '?') THEN substr({_CUT}, instr({_CUT}, '?') + 1) ELSE '' END, '&'), lambda p: NOT regexp_matches(p, '(?i)^(utm_[a-z]+|gclid|fbclid|mc_cid|mc_eid|ref)(=|$)')), '&')"
+_BASE = rf"lower(regexp_extract({_CUT}, '^[^:]+://[^/?]+')) || CASE WHEN regexp_extract(split_part({_CUT}, '?', 1), '^[^:]+://[^/]+(.*)$', 1) = '' THEN '/' ELSE regexp_extract(split_part({_CUT}, '?', 1), '^[^:]+://[^/]+(.*)$', 1) END"
+_NORMAL = f"({_BASE} || CASE WHEN {_QUERY} <> '' THEN '?' || {_QUERY} ELSE '' END)"
+
+
+def _phrases(x: str, inner: bool) -> str:
+    """All phrases of a text, as a list."""
+    words = rf"list_transform(string_split_regex(replace(replace(lower({x}), '’', ''''), '‘', ''''), '[.,;:!?()\[\]{{}}\x22“”|/\\–—]+|\s-\s'), lambda s: regexp_extract_all(s, '[\p{{L}}\p{{N}}]+(?:''[\p{{L}}]+)?'))".replace("{{", "{").replace("}}", "}")
+    stops = _list(STOPWORDS)
+    good = f"NOT list_contains({stops}, w[i]) AND NOT list_contains({stops}, w[i + n - 1]) AND NOT regexp_full_match(w[i], '[0-9]+') AND NOT regexp_full_match(w[i + n - 1], '[0-9]+') AND NOT suffix(w[i + n - 1], '''s') AND (n > 1 OR length(w[i]) >= 3)"
+    if not inner:
+        good += f" AND NOT list_has_any(w[i:i + n - 1], {stops})"
+    return f"flatten(list_transform({words}, lambda w: flatten(list_transform(range(1, len(w) + 1), lambda i: list_transform(list_filter(range(1, least(4, len(w) - i + 1) + 1), lambda n: {good}), lambda n: array_to_string(w[i:i + n - 1], ' '))))))"
+
+
+_FACTS = f"facts AS (SELECT page_id, url, {_SITE} AS site, {_TITLE} AS title, {_H1S} AS h1s, {_MAIN} AS main_text, len(regexp_extract_all(html, '(?i)<script[^>]*\\ssrc\\s*=')) AS scripts FROM pages), worded AS (SELECT *, {_WORDS.format(x='main_text')} AS words, count(title) OVER (PARTITION BY site, title) AS title_count FROM facts)"
+_ISSUES = f"""{_FACTS}, found AS (
+SELECT page_id, 'title_missing' AS code, 'error' AS severity, 'Page has no <title>' AS message FROM worded WHERE title IS NULL
+UNION ALL SELECT page_id, 'title_length', 'warning', 'Title is ' || length(title) || ' characters; 30–60 usually displays best' FROM worded WHERE title IS NOT NULL AND length(title) NOT BETWEEN 30 AND 60
+UNION ALL SELECT page_id, 'title_duplicate', 'warning', title_count || ' crawled pages share this title' FROM worded WHERE title IS NOT NULL AND title_count > 1
+UNION ALL SELECT page_id, 'meta_description_missing', 'warning', 'Page has no meta description' FROM worded
+UNION ALL SELECT page_id, 'h1_missing', 'error', 'Page has no H1 heading' FROM worded WHERE len(h1s) = 0
+UNION ALL SELECT page_id, 'h1_multiple', 'warning', 'Page has ' || len(h1s) || ' H1 headings' FROM worded WHERE len(h1s) > 1
+UNION ALL SELECT page_id, 'canonical_missing', 'warning', 'Page has no canonical URL' FROM worded
+UNION ALL SELECT page_id, 'thin_content', 'warning', 'Only ' || words || ' words of main content' FROM worded WHERE words BETWEEN 50 AND 299
+UNION ALL SELECT page_id, 'client_rendered', 'warning', 'Almost no text in the HTML: content is likely rendered by JavaScript, which crawlers may not see' FROM worded WHERE words < 50 AND scripts > 0)"""
+
+_SLUG = rf"regexp_replace(regexp_replace(url_decode(replace(coalesce(list_filter(string_split(regexp_extract({_CUT}, '(?i)^https?://[^/?#]+([^?#]*)', 1), '/'), lambda s: s <> '')[-1], ''), '+', '%2B')), '(?i)\.[a-z]+$', ''), '[-_]+', ' ', 'g')"
+_STRIPPED = r"CASE WHEN len(string_split_regex(title, '\s+[|•·–—-]\s+')) > 1 THEN array_to_string(string_split_regex(title, '\s+[|•·–—-]\s+')[:-2], ' ') ELSE title END"
+_INTRO = "array_to_string(string_split(main_text, ' ')[1:50], ' ')"
+_CANDIDATES = f"""{_FACTS}, placed AS (
+SELECT site, page_id, 'title' AS source, unnest({_phrases(f"coalesce({_STRIPPED}, '')", True)}) AS term FROM facts
+UNION ALL SELECT site, page_id, 'h1', unnest(flatten(list_transform(h1s, lambda h: {_phrases('h', True)}))) FROM facts
+UNION ALL SELECT site, page_id, 'slug', unnest({_phrases(_SLUG, True)}) FROM facts
+UNION ALL SELECT site, page_id, 'intro', term FROM (SELECT site, page_id, unnest({_phrases(_INTRO, False)}) AS term FROM facts) WHERE contains(term, ' ')
+UNION ALL SELECT site, page_id, 'body', unnest({_phrases('main_text', False)}) FROM facts),
+suffixes AS (SELECT site, lower(trim(string_split_regex(title, '\\s+[|•·–—-]\\s+')[-1])) AS suffix, count(*) AS n, min(page_id) AS first FROM facts WHERE len(string_split_regex(title, '\\s+[|•·–—-]\\s+')) > 1 GROUP BY ALL),
+tops AS (SELECT * FROM suffixes WHERE suffix <> '' QUALIFY row_number() OVER (PARTITION BY site ORDER BY n DESC, first) = 1),
+brands AS (SELECT DISTINCT site, word FROM (SELECT t.site, unnest({_phrases('suffix', True)}) AS word FROM tops t JOIN (SELECT site, count(*) AS pages FROM facts GROUP BY site) p ON t.site = p.site WHERE n >= 2 AND n >= pages / 2) WHERE NOT contains(word, ' ')),
+brand AS (SELECT site, list(word) AS words FROM brands GROUP BY site),
+grouped AS (SELECT site, page_id, term, list_distinct(list(source) FILTER (WHERE source <> 'body')) AS found, count(*) FILTER (WHERE source = 'body') AS body_count FROM placed GROUP BY site, page_id, term),
+cands AS (SELECT g.site, page_id, term, list_filter({_list(SOURCE_WEIGHTS)}, lambda s: list_contains(coalesce(found, []), s)) AS sources, body_count FROM grouped g LEFT JOIN brand b ON g.site = b.site WHERE (len(coalesce(found, [])) > 0 OR contains(term, ' ')) AND (b.words IS NULL OR NOT list_has_any(string_split(term, ' '), b.words)))"""
+_WEIGHT = "CASE s " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in SOURCE_WEIGHTS.items()) + " END"
+_SCORES = f"""{_CANDIDATES}, weighed AS (SELECT *, CAST(coalesce(list_sum(list_transform(sources, lambda s: CAST({_WEIGHT} AS DOUBLE))), 0) AS DOUBLE) AS place, count(*) OVER (PARTITION BY site, term) AS df FROM cands),
+scores AS (SELECT w.site, page_id, term, (place + ln(1 + body_count) * CASE WHEN place = 0 THEN 0.5::DOUBLE ELSE 1.0::DOUBLE END) * CASE len(string_split(term, ' ')) WHEN 2 THEN 1.3::DOUBLE WHEN 3 THEN 1.3::DOUBLE WHEN 4 THEN 1.1::DOUBLE ELSE 1.0::DOUBLE END * (ln((pages + 1) / (df + 1)) + 1) AS score, CASE WHEN body_count > 0 THEN list_append(sources, 'body') ELSE sources END AS sources FROM weighed w JOIN (SELECT site, count(*) AS pages FROM facts GROUP BY site) n ON w.site = n.site WHERE place > 0 OR body_count >= 3)"""
+
+_SNAP = "snaps AS (SELECT user_id, event_type, event_id, ts, CASE WHEN value >= 147.35 THEN NULL ELSE least(100, 1 + CAST(floor(value * 2 / 3) AS INTEGER)) END AS position FROM events)"
+_LOCAL = "strftime(timezone('America/Toronto', timezone('UTC', ts)), '%Y-%m-%d')"
+_LATEST = f"{_SNAP}, latest AS (SELECT user_id, event_type, position, {_LOCAL} AS date FROM snaps QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC) = 1)"
+
+
+def _range(first: str, last: str) -> str:
+    return f"timezone('UTC', ts) >= timezone('America/Toronto', TIMESTAMP '{first}') AND timezone('UTC', ts) < timezone('America/Toronto', TIMESTAMP '{last}')"
+
+
+_TABLES = """c AS (SELECT c_custkey AS id, c_nationkey AS user_id, c_name AS name FROM customer),
+p AS (SELECT o_orderkey AS id, o_custkey AS client_id, 'https://shop.example/' || lower(o_orderpriority) || '/' || o_orderkey AS url, o_orderpriority AS title, o_orderstatus AS fetch_status, date_diff('day', DATE '1970-01-01', CAST(o_orderdate AS DATE)) AS pos FROM orders),
+k AS (SELECT min(p_partkey) AS id, p_name AS term FROM part GROUP BY p_name),
+named AS (SELECT l.*, k.id AS keyword_id FROM lineitem l JOIN part ON l_partkey = p_partkey JOIN k ON k.term = p_name),
+pk AS (SELECT l_orderkey * 1000000 + keyword_id AS id, l_orderkey AS page_id, keyword_id, min(l_linenumber) AS rank_order, max(l_quantity) AS score FROM named GROUP BY l_orderkey, keyword_id),
+i AS (SELECT l_orderkey AS page_id, l_returnflag || l_linenumber AS code, CASE WHEN max(l_returnflag) = 'R' THEN 'error' ELSE 'warning' END AS severity FROM lineitem WHERE l_returnflag <> 'N' GROUP BY ALL),
+rs AS (SELECT l_orderkey * 1000000 + keyword_id AS page_keyword_id, max(l_shipdate) AS captured_at, min(CASE WHEN l_quantity < 45 THEN CAST(l_quantity AS INTEGER) END) AS position FROM named GROUP BY ALL, CAST(l_shipdate AS DATE)),
+lt AS (SELECT page_keyword_id, position, strftime(timezone('America/Toronto', timezone('UTC', captured_at)), '%Y-%m-%d') AS date FROM rs QUALIFY row_number() OVER (PARTITION BY page_keyword_id ORDER BY captured_at DESC) = 1),
+kw AS (SELECT page_id, string_agg(k.id || ':' || term || ':' || coalesce(CAST(position AS VARCHAR), '-') || ':' || coalesce(date, '-'), ';' ORDER BY rank_order, pk.id) AS keywords, min(position) AS best FROM pk JOIN k ON k.id = keyword_id LEFT JOIN lt ON page_keyword_id = pk.id GROUP BY page_id)"""
+_TABLES = _TABLES.replace("GROUP BY ALL, CAST(l_shipdate AS DATE)", "GROUP BY l_orderkey * 1000000 + keyword_id, CAST(l_shipdate AS DATE)")
+
+
+def _pages(where: str = "true", limit: int = 20, offset: int = 0) -> str:
+    return f"""WITH {_TABLES} SELECT p.id, p.url, p.title, p.fetch_status, c.id AS client_id, c.name AS client_name, (SELECT count(*) FROM i WHERE i.page_id = p.id) AS issue_count, (SELECT count(*) FROM i WHERE i.page_id = p.id AND severity = 'error') AS error_count, coalesce(kw.keywords, '') AS keywords, CAST(kw.best AS BIGINT) AS best_position
+FROM p JOIN c ON c.id = p.client_id LEFT JOIN kw ON kw.page_id = p.id WHERE c.user_id = 3 AND ({where}) ORDER BY c.name, c.id, p.pos, p.id LIMIT {limit} OFFSET {offset}"""
+
+
+def _search(q: str) -> str:
+    return f"contains(lower(p.url), '{q}') OR EXISTS (SELECT 1 FROM pk JOIN k ON k.id = pk.keyword_id WHERE pk.page_id = p.id AND contains(lower(k.term), '{q}'))"
+
+
+def _ip(text: str) -> int:
+    a, b, c, d = map(int, text.split("."))
+    return ((a * 256 + b) * 256 + c) * 256 + d
+
+
+_IP_N = "((o_orderkey * 2654435761) % 4294967296)"
+_BLOCKED = " OR ".join(f"n BETWEEN {_ip(a)} AND {_ip(a) + 2 ** (32 - b) - 1}" for a, b in BLOCKED_IPV4)
+_CLIENTS = "cl AS (SELECT c_custkey AS id, c_nationkey AS user_id, ['pending', 'discovering', 'crawling', 'done', 'partial', 'failed'][c_custkey % 6 + 1] AS status, CASE WHEN c_custkey % 7 <> 0 THEN c_custkey * 1000 END AS beat FROM customer)"
+_POSTS = f"""u AS (SELECT {_SITE} AS site, page_id AS ord, {_NORMAL} AS nurl FROM pages),
+d AS (SELECT site, nurl, min(ord) AS ord, regexp_extract(nurl, '^https?://[^/?#]+([^?#]*)', 1) AS path FROM u GROUP BY site, nurl),
+f AS (SELECT *, list_filter(string_split(lower(path), '/'), lambda s: s <> '') AS segs FROM d),
+g AS (SELECT * FROM f WHERE len(segs) > 0 AND NOT list_has_any(segs, {_list(ARCHIVE_SEGMENTS)}) AND NOT regexp_matches(path, '/page/\\d+/?$') AND NOT regexp_matches(path, '(?i)\\.(pdf|jpe?g|png|gif|webp|svg|zip|mp4|mp3|xml|json|css|js|txt)$'))"""
+
+ORACLES = {
+    "page_title": f"SELECT page_id, {_TITLE} AS title FROM pages",
+    "page_h1": f"SELECT page_id, h[1] AS h1, CAST(len(h) AS BIGINT) AS n_h1 FROM (SELECT page_id, {_H1S} AS h FROM pages)",
+    "page_lang": f"SELECT page_id, {_LANG} AS lang FROM pages",
+    "page_main_text_words": f"SELECT page_id, main_text, CAST({_WORDS.format(x='main_text')} AS BIGINT) AS words FROM (SELECT page_id, {_MAIN} AS main_text FROM pages)",
+    "page_facts": f"WITH {_FACTS} SELECT w.page_id, title, CAST(NULL AS VARCHAR) AS meta_description, CAST(len(h1s) AS INTEGER) AS n_h1s, 0 AS n_headings, CAST(NULL AS VARCHAR) AS canonical, ',' AS robots, {_LANG} AS lang, 0 AS images_total, 0 AS n_missing_alt, 0 AS insecure_resources, CAST(scripts AS INTEGER) AS script_count, CAST(words AS INTEGER) AS word_count, sha256(main_text) AS main_text_sha256 FROM worded w JOIN pages USING (page_id)",
+    "doc_word_count": f"SELECT doc_id, CAST({_WORDS.format(x="coalesce(text, '')")} AS BIGINT) AS words FROM documents",
+    "page_issues": f"WITH {_ISSUES} SELECT * FROM found",
+    "page_issue_counts": f"WITH {_ISSUES} SELECT page_id, count(code) AS issue_count, count(*) FILTER (WHERE severity = 'error') AS error_count FROM pages LEFT JOIN found USING (page_id) GROUP BY page_id",
+    "issue_histogram": f"WITH {_ISSUES} SELECT code, severity, count(*) AS pages FROM found GROUP BY code, severity",
+    "title_duplicates": f"WITH {_FACTS} SELECT page_id, site, title, title_count FROM worded WHERE title_count > 1",
+    "noindex_directives": "SELECT * FROM (VALUES (1, true), (2, false), (3, false), (4, true), (5, false), (6, true), (7, true), (8, false), (9, false)) AS t(id, blocked)",
+    "fetch_failures": "SELECT o_orderkey AS page_id, 'http_error' AS code, 'error' AS severity, CASE WHEN o_orderstatus = 'F' THEN 'URL listed in the sitemap returns HTTP 404' ELSE 'URL listed in the sitemap could not be fetched: ' || lower(o_orderpriority) END AS message FROM orders",
+    "url_site_key": f"SELECT page_id, {_SITE} AS site FROM pages",
+    "url_normalized": f"SELECT page_id, {_NORMAL} AS url FROM pages",
+    "url_dedup_per_site": f"SELECT site, n AS url, min(page_id) AS page_id, count(*) AS copies FROM (SELECT page_id, {_SITE} AS site, {_NORMAL} AS n FROM pages) GROUP BY site, n",
+    "pages_per_site": f"SELECT {_SITE} AS site, count(*) AS pages FROM pages GROUP BY 1",
+    "slug_text": f"SELECT page_id, {_SLUG} AS slug FROM pages",
+    "article_shaped": rf"WITH x AS (SELECT p_partkey, '/' || lower(substr(p_type, 1, 4)) || '/' || replace(lower(p_name), ' ', '-') AS path FROM part) SELECT p_partkey, path, len(regexp_extract_all(list_filter(string_split(path, '/'), lambda s: s <> '')[-1], '[-_]')) >= 2 AND len(list_filter(string_split(path, '/'), lambda s: s <> '')) BETWEEN 1 AND 4 AS shaped, list_has_any(string_split(path, '/'), {_list(ARCHIVE_SEGMENTS)}) AS archive FROM x",
+    "url_section_share": f"WITH x AS (SELECT {_SITE} AS site, list_filter(string_split({_PATH}, '/'), lambda s: s <> '') AS s FROM pages), n AS (SELECT site, s[1] AS segment, count(*) AS n FROM x WHERE len(s) >= 2 GROUP BY ALL) SELECT site, segment, n, round(n / sum(n) OVER (PARTITION BY site), 9) AS share FROM n",
+    "website_urls": "SELECT * FROM (VALUES (1, 'https://www.yoast.com/blog', 'https://www.yoast.com', 'yoast.com'), (2, NULL, NULL, NULL), (3, NULL, NULL, NULL), (4, NULL, NULL, NULL), (5, NULL, NULL, NULL), (6, 'https://yoast.com./', 'https://yoast.com.', 'yoast.com'), (7, 'http://a.com/x', 'http://a.com', 'a.com'), (8, 'https://b.org:8443/', 'https://b.org:8443', 'b.org')) AS t(id, url, origin, site_key)",
+    "ip_public": f"SELECT o_orderkey, (n >> 24) || '.' || ((n >> 16) & 255) || '.' || ((n >> 8) & 255) || '.' || (n & 255) AS ip, NOT ({_BLOCKED}) AS public FROM (SELECT o_orderkey, CAST({_IP_N} AS BIGINT) AS n FROM orders)",
+    "doc_phrases": f"SELECT doc_id, term, count(*) AS n FROM (SELECT doc_id, unnest({_phrases('text', True)}) AS term FROM documents) GROUP BY doc_id, term",
+    "term_document_frequency": f"SELECT source, term, count(*) AS df FROM (SELECT doc_id, source, unnest(list_distinct({_phrases('text', False)})) AS term FROM documents) GROUP BY source, term",
+    "term_idf": f"WITH t AS (SELECT source, term, count(*) AS df FROM (SELECT source, unnest(list_distinct({_phrases('text', False)})) AS term FROM documents) GROUP BY source, term), n AS (SELECT source, count(*) AS n FROM documents GROUP BY source) SELECT t.source, term, round(ln((n + 1) / (df + 1)) + 1, 9) AS idf FROM t JOIN n ON t.source = n.source WHERE df > 1",
+    "keyword_candidates": f"WITH {_CANDIDATES} SELECT site, page_id, term, array_to_string(sources, ',') AS sources, body_count FROM cands",
+    "keyword_scores": f"WITH {_SCORES} SELECT site, page_id, term, round(score, 9) AS score, array_to_string(sources, ',') AS sources FROM scores WHERE score >= 2",
+    "keyword_picks": f"WITH {_SCORES}, ordered AS (SELECT site, page_id, list(term ORDER BY score DESC, term) AS terms FROM scores WHERE score >= 2 GROUP BY site, page_id), kept AS (SELECT site, page_id, list_reduce(list_transform(terms, lambda t: [t]), lambda a, t: CASE WHEN len(a) >= 8 OR len(list_filter(a, lambda k: contains(' ' || k || ' ', ' ' || t[1] || ' ') OR contains(' ' || t[1] || ' ', ' ' || k || ' '))) > 0 THEN a ELSE list_concat(a, t) END) AS terms FROM ordered), ranked AS (SELECT site, page_id, unnest(terms) AS term, generate_subscripts(terms, 1) AS rank_order FROM kept) SELECT r.site, r.page_id, CAST(rank_order AS BIGINT) AS rank_order, r.term, floor(score * 100 + 0.5) / 100 AS score, array_to_string(sources, ',') AS sources FROM ranked r JOIN scores s ON r.page_id = s.page_id AND r.term = s.term",
+    "brand_suffix": f"WITH f AS (SELECT page_id, site, CASE WHEN page_id % 4 <> 0 THEN split_part(site, '.', 1) END AS suffix FROM (SELECT page_id, {_SITE} AS site FROM pages)), n AS (SELECT site, count(*) AS pages, count(suffix) AS n, min(suffix) AS suffix FROM f GROUP BY site) SELECT DISTINCT site, w AS word FROM (SELECT site, unnest({_phrases('suffix', True)}) AS w FROM n WHERE n >= 2 AND n >= pages / 2) WHERE NOT contains(w, ' ')",
+    "rank_latest": f"WITH {_LATEST} SELECT * FROM latest",
+    "rank_best": f"WITH {_LATEST} SELECT user_id, min(position) AS best FROM latest GROUP BY user_id",
+    "rank_local_day": f"SELECT event_id, {_LOCAL} AS day FROM events",
+    "rank_history_range": f"WITH {_SNAP} SELECT user_id, event_type, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS captured_at, {_LOCAL} AS date, position FROM snaps WHERE {_range('2024-01-10', '2024-01-13')}",
+    "rank_history_pivot": f"WITH {_SNAP}, h AS (SELECT event_type, ts, {_LOCAL} AS date, position FROM snaps WHERE user_id = 8 AND {_range('2024-01-01', '2024-02-01')}), l AS (SELECT date, event_type, position FROM h QUALIFY row_number() OVER (PARTITION BY date, event_type ORDER BY ts DESC) = 1) SELECT date, {', '.join(f"max(position) FILTER (WHERE event_type = '{t}') AS {t}" for t in ('click', 'error', 'purchase', 'signup', 'view'))} FROM l GROUP BY date",
+    "rank_series_nested": f"WITH {_SNAP}, h AS (SELECT user_id, event_type, ts, {_LOCAL} AS date, position FROM snaps WHERE {_range('2024-01-10', '2024-01-13')}), g AS (SELECT user_id, event_type, string_agg(date || ':' || coalesce(CAST(position AS VARCHAR), '-'), ' ' ORDER BY ts) AS points FROM h GROUP BY ALL) SELECT user_id, event_type, coalesce(points, '') AS points FROM (SELECT DISTINCT user_id, event_type FROM events) LEFT JOIN g USING (user_id, event_type)",
+    "rank_gap_fill": "WITH p AS (SELECT DISTINCT user_id, event_type FROM events), d AS (SELECT CAST(unnest(generate_series(TIMESTAMP '2024-01-01', TIMESTAMP '2024-01-30', INTERVAL 1 DAY)) AS DATE) AS snapshot_date) SELECT user_id, event_type, snapshot_date FROM p, d EXCEPT SELECT user_id, event_type, CAST(ts AS DATE) FROM events",
+    "rank_dedupe_daily": f"WITH {_SNAP} SELECT user_id, event_type, CAST(ts AS DATE) AS snapshot_date, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS captured_at, position FROM snaps QUALIFY row_number() OVER (PARTITION BY user_id, event_type, CAST(ts AS DATE) ORDER BY ts) = 1",
+    "position_tone": f"WITH {_SNAP} SELECT CASE WHEN position <= 3 THEN 'top' WHEN position <= 10 THEN 'good' WHEN position IS NOT NULL THEN 'low' ELSE 'unranked' END AS tone, count(*) AS n FROM snaps GROUP BY 1",
+    "chart_axis": f"WITH {_SNAP}, w AS (SELECT CAST(greatest(1, max(position)) AS BIGINT) AS worst FROM snaps), s AS (SELECT worst, CAST(CASE WHEN worst <= 20 THEN 5 WHEN worst <= 50 THEN 10 ELSE 25 END AS BIGINT) AS step FROM w), b AS (SELECT *, CAST(least(100, ceil((worst + 1) / step) * step) AS BIGINT) AS bottom FROM s) SELECT worst, step, bottom, '1 ' || array_to_string(generate_series(step, bottom, step), ' ') AS ticks FROM b",
+    "snapshot_count": f"WITH {_SNAP} SELECT count(*) AS n, count(*) - count(position) AS unranked FROM snaps",
+    "pages_list": _pages(),
+    "pages_page_n": _pages(limit=50, offset=100),
+    "pages_search": _pages(_search("urgent"), 100),
+    "pages_search_term": _pages(_search("steel"), 100),
+    "pages_search_literal": _pages(_search("%")),
+    "pages_count": f"WITH {_TABLES} SELECT count(*) AS total, count(*) FILTER (WHERE {_search('urgent')}) AS urgent FROM p JOIN c ON c.id = p.client_id WHERE c.user_id = 3",
+    "page_detail_keywords": f"WITH {_TABLES} SELECT page_id, k.id, term, score, position, date FROM pk JOIN p ON p.id = page_id JOIN k ON k.id = keyword_id LEFT JOIN lt ON page_keyword_id = pk.id WHERE client_id <= 100",
+    "page_detail_issues": f"WITH {_TABLES} SELECT page_id, string_agg(code, ',' ORDER BY CASE severity WHEN 'error' THEN 0 ELSE 1 END, code) AS codes FROM i GROUP BY page_id",
+    "client_list": "SELECT c_custkey AS id, c_name AS name FROM customer WHERE c_nationkey = 3",
+    "client_keyword_counts": f"WITH {_TABLES} SELECT client_id, count(*) AS keywords FROM pk JOIN p ON p.id = page_id GROUP BY client_id",
+    "rank_pairs": f"WITH {_TABLES} SELECT pk.id, rank_order, url, term FROM pk JOIN p ON p.id = page_id JOIN k ON k.id = keyword_id",
+    "crawl_outcome": "SELECT o_custkey, count(*) AS total, count(*) FILTER (WHERE o_orderstatus <> 'F') AS analysed, CASE WHEN bool_and(o_orderstatus <> 'F') THEN 'done' ELSE 'partial' END AS status, CASE WHEN NOT bool_and(o_orderstatus <> 'F') THEN count(*) FILTER (WHERE o_orderstatus = 'F') || ' of ' || count(*) || ' pages could not be analysed' END AS message FROM orders GROUP BY o_custkey",
+    "fetch_outcome": "SELECT o_orderkey, CASE WHEN o_orderkey % 97 = 0 OR o_orderkey % 6 IN (2, 4) THEN 'blocked' WHEN o_orderkey % 6 IN (3, 5) OR o_orderkey % 5 = 0 THEN 'failed' ELSE 'ok' END AS outcome FROM orders",
+    "consecutive_blocks": "WITH b AS (SELECT event_id, user_id, ts, CAST(event_type = 'error' AS INTEGER) AS b, sum(CASE WHEN event_type = 'error' THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS island FROM events), r AS (SELECT *, sum(b) OVER (PARTITION BY user_id, island ORDER BY ts, event_id) AS run FROM b) SELECT event_id, CAST(run AS BIGINT) AS run, coalesce(bool_or(run >= 3) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS stopped FROM r",
+    "state_requeue": f"WITH {_CLIENTS} SELECT id, CASE WHEN status IN ('discovering', 'crawling') AND (beat IS NULL OR beat < 500000) THEN 'pending' ELSE status END AS crawl_status FROM cl",
+    "state_claim": f"WITH {_CLIENTS} SELECT id, CASE WHEN id = 6 AND status = 'pending' THEN 'discovering' WHEN id = 9 AND user_id = 9 AND status IN ('done', 'partial', 'failed') THEN 'pending' ELSE status END AS crawl_status, CAST(CASE WHEN id = 6 AND status = 'pending' THEN 0 ELSE 15 END AS BIGINT) AS pages_total, CAST(CASE WHEN id = 6 AND status = 'pending' THEN 0 ELSE 3 END AS BIGINT) AS pages_done FROM cl",
+    "state_pending": f"WITH {_CLIENTS} SELECT id FROM cl WHERE status = 'pending'",
+    "crawl_queue": "WITH f AS (SELECT user_id AS client_id, min(ts) AS t FROM events WHERE event_type = 'signup' GROUP BY 1) SELECT client_id, row_number() OVER (ORDER BY t, client_id) AS place, row_number() OVER (ORDER BY t, client_id) <= 2 AS running FROM f",
+    "session_active": "SELECT user_id, count(*) AS active, count(*) FILTER (WHERE ts + INTERVAL 7 DAY <= TIMESTAMP '2024-01-20' + INTERVAL 84 HOUR) AS renewable FROM events WHERE ts + INTERVAL 7 DAY > TIMESTAMP '2024-01-20' GROUP BY user_id",
+    "login_limit": "SELECT event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id % 3, date_trunc('minute', ts) ORDER BY ts) <= 1",
+    "replace_keyword_set": "WITH o AS (SELECT l_orderkey AS page_id, l_partkey AS keyword_id, max(l_quantity) AS score FROM lineitem WHERE l_linenumber % 3 <> 0 GROUP BY ALL), n AS (SELECT l_orderkey AS page_id, l_partkey AS keyword_id, max(l_quantity) AS score FROM lineitem WHERE l_linenumber % 3 <> 1 GROUP BY ALL), a AS (SELECT o_orderkey AS page_id FROM orders WHERE o_orderstatus <> 'F') SELECT page_id, keyword_id, page_id * 1000000 + keyword_id AS id, score FROM o WHERE page_id NOT IN (SELECT page_id FROM a) UNION ALL SELECT n.page_id, n.keyword_id, CASE WHEN o.page_id IS NOT NULL THEN n.page_id * 1000000 + n.keyword_id END, n.score FROM n LEFT JOIN o ON o.page_id = n.page_id AND o.keyword_id = n.keyword_id WHERE n.page_id IN (SELECT page_id FROM a)",
+    "upsert_pages": "SELECT o_orderkey AS url, CASE WHEN o_orderkey % 3 = 0 THEN -o_orderkey ELSE o_orderkey END AS id, CASE WHEN o_orderkey % 3 = 1 THEN o_orderstatus ELSE 'X' END AS status, CASE WHEN o_orderkey % 3 <> 0 THEN o_orderpriority END AS title FROM orders",
+    "insert_ignore_terms": "SELECT DISTINCT p_name || CASE WHEN p_size > 25 THEN ' x' ELSE '' END AS term FROM part EXCEPT SELECT p_name FROM part WHERE p_partkey % 2 = 0",
+    "replace_issues": f"WITH {_TABLES} SELECT page_id, code, severity FROM i WHERE page_id NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'O') UNION ALL SELECT o_orderkey, 'http_error', 'error' FROM orders WHERE o_orderstatus = 'O'",
+    "hub_link_scores": f"WITH a AS (SELECT page_id, regexp_extract(url, '^https?://[^/]+') AS o, regexp_extract_all(html, '(?i)<a href=\"(/[^\"]*)\"', 1) AS h FROM pages), l AS (SELECT page_id, o, unnest(h) AS p, generate_subscripts(h, 1) - 1 AS ord FROM a), n AS (SELECT page_id, ord, o || p AS url FROM l) SELECT page_id, CAST(ord AS BIGINT) AS ord, {_NORMAL} AS target, CAST(CASE WHEN ord % 2 = 0 THEN 4 ELSE 3 END + CASE WHEN page_id % 2 = 0 THEN 1 ELSE 0 END AS BIGINT) AS score FROM n WHERE {_PATH} <> '/'",
+    "page_anchors": "SELECT page_id, n AS links, n AS in_nav FROM (SELECT page_id, CAST(len(regexp_extract_all(html, '(?i)<a\\s[^>]*href=')) AS BIGINT) AS n FROM pages) WHERE n > 0",
+    "select_posts": f"WITH {_POSTS} SELECT site, row_number() OVER (PARTITION BY site ORDER BY ord) AS post, nurl AS url FROM g QUALIFY post <= 15",
+    "sitemap_source": f"SELECT site, 'urlset' AS kind, ord, loc FROM (SELECT {_SITE} AS site, row_number() OVER (PARTITION BY {_SITE} ORDER BY page_id) - 1 AS ord, url AS loc FROM pages) WHERE ord < 500",
+    "robots_allowed": f"SELECT allowed, 2.0::DOUBLE AS crawl_delay, count(*) AS urls FROM (SELECT NOT starts_with(path, '/en/') OR starts_with(path, '/en/6') AS allowed FROM (SELECT {_PATH} AS path FROM pages)) GROUP BY allowed",
+    "redirect_targets": "SELECT 'https://a.example/' || o_orderkey AS url, 'https://a.example/' || CASE WHEN o_orderkey % 5 = 0 THEN 'n/' ELSE '' END || o_orderkey AS final_url, CAST(CASE WHEN o_orderkey % 5 = 0 THEN 1 ELSE 0 END AS BIGINT) AS hops, CAST(NULL AS VARCHAR) AS error FROM orders WHERE o_orderkey % 2 = 1",
+}
