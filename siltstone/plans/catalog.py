@@ -316,7 +316,7 @@ def pages_search(spark, d):
 
 @query
 def pages_search_term(spark, d):
-    return _list(spark, d, q="STEEL", page_size=100)
+    return _list(spark, d, q="Red Bolt", page_size=100)
 
 
 @query

@@ -166,7 +166,7 @@ ORACLES = {
     "pages_list": _pages(),
     "pages_page_n": _pages(limit=50, offset=100),
     "pages_search": _pages(_search("urgent"), 100),
-    "pages_search_term": _pages(_search("steel"), 100),
+    "pages_search_term": _pages(_search("red bolt"), 100),
     "pages_search_literal": _pages(_search("%")),
     "pages_count": f"WITH {_TABLES} SELECT count(*) AS total, count(*) FILTER (WHERE {_search('urgent')}) AS urgent FROM p JOIN c ON c.id = p.client_id WHERE c.user_id = 3",
     "page_detail_keywords": f"WITH {_TABLES} SELECT page_id, k.id, term, score, position, date FROM pk JOIN p ON p.id = page_id JOIN k ON k.id = keyword_id LEFT JOIN lt ON page_keyword_id = pk.id WHERE client_id <= 100",
