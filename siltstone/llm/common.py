@@ -9,6 +9,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+#: What Spark hands to a Python worker at a time: long texts come in small batches.
+BATCH_BYTES = "4m"
+
 #: The columns of the documents table.
 DOCUMENT_COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -48,6 +51,7 @@ def map_arrow(df: DataFrame, function, schema: str) -> DataFrame:
     """mapInArrow for a function from an iterator of record batches to an iterator of lists or arrays by column."""
 
     kind = arrow_schema(schema)
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for columns in function(batches):
@@ -75,15 +79,21 @@ def pair_hash(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return mix(left * np.uint64(0x9E3779B97F4A7C15) + mix(right))
 
 
-def blocks(batches: Iterable[pa.RecordBatch], limit: int, weight) -> Iterator[list[tuple]]:
-    """Rows of the batches in blocks whose weights reach limit; bounds what is held at a time."""
-    rows, held = [], 0
+def blocks(batches: Iterable[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:
+    """The batches joined to blocks of about limit bytes; bounds what is held at a time."""
+    held, size = [], 0
     for batch in batches:
-        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            rows.append(row)
-            held += weight(row)
-            if held >= limit:
-                yield rows
-                rows, held = [], 0
-    if rows:
-        yield rows
+        held.append(batch)
+        size += batch.nbytes
+        if size >= limit:
+            yield pa.concat_batches(held)
+            held, size = [], 0
+    if held:
+        yield pa.concat_batches(held)
+
+
+def spread(values: np.ndarray, bound: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(values of the lists numbered at, one after another; bounds of these lists). List i is values[bound[i]:bound[i + 1]]."""
+    size = (bound[1:] - bound[:-1])[at]
+    out = np.append(0, np.cumsum(size))
+    return values[np.repeat(bound[at] - out[:-1], size) + np.arange(out[-1])], out
