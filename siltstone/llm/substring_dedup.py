@@ -27,7 +27,7 @@ from siltstone.llm.common import DOCUMENT_COLUMNS, map_arrow, mix, pair_hash, ta
 
 WINDOW, ANCHOR, PERIOD, COVER = 20, 8, 13, (0, 1, 3, 9)
 #: Anchors or windows of a block.
-BLOCK = 1_500_000
+BLOCK = 500_000
 #: Stands for a null doc_id: before every other one.
 NO_ID = -(1 << 63)
 
