@@ -15,19 +15,20 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import blocks, map_arrow, table
+from siltstone.llm.common import blocks, map_arrow, spread, table
 
-#: Characters of a block.
-BLOCK_CHARS = 24_000_000
+#: Bytes of a block.
+BLOCK_BYTES = 12_000_000
 
 _DEAD = -2
 _NONE = np.iinfo(np.int32).max
 _SPLIT = regex.compile(r"[^\S\x1c-\x1f]+")
-_CONTROL = regex.compile(r"[\x1c-\x1f]")
+_ODD = r"[\x1c-\x1f]|<\|"
 
 
 def byte_letters() -> list[str]:
@@ -41,6 +42,14 @@ def byte_letters() -> list[str]:
     return [letters[b] for b in range(256)]
 
 
+class Numbering(dict):
+    """Numbers for things in the order in which they come."""
+
+    def __missing__(self, key) -> int:
+        self[key] = n = len(self)
+        return n
+
+
 class WordBpe:
     """A tokenizer file with word ends: vocabulary, ranked merges and special tokens."""
 
@@ -58,7 +67,6 @@ class WordBpe:
         self.pair = list(zip(left.tolist(), right.tolist(), [vocab[a + b] for a, b in merges], strict=True))
         order = np.argsort(left << 32 | right, kind="stable")
         self.keys, self.ranks = (left << 32 | right)[order], order.astype(np.int32)
-        self.tokens = {i: t for t, i in vocab.items()} | {t["id"]: t["content"] for t in spec["added_tokens"]}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         pattern = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")["pattern"]["Regex"]
         self.pieces = regex.compile(pattern)
@@ -80,13 +88,9 @@ class WordBpe:
         found = self.pre_tokenizer.pre_tokenize_str(self.normalizer.normalize_str(chunk))
         return [bytes(map(self.byte_of.__getitem__, w)) for w, _ in found]
 
-    def chunks_of(self, text: str | None) -> list[str]:
-        """The runs of other than white space of a text; special strings stand for themselves wherever they are."""
-        if not text:
-            return []
-        split = (lambda t: [x for x in _SPLIT.split(t) if x]) if _CONTROL.search(text) else str.split
-        if "<|" not in text:
-            return split(text)
+    def chunks_of(self, text: str) -> list[str]:
+        """The runs of other than white space of any text; special strings stand for themselves wherever they are."""
+        split = lambda t: [x for x in _SPLIT.split(t) if x]
         return [x for i, part in enumerate(self.by_special.split(text)) for x in ([part] if i % 2 else split(part))]
 
     def encode_words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -140,16 +144,41 @@ class WordBpe:
         upto = np.append(0, np.cumsum(alive))
         return sym[:n][alive], np.append(0, upto[end])
 
-    def encode_texts(self, texts: list[str | None]) -> list[bytes]:
-        """The ids of each text, as little-endian 32-bit integers."""
-        number: dict[str, int] = {}
-        docs = [np.fromiter((number.setdefault(c, len(number)) for c in self.chunks_of(t)), np.int32) for t in texts]
-        word: dict[bytes, int] = {}
-        chunks = [self.special[c] if c in self.special else [word.setdefault(w, len(word)) for w in self.words_of(c)] for c in number]
-        ids, bound = self.encode_words(list(word))
-        data, bound = ids.astype("<i4").tobytes(), (4 * bound).tolist()
-        coded = [np.array([c], "<i4").tobytes() if isinstance(c, int) else b"".join([data[bound[w] : bound[w + 1]] for w in c]) for c in chunks]
-        return [b"".join(map(coded.__getitem__, d.tolist())) for d in docs]
+    def encode_texts(self, texts: pa.Array, step: int = 512):
+        """For each step texts: (their ids in a row, bounds of each text among them).
+
+        Texts are split at white space and their chunks numbered by Arrow; Python sees each distinct chunk once. Texts
+        with special strings or control characters that only some call white space are split by patterns.
+        """
+        texts = pc.fill_null(texts, "")
+        odd = pc.match_substring_regex(texts, _ODD).to_numpy(zero_copy_only=False)
+        lists = pc.utf8_split_whitespace(pc.if_else(pa.array(odd), "", texts))
+        bound, coded = lists.offsets.to_numpy().astype(np.int64), lists.values.dictionary_encode()
+        names = coded.dictionary.to_pylist()
+        at, number = coded.indices.to_numpy().astype(np.int64), {c: i for i, c in enumerate(names)}
+        if odd.any():
+            new = Numbering(number)
+            others = {i: [new[c] for c in self.chunks_of(texts[i].as_py())] for i in np.flatnonzero(odd).tolist()}
+            parts = [np.array(others[i], np.int64) if i in others else at[a:b] for i, (a, b) in enumerate(zip(bound[:-1].tolist(), bound[1:].tolist(), strict=True))]
+            names, at = list(new), np.concatenate(parts)
+            bound = np.append(0, np.cumsum([len(x) for x in parts]))
+        word = Numbering()
+        special, chunks = self.special, []
+        for c in names:
+            chunks.append([-1 - special[c]] if c in special else list(map(word.__getitem__, self.words_of(c))) if c else [])
+        ids, to = self.encode_words(list(word))
+        n = len(word)  # after the words come the special tokens, a list each
+        ids, to = np.append(ids, np.array(list(special.values()), ids.dtype)), np.append(to, to[-1] + 1 + np.arange(len(special)))
+        place = {-1 - i: n + k for k, i in enumerate(special.values())}
+        flat = np.array([place.get(w, w) for c in chunks for w in c], np.int64)
+        of_chunk = np.append(0, np.cumsum([len(c) for c in chunks])).astype(np.int64)
+        size = np.append(0, np.cumsum((to[1:] - to[:-1])[flat])) if len(flat) else np.zeros(1, np.int64)
+        coded_ids, _ = spread(ids, to, flat)  # the ids of each distinct chunk
+        ends = size[of_chunk]
+        for k in range(0, len(texts), step):  # what is spread out is bounded
+            part = bound[k : k + step + 1]
+            out, upto = spread(coded_ids, ends, at[part[0] : part[-1]])
+            yield out, upto[part - part[0]]
 
 
 @lru_cache(2)
@@ -157,6 +186,15 @@ def word_bpe(path: str) -> WordBpe:
     return WordBpe(path)
 
 
+@lru_cache(2)
+def token_names(path: str) -> pa.Array:
+    """The token of each id."""
+    with open(path, encoding="utf-8") as file:
+        spec = json.load(file)
+    tokens = {i: t for t, i in spec["model"]["vocab"].items()} | {t["id"]: t["content"] for t in spec["added_tokens"]}
+    return pa.array([tokens.get(i, "") for i in range(max(tokens) + 1)])
+
+
 def tokenizer_file() -> str:
     import public_tokenizers
 
@@ -173,12 +211,9 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
 
     def run(batches):
         model = word_bpe(path)
-        for rows in blocks(batches, BLOCK_CHARS, lambda r: len(r[1] or "") + 64):
-            coded = model.encode_texts([t for _, t in rows])
-            for k in range(0, len(rows), 1024):
-                part = coded[k : k + 1024]
-                bound = np.append(0, np.cumsum([len(x) // 4 for x in part])).astype(np.int32)
-                yield [[r[0] for r in rows[k : k + 1024]], pa.ListArray.from_arrays(pa.array(bound), pa.array(np.frombuffer(b"".join(part), "<i4")))]
+        for block in blocks(batches, BLOCK_BYTES):
+            for k, (ids, bound) in enumerate(model.encode_texts(block.column(1), 512)):
+                yield [block.column(0).slice(512 * k, 512), pa.ListArray.from_arrays(pa.array(bound, pa.int32()), pa.array(ids, pa.int32()))]
 
     return map_arrow(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, "doc_id long, ids array<int>")
 
@@ -188,9 +223,13 @@ def decode(coded: DataFrame, path: str | None = None) -> DataFrame:
     path = path or tokenizer_file()
 
     def run(batches):
-        tokens = word_bpe(path).tokens
-        for batch in batches:
-            yield [batch.column(0), batch.column(1), [" ".join(map(tokens.__getitem__, x.as_py() or [])) for x in batch.column(1)]]
+        names = token_names(path)
+        for whole in batches:
+            for k in range(0, whole.num_rows, 512):
+                ids = whole.column(1).slice(k, 512)
+                size = pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False)
+                lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(size)), pa.int32()), names.take(ids.flatten()))
+                yield [whole.column(0).slice(k, 512), ids, pc.binary_join(lists, " ")]
 
     return map_arrow(coded.select("doc_id", "ids"), run, "doc_id long, ids array<int>, decoded string")
 
