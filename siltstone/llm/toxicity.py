@@ -100,6 +100,8 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> tuple[n
         yield list(fit_rows((t.as_py(), y) for b in batches for y, t in zip(b.column(1).to_pylist(), b.column(2), strict=True)))
 
     got = map_arrow(sample, fit, "place int, weight double").toPandas()  # at most 2**BITS + 1 rows
+    if not len(got):  # no row, no task
+        return fit_rows(())
     got = got.sort_values("place")
     return got["place"].to_numpy(np.int64), got["weight"].to_numpy(np.float64)
 
