@@ -145,7 +145,7 @@ def url_section_share(spark, d):
 
 @query
 def website_urls(spark, d):
-    rows = _values(spark, "(1, ' https://WWW.Yoast.com/blog?x=1#y '), (2, 'ftp://a.com'), (3, 'http://user:pw@a.com/'), (4, 'http://localhost/'), (5, 'yoast.com'), (6, 'HTTPS://yoast.com.'), (7, 'http://a.com:80/x'), (8, 'https://b.org:8443')", "id, entered")
+    rows = _values(spark, "(1, ' https://WWW.Teashop.com/blog?x=1#y '), (2, 'ftp://a.com'), (3, 'http://user:pw@a.com/'), (4, 'http://localhost/'), (5, 'teashop.com'), (6, 'HTTPS://teashop.com.'), (7, 'http://a.com:80/x'), (8, 'https://b.org:8443')", "id, entered")
     return rows.select("id", urls.parse_website(F.col("entered")).alias("w")).select("id", "w.url", "w.origin", "w.site_key")
 
 

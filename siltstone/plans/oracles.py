@@ -143,7 +143,7 @@ ORACLES = {
     "slug_text": f"SELECT page_id, {_SLUG} AS slug FROM pages",
     "article_shaped": rf"WITH x AS (SELECT p_partkey, '/' || lower(substr(p_type, 1, 4)) || '/' || replace(lower(p_name), ' ', '-') AS path FROM part) SELECT p_partkey, path, len(regexp_extract_all(list_filter(string_split(path, '/'), lambda s: s <> '')[-1], '[-_]')) >= 2 AND len(list_filter(string_split(path, '/'), lambda s: s <> '')) BETWEEN 1 AND 4 AS shaped, list_has_any(string_split(path, '/'), {_list(ARCHIVE_SEGMENTS)}) AS archive FROM x",
     "url_section_share": f"WITH x AS (SELECT {_SITE} AS site, list_filter(string_split({_PATH}, '/'), lambda s: s <> '') AS s FROM pages), n AS (SELECT site, s[1] AS segment, count(*) AS n FROM x WHERE len(s) >= 2 GROUP BY ALL) SELECT site, segment, n, round(n / sum(n) OVER (PARTITION BY site), 9) AS share FROM n",
-    "website_urls": "SELECT * FROM (VALUES (1, 'https://www.yoast.com/blog', 'https://www.yoast.com', 'yoast.com'), (2, NULL, NULL, NULL), (3, NULL, NULL, NULL), (4, NULL, NULL, NULL), (5, NULL, NULL, NULL), (6, 'https://yoast.com./', 'https://yoast.com.', 'yoast.com'), (7, 'http://a.com/x', 'http://a.com', 'a.com'), (8, 'https://b.org:8443/', 'https://b.org:8443', 'b.org')) AS t(id, url, origin, site_key)",
+    "website_urls": "SELECT * FROM (VALUES (1, 'https://www.teashop.com/blog', 'https://www.teashop.com', 'teashop.com'), (2, NULL, NULL, NULL), (3, NULL, NULL, NULL), (4, NULL, NULL, NULL), (5, NULL, NULL, NULL), (6, 'https://teashop.com./', 'https://teashop.com.', 'teashop.com'), (7, 'http://a.com/x', 'http://a.com', 'a.com'), (8, 'https://b.org:8443/', 'https://b.org:8443', 'b.org')) AS t(id, url, origin, site_key)",
     "ip_public": f"SELECT o_orderkey, (n >> 24) || '.' || ((n >> 16) & 255) || '.' || ((n >> 8) & 255) || '.' || (n & 255) AS ip, NOT ({_BLOCKED}) AS public FROM (SELECT o_orderkey, CAST({_IP_N} AS BIGINT) AS n FROM orders)",
     "doc_phrases": f"SELECT doc_id, term, count(*) AS n FROM (SELECT doc_id, unnest({_phrases('text', True)}) AS term FROM documents) GROUP BY doc_id, term",
     "term_document_frequency": f"SELECT source, term, count(*) AS df FROM (SELECT doc_id, source, unnest(list_distinct({_phrases('text', False)})) AS term FROM documents) GROUP BY source, term",
