@@ -26,7 +26,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_substring_dedup": substring_dedup.ORACLE_SQL,
         "op2_chat_format": chat.ORACLE_SQL,
+        "op4_warc": warc.ORACLE_SQL,
         "op5_quality_rules": quality.ORACLE_SQL,
         "op6_top_k": knn.ORACLE_SQL,
     }

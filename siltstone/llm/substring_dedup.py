@@ -312,3 +312,14 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     out = map_arrow(both, run, "doc long, text string, lang string, source string, n_chars long, gone long")
     return out.select(F.when(F.col("doc") != NO_ID, F.col("doc")).alias("doc_id"), "text", "lang", "source", F.when(F.col("gone") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")).alias("n_chars")).select(*DOCUMENT_COLUMNS)
+
+
+ORACLE_SQL = rf"""
+WITH w AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+starts AS (SELECT doc_id, ws, unnest(range(1, len(ws) - {WINDOW - 2})) AS p FROM w WHERE len(ws) >= {WINDOW}),
+late AS (SELECT doc_id, p FROM (SELECT doc_id, p, row_number() OVER (PARTITION BY array_to_string(ws[p:p + {WINDOW - 1}], ' ') ORDER BY doc_id, p) AS k FROM starts) WHERE k > 1),
+words AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS i FROM w),
+marked AS (SELECT d.doc_id, i, word, bool_or(l.p IS NOT NULL) OVER (PARTITION BY d.doc_id ORDER BY i ROWS BETWEEN {WINDOW - 1} PRECEDING AND CURRENT ROW) AS gone FROM words d LEFT JOIN late l ON l.doc_id = d.doc_id AND l.p = d.i),
+kept AS (SELECT doc_id, count(*) FILTER (WHERE gone) AS n_removed, coalesce(string_agg(word, ' ' ORDER BY i) FILTER (WHERE NOT gone), '') AS kept FROM marked GROUP BY doc_id)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN kept USING (doc_id)
+"""

@@ -160,3 +160,12 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = f"{shared_dir(spark).rstrip('/')}/warc-{uuid.uuid4().hex}"
     write_warc(table(spark, sf_dir, "pages"), at)
     return read_warc(spark, at).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+_BITS = "array_to_string(list_transform(string_split(sha1(html), ''), lambda c: ['0000', '0001', '0010', '0011', '0100', '0101', '0110', '0111', '1000', '1001', '1010', '1011', '1100', '1101', '1110', '1111'][instr('0123456789abcdef', c)]), '')"
+_FIVE = " + ".join(f"CAST(substr(bits, 5 * i + {k + 1}, 1) AS BIGINT) * {16 >> k}" for k in range(5))
+ORACLE_SQL = f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+d AS (SELECT page_id, html, {_BITS} AS bits, max(page_id) OVER (PARTITION BY html) AS keeper FROM p)
+SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes, array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + {_FIVE}, 1)), '') AS payload_digest, CASE WHEN page_id = keeper THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> keeper THEN keeper END AS refers_to FROM d
+"""
