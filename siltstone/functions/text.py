@@ -111,9 +111,15 @@ def fnv1a(c: Column) -> Column:
     return F.aggregate(codes, F.lit(0x811C9DC5).cast("long"), lambda h, u: times32(h.bitwiseXOR(u), F.lit(0x01000193).cast("long")))
 
 
+def let(value: Column, use) -> Column:
+    """use(value) with value computed once: expressions within higher-order functions share nothing of their own."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def draw(seed: Column, k: Column) -> Column:
     """The k-th number (from 1) in [0, 1) of the additive 32-bit generator with this seed: its state is seed + k * step."""
     state = (seed + times32(k.cast("long"), F.lit(0x6D2B79F5).cast("long"))).bitwiseAND(_MASK)
-    t = times32(state.bitwiseXOR(F.shiftright(state, 15)), state.bitwiseOR(1))
-    mixed = (t + times32(t.bitwiseXOR(F.shiftright(t, 7)), t.bitwiseOR(61))).bitwiseAND(_MASK).bitwiseXOR(t)
-    return mixed.bitwiseXOR(F.shiftright(mixed, 14)) / F.lit(4294967296.0)
+    first = lambda s: let(times32(s.bitwiseXOR(F.shiftright(s, 15)), s.bitwiseOR(1)), second)
+    second = lambda t: let((t + times32(t.bitwiseXOR(F.shiftright(t, 7)), t.bitwiseOR(61))).bitwiseAND(_MASK).bitwiseXOR(t), third)
+    third = lambda u: u.bitwiseXOR(F.shiftright(u, 14)) / F.lit(4294967296.0)
+    return let(state, first)

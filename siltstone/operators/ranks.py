@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from siltstone.functions.constants import CAPTURE_TIME, NOT_RANKING, UPDATE_DAY
 from siltstone.functions.dates import checked_range, local_day, local_start
-from siltstone.functions.text import draw, fnv1a
+from siltstone.functions.text import draw, fnv1a, let
 
 
 def latest_positions(pairs: DataFrame, snapshots: DataFrame, zone: str, key: list[str]) -> DataFrame:
@@ -93,10 +93,9 @@ def generate_series(pairs: DataFrame, seed_key: Column, rank_order: Column, days
 
     def step(a: Column, d: Column) -> Column:
         moved = a["p"] + (F.lit(0.15) * (base - a["p"]) + (d["walk"] - 1.5) * 2)
-        moved = F.when(d["update"] == 1, moved + F.col("_direction") * (F.lit(5) + d["jump"] * 10)).otherwise(moved)
-        held = F.least(F.lit(100.0), F.greatest(F.lit(1.0), moved))
-        point = F.struct(d["date"].alias("snapshot_date"), F.when(d["shown"] >= NOT_RANKING, F.floor(held + 0.5).cast("int")).alias("position"))
-        return F.struct(held.alias("p"), F.array_append(a["out"], point).alias("out"))
+        moved = moved + F.when(d["update"] == 1, F.col("_direction") * (F.lit(5) + d["jump"] * 10)).otherwise(0.0)
+        point = lambda held: F.struct(d["date"].alias("snapshot_date"), F.when(d["shown"] >= NOT_RANKING, F.floor(held + 0.5).cast("int")).alias("position"))
+        return let(F.least(F.lit(100.0), F.greatest(F.lit(1.0), moved)), lambda held: F.struct(held.alias("p"), F.array_append(a["out"], point(held)).alias("out")))
 
     rows = rows.withColumn("_direction", direction).withColumn("_draws", F.transform("_days", drawn))
     points = F.aggregate("_draws", F.struct(begin.alias("p"), none.alias("out")), step, lambda a: a["out"])

@@ -194,3 +194,45 @@ ORACLES = {
     "robots_allowed": f"SELECT allowed, 2.0::DOUBLE AS crawl_delay, count(*) AS urls FROM (SELECT NOT starts_with(path, '/en/') OR starts_with(path, '/en/6') AS allowed FROM (SELECT {_PATH} AS path FROM pages)) GROUP BY allowed",
     "redirect_targets": "SELECT 'https://a.example/' || o_orderkey AS url, 'https://a.example/' || CASE WHEN o_orderkey % 5 = 0 THEN 'n/' ELSE '' END || o_orderkey AS final_url, CAST(CASE WHEN o_orderkey % 5 = 0 THEN 1 ELSE 0 END AS BIGINT) AS hops, CAST(NULL AS VARCHAR) AS error FROM orders WHERE o_orderkey % 2 = 1",
 }
+
+
+def _fnv(x: str) -> str:
+    """FNV-1a of a text, step by step."""
+    return f"list_reduce(list_transform(string_split({x}, ''), lambda c: CAST(unicode(c) AS BIGINT)), lambda h, c: (xor(h, c) * 16777619) % 4294967296, CAST(2166136261 AS BIGINT))"
+
+
+def _draws(source: str, columns: str) -> str:
+    """Common tables d0 to d2 that end in the numbers r of source(columns, seed, k)."""
+    step = lambda a, b: f"CAST((CAST({a} AS HUGEINT) * CAST({b} AS HUGEINT)) % 4294967296 AS BIGINT)"
+    return f"""{source}0 AS (SELECT {columns}, k, (seed + k * 1831565813) % 4294967296 AS st FROM {source}),
+{source}1 AS (SELECT {columns}, k, {step("xor(st, st >> 15)", "(st | 1)")} AS t FROM {source}0),
+{source}2 AS (SELECT {columns}, k, xor((t + {step("xor(t, t >> 7)", "(t | 61)")}) % 4294967296, t) AS u FROM {source}1),
+{source}3 AS (SELECT {columns}, k, xor(u, u >> 14) / 4294967296.0::DOUBLE AS r FROM {source}2)"""
+
+
+def _generated(pairs: str, keys: str, first: str, n_days: int) -> str:
+    """pos(keys, day, position) from pairs(keys, seed, rank_order): the walk day by day."""
+    return f"""{pairs},
+cal AS (SELECT CAST(i AS BIGINT) AS i, DATE '{first}' + CAST(i AS INTEGER) AS day FROM range({n_days}) AS x(i)),
+u AS (SELECT i, day, {_fnv("'update:' || CAST(day AS VARCHAR)")} AS seed, CAST(1 AS BIGINT) AS k FROM cal), {_draws("u", "i, day")},
+days AS (SELECT i, day, CAST(r < 0.02 AS BIGINT) AS up, coalesce(sum(CAST(r < 0.02 AS BIGINT)) OVER (ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM u3),
+need AS (SELECT {keys}, seed, CAST(k AS BIGINT) AS k FROM pairs, range(1, {5 * n_days + 8}) AS x(k)), {_draws("need", keys)},
+d AS (SELECT {keys}, list(r ORDER BY k) AS r FROM need3 GROUP BY {keys}),
+base AS (SELECT pairs.*, d.r, least(90.0::DOUBLE, 2 + rank_order * 6 + d.r[1] * 15) AS base, CASE WHEN d.r[2] < 0.5 THEN -1.0::DOUBLE ELSE 1.0::DOUBLE END AS way FROM pairs JOIN d USING ({keys})),
+steps AS (SELECT {keys}, base, way, r[3] AS begin, i, day, up, r[k0 + 1] + r[k0 + 2] + r[k0 + 3] AS walk, r[k0 + 4] AS jump, r[k0 + 4 + up] AS shown FROM (SELECT *, CAST(3 + 4 * i + before AS BIGINT) AS k0 FROM base, days)),
+walked AS (SELECT {keys}, i, day, up, walk, jump, shown, base, way, base + (begin - 0.5::DOUBLE) * 10 AS p0 FROM steps),
+pos({keys}, i, day, p, shown) AS (
+SELECT {keys}, CAST(-1 AS BIGINT), CAST(NULL AS DATE), p0, 0.0::DOUBLE FROM walked WHERE i = 0
+UNION ALL SELECT {", ".join(f"w.{k.strip()}" for k in keys.split(","))}, w.i, w.day, least(100.0::DOUBLE, greatest(1.0::DOUBLE, (pos.p + (0.15::DOUBLE * (w.base - pos.p) + (w.walk - 1.5::DOUBLE) * 2)) + CASE WHEN w.up = 1 THEN w.way * (5 + w.jump * 10) ELSE 0 END)), w.shown FROM pos JOIN walked w ON w.i = pos.i + 1 AND {" AND ".join(f"w.{k.strip()} = pos.{k.strip()}" for k in keys.split(","))})"""
+
+
+_POSITION = "CASE WHEN shown >= 0.05 THEN CAST(floor(p + 0.5) AS INTEGER) END AS position"
+ORACLES["rank_generator"] = f"WITH RECURSIVE {_generated(f'pairs AS (SELECT p_partkey AS pair_id, p_size % 8 + 1 AS rank_order, {_fnv(chr(39) + 'https://a.example/|' + chr(39) + ' || p_name')} AS seed FROM part)', 'pair_id', '2026-08-09', 60)} SELECT pair_id, day AS snapshot_date, {_POSITION} FROM pos WHERE i >= 0"
+ORACLES["rank_generated_gaps"] = f"WITH RECURSIVE {_generated(f'pairs AS (SELECT user_id, event_type, 1 AS rank_order, {_fnv("user_id || '|' || event_type")} AS seed FROM (SELECT DISTINCT user_id, event_type FROM events))', 'user_id, event_type', '2024-01-01', 30)} SELECT user_id, event_type, day AS snapshot_date, {_POSITION} FROM pos WHERE i >= 0 AND NOT EXISTS (SELECT 1 FROM events e WHERE e.user_id = pos.user_id AND e.event_type = pos.event_type AND CAST(e.ts AS DATE) = day)"
+
+_MAPS = f"""listed AS (SELECT {_SITE} AS site, page_id, url, CASE page_id % 3 WHEN 0 THEN '2' WHEN 1 THEN '' ELSE 'p' END AS map, {_PATH} AS path FROM pages),
+sized AS (SELECT site, map, count(*) AS n, count(*) FILTER (WHERE len(list_filter(string_split(path, '/'), lambda s: s <> '')) BETWEEN 1 AND 4 AND (len(regexp_extract_all(list_filter(string_split(path, '/'), lambda s: s <> '')[-1], '[-_]')) >= 2 OR regexp_matches(path, '/[0-9]{{4}}/[0-9]{{2}}/'))) AS shaped FROM listed GROUP BY site, map)"""
+ORACLES["sitemap_family_score"] = f"""WITH {_MAPS}, fam AS (SELECT site, map = 'p' AS product, count(*) AS members, min_by(n, map) AS n, min_by(shaped, map) AS shaped FROM sized GROUP BY ALL)
+SELECT site, 'https://' || site || CASE WHEN product THEN '/product-sitemap.xml' ELSE '/post-sitemap.xml' END AS family, members, CAST(CASE WHEN product THEN -30 ELSE 15 END AS BIGINT) AS prior, n, CASE WHEN NOT product OR shaped / n >= 0.6 THEN round(CASE WHEN product THEN -30 ELSE 15 END + CASE WHEN shaped / n >= 0.6 THEN 10 ELSE 0 END + least(10.0::DOUBLE, log2(n + 1)), 9) END AS score FROM fam"""
+ORACLES["discover_blog"] = f"""WITH {_MAPS}, {_POSTS.replace("FROM pages)", "FROM (SELECT l.url, CASE WHEN l.map = '' THEN 0 ELSE 100000000 END + l.page_id AS page_id FROM listed l LEFT JOIN sized z ON z.site = l.site AND z.map = '' WHERE l.map = '' OR l.map = '2' AND coalesce(z.n, 0) < 45))", 1)}
+SELECT site, 1 AS round, row_number() OVER (PARTITION BY site ORDER BY ord) AS post, nurl AS url FROM g QUALIFY post <= 15"""
