@@ -21,6 +21,8 @@ from siltstone.llm.common import DOCUMENT_COLUMNS, cut, map_arrow, pair_hash, ta
 #: Measures (share of what, in thousandths) with the least slack above the upper quartile.
 MEASURES = {"symbols": 50, "dup_lines": 250, "repeats": 150, "upper": 200, "stutter": 150}
 SPREAD, FEW = 3, 50
+#: Groups whose thresholds are broadcast, at most: some 100 bytes each.
+FEW_GROUPS = 50_000
 MIN_WORDS, MAX_REPEATS = 10, 20
 
 _SPACES, _SYMBOLS = " \t\n\r\x0b\x0c", "#*$%&|<>"
@@ -109,6 +111,13 @@ def thresholds(found: DataFrame) -> DataFrame:
     return joined.select("g.lang", "g.source", chosen.alias("limits")).select("lang", "source", *[F.element_at("limits", k).alias(f"max_{k}") for k in MEASURES])
 
 
+def beside(docs: DataFrame, limits: DataFrame) -> DataFrame:
+    """docs with their group's thresholds: sent to every task if the groups are few, joined by shuffle if not."""
+    limits = cut(limits).withColumnsRenamed({"lang": "t_lang", "source": "t_source"})
+    few = limits.count() <= FEW_GROUPS
+    return docs.join(F.broadcast(limits) if few else limits, F.expr("lang <=> t_lang and source <=> t_source"), "left").drop("t_lang", "t_source")
+
+
 def quality_verdicts(docs: DataFrame) -> DataFrame:
     """(doc_id, lang, source, counts, base_failed, kept) for every row of docs(doc_id, text, lang, source).
 
@@ -117,12 +126,11 @@ def quality_verdicts(docs: DataFrame) -> DataFrame:
     table gives no rows. Other columns are not read.
     """
     found = cut(counts(docs))
-    limits = thresholds(found).alias("t")
-    both = found.alias("d").join(limits, F.expr("d.lang <=> t.lang and d.source <=> t.source"), "left")
+    both = beside(found, thresholds(found))
     above = [v > F.col(f"max_{k}") for k, v in shares().items()]
     bad = F.coalesce(F.array_max(F.array(*above)), F.lit(False))
     failed = base_fails(F.col("n_words"), F.col("n_repeat_words"))
-    return both.select("doc_id", "d.lang", "d.source", *_COUNTS, failed.alias("base_failed"), (~failed & ~bad).alias("kept"))
+    return both.select("doc_id", "lang", "source", *_COUNTS, failed.alias("base_failed"), (~failed & ~bad).alias("kept"))
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -132,8 +140,7 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents that the rules reject go. Texts are measured again where they are, not shuffled."""
-    limits = thresholds(counts(docs)).withColumnsRenamed({"lang": "t_lang", "source": "t_source"})
-    both = docs.select(*DOCUMENT_COLUMNS).join(limits, F.expr("lang <=> t_lang and source <=> t_source"), "left").drop("t_lang", "t_source")
+    both = beside(docs.select(*DOCUMENT_COLUMNS), thresholds(counts(docs)))
 
     def run(batches):
         for batch in batches:
