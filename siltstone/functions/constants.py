@@ -66,5 +66,8 @@ CRAWL_ERRORS = {
     "internal_error": "Something went wrong on our side while crawling.",
 }
 
+SOURCE_LABELS = {"title": "title", "h1": "H1", "slug": "URL", "schema": "structured data", "heading": "headings", "meta": "meta description", "intro": "intro", "body": "body text"}
+
 # Reads.
 PAGE_SIZE, MAX_PAGE_SIZE, MAX_QUERY, DEFAULT_RANGE_DAYS, MAX_RANGE_DAYS = 20, 100, 200, 90, 730
+PRESET_RANGE_DAYS, DEFAULT_SERIES = [7, 30, 90, 365], 3

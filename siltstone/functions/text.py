@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siltstone.functions.constants import MAX_PHRASE_WORDS, STOPWORDS
+from siltstone.functions.constants import CRAWL_ERRORS, MAX_PHRASE_WORDS, SOURCE_LABELS, STOPWORDS
 
 WORD = r"[\p{L}\p{N}]+(?:['’-][\p{L}\p{N}]+)*"
 TOKEN = r"[\p{L}\p{N}]+(?:'[\p{L}]+)?"
@@ -123,3 +123,17 @@ def draw(seed: Column, k: Column) -> Column:
     second = lambda t: let((t + times32(t.bitwiseXOR(F.shiftright(t, 7)), t.bitwiseOR(61))).bitwiseAND(_MASK).bitwiseXOR(t), third)
     third = lambda u: u.bitwiseXOR(F.shiftright(u, 14)) / F.lit(4294967296.0)
     return let(state, first)
+
+
+def _lookup(table: dict[str, str], c: Column) -> Column:
+    return F.try_element_at(F.create_map(*[F.lit(x) for pair in table.items() for x in pair]), c)
+
+
+def crawl_error_text(code: Column) -> Column:
+    """The plain reason of a failure code; null for codes that are none."""
+    return _lookup(CRAWL_ERRORS, code)
+
+
+def source_labels(sources: Column) -> Column:
+    """The names under which a pick's sources are shown."""
+    return F.transform(sources, lambda s: F.coalesce(_lookup(SOURCE_LABELS, s), s))

@@ -121,3 +121,8 @@ def axis(history: DataFrame) -> DataFrame:
     one = one.withColumn("bottom", F.least(F.lit(100), (F.ceil((F.col("worst") + 1) / F.col("step")) * F.col("step")).cast("int")))
     ticks = F.array_union(F.array(F.lit(1)), F.sequence(F.col("step"), F.col("bottom"), F.col("step")))
     return one.withColumn("ticks", ticks)
+
+
+def refresh_statistics(spark, table: str) -> None:
+    """Column statistics of a stored table after a load, for the optimizer."""
+    spark.sql(f"ANALYZE TABLE {table} COMPUTE STATISTICS FOR ALL COLUMNS")

@@ -459,6 +459,19 @@ def replace_issues(spark, d):
     return state.replace_issues(old, new, done)
 
 
+@query
+def crawl_error_texts(spark, d):
+    codes = F.element_at(F.array(*map(F.lit, ["timeout", "no_sitemap", "invalid_url", "unheard_of"])), (F.col("c_custkey") % 4 + 1).cast("int"))
+    return A.table(spark, d, "customer").select("c_custkey", text.crawl_error_text(codes).alias("reason"))
+
+
+@query
+def pick_source_labels(spark, d):
+    """How many picks each place supports, by the name it is shown under."""
+    p = keywords.keyword_picks(A.site_facts(spark, d), compose=False)
+    return p.select(F.explode(text.source_labels(F.col("sources"))).alias("label")).groupBy("label").agg(F.count(F.lit(1)).alias("picks"))
+
+
 # --- discovery
 
 

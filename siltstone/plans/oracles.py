@@ -236,3 +236,6 @@ ORACLES["sitemap_family_score"] = f"""WITH {_MAPS}, fam AS (SELECT site, map = '
 SELECT site, 'https://' || site || CASE WHEN product THEN '/product-sitemap.xml' ELSE '/post-sitemap.xml' END AS family, members, CAST(CASE WHEN product THEN -30 ELSE 15 END AS BIGINT) AS prior, n, CASE WHEN NOT product OR shaped / n >= 0.6 THEN round(CASE WHEN product THEN -30 ELSE 15 END + CASE WHEN shaped / n >= 0.6 THEN 10 ELSE 0 END + least(10.0::DOUBLE, log2(n + 1)), 9) END AS score FROM fam"""
 ORACLES["discover_blog"] = f"""WITH {_MAPS}, {_POSTS.replace("FROM pages)", "FROM (SELECT l.url, CASE WHEN l.map = '' THEN 0 ELSE 100000000 END + l.page_id AS page_id FROM listed l LEFT JOIN sized z ON z.site = l.site AND z.map = '' WHERE l.map = '' OR l.map = '2' AND coalesce(z.n, 0) < 45))", 1)}
 SELECT site, 1 AS round, row_number() OVER (PARTITION BY site ORDER BY ord) AS post, nurl AS url FROM g QUALIFY post <= 15"""
+
+ORACLES["crawl_error_texts"] = "SELECT c_custkey, ['The website took too long to respond.', 'No sitemap was found: none listed in robots.txt works and the usual locations are missing.', 'The website address is not valid.', NULL][c_custkey % 4 + 1] AS reason FROM customer"
+ORACLES["pick_source_labels"] = f"SELECT CASE s WHEN 'h1' THEN 'H1' WHEN 'slug' THEN 'URL' WHEN 'body' THEN 'body text' ELSE s END AS label, count(*) AS picks FROM (SELECT unnest(string_split(sources, ',')) AS s FROM ({ORACLES['keyword_picks']})) GROUP BY 1"
