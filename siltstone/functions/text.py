@@ -52,18 +52,21 @@ def phrase_array(c: Column, inner_stopwords: bool = True, compose: bool = True)
     The first and last word are no stopword and no number, the last is no possessive, a single word has 3 letters or more.
     Without inner_stopwords no word is a stopword.
     """
-    stop = lambda w: w.isin(STOPWORDS)
-    number = lambda w: w.rlike(r"^[0-9]+$")
     words = F.transform(F.split(normalized(c, compose), BORDER), lambda s: F.regexp_extract_all(s, F.lit(TOKEN), F.lit(0)))
-    # each word once as (word, is a stopword, may begin, may end)
-    rated = F.transform(F.filter(words, lambda w: F.size(w) > 0), lambda ws: F.transform(ws, lambda w: F.struct(w.alias("w"), stop(w).alias("s"), (~stop(w) & ~number(w)).alias("b"), (~stop(w) & ~number(w) & ~w.endswith("'s")).alias("e"))))
+    # each word once as (word, is a stopword, is a number)
+    rated = F.transform(words, lambda ws: F.transform(ws, lambda w: F.struct(w.alias("w"), w.isin(STOPWORDS).alias("s"), w.rlike(r"^[0-9]+$").alias("d"))))
 
     def of_segment(ws: Column) -> Column:
         def starting(w: Column, i: Column) -> Column:
-            runs = F.transform(F.sequence(F.lit(1), F.least(F.lit(MAX_PHRASE_WORDS), F.size(ws) - i)), lambda n: F.slice(ws, i + 1, n))
-            good = lambda r: F.element_at(r, -1)["e"] & ((F.size(r) > 1) | (F.length(w["w"]) >= 3))
-            kept = F.filter(runs, good if inner_stopwords else lambda r: good(r) & ~F.exists(r, lambda x: x["s"]))
-            return F.when(w["b"], F.transform(kept, lambda r: F.array_join(F.transform(r, lambda x: x["w"]), " "))).otherwise(F.array().cast("array<string>"))
+            found = [F.when(~F.endswith(w["w"], F.lit("'s")) & (F.length(w["w"]) >= 3), w["w"])]
+            for n in range(1, MAX_PHRASE_WORDS):
+                run = [w, *[F.get(ws, i + k) for k in range(1, n + 1)]]
+                good = ~run[-1]["s"] & ~run[-1]["d"] & ~F.endswith(run[-1]["w"], F.lit("'s"))  # null beyond the end
+                if not inner_stopwords:
+                    for x in run[1:-1]:
+                        good = good & ~x["s"]
+                found.append(F.when(good, F.concat_ws(" ", *[x["w"] for x in run])))
+            return F.when(~w["s"] & ~w["d"], F.array_compact(F.array(*found))).otherwise(F.array().cast("array<string>"))
 
         return F.flatten(F.transform(ws, starting))
 

@@ -14,8 +14,14 @@ from siltstone.operators.reads import Tables
 from siltstone.sources.html import flat_page_facts
 
 
+#: Tables whose rows are texts: heavy work a row.
+TEXTS = ("documents", "pages")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """One input table. Texts in fewer partitions than there are cores, as one small file gives, are dealt over the cores."""
+    found, cores = spark.read.parquet(f"{sf_dir}/{name}.parquet"), spark.sparkContext.defaultParallelism
+    return found.repartition(cores) if name in TEXTS and found.rdd.getNumPartitions() < cores else found
 
 
 def snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
