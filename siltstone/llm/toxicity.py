@@ -65,11 +65,25 @@ class Ftrl:
 
 
 def fit_rows(rows) -> tuple[np.ndarray, np.ndarray]:
-    """(places, weights) learned from an iterable of (text, label)."""
-    model, held = Ftrl(), [(np.unique(features(t)).astype(np.uint32), y) for t, y in rows]
+    """(places, weights) learned from an iterable of (text, label). Features are held in a few large arrays."""
+    model, parts, held, labels = Ftrl(), [], [], []
+
+    def pack():
+        parts.append((np.concatenate(held), np.cumsum([0, *map(len, held)]), list(labels)))
+        held.clear()
+        labels.clear()
+
+    for text, label in rows:
+        held.append(np.unique(features(text)))
+        labels.append(label)
+        if len(held) == 256:
+            pack()
+    if held:
+        pack()
     for _ in range(EPOCHS):
-        for at, y in held:
-            model.learn(at.astype(np.int64), y)
+        for places, bound, known in parts:
+            for i, label in enumerate(known):
+                model.learn(places[bound[i] : bound[i + 1]].astype(np.int64), label)
     places = np.arange(1 + (1 << BITS))
     w = model.weights(places)
     if not model.rows:
