@@ -140,7 +140,7 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents that the rules reject go. Texts are measured again where they are, not shuffled."""
-    both = beside(docs.select(*DOCUMENT_COLUMNS), thresholds(counts(docs)))
+    both = beside(docs.select(*DOCUMENT_COLUMNS), thresholds(cut(counts(docs))))
 
     def run(batches):
         for batch in batches:
