@@ -17,8 +17,13 @@ DOCUMENT_COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One input table, read by Spark alone (the path may be in any store)."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """One input table, read by Spark alone (the path may be in any store).
+
+    A table in fewer partitions than there are cores, as one small file gives, is dealt over the cores; larger ones stay
+    as they are read.
+    """
+    found, cores = spark.read.parquet(f"{sf_dir}/{name}.parquet"), spark.sparkContext.defaultParallelism
+    return found if found.rdd.getNumPartitions() >= cores else found.repartition(cores)
 
 
 def shared_dir(spark: SparkSession) -> str:
