@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from siltstone.llm import packing, quality, simhash, substring_dedup, toxicity
-from siltstone.llm.common import shared_dir
+from siltstone.llm.common import shared_dir, table
 
 #: (name, function) in order; each function takes (spark, docs, sf_dir).
 STAGES = [
@@ -25,7 +25,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     import uuid
 
     at = f"{shared_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{at}/{name}")
         docs = spark.read.parquet(f"{at}/{name}")
