@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 from siltstone.llm.common import arrow_schema, map_arrow, shared_dir, table
 
 MAGIC = b"WARC/1.0\r\n"
-#: Records of an archive, at most; bytes of a header, at most.
-ROLL, HEADER = 2000, 65_536
+#: Records of an archive, at most.
+ROLL = 2000
 #: Payloads of fewer bytes are never revisits.
 LEAST_BYTES = 0
 
@@ -72,16 +72,23 @@ def write_warc(pages: DataFrame, path: str) -> None:
 
 
 def candidates(data: bytes):
-    """(offset, successor, header, block bounds) of everything in an archive that looks like a record."""
-    at = data.find(MAGIC)
+    """(offset, successor, header, block bounds) of everything in an archive that looks like a record.
+
+    A header may have any length. Magics before the same header end share its fields, which are parsed once.
+    """
+    at, end, lines, size = data.find(MAGIC), -1, [], (-1, b"")
     while at >= 0:
-        end = data.find(b"\r\n\r\n", at, at + HEADER)
-        if end >= 0:
-            fields = {k.lower(): v for k, v in _FIELD.findall(data[at + len(MAGIC) - 2 : end])}
-            if (n := fields.get(b"content-length", b"")).isdigit():
-                begin, stop = end + 4, end + 4 + int(n)
-                if data[stop : stop + 4] == b"\r\n\r\n":
-                    yield at, stop + 4, fields, (begin, stop)
+        top = at + len(MAGIC) - 2
+        if end < at:
+            end = data.find(b"\r\n\r\n", at)
+            if end < 0:
+                return
+            lines = [(m.start(), m[1].lower(), m[2]) for m in _FIELD.finditer(data, top, end)]
+            size = next(((place, value) for place, name, value in reversed(lines) if name == b"content-length"), (-1, b""))
+        if size[0] >= top and size[1].isdigit():
+            begin, stop = end + 4, end + 4 + int(size[1])
+            if data[stop : stop + 4] == b"\r\n\r\n":
+                yield at, stop + 4, {name: value for place, name, value in lines if place >= top}, (begin, stop)
         at = data.find(MAGIC, at + 1)
 
 
@@ -112,7 +119,7 @@ def inflate(data: bytes) -> bytes:
     return b"".join(parts)
 
 
-def _scan(with_payload: bool):
+def _scan(with_payload: bool, whole: bool):
     def number(name: bytes | None):
         found = (name or b"").rpartition(b":")[2].rstrip(b">")
         return int(found) if re.fullmatch(rb"-?\d+", found) else None
@@ -130,20 +137,26 @@ def _scan(with_payload: bool):
                     size = int(inner[1]) if kind == "revisit" and inner else len(payload)
                     own = digest if kind == "revisit" else base64.b32encode(hashlib.sha1(payload).digest()).decode()
                     rows.append((path, at, successor, number(fields.get(b"warc-record-id")), fields.get(b"warc-target-uri", b"").decode("utf-8", "replace"), kind, size, own, number(fields.get(b"warc-refers-to")), *([payload] * with_payload)))
+                if whole:
+                    offset, successor = (np.array([r[k] for r in rows], np.int64) for k in (1, 2))
+                    end = int(successor[reachable(offset, successor)].max(initial=0))
+                    if end != len(data):
+                        raise ValueError(f"{path}: the chain of records stops at {end} of {len(data)} bytes")
                 if rows:
                     yield [list(c) for c in zip(*rows, strict=True)]
 
     return run
 
 
-def read_warc(spark: SparkSession, path: str, with_payload: bool = False) -> DataFrame:
+def read_warc(spark: SparkSession, path: str, with_payload: bool = False, whole: bool = False) -> DataFrame:
     """The records of the archives under path: _READ columns, with payload (binary) if asked for.
 
     payload_bytes and payload_digest are of what was read; for revisits as their headers say. A file whose chain breaks
     gives the records before the break; a file that doesn't start with a record gives none; no files give no rows.
+    With whole, a file whose chain stops before its end is an error.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{gz,warc,txt}").load(path).select("path", "content")
-    found = map_arrow(files, _scan(with_payload), _READ + (", payload binary" if with_payload else ""))
+    found = map_arrow(files, _scan(with_payload, whole), _READ + (", payload binary" if with_payload else ""))
     kind = arrow_schema("path string, offset long")
 
     def chain(rows: pa.Table) -> pa.Table:
@@ -159,7 +172,7 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contract query 4: writes the whole pages table to archives in the shared folder and reads them back."""
     at = f"{shared_dir(spark).rstrip('/')}/warc-{uuid.uuid4().hex}"
     write_warc(table(spark, sf_dir, "pages"), at)
-    return read_warc(spark, at).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return read_warc(spark, at, whole=True).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 _BITS = "array_to_string(list_transform(string_split(sha1(html), ''), lambda c: ['0000', '0001', '0010', '0011', '0100', '0101', '0110', '0111', '1000', '1001', '1010', '1011', '1100', '1101', '1110', '1111'][instr('0123456789abcdef', c)]), '')"

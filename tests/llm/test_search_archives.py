@@ -93,6 +93,18 @@ def test_chains(spark, tmp_path):
     assert sorted((r.page_id, bytes(r.payload)[:1]) for r in got) == [(1, b"a"), (2, b"b"), (3, b"c")]
 
 
+def test_long_headers(spark, tmp_path):
+    """A header of any length; a chain that stops early is an error where the whole file is asked for."""
+    rows = [(1, "data:" + "a" * 200_000, "x"), (2, "data:" + "WARC/1.0 " * 20_000 + "WARC/1.0", "y"), (3, "q", "z" + FAKE), (4, "r", "WARC/1.0\r\n" * 20_000)]
+    warc.write_warc(page_rows(spark, rows).coalesce(1), str(tmp_path / "w"))
+    got = warc.read_warc(spark, str(tmp_path / "w"), whole=True).collect()
+    assert sorted((r.page_id, r.url) for r in got) == [(i, u) for i, u, _ in rows]
+    (tmp_path / "b").mkdir()
+    (tmp_path / "b/b.warc").write_bytes(record(b"\r\n\r\nc", 3) + b"junk")
+    with pytest.raises(Exception, match="chain of records stops"):
+        warc.read_warc(spark, str(tmp_path / "b"), whole=True).collect()
+
+
 def test_reachable():
     offset = np.array([0, 5, 10, 12, 20])
     assert warc.reachable(offset, np.array([10, 12, 20, 20, 99])).tolist() == [True, False, True, False, True]
