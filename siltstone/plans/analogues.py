@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from siltstone.functions.urls import host, site_key
 from siltstone.operators.reads import Tables
-from siltstone.sources.html import flat_page_facts
+from siltstone.sources.html import page_facts
 
 
 #: Tables whose rows are texts: heavy work a row.
@@ -41,8 +41,8 @@ def site_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def site_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Facts of the flat web pages, with their site."""
-    return flat_page_facts(table(spark, sf_dir, "pages")).withColumn("site", site_key(host(F.col("url"))))
+    """Facts of the web pages by the complete parser, with their site."""
+    return page_facts(table(spark, sf_dir, "pages")).withColumn("site", site_key(host(F.col("url"))))
 
 
 def read_tables(spark: SparkSession, sf_dir: str) -> Tables:

@@ -97,3 +97,21 @@ def test_picks(spark):
 def test_anchors(spark):
     rows = html.anchors(pages(spark, (1, "https://a.com/", "<header><nav><a href='/blog'> The\n Blog </a></nav></header><a href=x>y</a><a>none</a>"))).orderBy("ord").collect()
     assert [(r.href, r.text, r.in_nav) for r in rows] == [("/blog", "the blog", True), ("x", "y", False)]
+
+
+def test_site_queries_read_whole_pages(spark, tmp_path):
+    """Metadata, media and main text outside an article reach the registered queries."""
+    from siltstone.plans import analogues, catalog
+
+    full = '''<html lang="en"><head><title>Full page</title><meta name="description" content="copper kettle stand"><meta name="robots" content="NOINDEX">
+<link rel="canonical" href="https://other.example/x"><script type="application/ld+json">{"@type": "Product", "keywords": "walnut tray"}</script></head>
+<body><h1>One</h1><h2>Enamel bread bin</h2><main>five words are in here<img src="http://a.example/i.png"></main></body></html>'''
+    rows = [(1, "https://shop.example/x", full), (2, "https://shop.example/y", None)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    found = {r.page_id: r.asDict() for r in analogues.site_facts(spark, str(tmp_path)).drop("site", "word_count").collect()}
+    assert found == {i: {"page_id": i, "url": u} | html.facts_of(h, u) for i, u, h in rows}
+    codes = {r.code for r in catalog.queries()["page_issues"](spark, str(tmp_path)).where("page_id = 1").collect()}
+    assert {"noindex", "canonical_mismatch", "images_missing_alt", "mixed_content"} <= codes
+    assert not codes & {"meta_description_missing", "canonical_missing"}
+    terms = {(r.term, r.sources) for r in catalog.queries()["keyword_candidates"](spark, str(tmp_path)).where("page_id = 1").collect()}
+    assert {("walnut tray", "schema"), ("enamel bread bin", "heading")} <= terms and any(t == "copper kettle stand" for t, _ in terms)
