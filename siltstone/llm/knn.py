@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -20,17 +21,22 @@ from siltstone.llm.common import arrow_schema, cut, map_arrow, table
 TOP, SCALE, PIVOTS = 10, 1024, 64
 #: Vectors of a shard of a cell, queries of a block.
 SHARD, QUERY_BLOCK = 20_000, 50_000
-#: Greatest component; beyond it products could leave 64 bits.
+#: Bound of the components that are pruned and multiplied in 64 bits; vectors beyond it are solved by exact wide integers.
 MOST = 1 << 24
 
 
 def scaled(vectors: DataFrame) -> DataFrame:
-    """(vec_id, v array<int>): floor(SCALE * x) of every component; one row an id, the least of several."""
+    """(vec_id, v array<int>, w array<double>): floor(SCALE * x) of every component; one row an id, the least of several.
+
+    v is null where a component's absolute value is MOST or more, and w where none is; a double holds the floor exactly.
+    """
     x = F.transform(F.col("embedding"), lambda c: c.cast("double"))
-    good = ~F.exists(x, lambda c: c.isNull() | F.isnan(c) | (F.abs(c) >= MOST / SCALE))
-    v = F.transform(x, lambda c: F.floor(c * SCALE).cast("int"))
+    good = ~F.exists(x, lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf")))
+    w = F.transform(F.transform(x, lambda c: c * SCALE), lambda c: F.when(F.abs(c) < 1 << 52, F.floor(c).cast("double")).otherwise(c))
     found = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").where("vec_id is not null and embedding is not null").where(good)
-    return found.select("vec_id", v.alias("v")).groupBy("vec_id").agg(F.min("v").alias("v"))
+    found = found.select("vec_id", w.alias("w")).groupBy("vec_id").agg(F.min("w").alias("w"))
+    wide = F.exists("w", lambda c: F.abs(c) >= MOST)
+    return found.select("vec_id", F.when(~wide, F.transform("w", lambda c: c.cast("int"))).alias("v"), F.when(wide, F.col("w")).alias("w"))
 
 
 def _matrix(lists: pa.Array, width: int) -> np.ndarray:
@@ -60,36 +66,90 @@ def needed_cells(pivots: np.ndarray, cells: dict[int, tuple[int, float, list[flo
 
 
 def _best(queries: np.ndarray, names: np.ndarray, data: np.ndarray, ids: np.ndarray, k: int):
-    """(query, vec_id, score) of each query's k best of the data, ties to the lesser id."""
+    """(query, vec_id, score) of each query's k best of the data, ties to the lesser id; exact at any size.
+
+    A score below 64 bits is null: it comes after all others. One above them is an error, as it is among the k best.
+    """
     rows = []
-    exact = queries.shape[1] * np.abs(queries).max(initial=0) * np.abs(data).max(initial=0) < 1 << 53
-    for a in range(0, len(names), 256):
-        q = queries[a : a + 256]
-        block = (q @ data.T).astype(np.int64) if exact else q.astype(np.int64) @ data.astype(np.int64).T
-        for name, score in zip(names[a : a + 256].tolist(), block, strict=True):
+    most = queries.shape[1] * float(np.abs(queries).max(initial=0)) * float(np.abs(data).max(initial=0))
+    exact, wide = most < 1 << 53, most >= 1 << 62
+    if wide:
+        queries, data = (np.array([[int(c) for c in v] for v in x.tolist()], object).reshape(x.shape) for x in (queries, data))
+    step = 16 if wide else 256
+    for a in range(0, len(names), step):
+        q = queries[a : a + step]
+        block = (q @ data.T).astype(np.int64) if exact else q @ data.T if wide else q.astype(np.int64) @ data.astype(np.int64).T
+        for name, score in zip(names[a : a + step].tolist(), block, strict=True):
             other = ids != name
             score, own = score[other], ids[other]
+            if wide:
+                order = sorted(range(len(own)), key=lambda i: (-score[i], own[i]))[:k]  # noqa: B023
+                if order and score[order[0]] >= 1 << 63:
+                    raise OverflowError(f"the score of query {name} and vector {own[order[0]]} doesn't fit 64 bits")
+                rows += [(name, int(own[i]), score[i] if score[i] >= -(1 << 63) else None) for i in order]
+                continue
             if len(score) > k:
                 near = score >= np.partition(score, len(score) - k)[len(score) - k]
                 score, own = score[near], own[near]
             order = np.lexsort((own, -score))[:k]
             rows.append((np.full(len(order), name), own[order], score[order]))
+    if wide:
+        return [list(c) for c in zip(*rows, strict=True)] if rows else [[], [], []]
     return [np.concatenate(c) if rows else np.empty(0, np.int64) for c in zip(*rows, strict=True)] if rows else [np.empty(0, np.int64)] * 3
 
 
+def _solver(k: int, kind: pa.Schema):
+    def solve(asked_rows: pa.Table, rows: pa.Table) -> pa.Table:
+        if not asked_rows.num_rows or not rows.num_rows:
+            return kind.empty_table()
+        lists = [t.column("v").combine_chunks() for t in (asked_rows, rows)]
+        width = max(pa.compute.max(x.value_lengths()).as_py() for x in lists)
+        q, x = (_matrix(c, width) for c in lists)
+        return pa.table([pa.array(c, f.type) for c, f in zip(_best(q, asked_rows.column("vec_id").to_numpy(), x, rows.column("vec_id").to_numpy(), k), kind, strict=True)], schema=kind)
+
+    return solve
+
+
+def _wide(rows: DataFrame, queries_where: str, k: int) -> DataFrame:
+    """(query_id, vec_id, score): of the pairs with a wide vector on either side each query's best of every block, unpruned."""
+    v = F.coalesce("w", F.transform("v", lambda c: c.cast("double")))
+    every = rows.select("vec_id", v.alias("v"), F.col("w").isNotNull().alias("wide"))
+    asked = every.where(queries_where)
+    n, m = every.count(), asked.count()
+    shards, q_blocks = max(1, -(-n // SHARD)), max(1, -(-m // QUERY_BLOCK))
+    number = lambda c, count: F.pmod(F.xxhash64(c), F.lit(count)).cast("int")
+    # part 0: wide queries and all data; part 1: other queries and wide data
+    sent = asked.select(F.when(F.col("wide"), 0).otherwise(1).alias("part"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), number("vec_id", q_blocks).alias("block"), "vec_id", "v")
+    data = every.select(F.explode(F.when(F.col("wide"), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("part"), number("vec_id", shards).alias("shard"), "vec_id", "v")
+    own = [F.col(c).alias(c) for c in ("vec_id", "v")]  # columns of their own: those shared with the queries may be pruned
+    data = data.select("part", "shard", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))).alias("block"), *own)
+    keys, kind = ["part", "shard", "block"], "query_id long, vec_id long, score long"
+    return sent.groupBy(*keys).cogroup(data.groupBy(*keys)).applyInArrow(_solver(k, arrow_schema(kind)), kind)
+
+
 def top_k(vectors: DataFrame, queries_where: str, k: int = TOP, n_pivots: int = PIVOTS) -> DataFrame:
     """(query_id, rank, vec_id, score): for every vector that meets queries_where its k best others by inner product.
 
-    vectors(vec_id, embedding). Vectors that are null, or hold a component that is null, not finite or of MOST / SCALE or
-    more, and null ids, take no part; of several rows of an id the least vector counts. Vectors of different length are
-    multiplied over the common part. Ties go to the lesser vec_id; fewer than k others give as many rows. An empty table
-    gives no rows. Other columns are not read.
+    vectors(vec_id, embedding). Vectors that are null, or hold a component that is null or not finite, and null ids, take
+    no part; of several rows of an id the least vector counts. Vectors of different length are multiplied over the common
+    part. Ties go to the lesser vec_id; fewer than k others give as many rows. An empty table gives no rows. Other columns
+    are not read. An answer whose score doesn't fit a long is an error.
     """
-    v = cut(scaled(vectors))
+    rows = cut(scaled(vectors))
+    found = _narrow(rows.where("v is not null").select("vec_id", "v"), queries_where, k, n_pivots)
+    if rows.where("w is not null").limit(1).count():
+        found = found.unionByName(_wide(rows, queries_where, k))
+    best = Window.partitionBy("query_id").orderBy(F.desc_nulls_last("score"), "vec_id")
+    score = F.coalesce("score", F.raise_error(F.lit("a score doesn't fit 64 bits")).cast("long"))
+    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", score.alias("score"))
+
+
+def _narrow(v: DataFrame, queries_where: str, k: int, n_pivots: int) -> DataFrame:
+    """(query_id, vec_id, score) of vectors within MOST: each query's best of every cell that may hold an answer."""
     width = v.agg(F.coalesce(F.max(F.size("v")), F.lit(0))).first()[0]
     sample = v.orderBy(F.xxhash64("vec_id"), "vec_id").limit(n_pivots).collect()  # at most n_pivots rows
     if not sample:
-        return v.select(F.col("vec_id").alias("query_id"), F.lit(1).alias("rank"), "vec_id", F.lit(0).cast("long").alias("score")).limit(0)
+        return v.select(F.col("vec_id").alias("query_id"), "vec_id", F.lit(0).cast("long").alias("score")).limit(0)
     pivots = _matrix(pa.array([r.v for r in sample], pa.list_(pa.int32())), width)
 
     def assign(batches):
@@ -118,18 +178,8 @@ def top_k(vectors: DataFrame, queries_where: str, k: int = TOP, n_pivots: int =
     lists = [F.array(*[F.lit(j) for j in needed.get(g, [])]).cast("array<int>") for g in range(len(pivots))]
     sent = asked.select(F.explode(by_cell(lists, "cell")).alias("to"), F.pmod(F.xxhash64("vec_id"), F.lit(q_blocks)).cast("int").alias("block"), "vec_id", "v")
     sent = sent.select(F.col("to").alias("cell"), F.explode(F.sequence(F.lit(0), n_shards("to") - 1)).alias("shard"), "block", "vec_id", "v")
-    kind = arrow_schema("query_id long, vec_id long, score long")
-
-    def solve(asked_rows: pa.Table, rows: pa.Table) -> pa.Table:
-        if not asked_rows.num_rows or not rows.num_rows:
-            return kind.empty_table()
-        q, x = (_matrix(t.column("v").combine_chunks(), width) for t in (asked_rows, rows))
-        return pa.table(_best(q, asked_rows.column("vec_id").to_numpy(), x, rows.column("vec_id").to_numpy(), k), schema=kind)
-
-    keys = ["cell", "shard", "block"]
-    found = sent.groupBy(*keys).cogroup(data.groupBy(*keys)).applyInArrow(solve, "query_id long, vec_id long, score long")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    keys, kind = ["cell", "shard", "block"], "query_id long, vec_id long, score long"
+    return sent.groupBy(*keys).cogroup(data.groupBy(*keys)).applyInArrow(_solver(k, arrow_schema(kind)), kind)
 
 
 def op6_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -46,6 +46,21 @@ def test_odd_vectors(spark):
     assert knn.top_k(frame(spark, [(0, [1.0])]), "true").count() == 0
 
 
+def test_wide_vectors(spark):
+    """Components of any size: exact scores beyond 53 bits, and an error only where an answer leaves 64 bits."""
+    rows = [(0, [20_000.0, 1.0]), (1, [1.0, 16_384.0]), (2, [-20_000.0, 3.0]), (3, [0.5, 0.25]), (100, [0.25, -2.0]), (4, [float(2**20), 0.5]), (200, [float(2**22) + 0.5, 1.0])]
+    scaled = {i: [int(np.floor(1024 * float(x))) for x in v] for i, v in rows}
+    for k in (10, 2):
+        assert sorted(map(tuple, knn.top_k(frame(spark, rows), "vec_id % 100 = 0", k).collect())) == exact(scaled, k)
+    only = rows[:3]
+    assert sorted(map(tuple, knn.top_k(frame(spark, only), "vec_id = 0").collect())) == exact({i: scaled[i] for i, _ in only})
+    huge = [(0, [1e30, 0.0]), (1, [0.0, 5.0]), (2, [-1e30, 0.0]), (3, [0.0, 7.0])]
+    assert [r.vec_id for r in knn.top_k(frame(spark, huge), "vec_id = 0", 2).collect()] == [1, 3]
+    for vectors, k in ((huge, 3), ([*huge, (4, [1.0, 1.0])], 1)):
+        with pytest.raises(Exception, match="fit 64 bits"):
+            knn.top_k(frame(spark, vectors), "vec_id = 0", k).collect()
+
+
 def test_pruning_keeps_what_it_must():
     pivots = np.array([[10.0, 0.0], [-10.0, 0.0]])
     cells = {0: (100, 1.0, [0.1] * 11), 1: (100, 1.0, [0.1] * 11)}
