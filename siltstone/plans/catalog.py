@@ -162,20 +162,20 @@ def ip_public(spark, d):
 
 @query
 def doc_phrases(spark, d):
-    return keywords.phrases(A.table(spark, d, "documents"), "doc_id", "text", compose=False).groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("n"))
+    return keywords.phrases(A.table(spark, d, "documents"), "doc_id", "text").groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query
 def term_document_frequency(spark, d):
     t = A.table(spark, d, "documents").select("doc_id", "source", "text")
-    terms = t.select("source", "doc_id", F.explode(F.array_distinct(text.phrase_array(F.col("text"), False, False))).alias("term"))
+    terms = t.select("source", "doc_id", F.explode(F.array_distinct(text.phrase_array(F.col("text"), False))).alias("term"))
     return terms.groupBy("source", "term").agg(F.count(F.lit(1)).alias("df"))
 
 
 @query
 def term_idf(spark, d):
     t = A.table(spark, d, "documents").select("doc_id", "source", "text")
-    terms = t.select("source", F.explode(F.array_distinct(text.phrase_array(F.col("text"), False, False))).alias("term"))
+    terms = t.select("source", F.explode(F.array_distinct(text.phrase_array(F.col("text"), False))).alias("term"))
     df = terms.groupBy("source", "term").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     n = t.groupBy("source").agg(F.count(F.lit(1)).alias("n"))
     return df.join(n, "source").select("source", "term", F.round(F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1, 9).alias("idf"))
@@ -183,20 +183,20 @@ def term_idf(spark, d):
 
 @query
 def keyword_candidates(spark, d):
-    c = keywords.candidates(A.site_facts(spark, d), compose=False)
+    c = keywords.candidates(A.site_facts(spark, d))
     return c.select("site", "page_id", "term", F.array_join("sources", ",").alias("sources"), "body_count")
 
 
 @query
 def keyword_scores(spark, d):
     f = A.site_facts(spark, d)
-    s = keywords.keyword_scores(keywords.candidates(f, compose=False), f.select("site"))
+    s = keywords.keyword_scores(keywords.candidates(f), f.select("site"))
     return s.select("site", "page_id", "term", F.round("score", 9).alias("score"), F.array_join("sources", ",").alias("sources"))
 
 
 @query
 def keyword_picks(spark, d):
-    p = keywords.keyword_picks(A.site_facts(spark, d), compose=False)
+    p = keywords.keyword_picks(A.site_facts(spark, d))
     return p.select("site", "page_id", F.col("rank_order").cast("long").alias("rank_order"), "term", "score", F.array_join("sources", ",").alias("sources"))
 
 
@@ -204,7 +204,7 @@ def keyword_picks(spark, d):
 def brand_suffix(spark, d):
     """Titles with a made-up site name: pages of a host of four or more are branded by it."""
     p = A.site_pages(spark, d).select("page_id", "site", F.concat(F.coalesce(html.flat_title(F.col("html")), F.lit("x")), F.when(F.col("page_id") % 4 != 0, F.concat(F.lit(" | "), F.split("site", r"\.")[0])).otherwise("")).alias("title"))
-    return keywords.brand_words(p, compose=False)
+    return keywords.brand_words(p)
 
 
 # --- ranks
@@ -468,7 +468,7 @@ def crawl_error_texts(spark, d):
 @query
 def pick_source_labels(spark, d):
     """How many picks each place supports, by the name it is shown under."""
-    p = keywords.keyword_picks(A.site_facts(spark, d), compose=False)
+    p = keywords.keyword_picks(A.site_facts(spark, d))
     return p.select(F.explode(text.source_labels(F.col("sources"))).alias("label")).groupBy("label").agg(F.count(F.lit(1)).alias("picks"))
 
 

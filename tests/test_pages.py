@@ -115,3 +115,19 @@ def test_site_queries_read_whole_pages(spark, tmp_path):
     assert not codes & {"meta_description_missing", "canonical_missing"}
     terms = {(r.term, r.sources) for r in catalog.queries()["keyword_candidates"](spark, str(tmp_path)).where("page_id = 1").collect()}
     assert {("walnut tray", "schema"), ("enamel bread bin", "heading")} <= terms and any(t == "copper kettle stand" for t, _ in terms)
+
+
+def test_phrase_queries_compose(spark, tmp_path):
+    """Decomposed, full-width and ligature spellings of a phrase are one term in the registered queries."""
+    from siltstone.plans import catalog
+
+    spellings = ["café finesse", "cafe\u0301 finesse", "\uff43\uff41\uff46\u00e9 \ufb01nesse"]
+    spark.createDataFrame([(i, t, "s") for i, t in enumerate(spellings)], "doc_id long, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    page = "<html><head><title>{0}</title></head><body><article><h1>{0}</h1></article></body></html>"
+    rows = [(i, f"https://shop.example/{i}", page.format(t)) for i, t in enumerate(spellings)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    run = lambda name: catalog.queries()[name](spark, str(tmp_path)).collect()
+    assert {(r.doc_id, r.term, r.n) for r in run("doc_phrases")} == {(i, t, 1) for i in range(3) for t in ("café", "finesse", "café finesse")}
+    assert {(r.term, r.df) for r in run("term_document_frequency")} == {(t, 3) for t in ("café", "finesse", "café finesse")}
+    assert {r.term for r in run("term_idf")} == {"café", "finesse", "café finesse"}
+    assert {r.term for r in run("keyword_candidates")} == {"café", "finesse", "café finesse"}
