@@ -159,6 +159,10 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each group of near copies the document with the least doc_id stays."""
+    """Pipeline stage: of each group of near copies the document with the least doc_id stays.
+
+    Rows with a null doc_id are in no group and all stay.
+    """
     ids = near_duplicates(docs).where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(ids, docs["doc_id"] == ids["_kept"], "left_semi").select(*DOCUMENT_COLUMNS)
+    kept = docs.join(ids, docs["doc_id"] == ids["_kept"], "left_semi").select(*DOCUMENT_COLUMNS)
+    return kept.unionByName(docs.where("doc_id is null").select(*DOCUMENT_COLUMNS))

@@ -145,6 +145,13 @@ def test_simhash_odd_rows(odd, nothing):
     assert 2 not in kept and 1 in kept and 5 not in kept
 
 
+def test_simhash_stage_keeps_null_ids(odd):
+    twice = odd.unionByName(odd.where("doc_id is null"))
+    kept = [(r.doc_id, r.text) for r in simhash.stage(odd.sparkSession, twice, "").collect()]
+    assert [t for i, t in kept if i is None] == [odd.where("doc_id is null").first().text] * 2
+    assert {i for i, _ in kept} == {1, 3, 4, 7, 8, 9, None}
+
+
 def test_components(spark):
     path = [(i, i + 1) for i in range(300)] + [(1000, 1001), (1001, 1000), (7, 7), (None, 3), (500, 5)]
     rows = components.connected_components(spark.createDataFrame(path, "u long, v long")).collect()
