@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 from siltstone.llm.common import blocks, map_arrow, spread, table
 
 WINDOW, END = 2048, 1
-#: Bytes of a shard; words of a seed that are looked up: the rarest that others share.
-SHARD_BYTES, QUERY_WORDS = 8_000_000, 16
+#: Bytes of a shard.
+SHARD_BYTES = 8_000_000
 K1, B = 1.2, 0.75
 
 #: A run of white space and the run of other characters after it: the tokenizer's pieces never cross a border between them.
@@ -141,11 +141,9 @@ class Bm25:
         self.start = np.append(0, np.cumsum(self.df))
 
     def scores(self, seed: int) -> np.ndarray:
-        """BM25 scores of all documents of the shard for the seed's rarest shared words."""
+        """BM25 scores of all documents of the shard for all words of the seed."""
         words = self.words[seed]
-        words = words[self.df[words] > 1]
-        if len(words) > QUERY_WORDS:
-            words = words[np.argpartition(self.df[words], QUERY_WORDS)[:QUERY_WORDS]]
+        words = words[self.df[words] > 1]  # the others are the seed's alone
         spans = [slice(a, b) for a, b in zip(self.start[words].tolist(), self.start[words + 1].tolist(), strict=True)]
         if not spans:
             return np.zeros(len(self.words))

@@ -151,3 +151,22 @@ def test_neighbours_come_first():
     assert first[:2] == [0, 3]
     assert sum(p[2] for p in pieces) == 3600
     assert packing.pack_shard([5000], lambda s: np.zeros(1)) == [(0, 0, 2048, 0, 0), (0, 2048, 2048, 1, 0), (0, 4096, 512, 2, 0), (0, 4608, 256, 3, 0), (0, 4864, 128, 4, 0), (0, 4992, 8, 5, 0)]
+
+
+def test_neighbours_by_all_words():
+    """BM25 over every word of the seed: also a document that shares none of its rarest words is scored."""
+    import math
+
+    docs = [[*range(20), 90, 91], list(range(20)), [90, 91, 50], [90, 91, 51], [60, 61]]
+    bound = np.append(0, np.cumsum([len(d) for d in docs]))
+    index, mean = packing.Bm25(np.concatenate([np.array(d) for d in docs]), bound, 100), bound[-1] / len(docs)
+
+    def score(d):
+        total = 0
+        for w in set(docs[0]) & set(d):
+            df = sum(w in x for x in docs)
+            norm = packing.K1 * (1 - packing.B + packing.B * len(d) / mean)
+            total += math.log1p((len(docs) - df + 0.5) / (df + 0.5)) * d.count(w) * (packing.K1 + 1) / (d.count(w) + norm)
+        return total
+
+    assert np.allclose(index.scores(0)[1:], [score(d) for d in docs[1:]], rtol=1e-5) and index.scores(0)[2] > 0
