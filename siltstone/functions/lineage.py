@@ -4,16 +4,35 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The same rows, computed once and kept in spark.checkpoint.dir (a folder of our own where that is unset)."""
-    spark = df.sparkSession
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir.
+
+    Where it is unset, a session of one machine (local master) gets a temporary folder; on a cluster that is an error.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
+    known = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if not found and known.isDefined():
+        return known.get()
     if not found:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="siltstone-checkpoints-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+    if not known.isDefined():
         spark.sparkContext.setCheckpointDir(found)
+    return found
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Removes a folder of intermediate files, in whatever store it is."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """The same rows, computed once and kept in the shared folder, so that a lost executor costs nothing."""
+    shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
