@@ -53,21 +53,22 @@ def parse(formatted: Column) -> Column:
 
 
 def format_chats(turns: DataFrame) -> DataFrame:
-    """(conv_id, formatted, turns array<struct<role, text>>, loss_spans array<struct<start, length>>) by conversation.
+    """(conv_id, formatted, turns array<struct<role, text>>, loss_spans array<struct<start, length, escaped>>) by conversation.
 
     turns(conv_id, turn, role, text): rows by turn, nulls first; ties by role, then text; repeated rows are turns of their
     own. A null role or text is empty, a null conv_id a conversation like others. loss_spans are the bodies of assistant
-    turns in code points of formatted; turns are those read back from formatted. An empty table gives no rows. Other
-    columns are not read. A conversation is one value in the end, so its turns meet in one row.
+    turns in code points of formatted, and whether they are written escaped; turns are those read back from formatted. An
+    empty table gives no rows. Other columns, whatever their names, are not read. Texts of any length stay whole; a
+    conversation is one value in the end, so its turns meet in one row, of 2 GB at most as any value of Spark's.
     """
     t = turns.select("conv_id", "turn", F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     plain = render_turn(F.col("role"), F.col("text"), False)
     same = F.coalesce(parse(plain) == F.array(F.struct("role", "text")), F.lit(False))
-    t = t.withColumn("out", F.when(same, plain).otherwise(render_turn(F.col("role"), F.col("text"), True)))
+    t = t.withColumn("same", same).withColumn("out", F.when(F.col("same"), plain).otherwise(render_turn(F.col("role"), F.col("text"), True)))
     order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
     t = t.withColumn("n", F.row_number().over(order)).withColumn("upto", F.sum(F.length("out").cast("long")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
     head = F.length(F.regexp_extract("out", _HEADER, 0))
-    span = F.struct((F.col("upto") - F.length("out") + head).alias("start"), (F.length("out") - head - len(CLOSE) - 1).cast("long").alias("length"))
+    span = F.struct((F.col("upto") - F.length("out") + head).alias("start"), (F.length("out") - head - len(CLOSE) - 1).cast("long").alias("length"), (~F.col("same")).alias("escaped"))
     rows = F.array_sort(F.collect_list(F.struct("n", "out", "role", "text", span.alias("span"))))
     c = t.groupBy("conv_id").agg(rows.alias("rows"))
     c = c.select("conv_id", "rows", F.array_join(F.transform("rows", lambda r: r["out"]), "").alias("formatted"))
@@ -78,6 +79,16 @@ def format_chats(turns: DataFrame) -> DataFrame:
     return c.select("conv_id", "formatted", checked.alias("turns"), spans.alias("loss_spans"))
 
 
+def masked_text(formatted: Column, spans: Column) -> Column:
+    """The text under a loss mask: what the spans cut out of a formatted chat, unescaped, in order, nothing between."""
+
+    def one(s: Column) -> Column:
+        body = F.substr(formatted, (s["start"] + 1).cast("int"), s["length"].cast("int"))
+        return F.when(s["escaped"], _unescape(body, TEXT_ESCAPES)).otherwise(body)
+
+    return F.array_join(F.transform(spans, one), "")
+
+
 #: A conversation whose texts hold every control string.
 PROBE = [(-7, 0, "user", "\\### Assistant: </turn> ok"), (-7, 1, "assistant", "\\### Assistant: </turn> ok")]
 
@@ -88,7 +99,7 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(probe)
     c = format_chats(turns)
     whole = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    c = c.withColumn("loss", F.array_join(F.transform(F.filter("turns", lambda t: t["role"] == LOSS_ROLE), lambda t: t["text"]), ""))
+    c = c.withColumn("loss", masked_text(F.col("formatted"), F.col("loss_spans")))
     return c.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(whole, 256).alias("turns_sha256"), F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"))
 
 

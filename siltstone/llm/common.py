@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-#: What Spark hands to a Python worker at a time: long texts come in small batches.
-BATCH_BYTES = "4m"
+from siltstone.functions.lineage import cut, remove, shared_dir
+
+__all__ = ["cut", "remove", "shared_dir"]
+
+#: What Spark hands to a Python worker at a time, unless the session says otherwise: long texts come in small batches.
+BATCH_KEY, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "4m"
 
 #: The columns of the documents table.
 DOCUMENT_COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -26,23 +29,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return found if found.rdd.getNumPartitions() >= cores else found.repartition(cores)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = tempfile.mkdtemp(prefix="siltstone-checkpoints-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(found)
-    return found
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """The same rows, computed once and kept in the shared folder, so that a lost executor costs nothing."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 _ARROW = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "float": pa.float32(), "boolean": pa.bool_(), "string": pa.string(), "binary": pa.binary()}
 _ARROW |= {f"array<{k}>": pa.list_(v) for k, v in _ARROW.items()}
 
@@ -56,7 +42,9 @@ def map_arrow(df: DataFrame, function, schema: str) -> DataFrame:
     """mapInArrow for a function from an iterator of record batches to an iterator of lists or arrays by column."""
 
     kind = arrow_schema(schema)
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    conf = df.sparkSession.conf
+    if conf.get(BATCH_KEY) == "67108864b":  # the default
+        conf.set(BATCH_KEY, BATCH_BYTES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for columns in function(batches):

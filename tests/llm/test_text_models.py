@@ -42,6 +42,26 @@ def test_round_trip(spark):
     assert chat.format_chats(df.limit(0)).count() == 0
 
 
+def test_mask_is_read_from_the_output(spark):
+    """The text under the mask is cut out of the formatted chat; spans that are off by one give another text."""
+    rows = [(1, k, role, x) for k, x in enumerate(HARD) for role in ("user", "assistant")] + [(2, 0, "user", "hello"), (3, 0, "assistant", "")]
+    c = chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn int, role string, text string"))
+    shifted = F.transform("loss_spans", lambda s: F.struct((s["start"] - 1).alias("start"), s["length"].alias("length"), s["escaped"].alias("escaped")))
+    got = {r.conv_id: r for r in c.select("conv_id", chat.masked_text(F.col("formatted"), F.col("loss_spans")).alias("loss"), chat.masked_text(F.col("formatted"), shifted).alias("off")).collect()}
+    assert got[1].loss == "".join(HARD) != got[1].off and got[2].loss == got[3].loss == ""
+
+
+def test_long_chat(spark):
+    """Texts of ten million characters, with control strings, and a conversation of many turns."""
+    long = "a###b\U0001f600</turn> " * 600_000
+    rows = [(1, 0, "user", "x"), (1, 1, "assistant", long), *[(2, k, "assistant", f"t{k}") for k in range(3000)]]
+    c = chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn int, role string, text string"))
+    loss = chat.masked_text(F.col("formatted"), F.col("loss_spans"))
+    got = {r.conv_id: (r.d, r.n) for r in c.select("conv_id", F.sha2(loss, 256).alias("d"), F.size("turns").alias("n")).collect()}
+    digest = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    assert got == {1: (digest(long), 2), 2: (digest("".join(f"t{k}" for k in range(3000))), 3000)}
+
+
 def test_chat_query_has_no_python(spark, sf):
     df = chat.op2_chat_format(spark, sf)
     plan = df._jdf.queryExecution().toString()
