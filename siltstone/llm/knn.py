@@ -3,40 +3,47 @@
 Bounded pivots cut space into cells, and queries and data are grouped by their nearest pivot. Of each cell only a summary
 reaches the driver: count, radius, and the distances of the k + 1 vectors nearest to the pivot; of its queries count,
 radius and greatest norm. For a group of queries the summaries give a score that the k-th best answer surely reaches, and
-for each cell a score that none of its vectors exceeds. Queries are sent only to the cells that may hold an answer, and
-solved there by exact integer products; the best of the cells are merged. Queries are the smaller side, so it is they that
-are copied, while a data vector goes to one place. A large cell is dealt over shards, a large query set over blocks.
+from it, for every cell, the least distance from its pivot at which a vector may still be an answer. Neighbouring groups
+are joined to blocks of queries; a data vector is sent to the blocks that may need it, by its own distance, and to no
+other. A block's data are dealt over shards, solved there by exact integer products, and the best of the shards merged.
+
+Copies: a data vector goes to the blocks that need it, at most one for QUERY_BLOCK queries; a query goes to the shards of
+its block, one for SHARD vectors. What the bounds don't prune has to meet, so these two sizes are all there is to choose.
 """
 
 from __future__ import annotations
 
+from math import isqrt
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siltstone.llm.common import arrow_schema, cut, map_arrow, table
 
-TOP, SCALE, PIVOTS = 10, 1024, 64
-#: Vectors of a shard of a cell, queries of a block.
+TOP, SCALE = 10, 1024
+#: Pivots: the square root of the number of vectors within these bounds.
+PIVOTS = (64, 1024)
+#: Vectors of a shard, queries of a block.
 SHARD, QUERY_BLOCK = 20_000, 50_000
 #: Bound of the components that are pruned and multiplied in 64 bits; vectors beyond it are solved by exact wide integers.
 MOST = 1 << 24
 
 
 def scaled(vectors: DataFrame) -> DataFrame:
-    """(vec_id, v array<int>, w array<double>): floor(SCALE * x) of every component; one row an id, the least of several.
+    """(row, vec_id, v array<int>, w array<double>): floor(SCALE * x) of every component, and a number for the row.
 
     v is null where a component's absolute value is MOST or more, and w where none is; a double holds the floor exactly.
     """
     x = F.transform(F.col("embedding"), lambda c: c.cast("double"))
     good = ~F.exists(x, lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf")))
     w = F.transform(F.transform(x, lambda c: c * SCALE), lambda c: F.when(F.abs(c) < 1 << 52, F.floor(c).cast("double")).otherwise(c))
-    found = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").where("vec_id is not null and embedding is not null").where(good)
-    found = found.select("vec_id", w.alias("w")).groupBy("vec_id").agg(F.min("w").alias("w"))
+    found = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").where("embedding is not null").where(good)
+    found = found.select("vec_id", w.alias("w"))
     wide = F.exists("w", lambda c: F.abs(c) >= MOST)
-    return found.select("vec_id", F.when(~wide, F.transform("w", lambda c: c.cast("int"))).alias("v"), F.when(wide, F.col("w")).alias("w"))
+    return found.select(F.monotonically_increasing_id().alias("row"), "vec_id", F.when(~wide, F.transform("w", lambda c: c.cast("int"))).alias("v"), F.when(wide, F.col("w")).alias("w"))
 
 
 def _matrix(lists: pa.Array, width: int) -> np.ndarray:
@@ -50,136 +57,202 @@ def _matrix(lists: pa.Array, width: int) -> np.ndarray:
     return out
 
 
-def needed_cells(pivots: np.ndarray, cells: dict[int, tuple[int, float, list[float]]], groups: dict[int, tuple[int, float, float]], k: int) -> dict[int, list[int]]:
-    """For each group of queries the cells that may hold one of the k best answers.
+def least_distances(pivots: np.ndarray, cells: dict[int, tuple[int, float, list[float]]], groups: dict[int, tuple[int, float, float]], k: int) -> tuple[list[int], np.ndarray]:
+    """(groups, least[group, cell]): how far from its pivot a vector of a cell has to be to be one of the k best answers.
 
-    cells: (count, radius, least distances) by pivot; groups: (count, radius, greatest norm) by pivot.
+    cells: (count, radius, least distances) by pivot; groups: (count, radius, greatest norm) by pivot. Infinity: none may.
     """
-    norm, product = np.linalg.norm(pivots, axis=1), pivots @ pivots.T
-    out = {}
-    for g, (_, radius, most) in groups.items():
-        low = np.sort([product[g, j] - radius * norm[j] - most * d for j, (_, _, near) in cells.items() for d in near])
+    norm, names = np.linalg.norm(pivots, axis=1), sorted(groups)
+    at = np.array([j for j, (_, _, near) in cells.items() for _ in near], np.int64)
+    near = np.array([d for _, _, ds in cells.values() for d in ds])
+    full = np.full(len(pivots), False)
+    full[list(cells)] = True
+    out = np.full((len(names), len(pivots)), np.inf)
+    for i, g in enumerate(names):
+        _, radius, most = groups[g]
+        product = pivots @ pivots[g]
+        low = np.sort(product[at] - radius * norm[at] - most * near)
         sure = low[-(k + 1)] if len(low) > k else -np.inf  # one of them may be the query itself
-        slack = 1e-6 * (1 + abs(sure))
-        out[g] = [j for j, (_, r, _) in cells.items() if product[g, j] + radius * norm[j] + most * r >= sure - slack]
-    return out
+        lack = sure - 1e-6 * (1 + abs(sure)) - product - radius * norm if np.isfinite(sure) else np.full(len(pivots), -np.inf)
+        out[i] = np.where(lack <= 0, -1.0, lack / most * (1 - 1e-9) if most > 0 else np.inf)
+    out[:, ~full] = np.inf
+    return names, out
 
 
-def _best(queries: np.ndarray, names: np.ndarray, data: np.ndarray, ids: np.ndarray, k: int):
-    """(query, vec_id, score) of each query's k best of the data, ties to the lesser id; exact at any size.
+def blocks_of(names: list[int], groups: dict[int, tuple[int, float, float]], pivots: np.ndarray, least: np.ndarray, size: int) -> tuple[dict[int, tuple[int, int, int]], np.ndarray]:
+    """((bundle, first block, blocks) by group, least[bundle, cell]): neighbouring small groups share a block of queries.
 
-    A score below 64 bits is null: it comes after all others. One above them is an error, as it is among the k best.
+    Groups are taken in the order of the pivots' main direction; one of more than size queries has blocks of its own.
     """
-    rows = []
+    middle = pivots - pivots.mean(axis=0)
+    along = middle @ np.linalg.svd(middle, full_matrices=False)[2][0] if len(pivots) > 1 else np.zeros(1)
+    held, bundles, to, block = 0, [], {}, 0
+    for i in sorted(range(len(names)), key=lambda i: along[names[i]]):
+        n = groups[names[i]][0]
+        if not bundles or held + n > size:
+            block += max(1, -(-held // size)) if bundles else 0
+            bundles.append([])
+            held = 0
+        bundles[-1].append(i)
+        held += n
+        to[names[i]] = (len(bundles) - 1, block, max(1, -(-n // size)))
+    return to, np.array([least[b].min(axis=0) for b in bundles])
+
+
+def _best(queries: np.ndarray, rows: np.ndarray, data: np.ndarray, others: np.ndarray, ids: np.ndarray, none: np.ndarray, k: int):
+    """(query's row, answer, score) of each query's k best of the data, ties to the lesser id, null ids last; exact at any size.
+
+    Rows are numbered by rows and others; an answer is an index into the data. A score below 64 bits is null: it comes
+    after all others. One above them is an error, as it is among the k best.
+    """
+    found = []
     most = queries.shape[1] * float(np.abs(queries).max(initial=0)) * float(np.abs(data).max(initial=0))
     exact, wide = most < 1 << 53, most >= 1 << 62
     if wide:
         queries, data = (np.array([[int(c) for c in v] for v in x.tolist()], object).reshape(x.shape) for x in (queries, data))
     step = 16 if wide else 256
-    for a in range(0, len(names), step):
+    for a in range(0, len(rows), step):
         q = queries[a : a + step]
         block = (q @ data.T).astype(np.int64) if exact else q @ data.T if wide else q.astype(np.int64) @ data.astype(np.int64).T
-        for name, score in zip(names[a : a + step].tolist(), block, strict=True):
-            other = ids != name
-            score, own = score[other], ids[other]
+        for name, score in zip(rows[a : a + step].tolist(), block, strict=True):
+            own = np.flatnonzero(others != name)
+            score = score[own]
             if wide:
-                order = sorted(range(len(own)), key=lambda i: (-score[i], own[i]))[:k]  # noqa: B023
+                order = sorted(range(len(own)), key=lambda i: (-score[i], none[own[i]], ids[own[i]]))[:k]  # noqa: B023
                 if order and score[order[0]] >= 1 << 63:
-                    raise OverflowError(f"the score of query {name} and vector {own[order[0]]} doesn't fit 64 bits")
-                rows += [(name, int(own[i]), score[i] if score[i] >= -(1 << 63) else None) for i in order]
+                    raise OverflowError(f"a score of vector {ids[own[order[0]]]} doesn't fit 64 bits")
+                found += [(name, int(own[i]), score[i] if score[i] >= -(1 << 63) else None) for i in order]
                 continue
             if len(score) > k:
                 near = score >= np.partition(score, len(score) - k)[len(score) - k]
                 score, own = score[near], own[near]
-            order = np.lexsort((own, -score))[:k]
-            rows.append((np.full(len(order), name), own[order], score[order]))
+            order = np.lexsort((ids[own], none[own], -score))[:k]
+            found.append((np.full(len(order), name), own[order], score[order]))
     if wide:
-        return [list(c) for c in zip(*rows, strict=True)] if rows else [[], [], []]
-    return [np.concatenate(c) if rows else np.empty(0, np.int64) for c in zip(*rows, strict=True)] if rows else [np.empty(0, np.int64)] * 3
+        return [list(c) for c in zip(*found, strict=True)] if found else [[], [], []]
+    return [np.concatenate(c) for c in zip(*found, strict=True)] if found else [np.empty(0, np.int64)] * 3
+
+
+_FOUND = "query_row long, query_id long, vec_id long, score long"
 
 
-def _solver(k: int, kind: pa.Schema):
-    def solve(asked_rows: pa.Table, rows: pa.Table) -> pa.Table:
-        if not asked_rows.num_rows or not rows.num_rows:
+def _solver(k: int):
+    kind = arrow_schema(_FOUND)
+
+    def solve(asked: pa.Table, rows: pa.Table) -> pa.Table:
+        if not asked.num_rows or not rows.num_rows:
             return kind.empty_table()
-        lists = [t.column("v").combine_chunks() for t in (asked_rows, rows)]
+        lists = [t.column("v").combine_chunks() for t in (asked, rows)]
         width = max(pa.compute.max(x.value_lengths()).as_py() for x in lists)
         q, x = (_matrix(c, width) for c in lists)
-        return pa.table([pa.array(c, f.type) for c, f in zip(_best(q, asked_rows.column("vec_id").to_numpy(), x, rows.column("vec_id").to_numpy(), k), kind, strict=True)], schema=kind)
+        ids = rows.column("vec_id").combine_chunks()
+        names = asked.column("row").to_numpy()
+        found, answer, score = _best(q, names, x, rows.column("row").to_numpy(), ids.fill_null(0).to_numpy(), ids.is_null().to_numpy(zero_copy_only=False), k)
+        order = np.argsort(names)
+        at = order[np.searchsorted(names, np.asarray(found, np.int64), sorter=order)]
+        return pa.table([pa.array(found, pa.int64()), asked.column("vec_id").combine_chunks().take(pa.array(at)), ids.take(pa.array(answer, pa.int64())), pa.array(score, pa.int64())], schema=kind)
 
     return solve
 
 
+def _number(name: str, count: int) -> Column:
+    return F.pmod(F.xxhash64(name), F.lit(count)).cast("int")
+
+
 def _wide(rows: DataFrame, queries_where: str, k: int) -> DataFrame:
-    """(query_id, vec_id, score): of the pairs with a wide vector on either side each query's best of every block, unpruned."""
+    """_FOUND of the pairs with a wide vector on either side: each query's best of every shard, unpruned."""
     v = F.coalesce("w", F.transform("v", lambda c: c.cast("double")))
-    every = rows.select("vec_id", v.alias("v"), F.col("w").isNotNull().alias("wide"))
+    every = rows.select("row", "vec_id", v.alias("v"), F.col("w").isNotNull().alias("wide"))
     asked = every.where(queries_where)
     n, m = every.count(), asked.count()
     shards, q_blocks = max(1, -(-n // SHARD)), max(1, -(-m // QUERY_BLOCK))
-    number = lambda c, count: F.pmod(F.xxhash64(c), F.lit(count)).cast("int")
     # part 0: wide queries and all data; part 1: other queries and wide data
-    sent = asked.select(F.when(F.col("wide"), 0).otherwise(1).alias("part"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), number("vec_id", q_blocks).alias("block"), "vec_id", "v")
-    data = every.select(F.explode(F.when(F.col("wide"), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("part"), number("vec_id", shards).alias("shard"), "vec_id", "v")
-    own = [F.col(c).alias(c) for c in ("vec_id", "v")]  # columns of their own: those shared with the queries may be pruned
+    sent = asked.select(F.when(F.col("wide"), 0).otherwise(1).alias("part"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), _number("row", q_blocks).alias("block"), "row", "vec_id", "v")
+    data = every.select(F.explode(F.when(F.col("wide"), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("part"), _number("row", shards).alias("shard"), "row", "vec_id", "v")
+    own = [F.col(c).alias(c) for c in ("row", "vec_id", "v")]  # columns of their own: those shared with the queries may be pruned
     data = data.select("part", "shard", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))).alias("block"), *own)
-    keys, kind = ["part", "shard", "block"], "query_id long, vec_id long, score long"
-    return sent.groupBy(*keys).cogroup(data.groupBy(*keys)).applyInArrow(_solver(k, arrow_schema(kind)), kind)
+    keys = ["part", "shard", "block"]
+    return sent.groupBy(*keys).cogroup(data.groupBy(*keys)).applyInArrow(_solver(k), _FOUND)
 
 
-def top_k(vectors: DataFrame, queries_where: str, k: int = TOP, n_pivots: int = PIVOTS) -> DataFrame:
-    """(query_id, rank, vec_id, score): for every vector that meets queries_where its k best others by inner product.
+def top_k(vectors: DataFrame, queries_where: str, k: int = TOP, n_pivots: int | None = None) -> DataFrame:
+    """(query_id, rank, vec_id, score): for every row that meets queries_where its k best other rows by inner product.
 
-    vectors(vec_id, embedding). Vectors that are null, or hold a component that is null or not finite, and null ids, take
-    no part; of several rows of an id the least vector counts. Vectors of different length are multiplied over the common
-    part. Ties go to the lesser vec_id; fewer than k others give as many rows. An empty table gives no rows. Other columns
-    are not read. An answer whose score doesn't fit a long is an error.
+    vectors(vec_id, embedding). Vectors that are null, or hold a component that is null or not finite, take no part.
+    Repeated rows and rows of one vec_id are rows of their own: each is a candidate for the others, and each that is a
+    query has its own answers. A null vec_id is a candidate, last among ties. Vectors of different length are multiplied
+    over the common part. Ties go to the lesser vec_id; fewer than k others give as many rows. An empty table gives no
+    rows. Other columns, whatever their names, are not read. An answer whose score doesn't fit a long is an error.
     """
     rows = cut(scaled(vectors))
-    found = _narrow(rows.where("v is not null").select("vec_id", "v"), queries_where, k, n_pivots)
+    found = _narrow(rows.where("v is not null").select("row", "vec_id", "v"), queries_where, k, n_pivots)
     if rows.where("w is not null").limit(1).count():
         found = found.unionByName(_wide(rows, queries_where, k))
-    best = Window.partitionBy("query_id").orderBy(F.desc_nulls_last("score"), "vec_id")
+    best = Window.partitionBy("query_row").orderBy(F.desc_nulls_last("score"), F.asc_nulls_last("vec_id"))
     score = F.coalesce("score", F.raise_error(F.lit("a score doesn't fit 64 bits")).cast("long"))
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", score.alias("score"))
 
 
-def _narrow(v: DataFrame, queries_where: str, k: int, n_pivots: int) -> DataFrame:
-    """(query_id, vec_id, score) of vectors within MOST: each query's best of every cell that may hold an answer."""
-    width = v.agg(F.coalesce(F.max(F.size("v")), F.lit(0))).first()[0]
-    sample = v.orderBy(F.xxhash64("vec_id"), "vec_id").limit(n_pivots).collect()  # at most n_pivots rows
+def _narrow(v: DataFrame, queries_where: str, k: int, n_pivots: int | None) -> DataFrame:
+    """_FOUND of vectors within MOST: each query's best of every shard of the vectors that its block needs."""
+    width, total = v.agg(F.coalesce(F.max(F.size("v")), F.lit(0)), F.count(F.lit(1))).first()
+    n_pivots = n_pivots or min(max(isqrt(total), PIVOTS[0]), PIVOTS[1])
+    sample = v.orderBy(F.xxhash64("row"), "row").limit(n_pivots).collect()  # at most n_pivots rows
+    nothing = v.select(F.col("row").alias("query_row"), F.col("vec_id").alias("query_id"), "vec_id", F.lit(0).cast("long").alias("score")).limit(0)
     if not sample:
-        return v.select(F.col("vec_id").alias("query_id"), "vec_id", F.lit(0).cast("long").alias("score")).limit(0)
+        return nothing
     pivots = _matrix(pa.array([r.v for r in sample], pa.list_(pa.int32())), width)
 
     def assign(batches):
         square = (pivots**2).sum(axis=1)
         for batch in batches:
-            x = _matrix(batch.column(1), width)
+            x = _matrix(batch.column(2), width)
             own = (x**2).sum(axis=1)
             far = np.maximum(own[:, None] - 2 * x @ pivots.T + square, 0)
             cell = far.argmin(axis=1)
-            yield [batch.column(0), batch.column(1), cell.astype(np.int32), np.sqrt(far[np.arange(len(cell)), cell]), np.sqrt(own)]
+            yield [*batch.columns, cell.astype(np.int32), np.sqrt(far[np.arange(len(cell)), cell]), np.sqrt(own)]
 
-    dealt = cut(map_arrow(v, assign, "vec_id long, v array<int>, cell int, dist double, norm double"))
-    ranked = dealt.withColumn("n", F.row_number().over(Window.partitionBy("cell").orderBy("dist", "vec_id"))).where(F.col("n") <= k + 1)
+    dealt = cut(map_arrow(v, assign, "row long, vec_id long, v array<int>, cell int, dist double, norm double"))
+    ranked = dealt.withColumn("n", F.row_number().over(Window.partitionBy("cell").orderBy("dist", "row"))).where(F.col("n") <= k + 1)
     near = {r.cell: r.near for r in ranked.groupBy("cell").agg(F.collect_list("dist").alias("near")).collect()}  # k + 1 numbers a pivot
     cells = {r.cell: (r.n, r.r, near[r.cell]) for r in dealt.groupBy("cell").agg(F.count("*").alias("n"), F.max("dist").alias("r")).collect()}
     asked = dealt.where(queries_where)
     groups = {r.cell: (r.n, r.r, r.most) for r in asked.groupBy("cell").agg(F.count("*").alias("n"), F.max("dist").alias("r"), F.max("norm").alias("most")).collect()}
-    needed = needed_cells(pivots, cells, groups, k)
-    shards = [-(-cells[j][0] // SHARD) if j in cells else 1 for j in range(len(pivots))]
-    q_blocks = max(1, -(-sum(n for n, _, _ in groups.values()) // QUERY_BLOCK))
-
-    by_cell = lambda values, cell: F.element_at(F.array(*values), F.col(cell) + 1)  # noqa: E731  at most n_pivots values
-    n_shards = lambda cell: by_cell([F.lit(s) for s in shards], cell)
-    data = dealt.withColumn("shard", F.pmod(F.xxhash64("vec_id"), n_shards("cell")).cast("int"))
-    data = data.select("cell", "shard", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))).alias("block"), "vec_id", "v")
-    lists = [F.array(*[F.lit(j) for j in needed.get(g, [])]).cast("array<int>") for g in range(len(pivots))]
-    sent = asked.select(F.explode(by_cell(lists, "cell")).alias("to"), F.pmod(F.xxhash64("vec_id"), F.lit(q_blocks)).cast("int").alias("block"), "vec_id", "v")
-    sent = sent.select(F.col("to").alias("cell"), F.explode(F.sequence(F.lit(0), n_shards("to") - 1)).alias("shard"), "block", "vec_id", "v")
-    keys, kind = ["cell", "shard", "block"], "query_id long, vec_id long, score long"
-    return sent.groupBy(*keys).cogroup(data.groupBy(*keys)).applyInArrow(_solver(k, arrow_schema(kind)), kind)
+    if not groups:
+        return nothing
+    names, least = least_distances(pivots, cells, groups, k)
+    to, least = blocks_of(names, groups, pivots, least, QUERY_BLOCK)
+    # (first block, blocks, shards) of each bundle; its shards by the cells of which it needs any vector
+    spans = {b: (first, count) for b, first, count in to.values()}
+    shards = {b: max(1, -(-sum(n for j, (n, r, _) in cells.items() if least[b, j] <= r) // SHARD)) for b in spans}
+
+    def send(batches):
+        """Each vector to one shard of every block that may need it."""
+        for batch in batches:
+            cell, dist, row = (batch.column(i).to_numpy(zero_copy_only=False) for i in (3, 4, 0))
+            for b, (first, count) in spans.items():
+                at = np.flatnonzero(dist >= least[b, cell])
+                if len(at):
+                    part = batch.take(pa.array(at))
+                    shard = ((row[at] * 2654435761 & 0x7FFFFFFFFFFFFFFF) >> 16) % shards[b]
+                    for block in range(first, first + count):
+                        yield [np.full(len(at), block, np.int32), shard.astype(np.int32), *part.columns[:3]]
+
+    def ask(batches):
+        """Each query to all shards of its block."""
+        for batch in batches:
+            cell, row = batch.column(3).to_numpy(), batch.column(0).to_numpy()
+            for g in np.unique(cell).tolist():
+                b, first, count = to[g]
+                at = np.flatnonzero(cell == g)
+                part = batch.take(pa.array(at))
+                block = first + ((row[at] * 2654435761 & 0x7FFFFFFFFFFFFFFF) >> 16) % count
+                for shard in range(shards[b]):
+                    yield [block.astype(np.int32), np.full(len(at), shard, np.int32), *part.columns[:3]]
+
+    kind = "block int, shard int, row long, vec_id long, v array<int>"
+    keys = ["block", "shard"]
+    return map_arrow(asked, ask, kind).groupBy(*keys).cogroup(map_arrow(dealt, send, kind).groupBy(*keys)).applyInArrow(_solver(k), _FOUND)
 
 
 def op6_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:

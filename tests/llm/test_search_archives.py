@@ -11,14 +11,18 @@ from pyspark.sql import functions as F
 from siltstone.llm import knn, warc
 
 
-def exact(vectors, k=10, asked=lambda i: i % 100 == 0):
-    ids = sorted(vectors)
+def exact(rows, k=10, asked=lambda i: i is not None and i % 100 == 0):
+    """rows: (vec_id, vector); every row is a candidate for every other row."""
     out = []
-    for q in ids:
+    for n, (q, v) in enumerate(rows):
         if asked(q):
-            best = sorted((-sum(a * b for a, b in zip(vectors[q], vectors[i], strict=False)), i) for i in ids if i != q)[:k]
-            out += [(q, n, i, -s) for n, (s, i) in enumerate(best, 1)]
-    return sorted(out)
+            best = sorted((-sum(a * b for a, b in zip(v, x, strict=False)), i is None, i or 0) for m, (i, x) in enumerate(rows) if m != n)[:k]
+            out += [(q, rank, None if none else i, -s) for rank, (s, none, i) in enumerate(best, 1)]
+    return sorted(out, key=str)
+
+
+def answers(df):
+    return sorted(map(tuple, df.collect()), key=str)
 
 
 def frame(spark, rows):
@@ -33,15 +37,14 @@ def test_clusters_ties_and_copies(spark, monkeypatch, shard, block, pivots):
     rows = [(i, (rng.normal(size=8) * 0.05 + np.eye(8)[i % 4] * (1 + i % 3)).astype(np.float32).tolist()) for i in range(300)]
     rows += [(1000 + i, rows[0][1]) for i in range(40)]  # copies: ties by id
     got = knn.top_k(frame(spark, rows), "vec_id % 100 = 0", n_pivots=pivots)
-    scaled = {i: [int(np.floor(1024 * float(x))) for x in v] for i, v in rows}
-    assert sorted(map(tuple, got.collect())) == exact(scaled)
+    assert answers(got) == exact([(i, [int(np.floor(1024 * float(x))) for x in v]) for i, v in rows])
 
 
 def test_odd_vectors(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 2.0]), (1, None), (2, [1.0, None]), (3, [nan, 1.0]), (4, [inf, 1.0]), (5, [3.0]), (6, []), (None, [1.0, 1.0]), (7, [-1.0, 0.5]), (7, [-1.0, 0.5]), (100, [0.0, 0.0])]
-    got = sorted(map(tuple, knn.top_k(frame(spark, rows), "vec_id % 100 = 0").collect()))
-    assert got == exact({0: [1024, 2048], 5: [3072], 6: [], 7: [-1024, 512], 100: [0, 0]})
+    got = answers(knn.top_k(frame(spark, rows), "vec_id % 100 = 0"))
+    assert got == exact([(0, [1024, 2048]), (5, [3072]), (6, []), (None, [1024, 1024]), (7, [-1024, 512]), (7, [-1024, 512]), (100, [0, 0])])
     assert knn.top_k(frame(spark, rows).limit(0), "true").count() == 0
     assert knn.top_k(frame(spark, [(0, [1.0])]), "true").count() == 0
 
@@ -49,11 +52,10 @@ def test_odd_vectors(spark):
 def test_wide_vectors(spark):
     """Components of any size: exact scores beyond 53 bits, and an error only where an answer leaves 64 bits."""
     rows = [(0, [20_000.0, 1.0]), (1, [1.0, 16_384.0]), (2, [-20_000.0, 3.0]), (3, [0.5, 0.25]), (100, [0.25, -2.0]), (4, [float(2**20), 0.5]), (200, [float(2**22) + 0.5, 1.0])]
-    scaled = {i: [int(np.floor(1024 * float(x))) for x in v] for i, v in rows}
+    scaled = [(i, [int(np.floor(1024 * float(x))) for x in v]) for i, v in rows]
     for k in (10, 2):
-        assert sorted(map(tuple, knn.top_k(frame(spark, rows), "vec_id % 100 = 0", k).collect())) == exact(scaled, k)
-    only = rows[:3]
-    assert sorted(map(tuple, knn.top_k(frame(spark, only), "vec_id = 0").collect())) == exact({i: scaled[i] for i, _ in only})
+        assert answers(knn.top_k(frame(spark, rows), "vec_id % 100 = 0", k)) == exact(scaled, k)
+    assert answers(knn.top_k(frame(spark, rows[:3]), "vec_id = 0")) == exact(scaled[:3])
     huge = [(0, [1e30, 0.0]), (1, [0.0, 5.0]), (2, [-1e30, 0.0]), (3, [0.0, 7.0])]
     assert [r.vec_id for r in knn.top_k(frame(spark, huge), "vec_id = 0", 2).collect()] == [1, 3]
     for vectors, k in ((huge, 3), ([*huge, (4, [1.0, 1.0])], 1)):
@@ -61,10 +63,40 @@ def test_wide_vectors(spark):
             knn.top_k(frame(spark, vectors), "vec_id = 0", k).collect()
 
 
+def test_rows_of_one_id(spark):
+    """Rows of one vec_id are candidates each, for one another too, and queries each."""
+    rows = [(100, [1.0]), (100, [2.0]), (5, [1.0]), (5, [9.0]), (6, [0.5]), (None, [9.0])]
+    assert answers(knn.top_k(frame(spark, rows), "vec_id % 100 = 0", 3)) == exact([(i, [int(1024 * x) for x in v]) for i, v in rows], 3)
+
+
 def test_pruning_keeps_what_it_must():
     pivots = np.array([[10.0, 0.0], [-10.0, 0.0]])
     cells = {0: (100, 1.0, [0.1] * 11), 1: (100, 1.0, [0.1] * 11)}
-    assert knn.needed_cells(pivots, cells, {0: (3, 0.5, 10.5)}, 10) == {0: [0]}
+    names, least = knn.least_distances(pivots, cells, {0: (3, 0.5, 10.5)}, 10)
+    assert names == [0] and least[0, 0] < 0 and least[0, 1] > 1.0  # all of the near cell, nothing of the far one
+
+
+def test_a_vector_goes_where_it_is_needed():
+    """Of a cell only the vectors far enough from its pivot are sent; neighbouring groups share blocks, large ones are split."""
+    rng = np.random.default_rng(3)
+    pivots = np.array([[100.0, 0.0], [96.0, 0.0], [-50.0, 10.0], [90.0, 30.0]])
+    data = np.concatenate([p + rng.normal(size=(200, 2)) * 2 for p in pivots])
+    cell = ((data[:, None] - pivots) ** 2).sum(axis=2).argmin(axis=1)
+    dist = np.sqrt(((data - pivots[cell]) ** 2).sum(axis=1))
+    cells = {j: (int((cell == j).sum()), dist[cell == j].max(), np.sort(dist[cell == j])[:11].tolist()) for j in range(4)}
+    for g in range(4):
+        asked = np.flatnonzero(cell == g)
+        names, least = knn.least_distances(pivots, cells, {g: (len(asked), dist[asked].max(), np.linalg.norm(data[asked], axis=1).max())}, 10)
+        sent = dist >= least[0, cell]
+        for q in asked:
+            best = sorted((-(data[q] @ data[i]), i) for i in range(len(data)) if i != q)[:10]
+            assert all(sent[i] for _, i in best)
+        assert sent.sum() < len(data)
+    groups = {0: (5, 1.0, 1.0), 1: (4, 1.0, 1.0), 2: (25, 1.0, 1.0), 3: (3, 1.0, 1.0)}
+    to, bundled = knn.blocks_of([0, 1, 2, 3], groups, pivots, np.arange(16.0).reshape(4, 4), 10)
+    blocks = {g: set(range(first, first + n)) for g, (_, first, n) in to.items()}
+    assert len(blocks[2]) == 3 and not blocks[2] & (blocks[0] | blocks[1] | blocks[3])
+    assert len(set.union(*blocks.values())) == max(set.union(*blocks.values())) + 1 and len(bundled) == 1 + max(b for b, _, _ in to.values())
 
 
 def page_rows(spark, rows):
