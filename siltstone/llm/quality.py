@@ -11,7 +11,6 @@ base rules. The thresholds are joined back to the documents, which go if one mea
 from __future__ import annotations
 
 import numpy as np
-import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -70,14 +69,17 @@ def base_fails(n_words, n_repeat_words):
 
 def _measured(batches):
     for batch in batches:
-        found = np.array([measure(t.as_py()) for t in batch.column(1)], np.int64).reshape(-1, len(_COUNTS))
-        yield [*(c for i, c in enumerate(batch.columns) if i != 1), *found.T]
+        found = np.array([measure(t.as_py()) for t in batch.column("text")], np.int64).reshape(-1, len(_COUNTS))
+        yield [*(c for name, c in zip(batch.schema.names, batch.columns, strict=True) if name != "text" or batch.num_columns > 4), *found.T]
 
 
-def counts(docs: DataFrame) -> DataFrame:
-    """(doc_id, lang, source) and the _COUNTS of every row."""
-    plain = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("lang").cast("string"), F.col("source").cast("string"))
-    return map_arrow(plain, _measured, "doc_id long, lang string, source string, " + ", ".join(f"{c} long" for c in _COUNTS))
+def counts(docs: DataFrame, whole: bool = False) -> DataFrame:
+    """(doc_id, lang, source) and the _COUNTS of every row; with whole all DOCUMENT_COLUMNS."""
+    if whole:
+        plain, kind = docs.select(*DOCUMENT_COLUMNS), "doc_id long, text string, lang string, source string, n_chars long"
+    else:
+        plain, kind = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("lang").cast("string"), F.col("source").cast("string")), "doc_id long, lang string, source string"
+    return map_arrow(plain, _measured, kind + "".join(f", {c} long" for c in _COUNTS))
 
 
 def shares() -> dict[str, F.Column]:
@@ -118,19 +120,23 @@ def beside(docs: DataFrame, limits: DataFrame) -> DataFrame:
     return docs.join(F.broadcast(limits) if few else limits, F.expr("lang <=> t_lang and source <=> t_source"), "left").drop("t_lang", "t_source")
 
 
-def quality_verdicts(docs: DataFrame) -> DataFrame:
-    """(doc_id, lang, source, counts, base_failed, kept) for every row of docs(doc_id, text, lang, source).
-
-    Null and empty texts have no words and fail the base rules. A null lang or source is a value of its own. Repeated rows
-    count each, in the sketches too; a share equal to its threshold passes; null ids are judged like others. An empty
-    table gives no rows. Other columns are not read.
-    """
-    found = cut(counts(docs))
+def _judged(found: DataFrame) -> DataFrame:
+    """Counted documents with base_failed and kept."""
     both = beside(found, thresholds(found))
     above = [v > F.col(f"max_{k}") for k, v in shares().items()]
     bad = F.coalesce(F.array_max(F.array(*above)), F.lit(False))
     failed = base_fails(F.col("n_words"), F.col("n_repeat_words"))
-    return both.select("doc_id", "lang", "source", *_COUNTS, failed.alias("base_failed"), (~failed & ~bad).alias("kept"))
+    return both.select(*found.columns, failed.alias("base_failed"), (~failed & ~bad).alias("kept"))
+
+
+def quality_verdicts(docs: DataFrame) -> DataFrame:
+    """(doc_id, lang, source, counts, base_failed, kept) for every row of docs(doc_id, text, lang, source).
+
+    Null and empty texts have no words and fail the base rules; texts may have any length. A null lang or source is a value
+    of its own. Repeated rows count each, in the sketches too; a share equal to its threshold passes; null ids are judged
+    like others. An empty table gives no rows. Other columns, whatever their names, are not read.
+    """
+    return _judged(cut(counts(docs)))
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -138,22 +144,18 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_verdicts(table(spark, sf_dir, "documents")).select("doc_id", *_COUNTS[:5], "base_failed", "kept")
 
 
-def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents that the rules reject go. Texts are measured again where they are, not shuffled."""
-    both = beside(docs.select(*DOCUMENT_COLUMNS), thresholds(cut(counts(docs))))
+def quality_by_half(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The verdicts where sources are two halves of the documents: groups large enough for thresholds of their own."""
+    docs = table(spark, sf_dir, "documents").withColumn("source", F.when(F.col("doc_id") % 2 == 0, "even").otherwise("odd"))
+    return quality_verdicts(docs).select("doc_id", "source", "base_failed", "kept")
 
-    def run(batches):
-        for batch in batches:
-            m = np.array([measure(t.as_py()) for t in batch.column(1)], np.int64).reshape(-1, len(_COUNTS))
-            at = {k: m[:, i] for i, k in enumerate(_COUNTS)}
-            over = lambda a, b: 1000 * at[a] // np.maximum(at[b], 1)
-            values = [over("n_symbols", "word_chars"), over("n_dup_lines", "n_lines"), over("n_repeat_words", "n_words"), over("n_upper", "word_chars"), over("n_stutter", "n_words")]
-            keep = ~base_fails(at["n_words"], at["n_repeat_words"])
-            for value, limit in zip(values, batch.columns[5:], strict=True):
-                keep &= value <= limit.fill_null(1000).to_numpy(zero_copy_only=False)
-            yield batch.filter(pa.array(keep)).columns[:5]
 
-    return map_arrow(both, run, "doc_id long, text string, lang string, source string, n_chars long")
+def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pipeline stage: documents that the rules reject go; all others stay as they are.
+
+    Odd rows are judged as quality_verdicts says. Texts are measured once, and kept with their counts until they are judged.
+    """
+    return _judged(cut(counts(docs, whole=True))).where("kept").select(*DOCUMENT_COLUMNS)
 
 
 ORACLE_SQL = rf"""
@@ -177,3 +179,4 @@ lim AS (SELECT lang, source, map_from_entries(list((measure, high + greatest({SP
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT coalesce(symbols > t['symbols'] OR dup_lines > t['dup_lines'] OR repeats > t['repeats'] OR upper_share > t['upper'] OR stutter > t['stutter'], false) AS kept
 FROM s LEFT JOIN lim ON s.lang IS NOT DISTINCT FROM lim.lang AND s.source IS NOT DISTINCT FROM lim.source
 """
+BY_HALF_SQL = ORACLE_SQL.replace("SELECT doc_id, lang, source, coalesce(text, '')", "SELECT doc_id, lang, CASE WHEN doc_id % 2 = 0 THEN 'even' ELSE 'odd' END AS source, coalesce(text, '')").replace("SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed", "SELECT doc_id, s.source, base_failed")

@@ -21,6 +21,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_token_counts": token_count.op8_token_counts,
         "op9_packing": packing.op9_packing,
         "op10_simhash": simhash.op10_simhash,
+        "quality_by_half": quality.quality_by_half,
+        "warc_revisits": warc.warc_revisits,
     }
 
 
@@ -31,4 +33,6 @@ def oracle_sql() -> dict[str, str]:
         "op4_warc": warc.ORACLE_SQL,
         "op5_quality_rules": quality.ORACLE_SQL,
         "op6_top_k": knn.ORACLE_SQL,
+        "quality_by_half": quality.BY_HALF_SQL,
+        "warc_revisits": warc.REVISITS_SQL,
     }

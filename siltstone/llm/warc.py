@@ -2,12 +2,12 @@
 
 Writing: records of equal payloads are one response, that of the largest page_id, and revisits that refer to it. Digests
 and the choice are DataFrame functions; a text writer whose line separator is the record separator writes the archives,
-gzipped and rolled at a bounded number of records.
+gzipped and rolled by classes of payload size, so that an archive is bounded in bytes.
 
-Reading: a task looks for the record magic everywhere in an archive, payloads included, and emits for each candidate its
-offset and the offset where its successor has to begin by its content length. Starting at the beginning of the file,
-pointer jumping along these links keeps the records that can be reached, so that a record pasted into a payload is
-dropped: no chain from the start leads to it.
+Reading: a task takes whole archives, looks for the record magic everywhere in one, payloads included, and notes for each
+candidate its offset and the offset where its successor has to begin by its content length. Starting at the beginning of
+the file, pointer jumping along these links keeps the records that can be reached, so that a record pasted into a payload
+is dropped: no chain from the start leads to it. Only records that stay are digested, and archives are read once.
 """
 
 from __future__ import annotations
@@ -23,11 +23,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import arrow_schema, map_arrow, shared_dir, table
+from siltstone.llm.common import cut, map_arrow, remove, shared_dir, table
 
 MAGIC = b"WARC/1.0\r\n"
-#: Records of an archive, at most.
-ROLL = 2000
+#: (payload bytes, records of an archive), at most: archives of some 64 MB, or of one record where that is larger.
+CLASSES = [(1 << 16, 1000), (1 << 20, 64), (1 << 24, 4), (1 << 62, 1)]
+#: Records that a task hands on at a time.
+STEP = 256
 #: Payloads of fewer bytes are never revisits.
 LEAST_BYTES = 0
 
@@ -42,15 +44,17 @@ def base32_sha1(payload: Column) -> Column:
 
 
 def records(pages: DataFrame) -> DataFrame:
-    """(value): one WARC record, without the separator, for every row of pages(page_id, url, html).
+    """(value, size): one WARC record, without the separator, and its payload's bytes, for every row of pages(page_id, url, html).
 
-    A null html is an empty payload. A null page_id counts as less than every other; a group of such rows alone is all
-    responses. Repeated rows are records of their own: those with the largest page_id of their payload are responses.
+    A null html is an empty payload, a null url an empty one; line ends within a url become a space; urls and payloads may
+    have any length. A null page_id counts as less than every other; a group of such rows alone is all responses. Repeated
+    rows are records of their own: those with the largest page_id of their payload are responses. An empty table gives no
+    rows. Other columns, whatever their names, are not read.
     """
     line = "\r\n"
     p = pages.select(F.col("page_id").cast("long"), F.regexp_replace(F.coalesce(F.col("url").cast("string"), F.lit("")), r"[\r\n]+", " ").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     p = p.withColumn("digest", base32_sha1(F.col("html"))).withColumn("size", F.octet_length("html"))
-    shared = p.where(F.col("size") >= LEAST_BYTES).groupBy("digest").agg(F.max("page_id").alias("keeper"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "keeper")
+    shared = cut(p.where(F.col("size") >= LEAST_BYTES).groupBy("digest").agg(F.max("page_id").alias("keeper"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "keeper"))
     p = p.join(shared, "digest", "left").withColumn("revisit", F.coalesce(~F.col("page_id").eqNullSafe(F.col("keeper")) & F.col("keeper").isNotNull(), F.lit(False)))
     name = lambda c: F.concat(F.lit("<urn:siltstone:page:"), F.coalesce(c.cast("string"), F.lit("null")), F.lit(">"))
     http = F.concat(F.lit("HTTP/1.1 200 OK" + line + "Content-Type: text/html; charset=utf-8" + line + "Content-Length: "), F.col("size"), F.lit(line * 2))
@@ -63,12 +67,16 @@ def records(pages: DataFrame) -> DataFrame:
         F.lit(line + "Content-Type: application/http;msgtype=response" + line + "Content-Length: "), F.octet_length(http) + F.when(F.col("revisit"), 0).otherwise(F.col("size")),
         F.lit(line * 2), http,
     )
-    return p.select(F.when(F.col("revisit"), head).otherwise(F.concat(head, F.col("html"))).alias("value"))
+    return p.select(F.when(F.col("revisit"), head).otherwise(F.concat(head, F.col("html"))).alias("value"), "size")
 
 
 def write_warc(pages: DataFrame, path: str) -> None:
-    """Writes pages as gzipped WARC archives of at most ROLL records each under path."""
-    records(pages).write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", ROLL).text(path)
+    """Writes pages as gzipped WARC archives under path, a folder for each of CLASSES."""
+    found, least = records(pages), -1
+    for k, (most, count) in enumerate(CLASSES):
+        part = found.where((F.col("size") > least) & (F.col("size") <= most)).select("value")
+        part.write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", count).text(f"{path}/{k}")
+        least = most
 
 
 def candidates(data: bytes):
@@ -106,7 +114,7 @@ def reachable(offset: np.ndarray, successor: np.ndarray) -> np.ndarray:
     return seen[:n]
 
 
-_READ = "path string, offset long, successor long, page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long"
+_READ = "path string, offset long, page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long"
 
 
 def inflate(data: bytes) -> bytes:
@@ -124,25 +132,27 @@ def _scan(with_payload: bool, whole: bool):
         found = (name or b"").rpartition(b":")[2].rstrip(b">")
         return int(found) if re.fullmatch(rb"-?\d+", found) else None
 
+    def row(path, data, at, successor, fields, begin, stop):
+        body = data.find(b"\r\n\r\n", begin, stop) + 4
+        kind, digest = fields.get(b"warc-type", b"").decode(), fields.get(b"warc-payload-digest", b"").decode().removeprefix("sha1:")
+        payload = data[body:stop]
+        inner = re.search(rb"\r\nContent-Length: (\d+)\r\n", data[begin:body])
+        size = int(inner[1]) if kind == "revisit" and inner else len(payload)
+        own = digest if kind == "revisit" else base64.b32encode(hashlib.sha1(payload).digest()).decode()
+        return (path, at, number(fields.get(b"warc-record-id")), fields.get(b"warc-target-uri", b"").decode("utf-8", "replace"), kind, size, own, number(fields.get(b"warc-refers-to")), *([payload] * with_payload))
+
     def run(batches):
         for batch in batches:
             for path, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 data = inflate(content.as_py()) if path.endswith(".gz") else content.as_py()
-                rows = []
-                for at, successor, fields, (begin, stop) in candidates(data):
-                    body = data.find(b"\r\n\r\n", begin, stop) + 4
-                    kind, digest = fields.get(b"warc-type", b"").decode(), fields.get(b"warc-payload-digest", b"").decode().removeprefix("sha1:")
-                    payload = data[body:stop]
-                    inner = re.search(rb"\r\nContent-Length: (\d+)\r\n", data[begin:body])
-                    size = int(inner[1]) if kind == "revisit" and inner else len(payload)
-                    own = digest if kind == "revisit" else base64.b32encode(hashlib.sha1(payload).digest()).decode()
-                    rows.append((path, at, successor, number(fields.get(b"warc-record-id")), fields.get(b"warc-target-uri", b"").decode("utf-8", "replace"), kind, size, own, number(fields.get(b"warc-refers-to")), *([payload] * with_payload)))
-                if whole:
-                    offset, successor = (np.array([r[k] for r in rows], np.int64) for k in (1, 2))
-                    end = int(successor[reachable(offset, successor)].max(initial=0))
-                    if end != len(data):
-                        raise ValueError(f"{path}: the chain of records stops at {end} of {len(data)} bytes")
-                if rows:
+                found = list(candidates(data))
+                offset, successor = (np.array([x[k] for x in found], np.int64) for k in (0, 1))
+                keep = np.flatnonzero(reachable(offset, successor)).tolist()
+                end = int(successor[keep].max(initial=0))
+                if whole and end != len(data):
+                    raise ValueError(f"{path}: the chain of records stops at {end} of {len(data)} bytes")
+                for k in range(0, len(keep), STEP):
+                    rows = [row(path, data, *found[i][:3], *found[i][3]) for i in keep[k : k + STEP]]
                     yield [list(c) for c in zip(*rows, strict=True)]
 
     return run
@@ -153,26 +163,32 @@ def read_warc(spark: SparkSession, path: str, with_payload: bool = False, whole:
 
     payload_bytes and payload_digest are of what was read; for revisits as their headers say. A file whose chain breaks
     gives the records before the break; a file that doesn't start with a record gives none; no files give no rows.
-    With whole, a file whose chain stops before its end is an error.
+    With whole, a file whose chain stops before its end is an error. Headers and payloads may have any length.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{gz,warc,txt}").load(path).select("path", "content")
-    found = map_arrow(files, _scan(with_payload, whole), _READ + (", payload binary" if with_payload else ""))
-    kind = arrow_schema("path string, offset long")
+    return map_arrow(files, _scan(with_payload, whole), _READ + (", payload binary" if with_payload else ""))
 
-    def chain(rows: pa.Table) -> pa.Table:
-        rows = rows.sort_by("offset")
-        keep = reachable(rows.column("offset").to_numpy(), rows.column("successor").to_numpy())
-        return rows.filter(pa.array(keep)).select(kind.names).cast(kind)
 
-    links = found.select("path", "offset", "successor").groupBy("path").applyInArrow(chain, "path string, offset long")
-    return found.join(links, ["path", "offset"], "left_semi")
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contract query 4 over the whole pages table."""
+    return archived(table(spark, sf_dir, "pages"))
 
 
-def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Contract query 4: writes the whole pages table to archives in the shared folder and reads them back."""
+def archived(pages: DataFrame) -> DataFrame:
+    """What is read back of pages that are written to archives in the shared folder; the archives go when they are read."""
+    spark = pages.sparkSession
     at = f"{shared_dir(spark).rstrip('/')}/warc-{uuid.uuid4().hex}"
-    write_warc(table(spark, sf_dir, "pages"), at)
-    return read_warc(spark, at, whole=True).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    try:
+        write_warc(pages, at)
+        return cut(read_warc(spark, at, whole=True).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"))
+    finally:
+        remove(spark, at)
+
+
+def warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages table with a copy of every page under a larger page_id: each page revisits its copy."""
+    pages = table(spark, sf_dir, "pages")
+    return archived(pages.unionByName(pages.withColumn("page_id", F.col("page_id") + 1_000_000_000)))
 
 
 _BITS = "array_to_string(list_transform(string_split(sha1(html), ''), lambda c: ['0000', '0001', '0010', '0011', '0100', '0101', '0110', '0111', '1000', '1001', '1010', '1011', '1100', '1101', '1110', '1111'][instr('0123456789abcdef', c)]), '')"
@@ -182,3 +198,4 @@ WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
 d AS (SELECT page_id, html, {_BITS} AS bits, max(page_id) OVER (PARTITION BY html) AS keeper FROM p)
 SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes, array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + {_FIVE}, 1)), '') AS payload_digest, CASE WHEN page_id = keeper THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> keeper THEN keeper END AS refers_to FROM d
 """
+REVISITS_SQL = ORACLE_SQL.replace("FROM pages)", "FROM (SELECT page_id, html FROM pages UNION ALL SELECT page_id + 1000000000, html FROM pages))")
