@@ -28,6 +28,8 @@ from siltstone.llm.common import DOCUMENT_COLUMNS, map_arrow, mix, pair_hash, ta
 WINDOW, ANCHOR, PERIOD, COVER = 20, 8, 13, (0, 1, 3, 9)
 #: Anchors or windows of a block.
 BLOCK = 500_000
+#: Bytes of text whose anchors a bucket holds, at most and on average: what a task joins grows no further with the corpus.
+BUCKET_BYTES = 64_000_000
 #: Stands for a null doc_id: before every other one.
 NO_ID = -(1 << 63)
 
@@ -267,7 +269,8 @@ def _kept(batches):
 
 def repeated_windows(docs: DataFrame) -> DataFrame:
     """(doc, places array<int>): starts of the repeated windows; docs has doc (no nulls) and text."""
-    buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()[0]
+    buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // (2 * BUCKET_BYTES)))
 
     def sent(df: DataFrame, function) -> DataFrame:
         return map_arrow(df, function, "bucket int, blob binary").repartition("bucket").sortWithinPartitions("bucket")
@@ -285,8 +288,9 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
     kept: the words that stay, joined by one space (UTF-8); text: the text without the words that go, white space around
     the others unchanged. Windows are judged on the input. Null and empty texts have no words; texts of under WINDOW words
-    stay whole. Rows of one doc_id are one document: repeated rows both stay, and where texts of one doc_id
-    differ, a start that is repeated in one counts in all of them. A null doc_id counts as before every other. An empty table gives no rows. Other columns are not read.
+    stay whole; texts may have any length. Rows of one doc_id are one document: repeated rows both stay, and where texts
+    of one doc_id differ, a start that is repeated in one counts in all of them. A null doc_id counts as before every
+    other. An empty table gives no rows. Other columns, whatever their names, are not read.
     """
     plain = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), F.col("text").cast("string").alias("text"))
     both = plain.join(repeated_windows(plain).hint("shuffle_hash"), "doc", "left").select("doc", "text", "places")
@@ -300,7 +304,10 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: every document stays, its repeated passages go; n_chars is that of what is left."""
+    """Pipeline stage: every document stays, its repeated passages go; n_chars is that of what is left.
+
+    Odd rows are treated as remove_repeats says; a text that loses nothing keeps its n_chars, whatever it says.
+    """
     plain = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), "text", "lang", "source", "n_chars")
     places = repeated_windows(plain.select("doc", "text"))
     both = plain.join(places.hint("shuffle_hash"), "doc", "left").select("doc", "text", "places", "lang", "source", "n_chars")

@@ -125,7 +125,8 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     Null, empty and wordless texts score the bias. Labels that are null or have no document teach nothing; of several
     labels of an id the greatest counts, of several texts of an id the least. Without usable labels every score is 0
-    (rounded). Repeated rows stay repeated; equal texts score alike; null ids are scored. An empty table gives no rows.
+    (rounded). Repeated rows stay repeated; equal texts score alike; null ids are scored; texts may have any length. An
+    empty table gives no rows. Other columns, whatever their names, are not read.
     """
     places, weights = train(docs, labels)
     model = docs.sparkSession.sparkContext.broadcast((places, weights))
@@ -146,7 +147,10 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents that score THRESHOLD or more go; all others stay as they are."""
+    """Pipeline stage: documents that score THRESHOLD or more go; all others stay as they are.
+
+    Odd rows are scored as toxicity_scores says: null, empty and wordless texts by the bias, rows with a null id like others.
+    """
     places, weights = train(docs, table(spark, sf_dir, "labels"))
     model = spark.sparkContext.broadcast((places, weights))
     plain = docs.select(*DOCUMENT_COLUMNS)
