@@ -15,6 +15,9 @@ __all__ = ["cut", "remove", "shared_dir"]
 #: What Spark hands to a Python worker at a time, unless the session says otherwise: long texts come in small batches.
 BATCH_KEY, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "4m"
 
+#: Letters A-Z in lower case, other bytes as they are.
+ASCII_LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
+
 #: The columns of the documents table.
 DOCUMENT_COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 

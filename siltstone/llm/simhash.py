@@ -18,8 +18,9 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import DOCUMENT_COLUMNS, cut, map_arrow, table
+from siltstone.llm.common import ASCII_LOWER, DOCUMENT_COLUMNS, cut, map_arrow, table
 from siltstone.llm.components import connected_components
+from siltstone.llm.near_copies import near_copies
 
 SHINGLE, SEED, MAX_BITS, BLOCKS = 3, 42, 3, 6
 #: Members of a cell; a key with more is dealt over several cells.
@@ -27,12 +28,10 @@ CELL = 2048
 #: Groups up to this size are compared by shifts, larger ones by a search from member to member.
 SMALL = 32
 
-_LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
-
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     """The unsigned fingerprint of one text: majority bits of the XXH64 of its word shingles; 0 without words."""
-    tokens = text.encode("utf-8", "surrogatepass").translate(_LOWER).split() if text else []
+    tokens = text.encode("utf-8", "surrogatepass").translate(ASCII_LOWER).split() if text else []
     if not tokens:
         return 0
     n = max(1, len(tokens) - shingle + 1)
@@ -142,8 +141,8 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, bits: int = MAX_BIT
 
     component_id is the least doc_id reachable over links of at most ``bits`` differing bits, itself included. Null and
     wordless texts have fingerprint 0, which links like any other. Repeated rows stay repeated; rows of one doc_id are one
-    document. A null doc_id forms no links and has a null component_id. An empty table gives no rows. Other columns are
-    not read. The component is that of the row's fingerprint.
+    document. A null doc_id forms no links and has a null component_id. Texts may have any length. An empty table gives
+    no rows. Other columns, whatever their names, are not read. The component is that of the row's fingerprint.
     """
     sig = cut(fingerprints(docs, shingle))
     nodes = cut(sig.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("node")))
@@ -159,10 +158,11 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each group of near copies the document with the least doc_id stays.
+    """Pipeline stage: of each class of near copies (five words, similarity 0.8) the document with the least doc_id stays.
 
-    Rows with a null doc_id are in no group and all stay.
+    Rows with a null doc_id are in no class and all stay; so do all rows of a doc_id that stays. Null, empty and wordless
+    texts are copies of one another.
     """
-    ids = near_duplicates(docs).where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
+    ids = near_copies(docs).where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
     kept = docs.join(ids, docs["doc_id"] == ids["_kept"], "left_semi").select(*DOCUMENT_COLUMNS)
     return kept.unionByName(docs.where("doc_id is null").select(*DOCUMENT_COLUMNS))

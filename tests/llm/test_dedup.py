@@ -8,8 +8,10 @@ import pytest
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
-from siltstone.llm import components, simhash, substring_dedup
+from siltstone.llm import components, near_copies, simhash, substring_dedup
+from tests.llm.conftest import TEXTS
 
 
 def removed(docs):
@@ -143,13 +145,93 @@ def test_simhash_odd_rows(odd, nothing):
     assert simhash.near_duplicates(nothing).count() == 0
     kept = [r.doc_id for r in simhash.stage(odd.sparkSession, odd, "").collect()]
     assert 2 not in kept and 1 in kept and 5 not in kept
+    assert simhash.stage(odd.sparkSession, nothing, "").count() == 0
+    assert {r.doc_id: r.component_id for r in near_copies.near_copies(odd).collect()} == classes({i: t for i, t in TEXTS if i is not None}) | {None: None}
 
 
 def test_simhash_stage_keeps_null_ids(odd):
     twice = odd.unionByName(odd.where("doc_id is null"))
     kept = [(r.doc_id, r.text) for r in simhash.stage(odd.sparkSession, twice, "").collect()]
     assert [t for i, t in kept if i is None] == [odd.where("doc_id is null").first().text] * 2
-    assert {i for i, _ in kept} == {1, 3, 4, 7, 8, 9, None}
+    assert {i for i, _ in kept} == {1, 4, 7, 8, 9, None}  # 3 shares 20 of 24 shingles with 1
+
+
+def word_sets(texts):
+    out = {}
+    for i, t in texts.items():
+        w = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
+        out[i] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+    return out
+
+
+def similar(texts, least=0.8):
+    """Pairs of texts whose five-word shingles have a Jaccard similarity of 0.8 or more, by comparing all pairs that share any."""
+    sets, inverted, common = word_sets(texts), {}, {}
+    for i, x in sets.items():
+        for g in x:
+            inverted.setdefault(g, []).append(i)
+    for own in inverted.values():
+        for k, i in enumerate(own):
+            for j in own[k + 1 :]:
+                common[i, j] = common.get((i, j), 0) + 1
+    found = {p for p, n in common.items() if n >= least * (len(sets[p[0]]) + len(sets[p[1]]) - n)}
+    empty = [i for i, x in sets.items() if not x]
+    return found | {(empty[0], i) for i in empty[1:]}
+
+
+def classes(texts):
+    up = {i: i for i in texts}
+
+    def top(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for i, j in similar(texts):
+        a, b = top(i), top(j)
+        up[max(a, b)] = min(a, b)
+    return {i: top(i) for i in texts}
+
+
+@pytest.mark.parametrize("size", ["0.001", "0.01"])
+def test_near_copies_are_brute_force(spark, size):
+    docs = spark.read.parquet(f"/root/testdata/sf{size}/documents.parquet")
+    got = {r.doc_id: r.component_id for r in near_copies.near_copies(docs).collect()}
+    assert got == classes({r.doc_id: r.text for r in docs.collect()})
+
+
+@pytest.mark.parametrize(("cell", "cell_bytes"), [(2048, 8_000_000), (6, 3000)])
+def test_edited_copies(spark, monkeypatch, cell, cell_bytes):
+    """Copies with words replaced: all of the pairs at 0.8 or more are linked, none below; hot groups are dealt over cells."""
+    monkeypatch.setattr(near_copies, "CELL", cell)
+    monkeypatch.setattr(near_copies, "CELL_BYTES", cell_bytes)
+    rng = np.random.default_rng(11)
+    texts, i = {}, 0
+    for length in (30, 100, 200, 400):
+        for _ in range(30):
+            words = [f"w{x}" for x in rng.integers(0, 5000, length)]
+            for edits in range(0, 4):
+                copy = list(words)
+                for k in rng.integers(0, length, edits * max(1, length // 100)):
+                    copy[k] = f"x{rng.integers(0, 10**9)}"
+                texts[i] = " ".join(copy)
+                i += 1
+    base = [f"b{x}" for x in range(120)]
+    for k in range(60):  # a dense group
+        texts[i + k] = " ".join([*base[:k], f"n{k}", *base[k + 1 :]])
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").withColumn("node", F.lit("x")).withColumn("f0", F.lit(1))
+    got = {r.doc_id: r.component_id for r in near_copies.near_copies(docs).collect()}
+    pairs, found = similar(texts), classes(texts)
+    assert all(got[k] == k or got[k] == got[found[k]] for k in got)
+    assert np.mean([got[a] == got[b] for a, b in pairs]) > 0.99 and len(pairs) > 300
+    assert all(found[k] == found[got[k]] for k in got)  # nothing that isn't linked shares a class
+
+
+def test_blocks_grow_with_the_corpus():
+    sizes = {n: (len(c[0]), len(c)) for n in (0, 10**4, 10**7, 10**9, 10**11) for c in [near_copies.block_columns(n, 0.8)]}
+    assert [sizes[n][0] for n in sorted(sizes)] == [16, 16, 16, 22, 29]
+    for size, count in sizes.values():
+        assert (1 - near_copies.agreement(0.8) ** size) ** count < 1.1 * near_copies.MISSED
 
 
 def test_components(spark):

@@ -1,9 +1,9 @@
 """The corpus pipeline, stage by stage."""
 
 import corpus_pipeline
-from siltstone.llm import quality, simhash, toxicity
+from siltstone.llm import quality, toxicity
 from siltstone.llm.common import DOCUMENT_COLUMNS
-from tests.llm.test_dedup import fingerprint, groups, removed
+from tests.llm.test_dedup import classes, removed
 from tests.llm.test_tokens import byte_ids, check_pieces
 
 
@@ -23,8 +23,7 @@ def test_stages(spark, sf, tmp_path):
     before, after = seen["quality_rules"]
     assert ids(after) == {r.doc_id for r in quality.quality_verdicts(before).collect() if r.kept}
     before, after = seen["simhash_near_dedup"]
-    comp = groups({r.doc_id: fingerprint(r.text) for r in before.collect()})
-    assert ids(after) == set(comp.values()) and simhash.near_duplicates(before).count() == before.count()
+    assert ids(after) == set(classes({r.doc_id: r.text for r in before.collect()}).values())
     before, after = seen["substring_dedup"]
     expected = removed([(r.doc_id, r.text) for r in before.collect()])
     import hashlib
