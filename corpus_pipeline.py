@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from siltstone.llm import packing, quality, simhash, substring_dedup, toxicity
-from siltstone.llm.common import shared_dir, table
+from siltstone.llm.common import cut, remove, shared_dir, table
 
 #: (name, function) in order; each function takes (spark, docs, sf_dir).
 STAGES = [
@@ -21,12 +21,21 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies the stages to documents; what a stage returns is written to the shared folder and read by the next."""
+    """Applies the stages to documents; what a stage returns is written to the shared folder and read by the next.
+
+    A stage's rows go when the next one's are written; the result is kept as a checkpoint, and the folder is removed.
+    """
     import uuid
 
     at = f"{shared_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
-    docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        stage(spark, docs, sf_dir).write.parquet(f"{at}/{name}")
-        docs = spark.read.parquet(f"{at}/{name}")
-    return STAGES[-1][1](spark, docs, sf_dir)
+    docs, before = table(spark, sf_dir, "documents"), None
+    try:
+        for name, stage in STAGES[:-1]:
+            stage(spark, docs, sf_dir).write.parquet(f"{at}/{name}")
+            if before:
+                remove(spark, before)
+            before = f"{at}/{name}"
+            docs = spark.read.parquet(before)
+        return cut(STAGES[-1][1](spark, docs, sf_dir))
+    finally:
+        remove(spark, at)
