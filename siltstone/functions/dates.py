@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from datetime import date, timedelta
 
 from pyspark.sql import Column
@@ -41,9 +40,9 @@ def checked_range(start: str | None, end: str | None, today: date) -> tuple[date
     return first, last
 
 
-def history_days(pairs: int, min_rows: int, min_days: int = 365) -> int:
-    """Days of history that give min_rows rows for so many pairs."""
-    return min_days if pairs <= 0 else max(min_days, math.ceil(min_rows / pairs))
+def history_days(pairs: Column, min_rows: int, min_days: int = 365) -> Column:
+    """Days of history that give min_rows rows for so many pairs; min_days at least, and where there are no pairs."""
+    return F.when(pairs > 0, F.greatest(F.lit(min_days).cast("long"), F.ceil(F.lit(min_rows) / pairs))).otherwise(F.lit(min_days).cast("long"))
 
 
 def snapshot_days(today: Column, days: Column | int) -> Column:

@@ -1,19 +1,13 @@
-"""Text expressions: white space, words, phrases, hashes and random draws, all as Columns."""
+"""Text expressions: white space, words, titles, hashes and random draws, all as Columns."""
 
 from __future__ import annotations
 
-import unicodedata
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from siltstone.functions.constants import CRAWL_ERRORS, MAX_PHRASE_WORDS, SOURCE_LABELS, STOPWORDS
+from siltstone.functions.constants import CRAWL_ERRORS, SOURCE_LABELS
 
 WORD = r"[\p{L}\p{N}]+(?:['’-][\p{L}\p{N}]+)*"
-TOKEN = r"[\p{L}\p{N}]+(?:'[\p{L}]+)?"
-BORDER = r"[.,;:!?()\[\]{}\x22“”|/\\–—]+|(?U)\s-(?U)\s"
 SITE_NAME = r"(?U)\s+[|•·–—-]\s+"
 
 
@@ -35,44 +29,6 @@ def utf16_length(c: Column) -> Column:
     return F.length(c) + F.regexp_count(c, F.lit(r"[\x{10000}-\x{10FFFF}]"))
 
 
-@F.pandas_udf(T.StringType())
-def nfkc(values: pd.Series) -> pd.Series:
-    """Compatibility composition, which Spark has no function for."""
-    return values.map(lambda x: unicodedata.normalize("NFKC", x), na_action="ignore")
-
-
-def normalized(c: Column, compose: bool = True) -> Column:
-    """Lower case with straight apostrophes; compose=False skips NFKC where texts are known to be composed."""
-    return F.regexp_replace(F.lower(nfkc(c) if compose else c), "[’‘]", "'")
-
-
-def phrase_array(c: Column, inner_stopwords: bool = True, compose: bool = True) -> Column:
-    """All phrases of 1 to 4 words that stay within punctuation, in order and with repeats.
-
-    The first and last word are no stopword and no number, the last is no possessive, a single word has 3 letters or more.
-    Without inner_stopwords no word is a stopword.
-    """
-    words = F.transform(F.split(normalized(c, compose), BORDER), lambda s: F.regexp_extract_all(s, F.lit(TOKEN), F.lit(0)))
-    # each word once as (word, is a stopword, is a number)
-    rated = F.transform(words, lambda ws: F.transform(ws, lambda w: F.struct(w.alias("w"), w.isin(STOPWORDS).alias("s"), w.rlike(r"^[0-9]+$").alias("d"))))
-
-    def of_segment(ws: Column) -> Column:
-        def starting(w: Column, i: Column) -> Column:
-            found = [F.when(~F.endswith(w["w"], F.lit("'s")) & (F.length(w["w"]) >= 3), w["w"])]
-            for n in range(1, MAX_PHRASE_WORDS):
-                run = [w, *[F.get(ws, i + k) for k in range(1, n + 1)]]
-                good = ~run[-1]["s"] & ~run[-1]["d"] & ~F.endswith(run[-1]["w"], F.lit("'s"))  # null beyond the end
-                if not inner_stopwords:
-                    for x in run[1:-1]:
-                        good = good & ~x["s"]
-                found.append(F.when(good, F.concat_ws(" ", *[x["w"] for x in run])))
-            return F.when(~w["s"] & ~w["d"], F.array_compact(F.array(*found))).otherwise(F.array().cast("array<string>"))
-
-        return F.flatten(F.transform(ws, starting))
-
-    return F.coalesce(F.flatten(F.transform(rated, of_segment)), F.array().cast("array<string>"))
-
-
 def strip_site_name(title: Column) -> Column:
     """A title without its last part after a separator between spaces."""
     parts = F.split(title, SITE_NAME)
@@ -109,8 +65,9 @@ def times32(a: Column, b: Column) -> Column:
 
 
 def fnv1a(c: Column) -> Column:
-    """32-bit FNV-1a over the UTF-16 units of a text without characters beyond the basic plane."""
-    codes = F.transform(F.filter(F.split(c, ""), lambda x: x != ""), lambda x: F.conv(F.hex(F.encode(x, "UTF-16BE")), 16, 10).cast("long"))
+    """32-bit FNV-1a over the UTF-16 units of a text."""
+    units = F.regexp_extract_all(F.hex(F.encode(c, "UTF-16BE")), F.lit("[0-9A-F]{4}"), F.lit(0))
+    codes = F.transform(units, lambda x: F.conv(x, 16, 10).cast("long"))
     return F.aggregate(codes, F.lit(0x811C9DC5).cast("long"), lambda h, u: times32(h.bitwiseXOR(u), F.lit(0x01000193).cast("long")))
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from siltstone.functions.constants import ARCHIVE_SEGMENTS, GENERIC_NAME_WORDS, NEGATIVE_TOKENS, POSITIVE_TOKENS
 
+# Patterns of tracking parameters, of language and region segments, and of files that are no pages.
 TRACKING = r"(?i)^(utm_[a-z]+|gclid|fbclid|mc_cid|mc_eid|ref)(=|$)"
 LOCALE = r"^[a-z]{2}(-[a-z]{2,4})?$"
 NON_HTML = r"(?i)\.(pdf|jpe?g|png|gif|webp|svg|zip|mp4|mp3|xml|json|css|js|txt)$"
@@ -36,41 +37,66 @@ def strip_hash(url: Column) -> Column:
     return F.substring_index(url, "#", 1)
 
 
-def normalize_page_url(url: Column) -> Column:
-    """An absolute http(s) URL without fragment and tracking parameters, scheme and host in lower case; else null."""
-    plain = strip_hash(F.trim(url))
+def ascii_url(url: Column) -> Column:
+    """An http(s) URL in ASCII: its host by IDNA, other characters percent-encoded; ASCII URLs stay as they are."""
+    part = lambda i: F.regexp_extract(url, r"(?is)^(https?://(?:[^/?#@]*@)?)([^/?#:]*)(.*)$", i)
+    quoted = F.transform(F.split(part(3), ""), lambda c: F.when(c.rlike(r"^[\x21-\x7E]*$"), c).when(c == " ", "%20").otherwise(F.url_encode(c)))
+    whole = F.concat(part(1), F.try_reflect(F.lit("java.net.IDN"), F.lit("toASCII"), part(2)), F.array_join(quoted, ""))
+    return F.when(url.rlike(r"^[\x21-\x7E]*$"), url).otherwise(whole)
+
+
+def strip_default_port(origin: Column) -> Column:
+    """A scheme and authority without the port that goes without saying."""
+    return F.regexp_replace(origin, r"(?i)^(http)(://.*):80$|^(https)(://.*):443$", "$1$3$2$4")
+
+
+def normalize_page_url(url: Column, base: Column | None = None) -> Column:
+    """An http(s) URL without fragment, default port and tracking parameters, in ASCII, scheme and host in lower case; else null.
+
+    With base a relative reference is resolved against it (Python); otherwise it gives null.
+    """
+    plain = ascii_url(strip_hash(F.trim(resolve(url, base) if base is not None else url)))
     head = F.substring_index(plain, "?", 1)
     query = F.when(F.instr(plain, "?") > 0, F.substr(plain, F.length(head) + 2))
     kept = F.array_join(F.filter(F.split(query, "&"), lambda p: ~p.rlike(TRACKING)), "&")
-    base = F.concat(F.lower(F.regexp_extract(head, r"^[^:]+://[^/]+", 0)), F.when(F.regexp_extract(head, r"^[^:]+://[^/]+(.*)$", 1) == "", "/").otherwise(F.regexp_extract(head, r"^[^:]+://[^/]+(.*)$", 1)))
-    return F.when(host(plain).isNotNull(), F.when(query.isNull() | (kept == "") | kept.isNull(), base).otherwise(F.concat(base, F.lit("?"), kept)))
+    origin = strip_default_port(F.lower(F.regexp_extract(head, r"^[^:]+://[^/]+", 0)))
+    whole = F.concat(origin, F.when(F.regexp_extract(head, r"^[^:]+://[^/]+(.*)$", 1) == "", "/").otherwise(F.regexp_extract(head, r"^[^:]+://[^/]+(.*)$", 1)))
+    return F.when(host(plain).isNotNull(), F.when(query.isNull() | (kept == "") | kept.isNull(), whole).otherwise(F.concat(whole, F.lit("?"), kept)))
+
+
+def _join(href: str | None, base: str | None, web: bool) -> str | None:
+    if href is None or base is None:
+        return None
+    try:
+        found = urljoin(base, href.strip())
+        parts = urlsplit(found)
+        parts.port  # noqa: B018  raises for a port that is none
+    except ValueError:
+        return None
+    if parts.scheme not in ("http", "https"):
+        return found if parts.scheme and not web else None
+    if not parts.hostname:
+        return None
+    return found if parts.path else found.replace(parts.netloc, parts.netloc + "/", 1)
 
 
 @F.pandas_udf(T.StringType())
 def resolve(href: pd.Series, base: pd.Series) -> pd.Series:
     """A possibly relative reference against its page's URL; null where it gives no http(s) URL. Spark has no resolver."""
+    return pd.Series([_join(h, b, True) for h, b in zip(href, base, strict=True)])
 
-    def one(h, b):
-        if h is None or b is None:
-            return None
-        try:
-            found = urljoin(b, h.strip())
-            parts = urlsplit(found)
-            parts.port  # noqa: B018  raises for a port that is none
-        except ValueError:
-            return None
-        if parts.scheme not in ("http", "https") or not parts.hostname:
-            return None
-        return found if parts.path else found.replace(parts.netloc, parts.netloc + "/", 1)
 
-    return pd.Series([one(h, b) for h, b in zip(href, base, strict=True)])
+@F.pandas_udf(T.StringType())
+def resolve_any(href: pd.Series, base: pd.Series) -> pd.Series:
+    """The same for references of any scheme."""
+    return pd.Series([_join(h, b, False) for h, b in zip(href, base, strict=True)])
 
 
 def parse_website(url: Column) -> Column:
     """struct<url, origin, site_key> of a website as a person enters it; null if it is not an http(s) URL of a named host."""
-    plain = F.substring_index(strip_hash(F.trim(url)), "?", 1)
+    plain = ascii_url(F.substring_index(strip_hash(F.trim(url)), "?", 1))
     good = plain.rlike(r"(?i)^https?://[^/?#@\s]+") & ~plain.rlike(r"^[^:]+://[^/]*@") & (F.contains(host(plain), F.lit(".")) | plain.rlike(r"(?i)^https?://\["))
-    origin = F.lower(F.regexp_replace(F.regexp_extract(plain, r"(?i)^https?://[^/]+", 0), r"(?i)^(http)(://.*):80$|^(https)(://.*):443$", "$1$3$2$4"))
+    origin = F.lower(strip_default_port(F.regexp_extract(plain, r"(?i)^https?://[^/]+", 0)))
     rest = F.regexp_extract(plain, r"(?i)^https?://[^/]+(.*)$", 1)
     return F.when(good, F.struct(F.concat(origin, F.when(rest == "", "/").otherwise(rest)).alias("url"), origin.alias("origin"), site_key(host(plain)).alias("site_key")))
 

@@ -48,9 +48,10 @@ def analyse_crawl(entries: DataFrame, answers: DataFrame) -> Crawl:
     return Crawl(pages, keyword_picks(facts), issues, outcomes)
 
 
-def rows_from_arrays(spark: SparkSession, **arrays) -> DataFrame:
-    """Rows zipped from equally long lists, one a column: the shape of a bulk load."""
-    return spark.createDataFrame(list(zip(*arrays.values(), strict=True)), list(arrays))
+def rows_from_arrays(arrays: DataFrame, *columns: str) -> DataFrame:
+    """The rows that come as equally long arrays, one a column, zipped: the shape of a bulk load. Other columns are repeated."""
+    rest = [c for c in arrays.columns if c not in columns]
+    return arrays.select(*rest, F.inline(F.arrays_zip(*columns)))
 
 
 def is_alive(spark: SparkSession) -> bool:

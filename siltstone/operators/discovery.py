@@ -8,14 +8,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siltstone.functions.constants import BLOG_WORDS, CONVENTIONAL_SITEMAPS, FAMILIES_SAMPLED, MAX_INDEX_DEPTH, MAX_PARTS, MIN_HUB_URLS, POST_LIMIT, SAMPLE_SIZE
+from siltstone.functions.constants import BLOG_WORDS, CONVENTIONAL_SITEMAPS, FAMILIES_SAMPLED, MAX_INDEX_DEPTH, MAX_PARTS, MAX_SITEMAP_FETCHES, MIN_HUB_URLS, POST_LIMIT, SAMPLE_SIZE
 from siltstone.functions.lineage import cut
-from siltstone.functions.urls import LOCALE, family_key, has_locale, has_negative, has_positive, host, is_archive_or_file, is_article_shaped, is_subdomain, is_under, name_tokens, normalize_page_url, path, resolve, segments, site_key
+from siltstone.functions.urls import LOCALE, family_key, has_locale, has_negative, has_positive, host, is_archive_or_file, is_article_shaped, is_subdomain, is_under, name_tokens, normalize_page_url, path, segments, site_key, strip_default_port
+from siltstone.sources.html import anchors
+from siltstone.sources.sitemap import robots_check, robots_sitemaps
 
 
 def hub_link_scores(links: DataFrame, resolved: bool = True) -> DataFrame:
     """links(page_id, url, ord, href, text, in_nav) with target and score, for links that may lead to a blog."""
-    target = normalize_page_url(resolve(F.col("href"), F.col("url")) if resolved else F.col("href"))
+    target = normalize_page_url(F.col("href"), F.col("url") if resolved else None)
     found = links.withColumn("target", target).where("target is not null")
     sub = is_subdomain(host(F.col("target")), host(F.col("url")))
     p = path(F.col("target"))
@@ -41,21 +43,23 @@ def hub_sitemaps(origin: Column, hub_url: Column) -> Column:
 
 
 def expand_indexes(start: DataFrame, documents: DataFrame, depth: int = MAX_INDEX_DEPTH) -> DataFrame:
-    """(site, sitemap_url, ord): the readable sitemaps below start(site, sitemap_url, ord), indexes replaced by their children.
+    """(site, sitemap_url, ord): the candidates below start(site, sitemap_url, ord), indexes replaced by their children.
 
-    documents(site, sitemap_url, kind, ord, loc). A bounded number of levels; order is that of the walk.
+    documents(site, sitemap_url, kind, ord, loc). Of start only readable sitemaps count; children are candidates whether
+    they can be read or not, as they are ranked by name first. A bounded number of levels; order is that of the walk.
     """
-    kinds = documents.select("sitemap_url", "kind").distinct()
+    kinds = documents.where("kind <> 'unknown'").select("sitemap_url", "kind").distinct()
+    children = documents.where("kind = 'index'").where(F.col("loc").rlike(r"(?i)^https?://")).select(F.col("sitemap_url").alias("parent"), F.col("ord").cast("long").alias("child"), "loc")
     at = start.select("site", "sitemap_url", F.array(F.col("ord").cast("long")).alias("place"))
     out = None
     for level in range(depth + 1):
-        known = at.join(kinds, "sitemap_url")
-        leaves = known.where("kind <> 'index'").select("site", "sitemap_url", "place")
+        known = at.join(kinds, "sitemap_url", "left" if level else "inner")
+        index = F.coalesce(F.col("kind") == "index", F.lit(False))
+        leaves = known.where(~index).select("site", "sitemap_url", "place")
         out = leaves if out is None else out.unionByName(leaves)
         if level == depth:
             break
-        children = documents.where("kind = 'index'").where(F.col("loc").rlike(r"(?i)^https?://")).select(F.col("sitemap_url").alias("parent"), F.col("ord").cast("long").alias("child"), "loc")
-        at = known.where("kind = 'index'").join(children, F.col("sitemap_url") == F.col("parent")).select("site", F.col("loc").alias("sitemap_url"), F.array_append("place", F.col("child")).alias("place"))
+        at = known.where(index).join(children, F.col("sitemap_url") == F.col("parent")).select("site", F.col("loc").alias("sitemap_url"), F.array_append("place", F.col("child")).alias("place"))
     first = out.groupBy("site", "sitemap_url").agg(F.min("place").alias("place"))
     return first.select("site", "sitemap_url", F.row_number().over(Window.partitionBy("site").orderBy("place", "sitemap_url")).alias("ord"))
 
@@ -149,6 +153,67 @@ def select_posts(urls: DataFrame, sites: DataFrame, limit: int = POST_LIMIT) ->
     return u.where(good).withColumn("post", F.row_number().over(w)).where(F.col("post") <= limit).select("site", "post", "url")
 
 
+def first_readable(places: DataFrame, documents: DataFrame) -> DataFrame:
+    """The first of the places(site, round, sitemap_url, ord) of each site and round that can be read: guesses need one answer."""
+    kinds = documents.where("kind <> 'unknown'").select("sitemap_url").distinct()
+    best = places.join(kinds, "sitemap_url", "left_semi").groupBy("site", "round").agg(F.min_by(F.struct("sitemap_url", "ord"), "ord").alias("p"))
+    return best.select("site", "round", "p.*")
+
+
+def sitemap_rounds(origins: DataFrame, listed: DataFrame, documents: DataFrame) -> DataFrame:
+    """(site, round, sitemap_url, ord): where to look for the sitemaps of origins(site, origin, hub_url).
+
+    First what robots.txt lists, listed(site, sitemap_url, ord), of the site itself and up to a number, with the first
+    readable usual place below the hub; then the first readable usual place of the site.
+    """
+    own = listed.join(origins.select("site"), "site").where(F.col("sitemap_url").rlike(r"(?i)^https?://") & (site_key(host(F.col("sitemap_url"))) == F.col("site")))
+    nth = F.row_number().over(Window.partitionBy("site").orderBy("ord"))
+    robots = own.withColumn("ord", nth).where(F.col("ord") <= MAX_SITEMAP_FETCHES).select("site", F.lit(1).alias("round"), "sitemap_url", "ord")
+    guess = lambda urls, number, offset: origins.select("site", F.lit(number).alias("round"), F.posexplode(urls).alias("ord", "sitemap_url")).select("site", "round", "sitemap_url", (F.col("ord") + offset).alias("ord"))
+    hub = first_readable(guess(hub_sitemaps(F.col("origin"), F.col("hub_url")), 1, MAX_SITEMAP_FETCHES + 1), documents)
+    usual = first_readable(guess(F.array(*[F.concat("origin", F.lit(p)) for p in CONVENTIONAL_SITEMAPS]), 2, 1), documents)
+    return robots.unionByName(hub).unionByName(usual)
+
+
+def homepage_code(status: Column, error: Column) -> Column:
+    """Why a site's homepage ends its discovery; null if it doesn't."""
+    return (
+        F.when(error.isNotNull() & (error != "timeout"), error)
+        .when(error.isNotNull() | status.isNull(), "site_unreachable")
+        .when(status.isin(403, 429), "blocked_by_site")
+        .when(status >= 400, "site_unreachable")
+    )
+
+
+def discover_sites(homepages: DataFrame, robots: DataFrame, documents: DataFrame, agent: str, limit: int = POST_LIMIT) -> DataFrame:
+    """(page_id, entered_url, origin, hub_url, round, members, post, url, allowed, crawl_delay, error_code).
+
+    A row for each post of a site, or one row with an error_code for a site without: blocked_by_site, site_unreachable or
+    the code of its fetch, no_sitemap, no_blog_found. homepages(page_id, entered_url, url, status, error, html): the answers
+    to the entered URLs, one a site; robots(origin, status, content_type, robots); documents(sitemap_url, kind, ord, loc),
+    a readable sitemap without locations as a row of nulls. A hub on a subdomain moves the origin there.
+    """
+    home = cut(homepages.withColumn("error_code", homepage_code(F.col("status"), F.col("error"))))
+    live = home.where("error_code is null")
+    hubs = find_hub(anchors(live), live.select("page_id", "entered_url"))
+    origin = lambda c: strip_default_port(F.lower(F.regexp_extract(c, r"(?i)^https?://[^/?#]+", 0)))
+    moved = F.col("hub_url").isNotNull() & (site_key(host(F.col("hub_url"))) != site_key(host(F.col("url"))))
+    found = live.join(hubs, "page_id").select("page_id", origin(F.when(moved, F.col("hub_url")).otherwise(F.col("url"))).alias("origin"), "hub_url")
+    found = cut(found.withColumn("site", site_key(host(F.col("origin")))))
+    rules = cut(found.select("site", "origin").join(robots, "origin", "left"))
+    documents = cut(documents.withColumn("site", F.lit(None).cast("string")))
+    rounds = cut(sitemap_rounds(found, robots_sitemaps(rules), documents))
+    posts = discover_blog(rounds, documents, found.select("site", "hub_url"), limit)
+    asked = posts.join(rules.drop("origin"), "site")
+    verdicts = robots_check(asked.select("url", "status", "content_type", "robots"), agent)
+    posts = cut(posts.join(verdicts.dropDuplicates(["url"]), "url"))
+    any_map = expand_indexes(rounds.select("site", "sitemap_url", "ord"), documents).select("site").distinct().withColumn("mapped", F.lit(True))
+    done = found.join(posts, "site", "left").join(any_map, "site", "left")
+    code = F.when(F.col("url").isNotNull(), F.lit(None).cast("string")).when(F.col("mapped"), "no_blog_found").otherwise("no_sitemap")
+    done = done.select("page_id", "origin", "hub_url", "round", "members", "post", "url", "allowed", "crawl_delay", code.alias("late"))
+    return home.select("page_id", "entered_url", "error_code").join(done, "page_id", "left").withColumn("error_code", F.coalesce("error_code", "late")).select("page_id", "entered_url", "origin", "hub_url", "round", "members", "post", "url", "allowed", "crawl_delay", "error_code")
+
+
 def _parts_read(urls: DataFrame, limit: int) -> DataFrame:
     """(site, part): the members that are read until there are URLs enough: under a known hub, else three for each post."""
     p, hub = path(F.col("loc")), F.coalesce(F.col("hub_path") != "/", F.lit(False))

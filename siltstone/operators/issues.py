@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from siltstone.functions.constants import LISTED_IMAGES, RENDERED_WORDS, SEARCH_AGENTS, THIN_WORDS, TITLE_MAX, TITLE_MIN, VALUE_DIRECTIVES
 from siltstone.functions.text import utf16_length
-from siltstone.functions.urls import resolve, strip_hash
+from siltstone.functions.urls import resolve_any, strip_hash
 
 
 def blocks_indexing(robots: Column) -> Column:
@@ -36,7 +36,7 @@ def rules(resolved_canonical: bool = True) -> list[Column]:
     """
     c = F.col
     title, size, words = c("title"), F.coalesce(utf16_length(c("title")), F.lit(0)), c("word_count")
-    canonical = strip_hash(resolve(c("canonical"), c("url"))) if resolved_canonical else strip_hash(c("canonical"))
+    canonical = strip_hash(resolve_any(c("canonical"), c("url"))) if resolved_canonical else strip_hash(c("canonical"))
     h1s, missing = F.size("h1s"), F.size("images_missing_alt")
     s = lambda **cols: F.struct(*[v.alias(k) for k, v in cols.items()])
     return [

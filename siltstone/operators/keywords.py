@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.functions.constants import BODY_ONLY_WEIGHT, INTRO_WORDS, MAX_KEYWORDS, MIN_SCORE, SOURCE_WEIGHTS
-from siltstone.functions.text import phrase_array, round2, site_name, strip_site_name
+from siltstone.functions.lineage import cut
+from siltstone.functions.phrases import phrase_array, phrase_lists
+from siltstone.functions.text import round2, site_name, strip_site_name
 from siltstone.functions.urls import slug_text
 
 
@@ -33,11 +38,46 @@ def _intro(main_text: Column) -> Column:
     return F.array_join(F.slice(F.split(main_text, r"(?U)\s+"), 1, INTRO_WORDS), " ")
 
 
+#: Places whose single words count, and places of running text, where phrases have several words and no stopword.
+_NAMED, _RUNNING = ["title", "h1", "slug", "schema", "heading"], ["meta", "intro"]
+_FOUND = pa.schema([("site", pa.string()), ("page_id", pa.int64()), ("term", pa.string()), ("places", pa.int32()), ("body_count", pa.int64())])
+
+
+def _page_terms(batch: pa.RecordBatch, compose: bool) -> pa.RecordBatch:
+    """_FOUND of a batch of (site, page_id, an array of texts for each place, body); places: a bit for each of SOURCE_WEIGHTS."""
+    bits = {name: 1 << i for i, name in enumerate(SOURCE_WEIGHTS)}
+    terms, pages, marks = [], [], []
+    for places, inner in ((_NAMED, True), ([*_RUNNING, "body"], False)):
+        lists = [batch.column(p) for p in places]
+        size = [x.value_lengths().fill_null(0).to_numpy() for x in lists]
+        found, count = phrase_lists([t for x in lists for t in x.flatten().to_pylist()], inner, compose)
+        page = np.concatenate([np.repeat(np.arange(batch.num_rows), n) for n in size])
+        mark = np.repeat([bits.get(p, 0) for p in places], [n.sum() for n in size])
+        page, mark = np.repeat(page, count), np.repeat(mark, count)
+        several = pc.match_substring(found, " ").to_numpy(zero_copy_only=False)
+        keep = several | ~np.isin(mark, [bits[p] for p in _RUNNING])
+        terms.append(found.filter(pa.array(keep)))
+        pages.append(page[keep])
+        marks.append(mark[keep])
+    coded = pa.concat_arrays(terms).dictionary_encode()
+    n = max(1, len(coded.dictionary))
+    key, at = np.unique(np.concatenate(pages) * n + coded.indices.to_numpy(), return_inverse=True)
+    mark, places = np.concatenate(marks), np.zeros(len(key), np.int32)
+    np.bitwise_or.at(places, at, mark.astype(np.int32))
+    body = np.bincount(at, mark == 0, len(key)).astype(np.int64)
+    term = coded.dictionary.take(pa.array(key % n))
+    keep = pa.array((places > 0) | pc.match_substring(term, " ").to_numpy(zero_copy_only=False))
+    own = pa.array(key // n)
+    found = pa.RecordBatch.from_arrays([batch.column(0).take(own), batch.column(1).take(own), term, pa.array(places), pa.array(body)], schema=_FOUND)
+    return found.filter(keep)
+
+
 def candidates(facts: DataFrame, site_col: str = "site", compose: bool = True) -> DataFrame:
-    """(site, page_id, term, sources, body_count) of every phrase that may be picked.
+    """(site, page_id, term, sources, body_count) of every phrase that may be picked; facts has a row a page.
 
     Single words come from chosen places only; in running text (meta, intro, body) phrases have several words and no
-    stopword. Body counts single words that have another place. Phrases with a brand word are none.
+    stopword. Body counts single words that have another place. Phrases with a brand word are none. A page's places are
+    tokenized and counted in one pass, without a shuffle.
     """
     none = F.array().cast("array<string>")
     texts = {
@@ -48,32 +88,25 @@ def candidates(facts: DataFrame, site_col: str = "site", compose: bool = True) -
         "heading": F.col("headings"),
         "meta": F.array("meta_description"),
         "intro": F.array(_intro(F.col("main_text"))),
+        "body": F.array("main_text"),
     }
+    base = facts.select(F.col(site_col).cast("string").alias("site"), F.col("page_id").cast("long"), *[F.coalesce(v, none).alias(k) for k, v in texts.items()])
 
-    def of(name: str, values: Column) -> Column:
-        running = name in ("meta", "intro")
-        found = F.flatten(F.transform(F.coalesce(values, none), lambda t: phrase_array(F.coalesce(t, F.lit("")), not running, False)))
-        found = F.filter(found, lambda t: F.contains(t, F.lit(" "))) if running else found
-        return F.transform(F.array_distinct(found), lambda t: F.struct(F.lit(name).alias("source"), t.alias("term")))
-
-    base = facts.select(F.col(site_col).alias("site"), "page_id", "url", "title", "h1s", "jsonld_keywords", "headings", "meta_description", "main_text")
-    if compose:  # composed once by page, not once by place
-        from siltstone.functions.text import nfkc
+    def run(batches):
+        for batch in batches:
+            for a in range(0, batch.num_rows, 500):
+                yield _page_terms(batch.slice(a, 500), compose)
 
-        each = lambda a: F.split(nfkc(F.array_join(a, "\u0000")), "\u0000")
-        base = base.withColumns({"title": nfkc("title"), "meta_description": nfkc("meta_description"), "main_text": nfkc("main_text"), "h1s": each("h1s"), "headings": each("headings"), "jsonld_keywords": each("jsonld_keywords")})
-    body = F.transform(phrase_array(F.coalesce(F.col("main_text"), F.lit("")), False, False), lambda t: F.struct(F.lit("body").alias("source"), t.alias("term")))
-    placed = base.select("site", "page_id", F.inline(F.concat(*[of(k, v) for k, v in texts.items()], body)))
+    found = base.mapInArrow(run, "site string, page_id long, term string, places int, body_count long")
     brand = brand_words(facts, site_col, compose).groupBy("site").agg(F.collect_set("word").alias("brand"))
-    found = placed.groupBy("site", "page_id", "term").agg(F.collect_set(F.when(F.col("source") != "body", F.col("source"))).alias("found"), F.count_if(F.col("source") == "body").alias("body_count"))
-    found = found.where((F.size("found") > 0) | F.contains("term", F.lit(" "))).join(brand, "site", "left")
-    found = found.where(F.col("brand").isNull() | ~F.arrays_overlap(F.split("term", " "), "brand"))
-    sources = F.filter(F.array(*map(F.lit, SOURCE_WEIGHTS)), lambda s: F.array_contains("found", s))
+    found = found.join(brand, "site", "left").where(F.col("brand").isNull() | ~F.arrays_overlap(F.split("term", " "), "brand"))
+    sources = F.array_compact(F.array(*[F.when(F.col("places").bitwiseAND(1 << i) != 0, name) for i, name in enumerate(SOURCE_WEIGHTS)]))
     return found.select("site", "page_id", "term", sources.alias("sources"), "body_count")
 
 
 def keyword_scores(found: DataFrame, pages: DataFrame) -> DataFrame:
     """(site, page_id, term, score, sources) of candidates of enough weight; pages(site) gives each site's page count."""
+    found = cut(found)  # texts are tokenized once, for the counts and the rows
     df = found.groupBy("site", "term").agg(F.count(F.lit(1)).alias("df"))
     n = pages.groupBy("site").agg(F.count(F.lit(1)).alias("n"))
     rows = found.join(df, ["site", "term"]).join(n, "site")

@@ -2,22 +2,31 @@
 
 from __future__ import annotations
 
-from datetime import date
+from datetime import date, timedelta
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siltstone.functions.constants import CAPTURE_TIME, NOT_RANKING, UPDATE_DAY
+from siltstone.functions.constants import CAPTURE_TIME, DEFAULT_SERIES, NOT_RANKING, PRESET_RANGE_DAYS, UPDATE_DAY
 from siltstone.functions.dates import checked_range, local_day, local_start
 from siltstone.functions.text import draw, fnv1a, let
 
+#: Beyond every position.
+NO_POSITION = 1000
+
+
+def _place(position: Column) -> Column:
+    """What settles captures at the same instant: the better position counts, none comes last."""
+    return F.coalesce(position, F.lit(NO_POSITION))
+
 
 def latest_positions(pairs: DataFrame, snapshots: DataFrame, zone: str, key: list[str]) -> DataFrame:
     """Every pair with its latest (position, date in zone); both null where there is no snapshot.
 
-    A latest snapshot without a position has a date and a null position. One partial aggregate, no sort of histories.
+    A latest snapshot without a position has a date and a null position; of several at that instant the best position
+    counts. One partial aggregate, no sort of histories.
     """
-    last = snapshots.groupBy(*key).agg(F.max_by(F.struct("position", "captured_at"), F.col("captured_at")).alias("latest"))
+    last = snapshots.groupBy(*key).agg(F.max_by(F.struct("position", "captured_at"), F.struct("captured_at", -_place(F.col("position")))).alias("latest"))
     found = pairs.join(last, key, "left")
     return found.select(*pairs.columns, F.col("latest.position").alias("position"), local_day(F.col("latest.captured_at"), zone).alias("date"))
 
@@ -46,9 +55,13 @@ def history_series(pairs: DataFrame, history: DataFrame, key: list[str]) -> Data
     return found.select(*pairs.columns, F.coalesce(plain, F.array().cast("array<struct<date:string,position:int>>")).alias("points"))
 
 
-def history_pivot(history: DataFrame, column: str, values: list) -> DataFrame:
-    """One row by date, one column by value; of several captures on a day the later counts."""
-    return history.groupBy("date").pivot(column, values).agg(F.max_by("position", "captured_at"))
+def history_pivot(history: DataFrame, column: str, values: list, key: tuple[str, ...] = ()) -> DataFrame:
+    """One row by date and, of a history of several keys, by those; one column by value; in order of date.
+
+    Of several captures on a day the later counts.
+    """
+    last = F.max_by("position", F.struct("captured_at", -_place(F.col("position"))))
+    return history.groupBy("date", *key).pivot(column, values).agg(last).orderBy("date", *key)
 
 
 def missing_days(pairs: DataFrame, existing: DataFrame, key: list[str], days: Column) -> DataFrame:
@@ -59,7 +72,7 @@ def missing_days(pairs: DataFrame, existing: DataFrame, key: list[str], days: Co
 
 def first_of_day(snapshots: DataFrame, key: list[str]) -> DataFrame:
     """One snapshot a pair and UTC day: the first captured."""
-    return snapshots.groupBy(*key, F.to_date("captured_at").alias("snapshot_date")).agg(F.min("captured_at").alias("captured_at"), F.min_by("position", "captured_at").alias("position"))
+    return snapshots.groupBy(*key, F.to_date("captured_at").alias("snapshot_date")).agg(F.min("captured_at").alias("captured_at"), F.min_by("position", F.struct("captured_at", _place(F.col("position")))).alias("position"))
 
 
 def with_draws(days: Column) -> Column:
@@ -123,6 +136,16 @@ def axis(history: DataFrame) -> DataFrame:
     return one.withColumn("ticks", ticks)
 
 
+def default_series(keywords: DataFrame, key: str, order: list[str], count: int = DEFAULT_SERIES) -> DataFrame:
+    """The keywords that a page's chart shows at first: the first few of each key."""
+    return keywords.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where(F.col("_n") <= count).drop("_n")
+
+
+def preset_ranges(today: date) -> list[tuple[date, date]]:
+    """The ranges that are offered, each ending today."""
+    return [(today - timedelta(n - 1), today) for n in PRESET_RANGE_DAYS]
+
+
 def refresh_statistics(spark, table: str) -> None:
     """Column statistics of a stored table after a load, for the optimizer."""
     spark.sql(f"ANALYZE TABLE {table} COMPUTE STATISTICS FOR ALL COLUMNS")

@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.functions.constants import MAX_PAGE_SIZE, MAX_QUERY, PAGE_SIZE
 from siltstone.functions.dates import iso_utc
+from siltstone.functions.lineage import cut
 from siltstone.operators.ranks import latest_positions
 
-_UUID = re.compile(r"^[0-9a-f]{8}-[0-9a-f]{4}-[1-8][0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{12}$", re.IGNORECASE)
+_UUID = r"(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[1-8][0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{12}$"
+ORDER = ["client_name", "client_id", "sitemap_position", "id"]
 
 
 @dataclass
@@ -27,8 +28,9 @@ class Tables:
     rank_snapshots: DataFrame
 
 
-def is_uuid(value: str) -> bool:
-    return bool(_UUID.match(value))
+def is_uuid(value: Column) -> Column:
+    """Whether a text has the form of an id; other texts are ids of nothing."""
+    return F.coalesce(value.rlike(_UUID), F.lit(False))
 
 
 def checked_paging(page: int, page_size: int, q: str | None) -> str | None:
@@ -60,8 +62,8 @@ def count_pages(t: Tables, user: str, client: str | None = None, q: str | None =
 
 
 def _keyword_lists(t: Tables, of: DataFrame, zone: str, *extra: str) -> DataFrame:
-    """(page_id, keywords): the ordered keywords of some pages with their latest positions."""
-    pairs = t.page_keywords.join(of.select(F.col("id").alias("page_id")), "page_id", "left_semi")
+    """(page_id, keywords): the ordered keywords of the pages of(page_id) with their latest positions."""
+    pairs = t.page_keywords.join(of, "page_id", "left_semi")
     pairs = pairs.join(t.keywords.select(F.col("id").alias("keyword_id"), "term"), "keyword_id").select(F.col("id").alias("page_keyword_id"), "page_id", "keyword_id", "term", "rank_order", "score", "sources")
     snapshots = t.rank_snapshots.join(pairs.select("page_keyword_id"), "page_keyword_id", "left_semi")
     latest = latest_positions(pairs, snapshots, zone, ["page_keyword_id"])
@@ -69,37 +71,48 @@ def _keyword_lists(t: Tables, of: DataFrame, zone: str, *extra: str) -> DataFram
     return latest.groupBy("page_id").agg(F.transform(rows, lambda r: r["k"]).alias("keywords"))
 
 
-def list_pages(t: Tables, user: str, zone: str, client: str | None = None, q: str | None = None, page: int = 1, page_size: int = PAGE_SIZE) -> DataFrame:
+def list_pages(t: Tables, user: str, zone: str, client: str | None = None, q: str | None = None, page: int = 1, page_size: int = PAGE_SIZE, after: tuple | None = None) -> DataFrame:
     """One page of a user's list, in order: counts of issues, keywords with latest positions, best position.
 
-    The page is cut first; only its rows meet issues, keywords and snapshots. Past the end there are no rows.
+    The page is cut first, at most MAX_PAGE_SIZE rows, whose ids then go to every scan of issues, keywords and snapshots.
+    Past the end there are no rows. after, the ORDER values of the last row of a page, gives the page behind it without
+    counting through those before.
     """
     q = checked_paging(page, page_size, q)
-    order = ["client_name", "client_id", "sitemap_position", "id"]
-    rows = matching_pages(t, user, client, q).select("id", "url", "title", "fetch_status", "client_id", "client_name", "sitemap_position").orderBy(*order).offset((page - 1) * page_size).limit(page_size)
-    counts = t.seo_issues.join(rows.select(F.col("id").alias("page_id")), "page_id", "left_semi").groupBy(F.col("page_id").alias("id")).agg(F.count(F.lit(1)).alias("issue_count"), F.count_if(F.col("severity") == "error").alias("error_count"))
-    lists = _keyword_lists(t, rows, zone).withColumnRenamed("page_id", "id")
+    rows = matching_pages(t, user, client, q).select("id", "url", "title", "fetch_status", "client_id", "client_name", "sitemap_position")
+    if after is not None:
+        rows = rows.where(F.struct(*ORDER) > F.struct(*[F.lit(x).cast(rows.schema[c].dataType).alias(c) for c, x in zip(ORDER, after, strict=True)]))
+    rows = cut(rows.orderBy(*ORDER).offset((page - 1) * page_size).limit(page_size))
+    of = F.broadcast(rows.select(F.col("id").alias("page_id")))  # at most MAX_PAGE_SIZE ids
+    counts = t.seo_issues.join(of, "page_id", "left_semi").groupBy(F.col("page_id").alias("id")).agg(F.count(F.lit(1)).alias("issue_count"), F.count_if(F.col("severity") == "error").alias("error_count"))
+    lists = _keyword_lists(t, of, zone).withColumnRenamed("page_id", "id")
     found = rows.join(counts, "id", "left").join(lists, "id", "left")
     best = F.array_min(F.transform("keywords", lambda k: k["position"]))
-    return found.orderBy(*order).select("id", "url", "title", "fetch_status", "client_id", "client_name", F.coalesce("issue_count", F.lit(0)).alias("issue_count"), F.coalesce("error_count", F.lit(0)).alias("error_count"), "keywords", best.alias("best_position"))
+    return found.orderBy(*ORDER).select("id", "url", "title", "fetch_status", "client_id", "client_name", F.coalesce("issue_count", F.lit(0)).alias("issue_count"), F.coalesce("error_count", F.lit(0)).alias("error_count"), "keywords", best.alias("best_position"))
 
 
-def page_detail(t: Tables, user: str, page_id: str, zone: str) -> DataFrame:
-    """One page with keywords and issues (errors first, then by code) if the user owns it; else no row. Ids are UUIDs."""
-    row = matching_pages(t, user).where(F.col("id") == page_id).where(F.lit(is_uuid(page_id)))
-    lists = _keyword_lists(t, row, zone, "score", "sources").withColumnRenamed("page_id", "id")
+def page_details(t: Tables, rows: DataFrame, zone: str) -> DataFrame:
+    """rows of matching_pages with fetched_at as text, keywords (with latest positions, in order) and issues (errors first, then by code)."""
+    of = rows.select(F.col("id").alias("page_id"))
+    lists = _keyword_lists(t, of, zone, "score", "sources").withColumnRenamed("page_id", "id")
     rank = F.when(F.col("severity") == "error", 0).when(F.col("severity") == "warning", 1).otherwise(2)
-    of_page = t.seo_issues.where(F.col("page_id") == page_id)
-    issues = of_page.groupBy(F.col("page_id").alias("id")).agg(F.transform(F.array_sort(F.collect_list(F.struct(rank.alias("r"), "code", "severity", "message", "details"))), lambda i: i.dropFields("r")).alias("issues"))
-    return row.join(lists, "id", "left").join(issues, "id", "left").withColumn("fetched_at", iso_utc(F.col("fetched_at")))
+    issues = t.seo_issues.join(of, "page_id", "left_semi").groupBy(F.col("page_id").alias("id"))
+    issues = issues.agg(F.transform(F.array_sort(F.collect_list(F.struct(rank.alias("r"), "code", "severity", "message", "details"))), lambda i: i.dropFields("r")).alias("issues"))
+    return rows.join(lists, "id", "left").join(issues, "id", "left").withColumn("fetched_at", iso_utc(F.col("fetched_at")))
+
+
+def page_detail(t: Tables, user: str, page_id: str, zone: str) -> DataFrame:
+    """The details of one page if the user owns it; else no row, and none for a text that is no id."""
+    return page_details(t, matching_pages(t, user).where((F.col("id") == page_id) & is_uuid(F.lit(page_id))), zone)
 
 
 def list_clients(clients: DataFrame, user: str) -> DataFrame:
     return clients.where(F.col("user_id") == user).orderBy("name", "created_at")
 
 
-def last_page(total: int, page_size: int = PAGE_SIZE) -> int:
-    return max(1, -(-total // page_size))
+def last_page(total: Column, page_size: int = PAGE_SIZE) -> Column:
+    """The number of the last page of a list; an empty list has one."""
+    return F.greatest(F.lit(1).cast("long"), F.ceil(total / page_size))
 
 
 def client_keyword_counts(t: Tables) -> DataFrame:

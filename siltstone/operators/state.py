@@ -8,6 +8,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from siltstone.functions.constants import DEFAULT_DELAY_MS, MAX_DELAY_MS
+from siltstone.functions.lineage import cut
+from siltstone.functions.text import normalize_email, token_id
+from siltstone.functions.urls import parse_website
+
 
 def upsert(existing: DataFrame, rows: DataFrame, key: list[str], keep: tuple[str, ...] = ("id",)) -> DataFrame:
     """existing with rows put over it by key; columns in keep, and those that rows lack, stay as they were.
@@ -32,6 +37,57 @@ def insert_ignore(existing: DataFrame, rows: DataFrame, key: list[str]) -> DataF
     return rows.dropDuplicates(key).join(existing.select(*key), key, "left_anti").select(*rows.columns)
 
 
+def upsert_users(users: DataFrame, rows: DataFrame) -> DataFrame:
+    """users(id, email, password_hash, timezone, ...) with rows(id, email, password_hash, timezone) put over them by mail address.
+
+    Addresses are normalised. A known user gets the new password and nothing else; an unknown one is added.
+    """
+    new = rows.withColumn("email", normalize_email(F.col("email")))
+    return upsert(users, new, ["email"], keep=tuple(c for c in users.columns if c not in ("email", "password_hash")))
+
+
+def insert_clients(clients: DataFrame, rows: DataFrame) -> DataFrame:
+    """The rows(user_id, name, website_url) that become clients: of valid websites that the user doesn't have yet."""
+    site = parse_website(F.col("website_url"))
+    new = rows.withColumn("_w", site).where("_w is not null").select("user_id", "name", F.col("_w.url").alias("website_url"), F.col("_w.site_key").alias("site_key"))
+    return insert_ignore(clients, new, ["user_id", "site_key"])
+
+
+def numbered(rows: DataFrame, order: list[str], name: str, start: int = 1) -> DataFrame:
+    """rows with their place in an order, which is total: sorted over all partitions, numbered within each.
+
+    Only the row counts of the partitions reach the driver; no task holds more than a partition.
+    """
+    sorted_rows = cut(rows.orderBy(*order).withColumn("_part", F.spark_partition_id()))
+    sizes = dict(sorted_rows.groupBy("_part").agg(F.count(F.lit(1)).alias("n")).collect())
+    before, total = [], start - 1
+    for part in range(max(sizes, default=0) + 1):
+        before.append(total)
+        total += sizes.get(part, 0)
+    first = F.element_at(F.array(*[F.lit(n).cast("long") for n in before]), F.col("_part") + 1)
+    own = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
+    return sorted_rows.withColumn(name, first + own).drop("_part")
+
+
+def add_terms(keywords: DataFrame, picks: DataFrame) -> DataFrame:
+    """keywords(id, term) with the terms of picks(term) that are new, numbered on in their order."""
+    new = insert_ignore(keywords.select("term"), picks.select("term"), ["term"])
+    last = keywords.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
+    return keywords.select("id", "term").unionByName(numbered(new, ["term"], "id", last + 1).select("id", "term"))
+
+
+def save_analysis(keywords: DataFrame, page_keywords: DataFrame, seo_issues: DataFrame, picks: DataFrame, issues: DataFrame, pages: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(keywords, page_keywords, seo_issues) after an analysis of pages(page_id, fetched).
+
+    picks(page_id, term, score, rank_order, sources) and issues(page_id, code, severity, message, details) are those of the
+    analysis. Terms that are new get an id; pairs of fetched pages become their picks, and pairs that survive keep their
+    id, and with it their history. Issues of all pages are replaced. A page that wasn't fetched keeps its pairs.
+    """
+    terms = cut(add_terms(keywords, picks))
+    named = picks.join(terms.select(F.col("id").alias("keyword_id"), "term"), "term").drop("term")
+    return terms, replace_keyword_set(page_keywords, named, pages.where("fetched").select("page_id")), replace_issues(seo_issues, issues, pages)
+
+
 def replace_keyword_set(existing: DataFrame, picks: DataFrame, analysed: DataFrame) -> DataFrame:
     """page_keywords after an analysis: pairs of analysed pages become the picks, survivors keep their id.
 
@@ -63,9 +119,16 @@ def requeue_stale(clients: DataFrame, stale_before: Column) -> DataFrame:
 
 
 def requeue_client(clients: DataFrame, client_id, user) -> DataFrame:
-    """clients with a user's finished crawl back at pending."""
+    """clients with a user's finished crawl back at pending, its error forgotten."""
     hit = (F.col("id") == client_id) & (F.col("user_id") == user) & F.col("crawl_status").isin("done", "partial", "failed")
-    return clients.withColumn("crawl_status", F.when(hit, "pending").otherwise(F.col("crawl_status")))
+    values = {"crawl_status": F.lit("pending"), "crawl_error_code": F.lit(None).cast("string"), "crawl_error_message": F.lit(None).cast("string")}
+    return clients.withColumns({c: F.when(hit, v).otherwise(F.col(c)) for c, v in values.items() if c in clients.columns})
+
+
+def resume(clients: DataFrame, stale_before: Column) -> tuple[DataFrame, DataFrame]:
+    """(clients, their queue) after a restart: crawls without a live owner are pending again, oldest client first."""
+    after = requeue_stale(clients, stale_before)
+    return after, pending(after)
 
 
 def pending(clients: DataFrame) -> DataFrame:
@@ -75,8 +138,7 @@ def pending(clients: DataFrame) -> DataFrame:
 def crawl_queue(requests: DataFrame, concurrency: int = 2) -> DataFrame:
     """(client_id, place, running): first come first served, one entry a client."""
     first = requests.groupBy("client_id").agg(F.min("requested_at").alias("requested_at"))
-    place = F.row_number().over(Window.orderBy("requested_at", "client_id"))  # the queue of one process
-    return first.withColumn("place", place).select("client_id", "place", (F.col("place") <= concurrency).alias("running"))
+    return numbered(first, ["requested_at", "client_id"], "place").select("client_id", "place", (F.col("place") <= concurrency).alias("running"))
 
 
 def crawl_outcome(pages: DataFrame, client: str) -> DataFrame:
@@ -101,17 +163,27 @@ def consecutive_blocks(rows: DataFrame, group: str, order: list[str], blocked: C
     return found.withColumn("stopped", F.coalesce(F.max(F.col("run") >= limit).over(before), F.lit(False))).drop("_b", "_island")
 
 
-def active_session(sessions: DataFrame, users: DataFrame, token_id, now: Column, ttl_days: int = 7) -> DataFrame:
-    """(session, user columns, expires_at, renewed): a session that is not over, with its user, its end moved when half is gone."""
-    found = sessions.where((F.col("id") == token_id) & (F.col("expires_at") > now)).join(users.withColumnRenamed("id", "user_id"), "user_id")
+def live_sessions(sessions: DataFrame, users: DataFrame, now: Column, ttl_days: int = 7) -> DataFrame:
+    """sessions(id, user_id, expires_at) that are not over, with user columns and renewed: the end is moved when half is gone."""
+    found = sessions.where(F.col("expires_at") > now).join(users.withColumnRenamed("id", "user_id"), "user_id")
     half = F.col("expires_at") <= now + F.expr(f"INTERVAL {ttl_days * 12} HOURS")
     return found.withColumn("renewed", half).withColumn("expires_at", F.when(half, now + F.expr(f"INTERVAL {ttl_days} DAYS")).otherwise(F.col("expires_at")))
 
 
+def active_session(sessions: DataFrame, users: DataFrame, token: str, now: Column, ttl_days: int = 7) -> DataFrame:
+    """The live session of a token, of which only the digest is stored; no row if it is over or unknown."""
+    return live_sessions(sessions.where(F.col("id") == token_id(F.lit(token))), users, now, ttl_days)
+
+
 def purge_sessions(sessions: DataFrame, now: Column) -> DataFrame:
     return sessions.where(F.col("expires_at") > now)
 
 
+def purged_count(sessions: DataFrame, now: Column) -> DataFrame:
+    """(deleted): how many sessions a purge removes."""
+    return sessions.agg(F.count_if(F.col("expires_at") <= now).alias("deleted"))
+
+
 def limited_logins(attempts: DataFrame, limit: int = 5) -> DataFrame:
     """attempts(ip, email, ts) with allowed: at most limit a minute by address and normalised mail."""
     w = Window.partitionBy("ip", F.lower(F.trim("email")), F.date_trunc("minute", "ts")).orderBy("ts")
@@ -119,6 +191,5 @@ def limited_logins(attempts: DataFrame, limit: int = 5) -> DataFrame:
 
 
 def polite_delay_ms(crawl_delay_seconds: Column) -> Column:
-    from siltstone.functions.constants import DEFAULT_DELAY_MS, MAX_DELAY_MS
-
+    """Pause between requests to a site: what robots.txt asks for, else a default, up to a limit."""
     return F.least(F.coalesce(crawl_delay_seconds * 1000, F.lit(DEFAULT_DELAY_MS)), F.lit(MAX_DELAY_MS))

@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.functions import dates, net, text, urls
+from siltstone.functions.phrases import phrase_array
 from siltstone.operators import discovery, issues, keywords, ranks, reads, state
 from siltstone.plans import analogues as A
+from siltstone.plans import made
+from siltstone.plans.made_oracles import MADE_ORACLES
 from siltstone.plans.oracles import ORACLES
 from siltstone.sources import html
 from siltstone.sources.sitemap import robots_check, sitemap_urls
@@ -67,18 +69,18 @@ def doc_word_count(spark, d):
 
 @query
 def page_issues(spark, d):
-    return issues.find_issues(A.site_facts(spark, d), resolved_canonical=False).select("page_id", "code", "severity", "message")
+    return issues.find_issues(A.site_facts(spark, d)).select("page_id", "code", "severity", "message")
 
 
 @query
 def page_issue_counts(spark, d):
     facts = A.site_facts(spark, d)
-    return issues.issue_counts(facts, issues.find_issues(facts, resolved_canonical=False))
+    return issues.issue_counts(facts, issues.find_issues(facts))
 
 
 @query
 def issue_histogram(spark, d):
-    found = issues.find_issues(A.site_facts(spark, d), resolved_canonical=False)
+    found = issues.find_issues(A.site_facts(spark, d))
     return found.groupBy("code", "severity").agg(F.count(F.lit(1)).alias("pages"))
 
 
@@ -168,14 +170,14 @@ def doc_phrases(spark, d):
 @query
 def term_document_frequency(spark, d):
     t = A.table(spark, d, "documents").select("doc_id", "source", "text")
-    terms = t.select("source", "doc_id", F.explode(F.array_distinct(text.phrase_array(F.col("text"), False))).alias("term"))
+    terms = t.select("source", "doc_id", F.explode(F.array_distinct(phrase_array(F.col("text"), False))).alias("term"))
     return terms.groupBy("source", "term").agg(F.count(F.lit(1)).alias("df"))
 
 
 @query
 def term_idf(spark, d):
     t = A.table(spark, d, "documents").select("doc_id", "source", "text")
-    terms = t.select("source", F.explode(F.array_distinct(text.phrase_array(F.col("text"), False))).alias("term"))
+    terms = t.select("source", F.explode(F.array_distinct(phrase_array(F.col("text"), False))).alias("term"))
     df = terms.groupBy("source", "term").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     n = t.groupBy("source").agg(F.count(F.lit(1)).alias("n"))
     return df.join(n, "source").select("source", "term", F.round(F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1, 9).alias("idf"))
@@ -234,8 +236,8 @@ def rank_history_range(spark, d):
 
 @query
 def rank_history_pivot(spark, d):
-    h = ranks.page_history(A.pairs(spark, d), A.snapshots(spark, d), PAIR, ZONE, "2024-01-01", "2024-01-31").where("user_id = 8")
-    return ranks.history_pivot(h, "event_type", ["click", "error", "purchase", "signup", "view"])
+    h = ranks.page_history(A.pairs(spark, d), A.snapshots(spark, d), PAIR, ZONE, "2024-01-01", "2024-01-31")
+    return ranks.history_pivot(h, "event_type", ["click", "error", "purchase", "signup", "view"], ("user_id",))
 
 
 @query
@@ -260,10 +262,11 @@ def rank_dedupe_daily(spark, d):
 
 @query
 def rank_generator(spark, d):
-    """A year of invented history for every term; compared with a plain sequential version by the tests."""
+    """Sixty days of invented history for every term; compared with a plain sequential version by the tests."""
     p = A.table(spark, d, "part").select(F.col("p_partkey").alias("pair_id"), F.concat(F.lit("https://a.example/|"), F.col("p_name")).alias("seed_key"), (F.col("p_size") % 8 + 1).alias("rank_order"))
     days = dates.snapshot_days(F.lit("2026-10-07").cast("date"), 60)
-    return ranks.generate_series(p, F.col("seed_key"), F.col("rank_order"), days).select("pair_id", "snapshot_date", "position")
+    made = ranks.generate_series(p, F.col("seed_key"), F.col("rank_order"), days)
+    return made.select("pair_id", "snapshot_date", dates.iso_utc(F.col("captured_at")).alias("captured_at"), "position")
 
 
 @query
@@ -334,15 +337,15 @@ def pages_count(spark, d):
 @query
 def page_detail_keywords(spark, d):
     t = A.read_tables(spark, d)
-    k = reads._keyword_lists(t, t.pages.where("client_id <= 100").select("id"), ZONE, "score")
-    return k.select("page_id", F.inline("keywords")).select("page_id", "id", "term", "score", "position", "date")
+    k = reads.page_details(t, t.pages, ZONE)
+    return k.select(F.col("id").alias("page_id"), F.inline("keywords")).select("page_id", "id", "term", "score", "position", "date")
 
 
 @query
 def page_detail_issues(spark, d):
-    i = A.read_tables(spark, d).seo_issues
-    rank = F.when(F.col("severity") == "error", 0).otherwise(1)
-    return i.groupBy("page_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(rank.alias("r"), "code"))), lambda x: x["code"]), ",").alias("codes"))
+    t = A.read_tables(spark, d)
+    i = reads.page_details(t, t.pages, ZONE).where("issues is not null")
+    return i.select(F.col("id").alias("page_id"), F.array_join(F.transform("issues", lambda x: x["code"]), ",").alias("codes"))
 
 
 @query
@@ -421,8 +424,10 @@ def session_active(spark, d):
 
 @query
 def login_limit(spark, d):
-    e = A.table(spark, d, "events").select("event_id", F.lit("10.0.0.1").alias("ip"), F.concat(F.lit(" User"), (F.col("user_id") % 3).cast("string"), F.lit("@Example.com")).alias("email"), "ts")
-    return state.limited_logins(e, 1).where("allowed").select("event_id")
+    """Attempts by the second, some twenty a minute and address: five of them are let through."""
+    ts = F.timestamp_seconds(F.lit(1704067200) + F.col("event_id"))
+    e = A.table(spark, d, "events").select("event_id", F.lit("10.0.0.1").alias("ip"), F.concat(F.lit(" User"), (F.col("event_id") % 3).cast("string"), F.lit("@Example.com")).alias("email"), ts.alias("ts"))
+    return state.limited_logins(e).where("allowed").select("event_id")
 
 
 def _pairs_version(spark, d, odd: int):
@@ -543,21 +548,9 @@ def robots_allowed(spark, d):
     return found.groupBy("allowed", "crawl_delay").agg(F.count(F.lit(1)).alias("urls"))
 
 
-@query
-def redirect_targets(spark, d):
-    o = A.table(spark, d, "orders").select("o_orderkey")
-    u = o.where("o_orderkey % 2 = 1").select(F.concat(F.lit("https://a.example/"), F.col("o_orderkey").cast("string")).alias("url"))
-    r = o.where("o_orderkey % 5 = 0").select(F.concat(F.lit("https://a.example/"), F.col("o_orderkey").cast("string")).alias("src"), F.when(F.col("o_orderkey") % 10 == 0, "https://10.0.0.1/").otherwise(F.concat(F.lit("https://a.example/n/"), F.col("o_orderkey").cast("string"))).alias("dst"))
-    return net.follow_redirects(u, r).select("url", "final_url", F.col("hops").cast("long").alias("hops"), "error")
-
-
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(_QUERIES)
+    return _QUERIES | made.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: v for k, v in ORACLES.items() if k in _QUERIES}
-
-
-#: The day that a default range ends on is a parameter everywhere else; named here for interactive use.
-TODAY = date.today
+    return {k: v for k, v in (ORACLES | MADE_ORACLES).items() if k in queries()}

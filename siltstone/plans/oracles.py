@@ -37,6 +37,7 @@ _CUT = "split_part(url, '#', 1)"
 _QUERY = rf"array_to_string(list_filter(string_split(CASE WHEN contains({_CUT}, '?') THEN substr({_CUT}, instr({_CUT}, '?') + 1) ELSE '' END, '&'), lambda p: NOT regexp_matches(p, '(?i)^(utm_[a-z]+|gclid|fbclid|mc_cid|mc_eid|ref)(=|$)')), '&')"
 _BASE = rf"lower(regexp_extract({_CUT}, '^[^:]+://[^/?]+')) || CASE WHEN regexp_extract(split_part({_CUT}, '?', 1), '^[^:]+://[^/]+(.*)$', 1) = '' THEN '/' ELSE regexp_extract(split_part({_CUT}, '?', 1), '^[^:]+://[^/]+(.*)$', 1) END"
 _NORMAL = f"({_BASE} || CASE WHEN {_QUERY} <> '' THEN '?' || {_QUERY} ELSE '' END)"
+_NORMAL = rf"array_to_string(list_transform(string_split({_NORMAL}, ''), lambda c: CASE WHEN regexp_matches(c, '[\x21-\x7E]') THEN c WHEN c = ' ' THEN '%20' ELSE url_encode(c) END), '')"
 
 
 def _phrases(x: str, inner: bool) -> str:
@@ -82,7 +83,7 @@ scores AS (SELECT w.site, page_id, term, (place + ln(1 + body_count) * CASE WHEN
 
 _SNAP = "snaps AS (SELECT user_id, event_type, event_id, ts, CASE WHEN value >= 147.35 THEN NULL ELSE least(100, 1 + CAST(floor(value * 2 / 3) AS INTEGER)) END AS position FROM events)"
 _LOCAL = "strftime(timezone('America/Toronto', timezone('UTC', ts)), '%Y-%m-%d')"
-_LATEST = f"{_SNAP}, latest AS (SELECT user_id, event_type, position, {_LOCAL} AS date FROM snaps QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC) = 1)"
+_LATEST = f"{_SNAP}, latest AS (SELECT user_id, event_type, position, {_LOCAL} AS date FROM snaps QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, position) = 1)"
 
 
 def _range(first: str, last: str) -> str:
@@ -156,10 +157,10 @@ ORACLES = {
     "rank_best": f"WITH {_LATEST} SELECT user_id, min(position) AS best FROM latest GROUP BY user_id",
     "rank_local_day": f"SELECT event_id, {_LOCAL} AS day FROM events",
     "rank_history_range": f"WITH {_SNAP} SELECT user_id, event_type, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS captured_at, {_LOCAL} AS date, position FROM snaps WHERE {_range('2024-01-10', '2024-01-13')}",
-    "rank_history_pivot": f"WITH {_SNAP}, h AS (SELECT event_type, ts, {_LOCAL} AS date, position FROM snaps WHERE user_id = 8 AND {_range('2024-01-01', '2024-02-01')}), l AS (SELECT date, event_type, position FROM h QUALIFY row_number() OVER (PARTITION BY date, event_type ORDER BY ts DESC) = 1) SELECT date, {', '.join(f"max(position) FILTER (WHERE event_type = '{t}') AS {t}" for t in ('click', 'error', 'purchase', 'signup', 'view'))} FROM l GROUP BY date",
+    "rank_history_pivot": f"WITH {_SNAP}, h AS (SELECT user_id, event_type, ts, {_LOCAL} AS date, position FROM snaps WHERE {_range('2024-01-01', '2024-02-01')}), l AS (SELECT user_id, date, event_type, position FROM h QUALIFY row_number() OVER (PARTITION BY user_id, date, event_type ORDER BY ts DESC, position) = 1) SELECT user_id, date, {', '.join(f"max(position) FILTER (WHERE event_type = '{t}') AS {t}" for t in ('click', 'error', 'purchase', 'signup', 'view'))} FROM l GROUP BY user_id, date",
     "rank_series_nested": f"WITH {_SNAP}, h AS (SELECT user_id, event_type, ts, {_LOCAL} AS date, position FROM snaps WHERE {_range('2024-01-10', '2024-01-13')}), g AS (SELECT user_id, event_type, string_agg(date || ':' || coalesce(CAST(position AS VARCHAR), '-'), ' ' ORDER BY ts) AS points FROM h GROUP BY ALL) SELECT user_id, event_type, coalesce(points, '') AS points FROM (SELECT DISTINCT user_id, event_type FROM events) LEFT JOIN g USING (user_id, event_type)",
     "rank_gap_fill": "WITH p AS (SELECT DISTINCT user_id, event_type FROM events), d AS (SELECT CAST(unnest(generate_series(TIMESTAMP '2024-01-01', TIMESTAMP '2024-01-30', INTERVAL 1 DAY)) AS DATE) AS snapshot_date) SELECT user_id, event_type, snapshot_date FROM p, d EXCEPT SELECT user_id, event_type, CAST(ts AS DATE) FROM events",
-    "rank_dedupe_daily": f"WITH {_SNAP} SELECT user_id, event_type, CAST(ts AS DATE) AS snapshot_date, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS captured_at, position FROM snaps QUALIFY row_number() OVER (PARTITION BY user_id, event_type, CAST(ts AS DATE) ORDER BY ts) = 1",
+    "rank_dedupe_daily": f"WITH {_SNAP} SELECT user_id, event_type, CAST(ts AS DATE) AS snapshot_date, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS captured_at, position FROM snaps QUALIFY row_number() OVER (PARTITION BY user_id, event_type, CAST(ts AS DATE) ORDER BY ts, position) = 1",
     "position_tone": f"WITH {_SNAP} SELECT CASE WHEN position <= 3 THEN 'top' WHEN position <= 10 THEN 'good' WHEN position IS NOT NULL THEN 'low' ELSE 'unranked' END AS tone, count(*) AS n FROM snaps GROUP BY 1",
     "chart_axis": f"WITH {_SNAP}, w AS (SELECT CAST(greatest(1, max(position)) AS BIGINT) AS worst FROM snaps), s AS (SELECT worst, CAST(CASE WHEN worst <= 20 THEN 5 WHEN worst <= 50 THEN 10 ELSE 25 END AS BIGINT) AS step FROM w), b AS (SELECT *, CAST(least(100, ceil((worst + 1) / step) * step) AS BIGINT) AS bottom FROM s) SELECT worst, step, bottom, '1 ' || array_to_string(generate_series(step, bottom, step), ' ') AS ticks FROM b",
     "snapshot_count": f"WITH {_SNAP} SELECT count(*) AS n, count(*) - count(position) AS unranked FROM snaps",
@@ -169,7 +170,7 @@ ORACLES = {
     "pages_search_term": _pages(_search("red bolt"), 100),
     "pages_search_literal": _pages(_search("%")),
     "pages_count": f"WITH {_TABLES} SELECT count(*) AS total, count(*) FILTER (WHERE {_search('urgent')}) AS urgent FROM p JOIN c ON c.id = p.client_id WHERE c.user_id = 3",
-    "page_detail_keywords": f"WITH {_TABLES} SELECT page_id, k.id, term, score, position, date FROM pk JOIN p ON p.id = page_id JOIN k ON k.id = keyword_id LEFT JOIN lt ON page_keyword_id = pk.id WHERE client_id <= 100",
+    "page_detail_keywords": f"WITH {_TABLES} SELECT page_id, k.id, term, score, position, date FROM pk JOIN p ON p.id = page_id JOIN k ON k.id = keyword_id LEFT JOIN lt ON page_keyword_id = pk.id",
     "page_detail_issues": f"WITH {_TABLES} SELECT page_id, string_agg(code, ',' ORDER BY CASE severity WHEN 'error' THEN 0 ELSE 1 END, code) AS codes FROM i GROUP BY page_id",
     "client_list": "SELECT c_custkey AS id, c_name AS name FROM customer WHERE c_nationkey = 3",
     "client_keyword_counts": f"WITH {_TABLES} SELECT client_id, count(*) AS keywords FROM pk JOIN p ON p.id = page_id GROUP BY client_id",
@@ -182,7 +183,7 @@ ORACLES = {
     "state_pending": f"WITH {_CLIENTS} SELECT id FROM cl WHERE status = 'pending'",
     "crawl_queue": "WITH f AS (SELECT user_id AS client_id, min(ts) AS t FROM events WHERE event_type = 'signup' GROUP BY 1) SELECT client_id, row_number() OVER (ORDER BY t, client_id) AS place, row_number() OVER (ORDER BY t, client_id) <= 2 AS running FROM f",
     "session_active": "SELECT user_id, count(*) AS active, count(*) FILTER (WHERE ts + INTERVAL 7 DAY <= TIMESTAMP '2024-01-20' + INTERVAL 84 HOUR) AS renewable FROM events WHERE ts + INTERVAL 7 DAY > TIMESTAMP '2024-01-20' GROUP BY user_id",
-    "login_limit": "SELECT event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id % 3, date_trunc('minute', ts) ORDER BY ts) <= 1",
+    "login_limit": "SELECT event_id FROM events QUALIFY row_number() OVER (PARTITION BY event_id % 3, event_id // 60 ORDER BY event_id) <= 5",
     "replace_keyword_set": "WITH o AS (SELECT l_orderkey AS page_id, l_partkey AS keyword_id, max(l_quantity) AS score FROM lineitem WHERE l_linenumber % 3 <> 0 GROUP BY ALL), n AS (SELECT l_orderkey AS page_id, l_partkey AS keyword_id, max(l_quantity) AS score FROM lineitem WHERE l_linenumber % 3 <> 1 GROUP BY ALL), a AS (SELECT o_orderkey AS page_id FROM orders WHERE o_orderstatus <> 'F') SELECT page_id, keyword_id, page_id * 1000000 + keyword_id AS id, score FROM o WHERE page_id NOT IN (SELECT page_id FROM a) UNION ALL SELECT n.page_id, n.keyword_id, CASE WHEN o.page_id IS NOT NULL THEN n.page_id * 1000000 + n.keyword_id END, n.score FROM n LEFT JOIN o ON o.page_id = n.page_id AND o.keyword_id = n.keyword_id WHERE n.page_id IN (SELECT page_id FROM a)",
     "upsert_pages": "SELECT o_orderkey AS url, CASE WHEN o_orderkey % 3 = 0 THEN -o_orderkey ELSE o_orderkey END AS id, CASE WHEN o_orderkey % 3 = 1 THEN o_orderstatus ELSE 'X' END AS status, CASE WHEN o_orderkey % 3 <> 0 THEN o_orderpriority END AS title FROM orders",
     "insert_ignore_terms": "SELECT DISTINCT p_name || CASE WHEN p_size > 25 THEN ' x' ELSE '' END AS term FROM part EXCEPT SELECT p_name FROM part WHERE p_partkey % 2 = 0",
@@ -192,7 +193,6 @@ ORACLES = {
     "select_posts": f"WITH {_POSTS} SELECT site, row_number() OVER (PARTITION BY site ORDER BY ord) AS post, nurl AS url FROM g QUALIFY post <= 15",
     "sitemap_source": f"SELECT site, 'urlset' AS kind, ord, loc FROM (SELECT {_SITE} AS site, row_number() OVER (PARTITION BY {_SITE} ORDER BY page_id) - 1 AS ord, url AS loc FROM pages) WHERE ord < 500",
     "robots_allowed": f"SELECT allowed, 2.0::DOUBLE AS crawl_delay, count(*) AS urls FROM (SELECT NOT starts_with(path, '/en/') OR starts_with(path, '/en/6') AS allowed FROM (SELECT {_PATH} AS path FROM pages)) GROUP BY allowed",
-    "redirect_targets": "SELECT 'https://a.example/' || o_orderkey AS url, 'https://a.example/' || CASE WHEN o_orderkey % 5 = 0 THEN 'n/' ELSE '' END || o_orderkey AS final_url, CAST(CASE WHEN o_orderkey % 5 = 0 THEN 1 ELSE 0 END AS BIGINT) AS hops, CAST(NULL AS VARCHAR) AS error FROM orders WHERE o_orderkey % 2 = 1",
 }
 
 
@@ -227,7 +227,7 @@ UNION ALL SELECT {", ".join(f"w.{k.strip()}" for k in keys.split(","))}, w.i, w.
 
 
 _POSITION = "CASE WHEN shown >= 0.05 THEN CAST(floor(p + 0.5) AS INTEGER) END AS position"
-ORACLES["rank_generator"] = f"WITH RECURSIVE {_generated(f'pairs AS (SELECT p_partkey AS pair_id, p_size % 8 + 1 AS rank_order, {_fnv(chr(39) + 'https://a.example/|' + chr(39) + ' || p_name')} AS seed FROM part)', 'pair_id', '2026-08-09', 60)} SELECT pair_id, day AS snapshot_date, {_POSITION} FROM pos WHERE i >= 0"
+ORACLES["rank_generator"] = f"WITH RECURSIVE {_generated(f'pairs AS (SELECT p_partkey AS pair_id, p_size % 8 + 1 AS rank_order, {_fnv(chr(39) + 'https://a.example/|' + chr(39) + ' || p_name')} AS seed FROM part)', 'pair_id', '2026-08-09', 60)} SELECT pair_id, day AS snapshot_date, strftime(day, '%Y-%m-%d') || 'T02:30:00Z' AS captured_at, {_POSITION} FROM pos WHERE i >= 0"
 ORACLES["rank_generated_gaps"] = f"WITH RECURSIVE {_generated(f'pairs AS (SELECT user_id, event_type, 1 AS rank_order, {_fnv("user_id || '|' || event_type")} AS seed FROM (SELECT DISTINCT user_id, event_type FROM events))', 'user_id, event_type', '2024-01-01', 30)} SELECT user_id, event_type, day AS snapshot_date, {_POSITION} FROM pos WHERE i >= 0 AND NOT EXISTS (SELECT 1 FROM events e WHERE e.user_id = pos.user_id AND e.event_type = pos.event_type AND CAST(e.ts AS DATE) = day)"
 
 _MAPS = f"""listed AS (SELECT {_SITE} AS site, page_id, url, CASE page_id % 3 WHEN 0 THEN '2' WHEN 1 THEN '' ELSE 'p' END AS map, {_PATH} AS path FROM pages),

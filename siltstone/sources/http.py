@@ -14,10 +14,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.functions.constants import BASE_DELAY_MS, DEFAULT_DELAY_MS, MAX_ATTEMPTS, MAX_REDIRECTS, MAX_RETRY_AFTER_MS, RETRY_STATUSES
+from siltstone.functions.constants import BASE_DELAY_MS, DEFAULT_DELAY_MS, MAX_ATTEMPTS, MAX_REDIRECTS, MAX_RETRY_AFTER_MS, RETRY_STATUSES, SAMPLE_SIZE
 from siltstone.functions.urls import host
+from siltstone.sources.sitemap import SitemapReader
 
 HTML_BYTES, TIMEOUT_S = 5_000_000, 15.0
+SITEMAP_BYTES, SITEMAP_TIMEOUT_S, CHUNK = 50_000_000, 60.0, 1 << 16
 _KIND = pa.schema([("url", pa.string()), ("final_url", pa.string()), ("status", pa.int32()), ("content_type", pa.string()), ("x_robots", pa.string()), ("mitigated", pa.string()), ("body", pa.binary()), ("elapsed_ms", pa.int32()), ("error", pa.string())])
 _DDL = "url string, final_url string, status int, content_type string, x_robots string, mitigated string, body binary, elapsed_ms int, error string"
 
@@ -61,8 +63,27 @@ def check_target(url: str, allow_private: bool) -> None:
             raise FetchError("blocked_host")
 
 
-def _open(url: str, accept: str, limit: int, timeout: float, allow_private: bool) -> dict:
-    opener = build_opener(_Stay)
+def _read(answer, packed: bool, limit: int, until: float, take) -> bytes:
+    """The body, unpacked, of at most limit bytes; with take, its parts are handed on instead, as long as it wants them."""
+    stream, parts, size = gzip.GzipFile(fileobj=answer) if packed else answer, [], 0
+    try:
+        while part := stream.read(CHUNK):
+            size += len(part)
+            if size > limit:
+                raise FetchError("too_large")
+            if time.monotonic() > until:
+                raise FetchError("timeout")
+            if take is None:
+                parts.append(part)
+            elif not take(part):
+                break
+    except (OSError, EOFError, HTTPException) as error:
+        raise FetchError("timeout" if isinstance(error, TimeoutError) else "site_unreachable") from error
+    return b"".join(parts)
+
+
+def _open(url: str, accept: str, limit: int, timeout: float, allow_private: bool, take=None) -> dict:
+    opener, until = build_opener(_Stay), time.monotonic() + timeout
     for _ in range(MAX_REDIRECTS + 1):
         check_target(url, allow_private)
         try:
@@ -79,27 +100,22 @@ def _open(url: str, accept: str, limit: int, timeout: float, allow_private: bool
                 url = urljoin(url, to)
                 continue
             kind = answer.headers.get("Content-Type") or ""
-            try:
-                body = answer.read(limit + 1)
-                if "gzip" in kind.lower() or urlsplit(url).path.endswith(".gz") or answer.headers.get("Content-Encoding") == "gzip":
-                    import io
-
-                    body = gzip.GzipFile(fileobj=io.BytesIO(body)).read(limit + 1)
-            except (OSError, EOFError, HTTPException) as error:
-                raise FetchError("timeout" if isinstance(error, TimeoutError) else "site_unreachable") from error
-            if len(body) > limit:
-                raise FetchError("too_large")
+            packed = "gzip" in kind.lower() or urlsplit(url).path.endswith(".gz") or answer.headers.get("Content-Encoding") == "gzip"
+            body = _read(answer, packed, limit, until, take if answer.status == 200 else None)
             return {"final_url": url, "status": answer.status, "content_type": kind, "x_robots": answer.headers.get("X-Robots-Tag"), "mitigated": answer.headers.get("cf-mitigated"), "retry_after": answer.headers.get("Retry-After"), "body": body}
     raise FetchError("too_many_redirects")
 
 
-def fetch(url: str, accept: str = "text/html,*/*;q=0.5", limit: int = HTML_BYTES, timeout: float = TIMEOUT_S, allow_private: bool = False, base_delay_ms: float = BASE_DELAY_MS) -> dict:
-    """The answer to a request, with retries of busy statuses, timeouts and unreachable sites; an error code instead of a raise."""
+def fetch(url: str, accept: str = "text/html,*/*;q=0.5", limit: int = HTML_BYTES, timeout: float = TIMEOUT_S, allow_private: bool = False, base_delay_ms: float = BASE_DELAY_MS, begin=lambda: None) -> dict:
+    """The answer to a request, with retries of busy statuses, timeouts and unreachable sites; an error code instead of a raise.
+
+    begin is called before each attempt and may return a function that takes the body as it comes.
+    """
     began = time.monotonic()
     for attempt in range(1, MAX_ATTEMPTS + 1):
         pause = base_delay_ms * 2 ** (attempt - 1)
         try:
-            got = _open(url, accept, limit, timeout, allow_private) | {"error": None}
+            got = _open(url, accept, limit, timeout, allow_private, begin()) | {"error": None}
             if got["status"] not in RETRY_STATUSES:
                 break
             asked = (got["retry_after"] or "").strip()
@@ -114,6 +130,36 @@ def fetch(url: str, accept: str = "text/html,*/*;q=0.5", limit: int = HTML_BYTES
     return got | {"url": url, "elapsed_ms": round((time.monotonic() - began) * 1000)}
 
 
+def fetch_sitemaps(urls: DataFrame, most: int = SAMPLE_SIZE, allow_private: bool = False, base_delay_ms: float = BASE_DELAY_MS) -> DataFrame:
+    """(site, sitemap_url, kind, ord, loc) of the sitemaps at urls(site, sitemap_url) that can be read.
+
+    A sitemap is read as it comes and left as soon as there are most locations; one may be large and slow. One without
+    locations is a row whose ord and loc are null; what isn't there, or no sitemap, has no row.
+    """
+    kind = pa.schema([("site", pa.string()), ("sitemap_url", pa.string()), ("kind", pa.string()), ("ord", pa.int32()), ("loc", pa.string())])
+
+    def run(batches):
+        for batch in batches:
+            for site, url in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                readers = []
+
+                def begin():
+                    readers.append(SitemapReader(most))  # noqa: B023
+                    return readers[-1].feed  # noqa: B023
+
+                got = fetch(url or "", accept="application/xml,text/xml;q=0.9,text/plain;q=0.8,*/*;q=0.5", limit=SITEMAP_BYTES, timeout=SITEMAP_TIMEOUT_S, allow_private=allow_private, base_delay_ms=base_delay_ms, begin=begin)
+                if got.get("status") != 200 or got["error"]:
+                    continue
+                if readers[-1].whole:
+                    readers[-1].feed(b"", True)
+                form, found, _ = readers[-1].result()
+                rows = [{"site": site, "sitemap_url": url, "kind": form, "ord": i, "loc": x} for i, x in enumerate(found)] or [{"site": site, "sitemap_url": url, "kind": form}]
+                yield pa.RecordBatch.from_pylist(rows if form != "unknown" else [], schema=kind)
+
+    dealt = urls.select("site", "sitemap_url").repartition(F.coalesce(host(F.col("sitemap_url")), F.lit("")))
+    return dealt.mapInArrow(run, "site string, sitemap_url string, kind string, ord int, loc string")
+
+
 def fetch_pages(urls: DataFrame, partitions: int | None = None, delay_ms: float = DEFAULT_DELAY_MS, limit: int = HTML_BYTES, timeout: float = TIMEOUT_S, allow_private: bool = False, base_delay_ms: float = BASE_DELAY_MS) -> DataFrame:
     """The answer for each of urls(url): one row a URL, an error code where there is none.
 

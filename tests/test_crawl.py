@@ -82,4 +82,5 @@ def test_crawl(spark, base):
 
 def test_small_things(spark):
     assert is_alive(spark)
-    assert rows_from_arrays(spark, a=[1, 2], b=["x", None]).count() == 2
+    arrays = spark.createDataFrame([(7, [1, 2], ["x", None])], "k int, a array<int>, b array<string>")
+    assert sorted(map(tuple, rows_from_arrays(arrays, "a", "b").collect())) == [(7, 1, "x"), (7, 2, None)]

@@ -1,5 +1,6 @@
 """Rank history, reads, state and discovery on small fixtures."""
 
+import hashlib
 import math
 from datetime import date, datetime, timezone
 
@@ -118,10 +119,11 @@ def test_state(spark):
     picks = spark.createDataFrame([("p", 11, 5.0), ("p", 12, 4.0)], "page_id string, keyword_id int, score double")
     found = {(r.page_id, r.keyword_id): (r.id, r.score) for r in state.replace_keyword_set(old, picks, spark.createDataFrame([("p",)], "page_id string")).collect()}
     assert found == {("p", 11): (2, 5.0), ("p", 12): (None, 4.0), ("q", 10): (3, 1.0)}
-    s = spark.createDataFrame([("t", "u", at("2026-10-10T00:00:00")), ("o", "u", at("2026-10-01T00:00:00"))], "id string, user_id string, expires_at timestamp")
+    token = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    s = spark.createDataFrame([(token("t"), "u", at("2026-10-10T00:00:00")), (token("o"), "u", at("2026-10-01T00:00:00"))], "id string, user_id string, expires_at timestamp")
     u = spark.createDataFrame([("u", "a@b.c")], "id string, email string")
     [r] = state.active_session(s, u, "t", now).collect()
-    assert r.renewed and r.email == "a@b.c" and state.active_session(s, u, "o", now).count() == 0 and state.purge_sessions(s, now).count() == 1
+    assert r.renewed and r.email == "a@b.c" and state.active_session(s, u, "o", now).count() == 0 and state.purge_sessions(s, now).count() == 1 and state.purged_count(s, now).first().deleted == 1
 
 
 def site(spark, maps, hub=None, first_round=None):

@@ -1,10 +1,14 @@
 """Scalar functions: text, URLs, addresses, encodings, robots and sitemaps."""
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from siltstone.functions import dates, net, text, urls
-from siltstone.sources.sitemap import parse_robots, read_sitemap, robots_check, robots_verdict, sitemap_urls
+from siltstone.functions.constants import STOPWORDS
+from siltstone.functions.phrases import phrase_array, phrase_lists
+from siltstone.sources.sitemap import SitemapReader, parse_robots, read_sitemap, robots_check, robots_verdict, sitemap_urls
 
 
 def column(spark, values, expression, kind="string"):
@@ -13,19 +17,43 @@ def column(spark, values, expression, kind="string"):
 
 
 def test_phrases(spark):
-    [found] = column(spark, ["How to rank: the keyword research guide."], text.phrase_array)
+    [found] = column(spark, ["How to rank: the keyword research guide."], phrase_array)
     assert {"keyword research", "rank", "keyword research guide"} <= set(found)
     assert not {"how to rank", "rank the keyword", "the keyword"} & set(found)
-    [found] = column(spark, ["data science for seo 2024 teashop's ab"], lambda c: text.phrase_array(c, False))
+    [found] = column(spark, ["data science for seo 2024 teashop's ab"], lambda c: phrase_array(c, False))
     assert "data science" in found and "data science for seo" not in found and "2024" not in found and "teashop's" not in found and "ab" not in found
-    assert column(spark, [None, "", "... - !"], text.phrase_array) == [[], [], []]
+    assert column(spark, [None, "", "... - !"], phrase_array) == [[], [], []]
+    assert column(spark, ["ﬁne Ⅷ Ｔｅａ", "cafe\u0301 - x‘s\0end"], phrase_array) == [["fine", "fine viii", "fine viii tea", "viii", "viii tea", "tea"], ["café", "x's end", "end"]]
+
+
+def plain_phrases(value, inner):
+    """Phrases of a text, segment by segment and word by word."""
+    import regex
+
+    found = []
+    for segment in regex.split(r"[.,;:!?()\[\]{}\x22“”|/\\–—]+|\s-\s", value.lower()):
+        w = regex.findall(r"[\p{L}\p{N}]+(?:'[\p{L}]+)?", segment)
+        edge = [x not in STOPWORDS and not x.isdigit() for x in w]
+        for i in range(len(w)):
+            for n in range(1, min(4, len(w) - i) + 1):
+                run = w[i : i + n]
+                if edge[i] and edge[i + n - 1] and not run[-1].endswith("'s") and (n > 1 or len(w[i]) > 2) and (inner or not any(x in STOPWORDS for x in run)):
+                    found.append(" ".join(run))
+    return found
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.text(alphabet=st.sampled_from(list("abc  the's é1-.,|\t")), max_size=60), max_size=5), st.booleans())
+def test_phrases_are_those_of_a_plain_reading(texts, inner):
+    found, sizes = phrase_lists(texts, inner)
+    assert found.to_pylist() == [p for t in texts for p in plain_phrases(t, inner)]
+    assert sizes.tolist() == [len(plain_phrases(t, inner)) for t in texts]
 
 
 def test_text_basics(spark):
     assert column(spark, [" a \n b ", None], text.collapse) == ["a b", None]
     assert column(spark, ["don’t well-known x2 — ok", ""], text.word_count) == [4, 0]
     assert column(spark, ["a😀b", None], text.utf16_length) == [4, None]
-    assert column(spark, ["ﬁne Ⅷ", None], text.nfkc) == ["fine VIII", None]
     assert column(spark, ["What is SEO? • Teashop", "plain", "a - b | c"], text.strip_site_name) == ["What is SEO?", "plain", "a b"]
     assert column(spark, ["x | Acme Inc ", "x", None], text.site_name) == ["acme inc", None, None]
     assert column(spark, [" Me@X.Com "], text.normalize_email) == ["me@x.com"]
@@ -115,7 +143,7 @@ def test_sitemaps(spark):
     assert read_sitemap("<html><body>x</body></html>")[0] == "unknown"
     assert read_sitemap(None) == ("unknown", [], True)
     df = spark.createDataFrame([("a.com", "https://a.com/s.xml", bytearray(SITEMAP)), ("a.com", "x", None)], "site string, sitemap_url string, body binary")
-    assert [r.loc for r in sitemap_urls(df).orderBy("ord").collect()] == ["https://a.com/1?x=1&y=2", "https://a.com/2"]
+    assert [r.loc for r in sitemap_urls(df).orderBy("ord").collect()] == [None, "https://a.com/1?x=1&y=2", "https://a.com/2"]
 
 
 def test_robots(spark):
@@ -128,11 +156,28 @@ def test_robots(spark):
     assert sorted(r.allowed for r in robots_check(df, "x").collect()) == [False, True, True]
 
 
-def test_ranges():
+def test_sitemaps_in_parts():
+    """Whatever the parts in which the bytes come, the same is read; no more is asked for than is wanted."""
+    whole = SITEMAP.replace(b"/2", "/é😀".encode()) + b"</urlset>"
+    for size in (1, 2, 3, 7):
+        reader = SitemapReader()
+        assert all(reader.feed(whole[i : i + size]) for i in range(0, len(whole), size))
+        reader.feed(b"", True)
+        assert reader.result() == read_sitemap(whole)
+    reader, taken = SitemapReader(1), 0
+    while reader.feed(whole[taken : taken + 10]):
+        taken += 10
+    assert taken < len(whole) - 20 and reader.result() == ("urlset", ["https://a.com/1?x=1&y=2"], False)
+    lines = SitemapReader(2)
+    assert lines.feed(b" \n https://a.com/1\r\nhttps://a.c") and lines.feed(b"om/2\nx\n") and not lines.feed(b"https://a.com/3\n")
+    assert lines.result() == ("text", ["https://a.com/1", "https://a.com/2"], False)
+
+
+def test_ranges(spark):
     from datetime import date
 
     assert dates.checked_range(None, "2026-10-07", date(2026, 1, 1)) == (date(2026, 7, 10), date(2026, 10, 7))
     for bad in (("2026-10-08", "2026-10-07"), ("2024-10-07", "2026-10-07"), ("x", None)):
         with pytest.raises(ValueError):
             dates.checked_range(*bad, date(2026, 10, 7))
-    assert [dates.history_days(*x) for x in ((240, 50_000), (100, 50_000), (0, 50_000))] == [365, 500, 365]
+    assert column(spark, [240, 100, 0, None], lambda c: dates.history_days(c, 50_000), "int") == [365, 500, 365, 365]
