@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -41,6 +44,14 @@ def arrow_schema(schema: str) -> pa.Schema:
     return pa.schema([(name, _ARROW[kind]) for name, kind in (part.split() for part in schema.split(","))])
 
 
+def release() -> None:
+    """Gives back what a task has freed: workers wait for their next task, and would keep it from the others meanwhile."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # where the C library has no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def map_arrow(df: DataFrame, function, schema: str) -> DataFrame:
     """mapInArrow for a function from an iterator of record batches to an iterator of lists or arrays by column."""
 
@@ -50,8 +61,11 @@ def map_arrow(df: DataFrame, function, schema: str) -> DataFrame:
         conf.set(BATCH_KEY, BATCH_BYTES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for columns in function(batches):
-            yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, f.type) for x, f in zip(columns, kind, strict=True)], schema=kind)
+        try:
+            for columns in function(batches):
+                yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, f.type) for x, f in zip(columns, kind, strict=True)], schema=kind)
+        finally:
+            release()
 
     return df.mapInArrow(run, schema)
 
