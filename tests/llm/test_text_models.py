@@ -1,6 +1,7 @@
 """Chat formatting, toxicity and quality rules."""
 
 import hashlib
+import math
 import zlib
 
 import duckdb
@@ -88,6 +89,49 @@ def test_held_out_accuracy(spark):
     assert area(score, label) > 0.97 and label[hit].mean() > 0.9 and hit[label].mean() > 0.8
 
 
+def plain_ftrl(rows):
+    """FTRL-proximal as published, place by place: (z, n) updated for each row, weights from them, L1 that spares the bias."""
+    z, n, bias = {}, {}, 1 << toxicity.BITS
+
+    def weight(i):
+        free, total = 0.0 if i == bias else toxicity.L1, z.get(i, 0.0)
+        if abs(total) <= free:
+            return 0.0
+        return (math.copysign(free, total) - total) / ((toxicity.BETA + math.sqrt(n.get(i, 0.0))) / toxicity.ALPHA + toxicity.L2)
+
+    for _ in range(toxicity.EPOCHS):
+        for text, label in rows:
+            at = [*{int(i) for i in toxicity.features(text)}, bias]
+            w = {i: weight(i) for i in at}
+            g = 1 / (1 + math.exp(-max(-35.0, min(35.0, math.fsum(w.values()))))) - label
+            for i in at:
+                before = n.get(i, 0.0)
+                sigma = (math.sqrt(before + g * g) - math.sqrt(before)) / toxicity.ALPHA
+                z[i] = z.get(i, 0.0) + g - sigma * w[i]
+                n[i] = before + g * g
+    return {i: weight(i) for i in z if weight(i)}
+
+
+def test_learner_is_plain_ftrl(spark, sf):
+    """Weights equal those of a row-by-row version, on made texts and on the labelled documents."""
+    made = [(f"you {'vile' if i % 2 else 'kind'} friend number {i % 7} of the {'bad' if i % 6 == 1 else 'good'} town", i % 2) for i in range(90)] + [(None, 1), ("", 0), ("one", 0)]
+    rows = spark.read.parquet(f"{sf}/documents.parquet").join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("toxic is not null").orderBy("doc_id").collect()
+    for sample in (made, [(r.text, r.toxic) for r in rows]):
+        places, weights = toxicity.fit_rows(iter(sample))
+        expected = plain_ftrl(sample)
+        assert set(places.tolist()) == set(expected) and len(expected) > 3
+        assert max(abs(w - expected[i]) for i, w in zip(places.tolist(), weights.tolist(), strict=True)) < 1e-9
+
+
+def test_skip_grams():
+    """A text's features: its words, their beginnings, neighbours, and pairs with a word between; distinct texts differ."""
+    n = lambda text: len(toxicity.features(text))
+    assert [n(x) for x in (None, "", " .,", "a", "a b", "a b c", "a b c d")] == [0, 0, 0, 2, 5, 9, 13]
+    pairs = set(toxicity.features("red green blue").tolist())
+    assert len(pairs & set(toxicity.features("red x blue").tolist())) == 5  # red and blue, their beginnings, and the skip-pair
+    assert (toxicity.features("You FOOL!") == toxicity.features("you fool")).all()
+
+
 def test_scores_see_the_text_alone(spark, odd, nothing):
     docs = spark.createDataFrame([(i, f"you {'vile' if i % 2 else 'kind'} friend number {i}", "en", f"s{i}", 9) for i in range(60)], "doc_id long, text string, lang string, source string, n_chars long")
     labels = spark.createDataFrame([(i, i % 2) for i in range(60)] + [(None, 1), (3, None), (999, 1)], "doc_id long, toxic int")
@@ -119,6 +163,17 @@ def test_measures():
     assert found == {"n_words": 16, "word_chars": 17, "n_symbols": 3, "n_dup_lines": 1, "n_repeat_words": 12, "n_lines": 3, "n_upper": 0, "n_stutter": 1}
 
 
+def test_share_at_its_threshold(spark):
+    """A share equal to its threshold passes, one above it doesn't."""
+    words = [f"w{k}" for k in range(100)]
+    rows = [(i, " ".join([*words[:-1], f"x{i}"])) for i in range(60)]
+    for i, n in ((100, 15), (101, 16)):  # all others have none, so the threshold is the least slack: 150 of 1000
+        rows.append((i, " ".join([f"p{k} p{k}" for k in range(n)] + words[: 100 - 2 * n])))
+    docs = spark.createDataFrame([(i, t, "en", "s") for i, t in rows], "doc_id long, text string, lang string, source string")
+    got = {r.doc_id: (r.n_words, r.n_stutter, r.base_failed, r.kept) for r in quality.quality_verdicts(docs).collect()}
+    assert quality.MEASURES["stutter"] == 150 and got[100] == (100, 15, False, True) and got[101] == (100, 16, False, False)
+
+
 def test_thresholds_adapt(spark):
     """Where a source writes many symbols, they are no fault; where it doesn't, they are."""
     clean = " ".join(f"word{k}" for k in range(30))
