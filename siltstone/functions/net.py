@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from siltstone.functions.constants import BASE_DELAY_MS, BLOCKED_IPV4, BLOCKED_IPV6, MAX_ATTEMPTS, MAX_REDIRECTS, MAX_RETRY_AFTER_MS, RETRY_STATUSES
 from siltstone.functions.lineage import cut
+from siltstone.functions.text import let
 
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 _IPV4 = rf"^{_OCTET}(?:\.{_OCTET}){{3}}$"
@@ -26,9 +27,8 @@ def ipv4_number(c: Column) -> Column:
 
 def is_public_ipv4(c: Column) -> Column:
     """Whether an IPv4 address is outside all blocked ranges; null for other texts. Ranges are compared as numbers."""
-    n = ipv4_number(c)
     spans = [(int(net.network_address), int(net.broadcast_address)) for net in (ipaddress.ip_network(f"{a}/{p}") for a, p in BLOCKED_IPV4)]
-    return ~reduce(lambda x, y: x | y, [n.between(a, b) for a, b in spans])
+    return let(ipv4_number(c), lambda n: ~reduce(lambda x, y: x | y, [n.between(a, b) for a, b in spans]))
 
 
 @F.pandas_udf(T.BooleanType())

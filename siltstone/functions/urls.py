@@ -19,7 +19,7 @@ NON_HTML = r"(?i)\.(pdf|jpe?g|png|gif|webp|svg|zip|mp4|mp3|xml|json|css|js|txt)$
 
 def host(url: Column) -> Column:
     """Host of an absolute http(s) URL, without port and credentials, lower case; null for other texts."""
-    return F.nullif(F.lower(F.regexp_extract(url, r"(?i)^https?://(?:[^/?#@]*@)?([^/?#:]+)", 1)), F.lit(""))
+    return F.nullif(F.lower(F.regexp_extract(url, r"(?i)^https?://(?:[^/?#@]*@)?(\[[^\]/?#]*\]|[^/?#:]+)", 1)), F.lit(""))
 
 
 def site_key(hostname: Column) -> Column:
@@ -61,7 +61,8 @@ def normalize_page_url(url: Column, base: Column | None = None) -> Column:
     kept = F.array_join(F.filter(F.split(query, "&"), lambda p: ~p.rlike(TRACKING)), "&")
     origin = strip_default_port(F.lower(F.regexp_extract(head, r"^[^:]+://[^/]+", 0)))
     whole = F.concat(origin, F.when(F.regexp_extract(head, r"^[^:]+://[^/]+(.*)$", 1) == "", "/").otherwise(F.regexp_extract(head, r"^[^:]+://[^/]+(.*)$", 1)))
-    return F.when(host(plain).isNotNull(), F.when(query.isNull() | (kept == "") | kept.isNull(), whole).otherwise(F.concat(whole, F.lit("?"), kept)))
+    port = F.coalesce(F.nullif(F.regexp_extract(origin, r":(\d+)$", 1), F.lit("")).cast("long"), F.lit(0))
+    return F.when(host(plain).isNotNull() & (port < 65536), F.when(query.isNull() | (kept == "") | kept.isNull(), whole).otherwise(F.concat(whole, F.lit("?"), kept)))
 
 
 def _join(href: str | None, base: str | None, web: bool) -> str | None:

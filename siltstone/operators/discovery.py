@@ -36,7 +36,8 @@ def find_hub(links: DataFrame, entered: DataFrame) -> DataFrame:
 
 def hub_sitemaps(origin: Column, hub_url: Column) -> Column:
     """The usual sitemap places within a hub's own path; none without a hub on the site below its root."""
-    p = F.regexp_replace(F.regexp_extract(hub_url, r"(?i)^https?://[^/?#]+([^?#]*)", 1), "/?$", "/")
+    p = F.regexp_extract(hub_url, r"(?i)^https?://[^/?#]+([^?#]*)", 1)
+    p = F.when(F.endswith(p, F.lit("/")), p).otherwise(F.concat(p, F.lit("/")))
     names = [x[1:] for x in CONVENTIONAL_SITEMAPS if not x.startswith("/blog/")]
     good = hub_url.isNotNull() & (site_key(host(hub_url)) == site_key(host(origin))) & (p != "/")
     return F.when(good, F.array(*[F.concat(origin, p, F.lit(n)) for n in names])).otherwise(F.array().cast("array<string>"))

@@ -25,8 +25,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(user_id, event_type, event_id, captured_at, position): about 5 % without a position."""
-    e = table(spark, sf_dir, "events")
+    return as_snapshots(table(spark, sf_dir, "events"))
+
+
+def as_snapshots(e: DataFrame) -> DataFrame:
+    """(user_id, event_type, event_id, captured_at, position) of events, a stream or a table: about 5 % without a position."""
     position = F.when(F.col("value") >= 147.35, None).otherwise(F.least(F.lit(100), F.lit(1) + F.floor(F.col("value") * 2 / 3)).cast("int"))
     return e.select("user_id", "event_type", "event_id", F.col("ts").cast("timestamp").alias("captured_at"), position.alias("position"))
 

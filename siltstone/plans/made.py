@@ -6,6 +6,7 @@ their keys, so that each operator runs on it. The SQL twins state what has to co
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from datetime import date
 
@@ -13,11 +14,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.functions import dates, net, text, urls
-from siltstone.functions.lineage import cut
+from siltstone.functions.lineage import cut, remove, shared_dir
 from siltstone.operators import crawl, discovery, issues, keywords, ranks, reads, state
 from siltstone.plans import analogues as A
 from siltstone.sources import html, http, schema
 from siltstone.sources.sitemap import sitemap_urls
+from siltstone.streaming.snapshots import update_counts
 
 ZONE, OWNER = "America/Toronto", 3
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -106,7 +108,7 @@ def url_forms(spark, d):
 @query
 def website_forms(spark, d):
     """Websites as customers enter them, one valid form and several others."""
-    entered = _pick("k", ["' https://WWW.Shop' || k || '.example/blog?x=1#y '", "'shop' || k || '.example'", "'http://bücher' || k || '.example'", "'http://localhost:' || k", "'https://shop' || k || '.example.:443'", "'https://u@shop.example/'", "'http://[2606:4700::' || k || ']/x'"])
+    entered = _pick("k", ["' https://WWW.Shop' || k || '.example/blog?x=1#y '", "'shop' || k || '.example'", "'http://bücher.example/' || k", "'http://localhost:' || k", "'https://shop' || k || '.example.:443'", "'https://u@shop.example/'", "'http://[2606:4700::' || (k + 1) || ']/x'"])
     c = A.table(spark, d, "customer").selectExpr("c_custkey AS k").selectExpr("k AS c_custkey", f"{entered} AS entered")
     return c.select("c_custkey", urls.parse_website(F.col("entered")).alias("w")).select("c_custkey", "w.url", "w.origin", "w.site_key")
 
@@ -300,7 +302,7 @@ def empty_relations(spark, d):
 def bulk_rows(spark, d):
     """Captures that come as one array a column, zipped back to rows."""
     e = A.table(spark, d, "events").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("event_id", "event_type", "value"))).alias("r"))
-    arrays = e.select("user_id", *[F.transform("r", lambda x, c=c: x[c]).alias(c) for c in ("event_id", "event_type", "value")])
+    arrays = e.select("user_id", *[F.col("r").getField(c).alias(c) for c in ("event_id", "event_type", "value")])
     return crawl.rows_from_arrays(arrays, "event_id", "event_type", "value")
 
 
@@ -336,9 +338,10 @@ def live_sessions(spark, d):
 
 @query
 def token_session(spark, d):
-    """The session of one token."""
+    """The session of the newest token."""
     s, users, now = _sessions(spark, d)
-    return state.active_session(s, users, "t700", now).select("email", "renewed")
+    newest = A.table(spark, d, "events").agg(F.max("event_id")).first()[0]
+    return state.active_session(s, users, f"t{newest}", now).select("email", "renewed")
 
 
 @query
@@ -428,3 +431,17 @@ def chart_series(spark, d):
 def chart_ranges(spark, d):
     """The ranges on offer on a day."""
     return spark.createDataFrame(ranks.preset_ranges(date(2026, 10, 7)), "first date, last date")
+
+
+@query
+def stream_counts(spark, d):
+    """Captures by day, counted by a stream that reads the table once and stops."""
+    at = f"{shared_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    kind = A.table(spark, d, "events").schema
+    stream = A.as_snapshots(spark.readStream.schema(kind).parquet(f"{d}/events*.parquet"))  # a stream reads folders or patterns
+    counts = update_counts(stream).writeStream.outputMode("complete").option("checkpointLocation", f"{at}/state").trigger(availableNow=True)
+    try:
+        counts.foreachBatch(lambda rows, _: rows.write.mode("overwrite").parquet(f"{at}/out")).start().awaitTermination()
+        return cut(spark.read.parquet(f"{at}/out").select(dates.iso_utc(F.col("start")).alias("start"), "n", "unranked"))
+    finally:
+        remove(spark, at)
