@@ -1,10 +1,13 @@
 """Packing of documents into training sequences by lexical retrieval.
 
-A shard is a bounded block of documents that one task reads. Its documents are tokenized, and an inverted index with BM25
-weights is built over their words. A seed document opens a window; the index returns the unused documents closest to the
-seed, and these fill the window one after another. The one that reaches the end is cut there, and what is left of it is
-the next seed. Windows are full but for the last of a shard, which is split at powers of two, lengths that need no
-padding. Shards never meet: there is no shuffle, and what a task holds doesn't grow with the corpus.
+The corpus is cut into shards of bounded size in which related documents meet: documents are sorted by min-hashes of their
+words, so that two of them get the same first one, and stand side by side, with the probability of their lexical
+similarity. The sort is one range shuffle; shards depend on the documents alone, not on files, partitions or cores.
+
+A shard is tokenized, and an inverted index with BM25 weights is built over its words. A seed document opens a window; the
+index returns the unused documents closest to the seed by all its words, and these fill the window one after another. The
+one that reaches the end is cut there, and what is left of it is the next seed. Windows are full but for the last of a
+shard, which is split at powers of two, lengths that need no padding. What a task holds doesn't grow with the corpus.
 """
 
 from __future__ import annotations
@@ -17,15 +20,18 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import blocks, map_arrow, spread, table
+from siltstone.llm.common import ASCII_LOWER, blocks, map_arrow, mix, spread, table
 
 WINDOW, END = 2048, 1
-#: Bytes of a shard.
-SHARD_BYTES = 8_000_000
+#: Bytes of a shard; partitions of the sort, at most (beyond that one holds several shards).
+SHARD_BYTES, MAX_PARTITIONS = 8_000_000, 100_000
+#: Min-hashes that documents are sorted by, one after another.
+SORT_HASHES = 3
 K1, B = 1.2, 0.75
 
 #: A run of white space and the run of other characters after it: the tokenizer's pieces never cross a border between them.
@@ -77,8 +83,8 @@ class Chunks(dict):
         return found
 
 
-def tokenize(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]:
-    """(ids with END, bounds by text, chunk numbers, bounds by text, number of chunks) of a shard's texts.
+def tokenize(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
+    """(ids with END, bounds by text) of a shard's texts.
 
     In almost all texts every single space starts a chunk: these are split and numbered by Arrow, and Python sees each
     distinct chunk once. The others are split by the pattern.
@@ -117,7 +123,16 @@ def tokenize(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray, np.nda
     ids, to = spread(np.concatenate(flat), np.concatenate(to), numbers)
     end = to[at[1:]]  # ids before the end of each text
     out = np.insert(ids, end, np.uint32(END))
-    return out, np.append(0, end + np.arange(1, len(texts) + 1)), numbers, at, spaced + len(other.ids)
+    return out, np.append(0, end + np.arange(1, len(texts) + 1))
+
+
+def word_numbers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, int]:
+    """(numbers of the words, bounds by text, number of distinct words) of a shard's texts: lower case, between white space."""
+    lists = pc.utf8_split_whitespace(pc.utf8_lower(pc.fill_null(texts, "")))
+    coded = lists.values.dictionary_encode()
+    bound = lists.offsets.to_numpy().astype(np.int64)
+    own = pc.greater(pc.binary_length(lists.values), 0).to_numpy(zero_copy_only=False)  # an empty text has no word
+    return coded.indices.to_numpy().astype(np.int64)[own], np.append(0, np.cumsum(own))[bound], len(coded.dictionary)
 
 
 class Bm25:
@@ -203,8 +218,8 @@ def _packer(path: str):
         task, sequences = TaskContext.get(), 0
         base = (task.partitionId() if task else 0) << 40
         for shard in blocks(batches, SHARD_BYTES):
-            ids, to, numbers, bound, n_words = tokenize(shard.column(1), path)
-            index = Bm25(numbers, bound, n_words)
+            ids, to = tokenize(shard.column(1), path)
+            index = Bm25(*word_numbers(shard.column(1)))
             total = np.diff(to)
             doc, start, size, sequence, offset = (np.array(x, np.int64) for x in zip(*pack_shard(total.tolist(), index.scores), strict=True))
             names, begin, data = shard.column(0), to[doc] + start, ids.astype("<u4")
@@ -217,15 +232,41 @@ def _packer(path: str):
     return run
 
 
+def min_hashes(text: str | None) -> np.ndarray:
+    """SORT_HASHES least hashes of a text's distinct words, letters A-Z in lower case; zeros without words."""
+    tokens = set(text.encode("utf-8", "surrogatepass").translate(ASCII_LOWER).split()) if text else ()
+    if not tokens:
+        return np.zeros(SORT_HASHES, np.uint64)
+    one = np.fromiter(map(xxhash.xxh64_intdigest, tokens), np.uint64, len(tokens))
+    return np.array([one.min(), *(mix(one ^ np.uint64(k)).min() for k in range(1, SORT_HASHES))], np.uint64)
+
+
+def in_shards(docs: DataFrame) -> DataFrame:
+    """docs(doc_id, text) dealt over partitions of about a shard, related documents side by side."""
+    names = [f"_h{k}" for k in range(SORT_HASHES)]
+
+    def run(batches):
+        for batch in batches:
+            found = np.array([min_hashes(t.as_py()) for t in batch.column(1)], np.uint64).reshape(-1, SORT_HASHES)
+            yield [*batch.columns, *np.ascontiguousarray(found.view(np.int64).T)]
+
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()[0]
+    shards = min(MAX_PARTITIONS, max(1, -(-size // SHARD_BYTES)))
+    hashed = map_arrow(docs, run, "doc_id long, text string, " + ", ".join(f"{n} long" for n in names))
+    place = [*names, "doc_id", F.xxhash64("text")]
+    return hashed.repartitionByRange(shards, *place).sortWithinPartitions(*place).select("doc_id", "text")
+
+
 def pack(docs: DataFrame, ranks_path: str | None = None) -> DataFrame:
     """(doc_id, start, ids binary, doc_tokens, sequence_id, offset): the pieces of every row of docs(doc_id, text).
 
     ids are little-endian unsigned 32-bit; each document's end with END. Null and empty texts are END alone. Longer
-    documents than WINDOW are cut. Repeated rows are packed each; null ids too. Equal scores go to the earlier row. An
-    empty table gives no rows. Other columns are not read. A sequence has at most WINDOW ids, gapless from offset 0.
+    documents than WINDOW are cut, whatever their length. Repeated rows are packed each; null ids too. Equal scores go to
+    the document that is earlier in the shard. An empty table gives no rows. Other columns, whatever their names, are not
+    read. A sequence has at most WINDOW ids, gapless from offset 0.
     """
-    plain = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return map_arrow(plain, _packer(ranks_path or ranks_file()), "doc_id long, start long, ids binary, doc_tokens long, sequence_id long, offset long")
+    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return map_arrow(in_shards(plain), _packer(ranks_path or ranks_file()), "doc_id long, start long, ids binary, doc_tokens long, sequence_id long, offset long")
 
 
 def pieces(docs: DataFrame) -> DataFrame:
@@ -239,5 +280,5 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage, the last: the pieces of what is left."""
+    """Pipeline stage, the last: the pieces of what is left. Odd rows are packed as pack says."""
     return pieces(docs)

@@ -35,7 +35,7 @@ def encoded(texts):
 
 
 def tokenized(texts):
-    ids, bound, *_ = packing.tokenize(pa.array(texts, pa.string()), packing.ranks_file())
+    ids, bound = packing.tokenize(pa.array(texts, pa.string()), packing.ranks_file())
     return [ids[a:b].tolist() for a, b in zip(bound[:-1].tolist(), bound[1:].tolist(), strict=True)]
 
 
@@ -153,6 +153,66 @@ def test_neighbours_come_first():
     assert packing.pack_shard([5000], lambda s: np.zeros(1)) == [(0, 0, 2048, 0, 0), (0, 2048, 2048, 1, 0), (0, 4096, 512, 2, 0), (0, 4608, 256, 3, 0), (0, 4864, 128, 4, 0), (0, 4992, 8, 5, 0)]
 
 
+def bm25(words):
+    """scores(a) of all texts for all distinct words of text a, by the formula alone."""
+    import math
+    from collections import Counter
+
+    held, df = [Counter(w) for w in words], Counter(x for w in words for x in set(w))
+    n, mean = len(words), max(1.0, sum(map(len, words)) / max(1, len(words)))
+    idf = {x: math.log1p((n - k + 0.5) / (k + 0.5)) for x, k in df.items()}
+
+    def score(a, b):
+        norm = packing.K1 * (1 - packing.B + packing.B * len(words[b]) / mean)
+        return sum(idf[x] * held[b][x] * (packing.K1 + 1) / (held[b][x] + norm) for x in held[a] if x in held[b] and df[x] > 1)
+
+    return lambda a: [score(a, b) for b in range(n)]
+
+
+def test_windows_are_filled_by_whole_corpus_neighbours(spark, sf):
+    """Where the corpus is one shard, each next document of a window is the unused one with the highest BM25 score of all."""
+    docs = [(r.doc_id, r.text) for r in packing.in_shards(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")).collect()]
+    assert sum(len((t or "").encode()) for _, t in docs) < packing.SHARD_BYTES
+    scores, place = bm25([(t or "").lower().split() for _, t in docs]), {i: k for k, (i, _) in enumerate(docs)}
+    rows = sorted(packing.op9_packing(spark, sf).collect(), key=lambda r: (r.sequence_id, r.offset))
+    windows, free, best, seed = {}, set(range(len(docs))), None, None
+    for r in rows:
+        windows.setdefault(r.sequence_id, []).append(r)
+    chosen = agreed = 0
+    for own in windows.values():
+        if sum(r.length for r in own) < packing.WINDOW:
+            continue  # the last window, cut at powers of two
+        seed = None
+        for r in own:
+            k = place[r.doc_id]
+            if r.start == 0 and seed is not None:
+                now = scores(seed)
+                best = max((now[j] for j in free), default=0)
+                chosen += 1
+                agreed += now[k] >= best * (1 - 1e-5) - 1e-9
+            free.discard(k)
+            seed = k if seed is None and r.start + r.length == r.doc_tokens else seed
+    assert chosen > 30 and agreed == chosen
+
+
+def test_related_documents_share_a_shard(spark, monkeypatch):
+    """Edited copies stand side by side wherever they were: most of them meet in one of many shards."""
+    monkeypatch.setattr(packing, "SHARD_BYTES", 20_000)
+    rng = np.random.default_rng(2)
+    rows = []
+    for g in range(300):
+        words = [f"w{x}" for x in rng.integers(0, 20_000, 120)]
+        for copy in range(2):
+            changed = [f"c{rng.integers(10**9)}" if rng.random() < 0.05 else w for w in words]
+            rows.append((g + 1000 * copy, " ".join(changed)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("_h0", packing.F.lit("x"))
+    from pyspark.sql import functions as F
+
+    shard = {r.doc_id: r.shard for r in packing.in_shards(docs.select("doc_id", "text")).select("doc_id", F.spark_partition_id().alias("shard")).collect()}
+    assert len(set(shard.values())) > 10 and np.mean([shard[g] == shard[g + 1000] for g in range(300)]) > 0.75
+    assert check_pieces(packing.pieces(docs).collect(), {i: byte_ids(t) for i, t in rows}) < 2048
+
+
 def test_neighbours_by_all_words():
     """BM25 over every word of the seed: also a document that shares none of its rarest words is scored."""
     import math
