@@ -15,7 +15,7 @@ from __future__ import annotations
 import base64
 import re
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +32,8 @@ WINDOW, END = 2048, 1
 SHARD_BYTES, MAX_PARTITIONS = 8_000_000, 100_000
 #: Min-hashes that documents are sorted by, one after another.
 SORT_HASHES = 3
+#: Documents sampled for the borders of the shards: a share that gives some twenty a shard of usual texts, within bounds.
+SAMPLE, LEAST_SAMPLE, MOST_SAMPLE = 0.01, 2_000, 200_000
 K1, B = 1.2, 0.75
 
 #: A run of white space and the run of other characters after it: the tokenizer's pieces never cross a border between them.
@@ -114,7 +116,8 @@ def tokenize(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     flat, to = [np.zeros(0, np.uint32)], [np.zeros(1, np.int64)]
     for k in range(0, spaced, 50_000):  # chunks in a row: what is encoded is cut where each ends
         part = coded.dictionary.slice(k, 50_000)
-        found = np.array(other.encode(" " + " ".join(part.to_pylist())), np.uint32)
+        joined = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(part)], pa.int32()), part), " ")
+        found = np.array(other.encode(" " + joined[0].as_py()), np.uint32)
         end = np.cumsum(pc.binary_length(part).to_numpy() + 1)
         to.append(to[-1][-1] + np.searchsorted(np.cumsum(other.size[found]), end, side="right"))
         flat.append(found)
@@ -127,12 +130,10 @@ def tokenize(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
 
 
 def word_numbers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, int]:
-    """(numbers of the words, bounds by text, number of distinct words) of a shard's texts: lower case, between white space."""
-    lists = pc.utf8_split_whitespace(pc.utf8_lower(pc.fill_null(texts, "")))
+    """(numbers of the words, bounds by text, number of distinct words) of a shard's texts."""
+    lists = _words(texts)
     coded = lists.values.dictionary_encode()
-    bound = lists.offsets.to_numpy().astype(np.int64)
-    own = pc.greater(pc.binary_length(lists.values), 0).to_numpy(zero_copy_only=False)  # an empty text has no word
-    return coded.indices.to_numpy().astype(np.int64)[own], np.append(0, np.cumsum(own))[bound], len(coded.dictionary)
+    return coded.indices.to_numpy().astype(np.int64), lists.offsets.to_numpy().astype(np.int64), len(coded.dictionary)
 
 
 class Bm25:
@@ -146,23 +147,23 @@ class Bm25:
         length = np.diff(bound).astype(np.float64)
         word = np.concatenate([*self.words, np.empty(0, np.int64)])
         count = np.concatenate([*(c for _, c in pairs), np.empty(0, np.int64)]).astype(np.float64)
-        doc = np.repeat(np.arange(n, dtype=np.int32), size)
+        doc = np.repeat(np.arange(n), size)
         self.df = np.bincount(word, minlength=n_words)
         idf = np.log1p((n - self.df + 0.5) / (self.df + 0.5))
         norm = K1 * (1 - B + B * length / max(1.0, length.mean() if n else 1.0))
         order = np.argsort(word, kind="stable")
         self.docs = doc[order]
-        self.weight = (idf[word] * count * (K1 + 1) / (count + norm[doc])).astype(np.float32)[order]
+        self.weight = (idf[word] * count * (K1 + 1) / (count + norm[doc]))[order]
         self.start = np.append(0, np.cumsum(self.df))
 
     def scores(self, seed: int) -> np.ndarray:
         """BM25 scores of all documents of the shard for all words of the seed."""
         words = self.words[seed]
         words = words[self.df[words] > 1]  # the others are the seed's alone
-        spans = [slice(a, b) for a, b in zip(self.start[words].tolist(), self.start[words + 1].tolist(), strict=True)]
-        if not spans:
-            return np.zeros(len(self.words))
-        return np.bincount(np.concatenate([self.docs[s] for s in spans]), np.concatenate([self.weight[s] for s in spans]), len(self.words))
+        size = self.df[words]
+        upto = np.cumsum(size)
+        at = np.repeat(self.start[words] - upto + size, size) + np.arange(upto[-1] if len(upto) else 0)
+        return np.bincount(self.docs[at], self.weight[at], len(self.words))
 
 
 def pack_shard(lengths: list[int], neighbours) -> list[tuple[int, int, int, int, int]]:
@@ -232,29 +233,64 @@ def _packer(path: str):
     return run
 
 
-def min_hashes(text: str | None) -> np.ndarray:
-    """SORT_HASHES least hashes of a text's distinct words, letters A-Z in lower case; zeros without words."""
-    tokens = set(text.encode("utf-8", "surrogatepass").translate(ASCII_LOWER).split()) if text else ()
-    if not tokens:
-        return np.zeros(SORT_HASHES, np.uint64)
-    one = np.fromiter(map(xxhash.xxh64_intdigest, tokens), np.uint64, len(tokens))
-    return np.array([one.min(), *(mix(one ^ np.uint64(k)).min() for k in range(1, SORT_HASHES))], np.uint64)
+def min_hashes(texts: pa.Array) -> np.ndarray:
+    """SORT_HASHES least hashes of each text's words, lower case; zeros without words. Each distinct word is hashed once."""
+    lists = _words(texts)
+    coded = lists.values.dictionary_encode()
+    edges, data = (coded.dictionary.buffers()[i] for i in (1, 2))  # their bytes, without a string for each
+    edges, data = np.frombuffer(edges, np.int32)[: len(coded.dictionary) + 1].tolist() if edges else [0], data.to_pybytes() if data else b""
+    one = np.fromiter((xxhash.xxh64_intdigest(data[a:b]) for a, b in pairwise(edges)), np.uint64, len(coded.dictionary))
+    bound = lists.offsets.to_numpy().astype(np.int64)
+    full = np.flatnonzero(np.diff(bound))
+    out = np.zeros((len(texts), SORT_HASHES), np.uint64)
+    for k in range(SORT_HASHES if len(full) else 0):
+        out[full, k] = np.minimum.reduceat((mix(one ^ np.uint64(k)) if k else one)[coded.indices.to_numpy()], bound[:-1][full])
+    return out
+
+
+def _words(texts: pa.Array) -> pa.ListArray:
+    """The words of each text, in lower case, between white space."""
+    lists = pc.utf8_split_whitespace(pc.utf8_lower(pc.fill_null(texts, "")))
+    own = pc.greater(pc.binary_length(lists.values), 0)  # an empty text has no word
+    bound = np.append(0, np.cumsum(own.to_numpy(zero_copy_only=False)))[lists.offsets.to_numpy()]
+    return pa.ListArray.from_arrays(pa.array(bound, pa.int32()), lists.values.filter(own))
+
+
+def _hashed(batches):
+    for batch in batches:
+        yield [*batch.columns, *np.ascontiguousarray(min_hashes(batch.column(1)).view(np.int64).T)]
 
 
 def in_shards(docs: DataFrame) -> DataFrame:
-    """docs(doc_id, text) dealt over partitions of about a shard, related documents side by side."""
-    names = [f"_h{k}" for k in range(SORT_HASHES)]
+    """docs(doc_id, text) dealt over partitions of about a shard, related documents side by side.
 
-    def run(batches):
-        for batch in batches:
-            found = np.array([min_hashes(t.as_py()) for t in batch.column(1)], np.uint64).reshape(-1, SORT_HASHES)
-            yield [*batch.columns, *np.ascontiguousarray(found.view(np.int64).T)]
-
-    size = docs.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()[0]
-    shards = min(MAX_PARTITIONS, max(1, -(-size // SHARD_BYTES)))
-    hashed = map_arrow(docs, run, "doc_id long, text string, " + ", ".join(f"{n} long" for n in names))
-    place = [*names, "doc_id", F.xxhash64("text")]
-    return hashed.repartitionByRange(shards, *place).sortWithinPartitions(*place).select("doc_id", "text")
+    Where one partition ends and the next begins is read off a bounded sample of the documents; every document is dealt,
+    and goes where its min-hashes say.
+    """
+    names = [f"_h{k}" for k in range(SORT_HASHES)]
+    kind = "doc_id long, text string, " + ", ".join(f"{n} long" for n in names)
+    n = docs.count()
+    part = min(max(SAMPLE, LEAST_SAMPLE / max(n, 1)), MOST_SAMPLE / max(n, 1), 1.0)
+    seen = map_arrow(docs.sample(part, 11) if part < 1 else docs, _hashed, kind).select(*names, "doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).alias("size")).toPandas()
+    place = [*names, "doc_id"]
+    seen = seen.sort_values(place, na_position="first")
+    shards = min(MAX_PARTITIONS, max(1, -(-int(seen["size"].sum() / max(len(seen), 1) * n) // SHARD_BYTES)))
+    at = np.searchsorted(seen["size"].cumsum().to_numpy(), seen["size"].sum() * np.arange(1, shards) / shards)
+    edges = _keys(*(seen[c].fillna(-(1 << 63)).to_numpy(np.int64)[at] for c in place))
+
+    def deal(batches):
+        for batch, columns in ((b, c) for b in batches for c in _hashed([b])):
+            own = _keys(*columns[2:], batch.column(0).fill_null(-(1 << 63)).to_numpy())
+            yield [*columns, np.searchsorted(edges, own, side="right").astype(np.int32)]
+
+    dealt = map_arrow(docs, deal, kind + ", part int").repartitionById(shards, F.col("part"))
+    return dealt.sortWithinPartitions(*place, F.xxhash64("text")).select("doc_id", "text")
+
+
+def _keys(*columns: np.ndarray) -> np.ndarray:
+    """Bytes that sort as the rows of signed numbers do."""
+    flipped = np.stack([np.asarray(c, np.int64).view(np.uint64) ^ np.uint64(1 << 63) for c in columns], axis=1)
+    return flipped.astype(">u8").view(f"S{8 * len(columns)}")[:, 0]
 
 
 def pack(docs: DataFrame, ranks_path: str | None = None) -> DataFrame:

@@ -195,6 +195,14 @@ def test_windows_are_filled_by_whole_corpus_neighbours(spark, sf):
     assert chosen > 30 and agreed == chosen
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(st.integers(-(2**63), 2**63 - 1), st.integers(-3, 3)), min_size=1, max_size=30))
+def test_keys_sort_as_rows(rows):
+    keys = packing._keys(*(np.array(c, np.int64) for c in zip(*rows, strict=True)))
+    order = sorted(range(len(rows)), key=lambda i: rows[i])
+    assert (np.diff(np.searchsorted(np.sort(keys), keys[order])) >= 0).all()
+
+
 def test_related_documents_share_a_shard(spark, monkeypatch):
     """Edited copies stand side by side wherever they were: most of them meet in one of many shards."""
     monkeypatch.setattr(packing, "SHARD_BYTES", 20_000)
