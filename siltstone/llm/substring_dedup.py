@@ -6,6 +6,8 @@ two equal windows, wherever they start, share an offset below PERIOD at which bo
 cover position. Only anchors are shuffled. An anchor met twice is then extended to the windows around it, and only these
 are compared in full.
 
+A window stands for its words by 127 bits of hashes, more than all windows of any corpus need to be told apart.
+
 Each task first settles what it can among the documents of a block: of equal anchors or windows of a block only the
 earliest goes on as a contender for the hash, so a passage that a third of all documents share has a row a block, not a
 row a document, wherever rows of one hash meet. Blocks travel as compressed arrays by hash bucket.
@@ -30,6 +32,8 @@ WINDOW, ANCHOR, PERIOD, COVER = 20, 8, 13, (0, 1, 3, 9)
 BLOCK = 500_000
 #: Bytes of text whose anchors a bucket holds, at most and on average: what a task joins grows no further with the corpus.
 BUCKET_BYTES = 64_000_000
+#: What makes the further bits of a window's hash others than the first ones.
+OTHER = np.uint64(0x9E3779B97F4A7C15)
 #: Stands for a null doc_id: before every other one.
 NO_ID = -(1 << 63)
 
@@ -37,9 +41,12 @@ _COVERED = np.isin(np.arange(PERIOD), COVER)
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
-def _grams(tokens: list[bytes], size: int) -> np.ndarray:
-    """Hashes of all runs of size (8 or 20) words."""
-    one = np.fromiter(map(xxhash.xxh64_intdigest, tokens), np.uint64, len(tokens))
+def _hashes(tokens: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh64_intdigest, tokens), np.uint64, len(tokens))
+
+
+def _grams(one: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of all runs of size (8 or 20) words, from the hashes of the words."""
     two = pair_hash(one[:-1], one[1:])
     four = pair_hash(two[:-2], two[2:])
     eight = pair_hash(four[:-4], four[4:])
@@ -64,11 +71,16 @@ def windows_near(anchors: np.ndarray, n_words: int) -> np.ndarray:
     return np.flatnonzero(total[PERIOD : PERIOD + n] > total[:n])
 
 
-def _first(h: np.ndarray, doc: np.ndarray, pos: np.ndarray):
-    """(order by hash and place, row that begins each run of a hash, its index for every row) of a block."""
-    order = np.lexsort((pos, doc, h))
+def _first(h: np.ndarray, doc: np.ndarray, pos: np.ndarray, more: np.ndarray | None = None):
+    """(order by hash and place, row that begins each run of a hash, its index for every row) of a block.
+
+    more: further bits of the hash.
+    """
+    order = np.lexsort((pos, doc, h) if more is None else (pos, doc, more, h))
     new = np.ones(len(h), bool)
     new[1:] = np.diff(h[order].view(np.int64)) != 0
+    if more is not None:
+        new[1:] |= np.diff(more[order].view(np.int64)) != 0
     return order, new, np.flatnonzero(new)[np.cumsum(new) - 1]
 
 
@@ -77,43 +89,45 @@ def _spread(doc: np.ndarray, pos: np.ndarray) -> np.ndarray:
     return mix(doc.view(np.uint64) * np.uint64(31) + pos.astype(np.uint64)) & np.uint64(0xFFFE)
 
 
-def pack(h: np.ndarray, doc: np.ndarray, pos: np.ndarray, buckets: int):
+def pack(h: np.ndarray, doc: np.ndarray, pos: np.ndarray, more: np.ndarray | None, buckets: int):
     """(bucket, blob) columns: rows dealt by hash to buckets, each bucket's rows sorted and compressed by byte planes."""
+    more = np.zeros(len(h), np.uint64) if more is None else more  # eight planes of zeros take next to nothing
     bucket = ((h >> np.uint64(1)) % np.uint64(buckets)).astype(np.int32)
     order = np.lexsort((h, bucket))
-    h, doc, pos, bucket = h[order], doc[order], pos[order], bucket[order]
+    h, doc, pos, more, bucket = h[order], doc[order], pos[order], more[order], bucket[order]
     edge = np.append(np.flatnonzero(np.diff(bucket, prepend=-1)), len(bucket))
     squeeze, blobs = zstandard.ZstdCompressor(level=1), []
     for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
-        planes = [np.diff(h[a:b], prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8), doc[a:b].view(np.uint8).reshape(-1, 8), pos[a:b].view(np.uint8).reshape(-1, 4)]
+        planes = [np.diff(h[a:b], prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8), doc[a:b].view(np.uint8).reshape(-1, 8), pos[a:b].view(np.uint8).reshape(-1, 4), more[a:b].view(np.uint8).reshape(-1, 8)]
         blobs.append(squeeze.compress(b"".join(x.T.tobytes() for x in planes)))
     return [bucket[edge[:-1]], pa.array(blobs, pa.binary())]
 
 
 def unpack(blob: bytes):
-    """(h, doc, pos) of a blob."""
+    """(h, doc, pos, more) of a blob."""
     data = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8)
-    n = len(data) // 20
+    n = len(data) // 28
     part = lambda a, width, kind: np.ascontiguousarray(data[a * n : (a + width) * n].reshape(width, n).T).view(kind)[:, 0]
-    return np.cumsum(part(0, 8, np.uint64), dtype=np.uint64), part(8, 8, np.int64), part(16, 4, np.int32)
+    return np.cumsum(part(0, 8, np.uint64), dtype=np.uint64), part(8, 8, np.int64), part(16, 4, np.int32), part(20, 8, np.uint64)
 
 
 def _blocks(found, buckets: int, settle):
-    """Packs what found yields, (hashes, doc, starts) by document, in bounded blocks."""
-    hs, docs, ats, held = [], [], [], 0
+    """Packs what found yields, (hashes, further bits or none, doc, starts) by document, in bounded blocks."""
+    hs, mores, docs, ats, held = [], [], [], [], 0
 
     def block():
-        h, doc, pos = settle(np.concatenate(hs) & np.uint64(0xFFFFFFFFFFFFFFFE), np.concatenate(docs), np.concatenate(ats))
-        return pack(h, doc, pos, buckets)
+        more = [] if mores[0] is None else [np.concatenate(mores)]
+        return pack(*settle(np.concatenate(hs) & np.uint64(0xFFFFFFFFFFFFFFFE), np.concatenate(docs), np.concatenate(ats), *more), buckets)
 
-    for h, doc, at in found:
+    for h, more, doc, at in found:
         hs.append(h)
+        mores.append(more)
         docs.append(np.full(len(at), doc, np.int64))
         ats.append(at.astype(np.int32))
         held += len(at)
         if held >= BLOCK:
             yield block()
-            hs, docs, ats, held = [], [], [], 0
+            hs, mores, docs, ats, held = [], [], [], [], 0
     if held:
         yield block()
 
@@ -123,15 +137,15 @@ def _settle_anchors(h, doc, pos):
     order, new, start = _first(h, doc, pos)
     h, doc, pos = h[order], doc[order], pos[order]
     known = np.bincount(start, minlength=len(h))[start] > 1
-    return np.where(known & ~new, _spread(doc, pos), h) | known.astype(np.uint64), doc, pos
+    return np.where(known & ~new, _spread(doc, pos), h) | known.astype(np.uint64), doc, pos, None
 
 
-def _settle_windows(h, doc, pos):
+def _settle_windows(h, doc, pos, more):
     """Bit 0 of the hash is set where the block has an earlier equal window; the others go on as contenders."""
-    order, _, start = _first(h, doc, pos)
-    h, doc, pos = h[order], doc[order], pos[order]
+    order, _, start = _first(h, doc, pos, more)
+    h, doc, pos, more = h[order], doc[order], pos[order], more[order]
     late = (doc != doc[start]) | (pos != pos[start])
-    return np.where(late, _spread(doc, pos) | np.uint64(1), h), doc, pos
+    return np.where(late, _spread(doc, pos) | np.uint64(1), h), doc, pos, np.where(late, np.uint64(0), more)
 
 
 def _anchors(buckets: int):
@@ -141,7 +155,7 @@ def _anchors(buckets: int):
                 tokens = words(text.as_py())
                 at = anchor_positions(len(tokens))
                 if len(at):
-                    yield _grams(tokens, ANCHOR)[at], doc, at
+                    yield _grams(_hashes(tokens), ANCHOR)[at], None, doc, at
 
     return lambda batches: _blocks(found(batches), buckets, _settle_anchors)
 
@@ -155,12 +169,13 @@ def _windows(buckets: int):
                     continue
                 at = windows_near(anchors.values.to_numpy(), len(tokens))
                 if len(at):
-                    yield _grams(tokens, WINDOW)[at], doc, at
+                    one = _hashes(tokens)
+                    yield _grams(one, WINDOW)[at], _grams(mix(one + OTHER), WINDOW)[at], doc, at
 
     return lambda batches: _blocks(found(batches), buckets, _settle_windows)
 
 
-def _met(h, doc, pos):
+def _met(h, doc, pos, _):
     """Places of the anchors that are known to be repeated or that another contender repeats."""
     known = (h & np.uint64(1)).astype(bool)
     _, at, size = np.unique(h >> np.uint64(1), return_inverse=True, return_counts=True)
@@ -169,10 +184,10 @@ def _met(h, doc, pos):
     return doc[keep], pos[keep]
 
 
-def _late(h, doc, pos):
+def _late(h, doc, pos, more):
     """Places of the windows that are known to be repeated or that an earlier contender precedes."""
     known = (h & np.uint64(1)).astype(bool)
-    order, _, start = _first(h[~known], doc[~known], pos[~known])
+    order, _, start = _first(h[~known], doc[~known], pos[~known], more[~known])
     d, p = doc[~known][order], pos[~known][order]
     late = (d != d[start]) | (p != p[start])
     return np.concatenate([doc[known], d[late]]), np.concatenate([pos[known], p[late]])
@@ -196,7 +211,7 @@ def _places(solve, buckets: int):
 
     def block(docs, ats):
         doc, at = np.concatenate(docs), np.concatenate(ats)
-        return pack(mix(doc.view(np.uint64)) << np.uint64(1), doc, at, buckets)
+        return pack(mix(doc.view(np.uint64)) << np.uint64(1), doc, at, None, buckets)
 
     def run(batches):
         docs, ats, held = [], [], 0
@@ -216,7 +231,7 @@ def _places(solve, buckets: int):
 
 def _lists(batches):
     """(doc, starts): one row a document."""
-    for _, doc, at in _whole(batches, unpack):
+    for _, doc, at, _ in _whole(batches, unpack):
         order = np.argsort(doc, kind="stable")
         doc, at = doc[order], at[order]
         edge = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
