@@ -124,9 +124,10 @@ def keyword_scores(found: DataFrame, pages: DataFrame) -> DataFrame:
 def pick(scored: DataFrame) -> DataFrame:
     """(site, page_id, rank_order, term, score, sources): each page's best phrases that don't overlap a better one.
 
-    Best first by unrounded score, ties by term; a phrase that contains a kept one, or is within one, goes.
+    Best first by unrounded score, ties in dictionary order (ICU); a phrase that contains a kept one, or is within one, goes.
     """
-    rows = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("k"), "term", "score", "sources")))
+    order = F.struct((-F.col("score")).alias("k"), F.collate("term", "UNICODE").alias("c"), "term", "score", "sources")
+    rows = F.array_sort(F.collect_list(order))
     padded = lambda r: F.concat(F.lit(" "), r["term"], F.lit(" "))
     clash = lambda kept, r: F.exists(kept, lambda k: F.contains(padded(k), padded(r)) | F.contains(padded(r), padded(k)))
     empty = F.slice("rows", 1, 0)

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from siltstone.functions import dates, net, text, urls
 from siltstone.functions.lineage import cut, remove, shared_dir
-from siltstone.operators import crawl, discovery, issues, keywords, ranks, reads, state
+from siltstone.operators import crawl, discovery, issues, keywords, ranks, reads, seed, state
 from siltstone.plans import analogues as A
 from siltstone.sources import html, http, schema
 from siltstone.sources.sitemap import sitemap_urls
@@ -433,6 +433,30 @@ def chart_ranges(spark, d):
     return spark.createDataFrame(ranks.preset_ranges(date(2026, 10, 7)), "first date, last date")
 
 
+@query
+def seeded_accounts(spark, d):
+    """Accounts seeded twice over: users by address, and the clients that they gain."""
+    c = A.table(spark, d, "customer").selectExpr("c_custkey AS k")
+    users = c.where("k % 2 = 0").selectExpr("CAST(k AS STRING) AS id", "'user' || k || '@shop.example' AS email", "'old' AS password_hash", "'UTC' AS timezone")
+    clients = c.where("k % 6 = 0").selectExpr("CAST(k AS STRING) AS user_id", "'shop' || k || '.example' AS site_key")
+    accounts = c.selectExpr("'n' || k AS id", "'USER' || k || '@shop.example' AS email", "'fresh' AS password_hash", "'UTC' AS timezone", "'Shop ' || k AS name", "'https://www.shop' || k || '.example' AS website_url")
+    after, gained = seed.seed_accounts(users, clients, accounts)
+    return after.select("id", "email", "password_hash", F.lit(None).cast("string").alias("site_key")).unionByName(gained.select(F.col("user_id").alias("id"), F.lit(None).cast("string").alias("email"), F.lit(None).cast("string").alias("password_hash"), "site_key"))
+
+
+@query
+def seeded_ranks(spark, d):
+    """A year of history for the pairs of an owner's pages with a term of their own, but for the days there are."""
+    t = A.read_tables(spark, d)
+    pages = reads.matching_pages(t, OWNER).where("id % 50 < 3").select(*t.pages.columns)
+    pairs = t.page_keywords.where("rank_order = 1").join(pages.select(F.col("id").alias("page_id")), "page_id", "left_semi")
+    clients = t.clients.join(pages.join(pairs, F.col("page_id") == pages.id, "left_semi").select(F.col("client_id").alias("id")).distinct(), "id", "left_semi")
+    shots = t.rank_snapshots.where("snapshot_date >= '1998-01-01'")
+    own = cut(pairs)
+    made = seed.seed_ranks(reads.Tables(clients, pages, own, t.keywords, t.seo_issues, shots), date(1998, 12, 31), 300)
+    return made.groupBy("page_keyword_id").agg(F.count(F.lit(1)).alias("days"))
+
+
 @query
 def stream_counts(spark, d):
     """Captures by day, counted by a stream that reads the table once and stops."""

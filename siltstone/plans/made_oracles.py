@@ -131,6 +131,8 @@ UNION ALL SELECT DISTINCT 'issue', page_id, NULL, 'noindex', NULL FROM li WHERE
     "page_detail": f"{_DETAILS} SELECT * FROM det ORDER BY id LIMIT 1",
     "page_detail_refused": f"{_DETAILS} SELECT * FROM det WHERE false",
     "chart_series": f"WITH {_TABLES} SELECT page_id, id FROM pk QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY rank_order, id) <= 3",
+    "seeded_accounts": "WITH u AS (SELECT CAST(c_custkey AS BIGINT) AS k, CASE WHEN c_custkey % 2 = 0 THEN '' ELSE 'n' END || c_custkey AS id FROM customer) SELECT id, 'user' || k || '@shop.example' AS email, 'fresh' AS password_hash, NULL AS site_key FROM u UNION ALL SELECT id, NULL, NULL, 'shop' || k || '.example' FROM u WHERE k % 6 <> 0",
+    "seeded_ranks": f"WITH {_TABLES}, own AS (SELECT pk.id FROM pk JOIN p ON p.id = page_id JOIN c ON c.id = p.client_id WHERE c.user_id = 3 AND p.id % 50 < 3 AND rank_order = 1), n AS (SELECT greatest(365, CAST(ceil(300 / count(*)) AS BIGINT)) AS days FROM own), held AS (SELECT page_keyword_id, count(DISTINCT CAST(captured_at AS DATE)) AS k FROM rs, n WHERE CAST(captured_at AS DATE) BETWEEN greatest(DATE '1998-01-01', DATE '1998-12-31' - CAST(days - 1 AS INTEGER)) AND DATE '1998-12-31' GROUP BY 1) SELECT own.id AS page_keyword_id, days - coalesce(k, 0) AS days FROM own CROSS JOIN n LEFT JOIN held ON held.page_keyword_id = own.id",
     "stream_counts": f"WITH {_SNAP} SELECT strftime(date_trunc('day', ts), '%Y-%m-%dT%H:%M:%SZ') AS start, count(*) AS n, count(*) - count(position) AS unranked FROM snaps GROUP BY 1",
     "chart_ranges": "SELECT CAST(DATE '2026-10-07' - (n - 1) AS DATE) AS first, DATE '2026-10-07' AS last FROM (VALUES (7), (30), (90), (365)) AS t(n)",
 }

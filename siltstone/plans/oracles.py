@@ -151,7 +151,7 @@ ORACLES = {
     "term_idf": f"WITH t AS (SELECT source, term, count(*) AS df FROM (SELECT source, unnest(list_distinct({_phrases('text', False)})) AS term FROM documents) GROUP BY source, term), n AS (SELECT source, count(*) AS n FROM documents GROUP BY source) SELECT t.source, term, round(ln((n + 1) / (df + 1)) + 1, 9) AS idf FROM t JOIN n ON t.source = n.source WHERE df > 1",
     "keyword_candidates": f"WITH {_CANDIDATES} SELECT site, page_id, term, array_to_string(sources, ',') AS sources, body_count FROM cands",
     "keyword_scores": f"WITH {_SCORES} SELECT site, page_id, term, round(score, 9) AS score, array_to_string(sources, ',') AS sources FROM scores WHERE score >= 2",
-    "keyword_picks": f"WITH {_SCORES}, ordered AS (SELECT site, page_id, list(term ORDER BY score DESC, term) AS terms FROM scores WHERE score >= 2 GROUP BY site, page_id), kept AS (SELECT site, page_id, list_reduce(list_transform(terms, lambda t: [t]), lambda a, t: CASE WHEN len(a) >= 8 OR len(list_filter(a, lambda k: contains(' ' || k || ' ', ' ' || t[1] || ' ') OR contains(' ' || t[1] || ' ', ' ' || k || ' '))) > 0 THEN a ELSE list_concat(a, t) END) AS terms FROM ordered), ranked AS (SELECT site, page_id, unnest(terms) AS term, generate_subscripts(terms, 1) AS rank_order FROM kept) SELECT r.site, r.page_id, CAST(rank_order AS BIGINT) AS rank_order, r.term, floor(score * 100 + 0.5) / 100 AS score, array_to_string(sources, ',') AS sources FROM ranked r JOIN scores s ON r.page_id = s.page_id AND r.term = s.term",
+    "keyword_picks": f"WITH {_SCORES}, ordered AS (SELECT site, page_id, list(term ORDER BY score DESC, term COLLATE en) AS terms FROM scores WHERE score >= 2 GROUP BY site, page_id), kept AS (SELECT site, page_id, list_reduce(list_transform(terms, lambda t: [t]), lambda a, t: CASE WHEN len(a) >= 8 OR len(list_filter(a, lambda k: contains(' ' || k || ' ', ' ' || t[1] || ' ') OR contains(' ' || t[1] || ' ', ' ' || k || ' '))) > 0 THEN a ELSE list_concat(a, t) END) AS terms FROM ordered), ranked AS (SELECT site, page_id, unnest(terms) AS term, generate_subscripts(terms, 1) AS rank_order FROM kept) SELECT r.site, r.page_id, CAST(rank_order AS BIGINT) AS rank_order, r.term, floor(score * 100 + 0.5) / 100 AS score, array_to_string(sources, ',') AS sources FROM ranked r JOIN scores s ON r.page_id = s.page_id AND r.term = s.term",
     "brand_suffix": f"WITH f AS (SELECT page_id, site, CASE WHEN page_id % 4 <> 0 THEN split_part(site, '.', 1) END AS suffix FROM (SELECT page_id, {_SITE} AS site FROM pages)), n AS (SELECT site, count(*) AS pages, count(suffix) AS n, min(suffix) AS suffix FROM f GROUP BY site) SELECT DISTINCT site, w AS word FROM (SELECT site, unnest({_phrases('suffix', True)}) AS w FROM n WHERE n >= 2 AND n >= pages / 2) WHERE NOT contains(w, ' ')",
     "rank_latest": f"WITH {_LATEST} SELECT * FROM latest",
     "rank_best": f"WITH {_LATEST} SELECT user_id, min(position) AS best FROM latest GROUP BY user_id",

@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import SparkSession
 
+from siltstone.config import load
+
 
-def local_session(cpus: int | str = "*", partitions: int = 8, memory: str = "8g") -> SparkSession:
-    """A local[cpus] session in UTC with adaptive execution, without the web page."""
+def local_session(cpus: int | str = "*", partitions: int | None = None, memory: str | None = None) -> SparkSession:
+    """A local[cpus] session in UTC with adaptive execution, without the web page; the rest as the settings say."""
+    settings = load()
     return (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName("siltstone")
-        .config("spark.driver.memory", os.environ.get("SILTSTONE_DRIVER_MEMORY", memory))
-        .config("spark.sql.shuffle.partitions", str(partitions))
+        .config("spark.driver.memory", memory or settings.driver_memory)
+        .config("spark.sql.shuffle.partitions", str(partitions or settings.shuffle_partitions))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")

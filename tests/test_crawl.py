@@ -1,5 +1,7 @@
 """Fetching from a local server, and a crawl's analysis."""
 
+import contextlib
+import gzip
 import threading
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 
@@ -29,6 +31,14 @@ class Site(BaseHTTPRequestHandler):
             self.answer(200, b"%PDF", {"Content-Type": "application/pdf"})
         elif path == "/big":
             self.answer(200, b"x" * 100_000)
+        elif path in ("/map.xml", "/map.xml.gz"):
+            body = b"<urlset>" + b"".join(b"<url><loc>https://a.example/%d</loc></url>" % i for i in range(2)) + b"</urlset>"
+            self.answer(200, gzip.compress(body) if path.endswith("gz") else body, {"Content-Type": "application/xml"})
+        elif path == "/endless.xml":
+            self.answer(200, b"<urlset>" + b"<url><loc>https://a.example/x</loc></url>" * 10, {"Content-Type": "application/xml"})
+            with contextlib.suppress(OSError):
+                for _ in range(3000):  # far beyond the limit, if it were read
+                    self.wfile.write(b"<url><loc>https://a.example/y</loc></url>" * 1000)
         elif path.startswith("/refused"):
             self.answer(403, b"no")
         else:
@@ -84,3 +94,61 @@ def test_small_things(spark):
     assert is_alive(spark)
     arrays = spark.createDataFrame([(7, [1, 2], ["x", None])], "k int, a array<int>, b array<string>")
     assert sorted(map(tuple, rows_from_arrays(arrays, "a", "b").collect())) == [(7, 1, "x"), (7, 2, None)]
+
+
+def test_settings():
+    from siltstone import config
+
+    assert config.load({}) == config.Settings()
+    found = config.load({"SILTSTONE_DELAY_MS": "250", "SILTSTONE_LOG_LEVEL": "INFO", "SILTSTONE_ROBOTS_AGENT": " bot "})
+    assert (found.delay_ms, found.log_level, found.robots_agent, found.post_limit) == (250, "INFO", "bot", 15)
+    with pytest.raises(ValueError, match="delay_ms, log_level"):
+        config.load({"SILTSTONE_DELAY_MS": "-1", "SILTSTONE_LOG_LEVEL": "loud"})
+
+
+def test_report(spark, capsys):
+    from siltstone import report
+
+    assert report.main([]) == 2 and "discovery finds" in capsys.readouterr().out
+    assert report.main(["/root/testdata/sf0.001", "nowhere.example"]) == 0 and "post" in capsys.readouterr().out
+
+
+def test_statistics(spark):
+    from siltstone.operators.ranks import refresh_statistics
+
+    spark.range(7).selectExpr("id AS page_keyword_id").write.mode("overwrite").saveAsTable("stored_snapshots")
+    refresh_statistics(spark, "stored_snapshots")
+    said = {r.col_name: r.data_type for r in spark.sql("DESCRIBE EXTENDED stored_snapshots").collect()}
+    assert "7 rows" in said["Statistics"]
+    spark.sql("DROP TABLE stored_snapshots")
+
+
+def test_seed_conditions(spark):
+    """What has to hold before and after a seed: pairs, keywords of every client, rows enough."""
+    from datetime import date
+
+    from siltstone.operators import reads, seed
+
+    table = lambda rows, kind: spark.createDataFrame(rows, kind)
+    clients = table([("c", "u", "Shop")], "id string, user_id string, name string")
+    pages = table([("p", "c", "https://a.example/")], "id string, client_id string, url string")
+    terms, shots = table([(1, "tea")], "id long, term string"), table([(9, date(2026, 10, 6), 3)], "page_keyword_id long, snapshot_date date, position int")
+    pairs = table([(9, "p", 1, 1)], "id long, page_id string, keyword_id long, rank_order int")
+    of = lambda c, k: reads.Tables(c, pages, k, terms, None, shots)
+    made = seed.seed_ranks(of(clients, pairs), date(2026, 10, 7), 400).collect()
+    assert len(made) == 399 and min(r.snapshot_date for r in made) == date(2025, 9, 3)
+    with pytest.raises(LookupError, match="nothing to track"):
+        seed.seed_ranks(of(clients, pairs.limit(0)), date(2026, 10, 7))
+    with pytest.raises(LookupError, match="no keywords of Other"):
+        seed.seed_ranks(of(clients.unionByName(table([("d", "u", "Other")], "id string, user_id string, name string")), pairs), date(2026, 10, 7))
+
+
+def test_sitemaps_over_http(spark, base):
+    """Sitemaps are left as soon as there are locations enough; packed, missing and foreign ones."""
+    urls = spark.createDataFrame([("a", f"{base}/{p}") for p in ("map.xml", "map.xml.gz", "endless.xml", "gone", "green-tea")], "site string, sitemap_url string")
+    rows = http.fetch_sitemaps(urls, most=5, allow_private=True, base_delay_ms=1).collect()
+    found = {}
+    for r in rows:
+        found.setdefault(r.sitemap_url.rsplit("/", 1)[1], []).append((r.ord, r.loc))
+    assert set(found) == {"map.xml", "map.xml.gz", "endless.xml"} and sorted(found["map.xml"]) == [(0, "https://a.example/0"), (1, "https://a.example/1")] == sorted(found["map.xml.gz"])
+    assert len(found["endless.xml"]) == 5
