@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siltstone.functions.lineage import cut
 from siltstone.functions.urls import host, site_key
 from siltstone.operators.reads import Tables
 from siltstone.sources.html import page_facts
@@ -44,8 +45,8 @@ def site_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def site_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Facts of the web pages by the complete parser, with their site."""
-    return page_facts(table(spark, sf_dir, "pages")).withColumn("site", site_key(host(F.col("url"))))
+    """Facts of the web pages by the complete parser, with their site; parsed once, whatever is asked of them."""
+    return cut(page_facts(table(spark, sf_dir, "pages")).withColumn("site", site_key(host(F.col("url")))))
 
 
 def read_tables(spark: SparkSession, sf_dir: str) -> Tables:
