@@ -18,7 +18,7 @@ from siltstone.functions.constants import MAX_PHRASE_WORDS, STOPWORDS
 #: Characters that are worked on at a time.
 BLOCK_CHARS = 2_000_000
 _SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-#: A word, a border (punctuation, or a hyphen between spaces), or the end of a text.
+# A word, a border (punctuation, or a hyphen between spaces), or the end of a text.
 _PARTS = re.compile(rf"[^\W_]+(?:'[^\W\d_]+)?|[.,;:!?()\[\]{{}}\"“”|/\\–—]+|[{_SPACE}]-[{_SPACE}]|\0")
 _NUMBER = re.compile(r"[0-9]+")
 _STOP = frozenset(STOPWORDS)

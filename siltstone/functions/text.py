@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from siltstone.functions.constants import CRAWL_ERRORS, SOURCE_LABELS
 
+# What a word is, and what parts a title from the name of its site.
 WORD = r"[\p{L}\p{N}]+(?:['’-][\p{L}\p{N}]+)*"
 SITE_NAME = r"(?U)\s+[|•·–—-]\s+"
 

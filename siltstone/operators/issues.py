@@ -39,6 +39,7 @@ def rules(resolved_canonical: bool = True) -> list[Column]:
     canonical = strip_hash(resolve_any(c("canonical"), c("url"))) if resolved_canonical else strip_hash(c("canonical"))
     h1s, missing = F.size("h1s"), F.size("images_missing_alt")
     s = lambda **cols: F.struct(*[v.alias(k) for k, v in cols.items()])
+    # Codes, severities and messages.
     return [
         _issue("noindex", "error", blocks_indexing(c("robots")), "Page asks search engines not to index it", s(robots=c("robots"))),
         _issue("title_missing", "error", title.isNull(), "Page has no <title>"),

@@ -91,6 +91,7 @@ def generate_series(pairs: DataFrame, seed_key: Column, rank_order: Column, days
     k-th draw of a seed is a closed form, so all draws of a day are expressions; only the clamped walk is a fold.
     """
     dated = pairs.sparkSession.range(1).select(with_draws(days).alias("_days"))  # one row: the days
+    # The numbers of the walk, here and below.
     rows = pairs.withColumn("_seed", fnv1a(seed_key)).withColumn("_base", F.least(F.lit(90.0), F.lit(2) + rank_order * 6 + draw(F.col("_seed"), F.lit(1)) * 15))
     rows = rows.join(F.broadcast(dated), F.lit(True))
     seed, base = F.col("_seed"), F.col("_base")

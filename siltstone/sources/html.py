@@ -162,8 +162,8 @@ def page_facts(pages: DataFrame) -> DataFrame:
 
 
 def decode_entities(c: Column) -> Column:
-    """The entities of plain Western text; the ampersand last."""
-    for name, value in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")):
+    """The entities of plain Western text; the ampersand last, which may lack its semicolon."""
+    for name, value in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&"), ("&amp", "&")):
         c = F.replace(c, F.lit(name), F.lit(value))
     return c
 

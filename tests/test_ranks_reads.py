@@ -41,6 +41,7 @@ def test_latest_and_tone(spark):
     assert rows == {1: (None, "2026-10-06", "unranked"), 2: (2, "2026-10-06", "top"), 3: (None, None, "none")}
 
 
+# Follows the fixed arithmetic of the generator step by step, as a check of it has to.
 def walk(key, rank_order, days):
     """The invented history, one number after another."""
     g = draws(fnv(key))

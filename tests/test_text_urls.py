@@ -66,6 +66,7 @@ def fnv(value):
     return h
 
 
+# Follows the fixed arithmetic of the generator step by step, as a check of it has to.
 def draws(seed):
     state = seed
     while True:
