@@ -25,11 +25,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import ASCII_LOWER, blocks, map_arrow, mix, spread, table
+from siltstone.llm.common import map_arrow, mix, spread, table
 
 WINDOW, END = 2048, 1
-#: Bytes of a shard; partitions of the sort, at most (beyond that one holds several shards).
-SHARD_BYTES, MAX_PARTITIONS = 8_000_000, 100_000
+#: Bytes of a shard; shards of a partition once there are partitions enough for all cores; shards, at most.
+SHARD_BYTES, PER_PARTITION, MAX_SHARDS = 8_000_000, 4, 400_000
 #: Min-hashes that documents are sorted by, one after another.
 SORT_HASHES = 3
 #: Documents sampled for the borders of the shards: a share that gives some twenty a shard of usual texts, within bounds.
@@ -214,11 +214,29 @@ def pack_shard(lengths: list[int], neighbours) -> list[tuple[int, int, int, int,
     return out
 
 
+def _shards(batches):
+    """The shards of (doc_id, text, shard), sorted by shard; what came out larger than SHARD_BYTES is cut there."""
+    held, size = [], 0
+    for batch in batches:
+        number = batch.column(2).to_numpy()
+        edges = [0, *(np.flatnonzero(np.diff(number)) + 1).tolist(), batch.num_rows]
+        for a, b in pairwise(edges):
+            if a == b:
+                continue
+            if held and (held[-1].column(2)[0] != batch.column(2)[a] or size >= SHARD_BYTES):
+                yield pa.concat_batches(held)
+                held, size = [], 0
+            held.append(batch.slice(a, b - a))
+            size += batch.nbytes * (b - a) // batch.num_rows
+    if held:
+        yield pa.concat_batches(held)
+
+
 def _packer(path: str):
     def run(batches):
         task, sequences = TaskContext.get(), 0
         base = (task.partitionId() if task else 0) << 40
-        for shard in blocks(batches, SHARD_BYTES):
+        for shard in _shards(batches):
             ids, to = tokenize(shard.column(1), path)
             index = Bm25(*word_numbers(shard.column(1)))
             total = np.diff(to)
@@ -262,7 +280,7 @@ def _hashed(batches):
 
 
 def in_shards(docs: DataFrame) -> DataFrame:
-    """docs(doc_id, text) dealt over partitions of about a shard, related documents side by side.
+    """(doc_id, text, shard): docs(doc_id, text) dealt over shards, a few to a partition, related documents side by side.
 
     Where one partition ends and the next begins is read off a bounded sample of the documents; every document is dealt,
     and goes where its min-hashes say.
@@ -274,7 +292,7 @@ def in_shards(docs: DataFrame) -> DataFrame:
     seen = map_arrow(docs.sample(part, 11) if part < 1 else docs, _hashed, kind).select(*names, "doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).alias("size")).toPandas()
     place = [*names, "doc_id"]
     seen = seen.sort_values(place, na_position="first")
-    shards = min(MAX_PARTITIONS, max(1, -(-int(seen["size"].sum() / max(len(seen), 1) * n) // SHARD_BYTES)))
+    shards = min(MAX_SHARDS, max(1, -(-int(seen["size"].sum() / max(len(seen), 1) * n) // SHARD_BYTES)))
     at = np.searchsorted(seen["size"].cumsum().to_numpy(), seen["size"].sum() * np.arange(1, shards) / shards)
     edges = _keys(*(seen[c].fillna(-(1 << 63)).to_numpy(np.int64)[at] for c in place))
 
@@ -283,8 +301,9 @@ def in_shards(docs: DataFrame) -> DataFrame:
             own = _keys(*columns[2:], batch.column(0).fill_null(-(1 << 63)).to_numpy())
             yield [*columns, np.searchsorted(edges, own, side="right").astype(np.int32)]
 
-    dealt = map_arrow(docs, deal, kind + ", part int").repartitionById(shards, F.col("part"))
-    return dealt.sortWithinPartitions(*place, F.xxhash64("text")).select("doc_id", "text")
+    parts = max(-(-shards // PER_PARTITION), min(shards, docs.sparkSession.sparkContext.defaultParallelism))
+    dealt = map_arrow(docs, deal, kind + ", shard int").repartitionById(parts, F.expr(f"cast(cast(shard as bigint) * {parts} div {shards} as int)"))
+    return dealt.sortWithinPartitions("shard", *place, F.xxhash64("text")).select("doc_id", "text", "shard")
 
 
 def _keys(*columns: np.ndarray) -> np.ndarray:
