@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siltstone.llm import bpe, chat, filter_audit, knn, packing, quality, simhash, substring_dedup, token_count, toxicity, warc
+from siltstone.llm import ann, bpe, chat, divergence, filter_audit, knn, packing, quality, simhash, substring_dedup, token_count, toxicity, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_token_counts": token_count.op8_token_counts,
         "op9_packing": packing.op9_packing,
         "op10_simhash": simhash.op10_simhash,
+        "op11_source_divergence": divergence.op11_source_divergence,
+        "op12_nearest": ann.op12_nearest,
         "op13_filter_audit": filter_audit.op13_filter_audit,
         "quality_by_half": quality.quality_by_half,
         "warc_revisits": warc.warc_revisits,
@@ -34,6 +36,7 @@ def oracle_sql() -> dict[str, str]:
         "op4_warc": warc.ORACLE_SQL,
         "op5_quality_rules": quality.ORACLE_SQL,
         "op6_top_k": knn.ORACLE_SQL,
+        "op11_source_divergence": divergence.ORACLE_SQL,
         "op13_filter_audit": filter_audit.ORACLE_SQL,
         "quality_by_half": quality.BY_HALF_SQL,
         "warc_revisits": warc.REVISITS_SQL,
