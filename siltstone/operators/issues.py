@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,6 +13,31 @@ from siltstone.functions.text import utf16_length
 from siltstone.functions.urls import resolve_any, strip_hash
 
 
+SEVERITIES = ("error", "warning", "notice")
+
+
+@dataclass(frozen=True)
+class Rule:
+    """A rule: whether a page breaks it, what is said then, and details as a struct.
+
+    Conditions, messages and details are over the columns of page_facts, those that the facts have besides, the site
+    and title_count, and are computed in the one pass over the facts with all other rules. A null condition is none.
+    """
+
+    code: str
+    severity: str
+    when: Column
+    message: Column | str
+    details: Column | None = None
+
+    def __post_init__(self):
+        if not self.code or self.severity not in SEVERITIES:
+            raise ValueError(f"a rule has a code and one of the severities {', '.join(SEVERITIES)}")
+
+    def issue(self) -> Column:
+        return _issue(self.code, self.severity, self.when, self.message, self.details)
+
+
 def blocks_indexing(robots: Column) -> Column:
     """Whether comma-separated robots directives keep search engines out, those for other agents apart."""
 
@@ -57,15 +85,27 @@ def rules(resolved_canonical: bool = True) -> list[Column]:
     ]
 
 
-def find_issues(facts: DataFrame, site_col: str = "site", resolved_canonical: bool = True) -> DataFrame:
+#: The codes of the rules that are always there, in their order.
+CODES = ("noindex", "title_missing", "title_length", "title_duplicate", "meta_description_missing", "h1_missing", "h1_multiple", "canonical_missing", "canonical_mismatch", "thin_content", "client_rendered", "images_missing_alt", "mixed_content")
+
+
+def find_issues(facts: DataFrame, site_col: str = "site", resolved_canonical: bool = True, more: Sequence[Rule] = (), without: Sequence[str] = ()) -> DataFrame:
     """(page_id, code, severity, message, details): the issues of page facts with a site column, in one pass.
 
+    more: further rules, after the others; without: codes of rules that are left out. A code stands for one rule: a
+    further rule may take the place of one that is left out, but not of one that isn't.
+
     A title is a duplicate if pages of its site share it exactly. Titles are counted apart and joined back, so that a
     site of any size has no window of its own.
     """
+    unknown = [c for c in without if c not in CODES]
+    codes = [c for c in CODES if c not in without] + [r.code for r in more]
+    if unknown or len(set(codes)) < len(codes):
+        raise ValueError(f"unknown rules {unknown}" if unknown else "a code stands for one rule")
+    chosen = [rule for code, rule in zip(CODES, rules(resolved_canonical), strict=True) if code not in without] + [r.issue() for r in more]
     counts = facts.where("title is not null").groupBy(F.col(site_col).alias("_site"), F.col("title").alias("_title")).agg(F.count(F.lit(1)).alias("title_count"))
     both = facts.join(counts, (F.col(site_col) == F.col("_site")) & (F.col("title") == F.col("_title")), "left").withColumn("title_count", F.coalesce("title_count", F.lit(0)))
-    return both.select("page_id", F.inline(F.filter(F.array(*rules(resolved_canonical)), lambda i: i.isNotNull())))
+    return both.select("page_id", F.inline(F.filter(F.array(*chosen), lambda i: i.isNotNull())))
 
 
 def fetch_failure_issues(failures: DataFrame) -> DataFrame:

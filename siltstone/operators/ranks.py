@@ -145,8 +145,3 @@ def default_series(keywords: DataFrame, key: str, order: list[str], count: int =
 def preset_ranges(today: date) -> list[tuple[date, date]]:
     """The ranges that are offered, each ending today."""
     return [(today - timedelta(n - 1), today) for n in PRESET_RANGE_DAYS]
-
-
-def refresh_statistics(spark, table: str) -> None:
-    """Column statistics of a stored table after a load, for the optimizer."""
-    spark.sql(f"ANALYZE TABLE {table} COMPUTE STATISTICS FOR ALL COLUMNS")

@@ -79,7 +79,12 @@ def list_pages(t: Tables, user: str, zone: str, client: str | None = None, q: st
     counting through those before.
     """
     q = checked_paging(page, page_size, q)
-    rows = matching_pages(t, user, client, q).select("id", "url", "title", "fetch_status", "client_id", "client_name", "sitemap_position")
+    return listed(t, matching_pages(t, user, client, q), zone, page, page_size, after)
+
+
+def listed(t: Tables, found: DataFrame, zone: str, page: int = 1, page_size: int = PAGE_SIZE, after: tuple | None = None) -> DataFrame:
+    """One page of the list of the pages found, as list_pages gives it; how they were found doesn't matter."""
+    rows = found.select("id", "url", "title", "fetch_status", "client_id", "client_name", "sitemap_position")
     if after is not None:
         rows = rows.where(F.struct(*ORDER) > F.struct(*[F.lit(x).cast(rows.schema[c].dataType).alias(c) for c, x in zip(ORDER, after, strict=True)]))
     rows = cut(rows.orderBy(*ORDER).offset((page - 1) * page_size).limit(page_size))

@@ -63,3 +63,10 @@ def read_tables(spark: SparkSession, sf_dir: str) -> Tables:
     shots = li.join(p.select("p_partkey", F.col("p_name").alias("term")), li.l_partkey == p.p_partkey).join(terms.withColumnRenamed("id", "keyword_id"), "term")
     shots = shots.groupBy((F.col("l_orderkey") * 1000000 + F.col("keyword_id")).alias("page_keyword_id"), F.to_date("l_shipdate").alias("snapshot_date")).agg(F.max(F.col("l_shipdate").cast("timestamp")).alias("captured_at"), F.min(F.when(F.col("l_quantity") < 45, F.col("l_quantity").cast("int"))).alias("position"))
     return Tables(clients, pages, pair, terms.select("id", "term"), issues, shots)
+
+
+def with_signs(t: Tables) -> Tables:
+    """The read relations with per cent signs and underscores in some URLs and terms."""
+    url = F.when(F.col("id") % 11 == 0, F.concat("url", F.lit("?off=5%25"))).when(F.col("id") % 7 == 0, F.concat("url", F.lit("_A"))).otherwise(F.col("url"))
+    term = F.when(F.col("id") % 9 == 0, F.concat("term", F.lit(" 100% Cotton"))).otherwise(F.col("term"))
+    return Tables(t.clients, t.pages.withColumn("url", url), t.page_keywords, t.keywords.withColumn("term", term), t.seo_issues, t.rank_snapshots)

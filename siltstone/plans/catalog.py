@@ -11,9 +11,10 @@ from siltstone.functions import dates, net, text, urls
 from siltstone.functions.phrases import phrase_array
 from siltstone.operators import discovery, issues, keywords, ranks, reads, state
 from siltstone.plans import analogues as A
-from siltstone.plans import made
+from siltstone.plans import made, stored
 from siltstone.plans.made_oracles import MADE_ORACLES
 from siltstone.plans.oracles import ORACLES
+from siltstone.plans.stored_oracles import STORED_ORACLES
 from siltstone.sources import html
 from siltstone.sources.sitemap import robots_check, sitemap_urls
 
@@ -296,8 +297,8 @@ def snapshot_count(spark, d):
 # --- reads
 
 
-def _list(spark, d, **kw):
-    found = reads.list_pages(A.read_tables(spark, d), OWNER, ZONE, **kw)
+def _list(spark, d, tables=None, **kw):
+    found = reads.list_pages(tables or A.read_tables(spark, d), OWNER, ZONE, **kw)
     keys = F.array_join(F.transform("keywords", lambda k: F.concat_ws(":", k["id"].cast("string"), k["term"], F.coalesce(k["position"].cast("string"), F.lit("-")), F.coalesce(k["date"], F.lit("-")))), ";")
     return found.select("id", "url", "title", "fetch_status", "client_id", "client_name", "issue_count", "error_count", F.coalesce(keys, F.lit("")).alias("keywords"), F.col("best_position").cast("long").alias("best_position"))
 
@@ -324,8 +325,8 @@ def pages_search_term(spark, d):
 
 @query
 def pages_search_literal(spark, d):
-    """A percent sign is a character, not a wildcard: nothing holds one."""
-    return _list(spark, d, q="%")
+    """A percent sign is a character, not a wildcard: only what holds one is found."""
+    return _list(spark, d, A.with_signs(A.read_tables(spark, d)), q="%", page_size=100)
 
 
 @query
@@ -549,8 +550,8 @@ def robots_allowed(spark, d):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return _QUERIES | made.queries()
+    return _QUERIES | made.queries() | stored.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: v for k, v in (ORACLES | MADE_ORACLES).items() if k in queries()}
+    return {k: v for k, v in (ORACLES | MADE_ORACLES | STORED_ORACLES).items() if k in queries()}

@@ -107,6 +107,10 @@ def _pages(where: str = "true", limit: int = 20, offset: int = 0) -> str:
 FROM p JOIN c ON c.id = p.client_id LEFT JOIN kw ON kw.page_id = p.id WHERE c.user_id = 3 AND ({where}) ORDER BY c.name, c.id, p.pos, p.id LIMIT {limit} OFFSET {offset}"""
 
 
+#: The read relations with per cent signs and underscores in some URLs and terms.
+_SIGNS = _TABLES.replace("AS url, o_orderpriority", "|| CASE WHEN o_orderkey % 11 = 0 THEN '?off=5%25' WHEN o_orderkey % 7 = 0 THEN '_A' ELSE '' END AS url, o_orderpriority").replace("k AS (SELECT min(p_partkey) AS id, p_name AS term FROM part GROUP BY p_name)", "k0 AS (SELECT min(p_partkey) AS id, p_name AS term FROM part GROUP BY p_name), k AS (SELECT id, term || CASE WHEN id % 9 = 0 THEN ' 100% Cotton' ELSE '' END AS term, term AS plain FROM k0)").replace("JOIN k ON k.term = p_name", "JOIN k ON k.plain = p_name")
+
+
 def _search(q: str) -> str:
     return f"contains(lower(p.url), '{q}') OR EXISTS (SELECT 1 FROM pk JOIN k ON k.id = pk.keyword_id WHERE pk.page_id = p.id AND contains(lower(k.term), '{q}'))"
 
@@ -168,7 +172,7 @@ ORACLES = {
     "pages_page_n": _pages(limit=50, offset=100),
     "pages_search": _pages(_search("urgent"), 100),
     "pages_search_term": _pages(_search("red bolt"), 100),
-    "pages_search_literal": _pages(_search("%")),
+    "pages_search_literal": _pages(_search("%"), 100).replace(_TABLES, _SIGNS),
     "pages_count": f"WITH {_TABLES} SELECT count(*) AS total, count(*) FILTER (WHERE {_search('urgent')}) AS urgent FROM p JOIN c ON c.id = p.client_id WHERE c.user_id = 3",
     "page_detail_keywords": f"WITH {_TABLES} SELECT page_id, k.id, term, score, position, date FROM pk JOIN p ON p.id = page_id JOIN k ON k.id = keyword_id LEFT JOIN lt ON page_keyword_id = pk.id",
     "page_detail_issues": f"WITH {_TABLES} SELECT page_id, string_agg(code, ',' ORDER BY CASE severity WHEN 'error' THEN 0 ELSE 1 END, code) AS codes FROM i GROUP BY page_id",

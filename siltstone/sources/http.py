@@ -20,8 +20,8 @@ from siltstone.sources.sitemap import SitemapReader
 
 HTML_BYTES, TIMEOUT_S = 5_000_000, 15.0
 SITEMAP_BYTES, SITEMAP_TIMEOUT_S, CHUNK = 50_000_000, 60.0, 1 << 16
-_KIND = pa.schema([("url", pa.string()), ("final_url", pa.string()), ("status", pa.int32()), ("content_type", pa.string()), ("x_robots", pa.string()), ("mitigated", pa.string()), ("body", pa.binary()), ("elapsed_ms", pa.int32()), ("error", pa.string())])
-_DDL = "url string, final_url string, status int, content_type string, x_robots string, mitigated string, body binary, elapsed_ms int, error string"
+KIND = pa.schema([("url", pa.string()), ("final_url", pa.string()), ("status", pa.int32()), ("content_type", pa.string()), ("x_robots", pa.string()), ("mitigated", pa.string()), ("body", pa.binary()), ("elapsed_ms", pa.int32()), ("error", pa.string())])
+DDL = "url string, final_url string, status int, content_type string, x_robots string, mitigated string, body binary, elapsed_ms int, error string"
 
 
 class FetchError(Exception):
@@ -130,6 +130,24 @@ def fetch(url: str, accept: str = "text/html,*/*;q=0.5", limit: int = HTML_BYTES
     return got | {"url": url, "elapsed_ms": round((time.monotonic() - began) * 1000)}
 
 
+def sitemap_rows(site: str | None, url: str | None, most: int = SAMPLE_SIZE, limit: int = SITEMAP_BYTES, timeout: float = SITEMAP_TIMEOUT_S, allow_private: bool = False, base_delay_ms: float = BASE_DELAY_MS) -> list[dict]:
+    """(site, sitemap_url, kind, ord, loc) of one sitemap, read as it comes and left as soon as there are most locations."""
+    readers = []
+
+    def begin():
+        readers.append(SitemapReader(most))
+        return readers[-1].feed
+
+    got = fetch(url or "", accept="application/xml,text/xml;q=0.9,text/plain;q=0.8,*/*;q=0.5", limit=limit, timeout=timeout, allow_private=allow_private, base_delay_ms=base_delay_ms, begin=begin)
+    if got.get("status") != 200 or got["error"]:
+        return []
+    if readers[-1].whole:
+        readers[-1].feed(b"", True)
+    form, found, _ = readers[-1].result()
+    rows = [{"site": site, "sitemap_url": url, "kind": form, "ord": i, "loc": x} for i, x in enumerate(found)] or [{"site": site, "sitemap_url": url, "kind": form}]
+    return rows if form != "unknown" else []
+
+
 def fetch_sitemaps(urls: DataFrame, most: int = SAMPLE_SIZE, allow_private: bool = False, base_delay_ms: float = BASE_DELAY_MS) -> DataFrame:
     """(site, sitemap_url, kind, ord, loc) of the sitemaps at urls(site, sitemap_url) that can be read.
 
@@ -141,20 +159,7 @@ def fetch_sitemaps(urls: DataFrame, most: int = SAMPLE_SIZE, allow_private: bool
     def run(batches):
         for batch in batches:
             for site, url in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                readers = []
-
-                def begin():
-                    readers.append(SitemapReader(most))  # noqa: B023
-                    return readers[-1].feed  # noqa: B023
-
-                got = fetch(url or "", accept="application/xml,text/xml;q=0.9,text/plain;q=0.8,*/*;q=0.5", limit=SITEMAP_BYTES, timeout=SITEMAP_TIMEOUT_S, allow_private=allow_private, base_delay_ms=base_delay_ms, begin=begin)
-                if got.get("status") != 200 or got["error"]:
-                    continue
-                if readers[-1].whole:
-                    readers[-1].feed(b"", True)
-                form, found, _ = readers[-1].result()
-                rows = [{"site": site, "sitemap_url": url, "kind": form, "ord": i, "loc": x} for i, x in enumerate(found)] or [{"site": site, "sitemap_url": url, "kind": form}]
-                yield pa.RecordBatch.from_pylist(rows if form != "unknown" else [], schema=kind)
+                yield pa.RecordBatch.from_pylist(sitemap_rows(site, url, most, allow_private=allow_private, base_delay_ms=base_delay_ms), schema=kind)
 
     dealt = urls.select("site", "sitemap_url").repartition(F.coalesce(host(F.col("sitemap_url")), F.lit("")))
     return dealt.mapInArrow(run, "site string, sitemap_url string, kind string, ord int, loc string")
@@ -176,8 +181,8 @@ def fetch_pages(urls: DataFrame, partitions: int | None = None, delay_ms: float
                     time.sleep(wait)
                 row = fetch(url or "", limit=limit, timeout=timeout, allow_private=allow_private, base_delay_ms=base_delay_ms)
                 last[name] = time.monotonic()
-                yield pa.RecordBatch.from_pylist([{k: row.get(k) for k in _KIND.names}], schema=_KIND)
+                yield pa.RecordBatch.from_pylist([{k: row.get(k) for k in KIND.names}], schema=KIND)
 
     key = F.coalesce(host(F.col("url")), F.lit(""))
     dealt = urls.select("url").repartition(partitions, key) if partitions else urls.select("url").repartition(key)
-    return dealt.mapInArrow(run, _DDL)
+    return dealt.mapInArrow(run, DDL)

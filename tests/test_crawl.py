@@ -113,16 +113,6 @@ def test_report(spark, capsys):
     assert report.main(["/root/testdata/sf0.001", "nowhere.example"]) == 0 and "post" in capsys.readouterr().out
 
 
-def test_statistics(spark):
-    from siltstone.operators.ranks import refresh_statistics
-
-    spark.range(7).selectExpr("id AS page_keyword_id").write.mode("overwrite").saveAsTable("stored_snapshots")
-    refresh_statistics(spark, "stored_snapshots")
-    said = {r.col_name: r.data_type for r in spark.sql("DESCRIBE EXTENDED stored_snapshots").collect()}
-    assert "7 rows" in said["Statistics"]
-    spark.sql("DROP TABLE stored_snapshots")
-
-
 def test_seed_conditions(spark):
     """What has to hold before and after a seed: pairs, keywords of every client, rows enough."""
     from datetime import date
