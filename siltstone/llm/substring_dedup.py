@@ -6,7 +6,11 @@ two equal windows, wherever they start, share an offset below PERIOD at which bo
 cover position. Only anchors are shuffled. An anchor met twice is then extended to the windows around it, and only these
 are compared in full.
 
-A window stands for its words by 95 bits of hashes: among 10**13 windows one false match is to be expected in a thousand runs.
+A window stands for its words by 95 bits, of two independent hashes of each word: among 10**13 windows one false match is to
+be expected in a thousand runs.
+
+A place is a start in a text of a document: (doc, slot, start). The slot is 0 but for documents without an id and ids of
+which there are several texts: there it is a hash of the text, so that each text has places of its own.
 
 Each task first settles what it can among the documents of a block: of equal anchors or windows of a block only the
 earliest goes on as a contender for the hash, so a passage that a third of all documents share has a row a block, not a
@@ -25,24 +29,27 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import DOCUMENT_COLUMNS, map_arrow, mix, pair_hash, table, words
+from siltstone.llm.common import DOCUMENT_COLUMNS, cut, map_arrow, mix, pair_hash, table, words
 
 WINDOW, ANCHOR, PERIOD, COVER = 20, 8, 13, (0, 1, 3, 9)
 #: Anchors or windows of a block.
 BLOCK = 500_000
 #: Bytes of text whose anchors a bucket holds, at most and on average: what a task joins grows no further with the corpus.
 BUCKET_BYTES = 64_000_000
-#: What makes the further bits of a window's hash others than the first ones.
-OTHER = np.uint64(0x9E3779B97F4A7C15)
+#: Seed of the hashes of words that the further bits of a window come from.
+OTHER = 1
 #: Stands for a null doc_id: before every other one.
 NO_ID = -(1 << 63)
+#: Ids with several texts that are sent to every task, at most; more of them are joined.
+FEW_IDS = 100_000
 
 _COVERED = np.isin(np.arange(PERIOD), COVER)
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
-def _hashes(tokens: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(xxhash.xxh64_intdigest, tokens), np.uint64, len(tokens))
+def _hashes(tokens: list[bytes], seed: int = 0) -> np.ndarray:
+    digest = xxhash.xxh64_intdigest
+    return np.fromiter(map(digest, tokens) if not seed else (digest(t, seed) for t in tokens), np.uint64, len(tokens))
 
 
 def _grams(one: np.ndarray, size: int) -> np.ndarray:
@@ -71,12 +78,13 @@ def windows_near(anchors: np.ndarray, n_words: int) -> np.ndarray:
     return np.flatnonzero(total[PERIOD : PERIOD + n] > total[:n])
 
 
-def _first(h: np.ndarray, doc: np.ndarray, pos: np.ndarray, more: np.ndarray | None = None):
+def _first(h: np.ndarray, place: tuple, more: np.ndarray | None = None):
     """(order by hash and place, row that begins each run of a hash, its index for every row) of a block.
 
-    more: further bits of the hash.
+    place: (doc, slot, start); more: further bits of the hash.
     """
-    order = np.lexsort((pos, doc, h) if more is None else (pos, doc, more, h))
+    doc, slot, pos = place
+    order = np.lexsort((pos, slot, doc, h) if more is None else (pos, slot, doc, more, h))
     new = np.ones(len(h), bool)
     new[1:] = np.diff(h[order].view(np.int64)) != 0
     if more is not None:
@@ -84,78 +92,92 @@ def _first(h: np.ndarray, doc: np.ndarray, pos: np.ndarray, more: np.ndarray | N
     return order, new, np.flatnonzero(new)[np.cumsum(new) - 1]
 
 
-def _spread(doc: np.ndarray, pos: np.ndarray) -> np.ndarray:
+def _later(place: tuple, start: np.ndarray) -> np.ndarray:
+    """Which places, in the order of _first, are others than the first of their run."""
+    return np.logical_or.reduce([x != x[start] for x in place])
+
+
+def _spread(doc: np.ndarray, slot: np.ndarray, pos: np.ndarray) -> np.ndarray:
     """A hash for rows that need no partner: few values, yet over all partitions."""
-    return mix(doc.view(np.uint64) * np.uint64(31) + pos.astype(np.uint64)) & np.uint64(0xFFFE)
+    return mix((doc ^ slot).view(np.uint64) * np.uint64(31) + pos.astype(np.uint64)) & np.uint64(0xFFFE)
+
 
+#: Bytes of each column of a blob's rows; columns of zeros take next to nothing.
+_WIDTHS = (8, 8, 8, 4, 4)
+_KINDS = (np.uint64, np.int64, np.int64, np.int32, np.uint32)
 
-def pack(h: np.ndarray, doc: np.ndarray, pos: np.ndarray, more: np.ndarray | None, buckets: int):
+
+def pack(h: np.ndarray, place: tuple, more: np.ndarray | None, buckets: int):
     """(bucket, blob) columns: rows dealt by hash to buckets, each bucket's rows sorted and compressed by byte planes."""
-    more = np.zeros(len(h), np.uint32) if more is None else more  # planes of zeros take next to nothing
+    more = np.zeros(len(h), np.uint32) if more is None else more
     bucket = ((h >> np.uint64(1)) % np.uint64(buckets)).astype(np.int32)
     order = np.lexsort((h, bucket))
-    h, doc, pos, more, bucket = h[order], doc[order], pos[order], more[order], bucket[order]
+    h, doc, slot, pos, more, bucket = (x[order] for x in (h, *place, more, bucket))
     edge = np.append(np.flatnonzero(np.diff(bucket, prepend=-1)), len(bucket))
     squeeze, blobs = zstandard.ZstdCompressor(level=1), []
     for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
-        planes = [np.diff(h[a:b], prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8), doc[a:b].view(np.uint8).reshape(-1, 8), pos[a:b].view(np.uint8).reshape(-1, 4), more[a:b].view(np.uint8).reshape(-1, 4)]
-        blobs.append(squeeze.compress(b"".join(x.T.tobytes() for x in planes)))
+        columns = (np.diff(h[a:b], prepend=np.uint64(0)), doc[a:b], slot[a:b], pos[a:b], more[a:b])
+        blobs.append(squeeze.compress(b"".join(x.view(np.uint8).reshape(-1, w).T.tobytes() for x, w in zip(columns, _WIDTHS, strict=True))))
     return [bucket[edge[:-1]], pa.array(blobs, pa.binary())]
 
 
 def unpack(blob: bytes):
-    """(h, doc, pos, more) of a blob."""
+    """(h, doc, slot, start, more) of a blob."""
     data = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8)
-    n = len(data) // 24
-    part = lambda a, width, kind: np.ascontiguousarray(data[a * n : (a + width) * n].reshape(width, n).T).view(kind)[:, 0]
-    return np.cumsum(part(0, 8, np.uint64), dtype=np.uint64), part(8, 8, np.int64), part(16, 4, np.int32), part(20, 4, np.uint32)
+    n, at, out = len(data) // sum(_WIDTHS), 0, []
+    for width, kind in zip(_WIDTHS, _KINDS, strict=True):
+        out.append(np.ascontiguousarray(data[at * n : (at + width) * n].reshape(width, n).T).view(kind)[:, 0])
+        at += width
+    return np.cumsum(out[0], dtype=np.uint64), *out[1:]
 
 
 def _blocks(found, buckets: int, settle):
-    """Packs what found yields, (hashes, further bits or none, doc, starts) by document, in bounded blocks."""
-    hs, mores, docs, ats, held = [], [], [], [], 0
+    """Packs what found yields, (hashes, further bits or none, doc, slot, starts) by document, in bounded blocks."""
+    hs, mores, docs, slots, ats, held = [], [], [], [], [], 0
 
     def block():
         more = [] if mores[0] is None else [np.concatenate(mores)]
-        return pack(*settle(np.concatenate(hs) & np.uint64(0xFFFFFFFFFFFFFFFE), np.concatenate(docs), np.concatenate(ats), *more), buckets)
+        place = tuple(np.concatenate(x) for x in (docs, slots, ats))
+        return pack(*settle(np.concatenate(hs) & np.uint64(0xFFFFFFFFFFFFFFFE), place, *more), buckets)
 
-    for h, more, doc, at in found:
+    for h, more, doc, slot, at in found:
         hs.append(h)
         mores.append(more)
         docs.append(np.full(len(at), doc, np.int64))
+        slots.append(np.full(len(at), slot, np.int64))
         ats.append(at.astype(np.int32))
         held += len(at)
         if held >= BLOCK:
             yield block()
-            hs, mores, docs, ats, held = [], [], [], [], 0
+            hs, mores, docs, slots, ats, held = [], [], [], [], [], 0
     if held:
         yield block()
 
 
-def _settle_anchors(h, doc, pos):
+def _settle_anchors(h, place):
     """Bit 0 of the hash is set where the block itself repeats the anchor; one row of each hash goes on as contender."""
-    order, new, start = _first(h, doc, pos)
-    h, doc, pos = h[order], doc[order], pos[order]
+    order, new, start = _first(h, place)
+    h, place = h[order], tuple(x[order] for x in place)
     known = np.bincount(start, minlength=len(h))[start] > 1
-    return np.where(known & ~new, _spread(doc, pos), h) | known.astype(np.uint64), doc, pos, None
+    return np.where(known & ~new, _spread(*place), h) | known.astype(np.uint64), place, None
 
 
-def _settle_windows(h, doc, pos, more):
+def _settle_windows(h, place, more):
     """Bit 0 of the hash is set where the block has an earlier equal window; the others go on as contenders."""
-    order, _, start = _first(h, doc, pos, more)
-    h, doc, pos, more = h[order], doc[order], pos[order], more[order]
-    late = (doc != doc[start]) | (pos != pos[start])
-    return np.where(late, _spread(doc, pos) | np.uint64(1), h), doc, pos, np.where(late, np.uint32(0), more)
+    order, _, start = _first(h, place, more)
+    h, more, place = h[order], more[order], tuple(x[order] for x in place)
+    late = _later(place, start)
+    return np.where(late, _spread(*place) | np.uint64(1), h), place, np.where(late, np.uint32(0), more)
 
 
 def _anchors(buckets: int):
     def found(batches):
         for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            for doc, slot, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 tokens = words(text.as_py())
                 at = anchor_positions(len(tokens))
                 if len(at):
-                    yield _grams(_hashes(tokens), ANCHOR)[at], None, doc, at
+                    yield _grams(_hashes(tokens), ANCHOR)[at], None, doc, slot, at
 
     return lambda batches: _blocks(found(batches), buckets, _settle_anchors)
 
@@ -163,34 +185,34 @@ def _anchors(buckets: int):
 def _windows(buckets: int):
     def found(batches):
         for batch in batches:
-            for doc, text, anchors in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
+            for doc, slot, text, anchors in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
                 tokens = words(text.as_py())
                 if len(tokens) < WINDOW:
                     continue
                 at = windows_near(anchors.values.to_numpy(), len(tokens))
                 if len(at):
-                    one = _hashes(tokens)
-                    yield _grams(one, WINDOW)[at], (_grams(mix(one + OTHER), WINDOW)[at] >> np.uint64(32)).astype(np.uint32), doc, at
+                    yield _grams(_hashes(tokens), WINDOW)[at], (_grams(_hashes(tokens, OTHER), WINDOW)[at] >> np.uint64(32)).astype(np.uint32), doc, slot, at
 
     return lambda batches: _blocks(found(batches), buckets, _settle_windows)
 
 
-def _met(h, doc, pos, _):
+def _met(h, doc, slot, pos, _):
     """Places of the anchors that are known to be repeated or that another contender repeats."""
     known = (h & np.uint64(1)).astype(bool)
     _, at, size = np.unique(h >> np.uint64(1), return_inverse=True, return_counts=True)
     # a contender that its own block repeats has bit 0 set, others of its hash may not: all meet here
     keep = known | (size[at] > 1)
-    return doc[keep], pos[keep]
+    return doc[keep], slot[keep], pos[keep]
 
 
-def _late(h, doc, pos, more):
+def _late(h, doc, slot, pos, more):
     """Places of the windows that are known to be repeated or that an earlier contender precedes."""
     known = (h & np.uint64(1)).astype(bool)
-    order, _, start = _first(h[~known], doc[~known], pos[~known], more[~known])
-    d, p = doc[~known][order], pos[~known][order]
-    late = (d != d[start]) | (p != p[start])
-    return np.concatenate([doc[known], d[late]]), np.concatenate([pos[known], p[late]])
+    place = tuple(x[~known] for x in (doc, slot, pos))
+    order, _, start = _first(h[~known], place, more[~known])
+    place = tuple(x[order] for x in place)
+    late = _later(place, start)
+    return tuple(np.concatenate([x[known], y[late]]) for x, y in zip((doc, slot, pos), place, strict=True))
 
 
 def _whole(batches, parts):
@@ -207,35 +229,33 @@ def _whole(batches, parts):
 
 
 def _places(solve, buckets: int):
-    """The places that solve picks from each whole bucket, packed by document."""
+    """The places that solve picks from each whole bucket, packed by text."""
 
-    def block(docs, ats):
-        doc, at = np.concatenate(docs), np.concatenate(ats)
-        return pack(mix(doc.view(np.uint64)) << np.uint64(1), doc, at, None, buckets)
+    def block(found):
+        place = tuple(map(np.concatenate, zip(*found, strict=True)))
+        return pack(mix((place[0] ^ place[1]).view(np.uint64)) << np.uint64(1), place, None, buckets)
 
     def run(batches):
-        docs, ats, held = [], [], 0
+        found, held = [], 0
         for arrays in _whole(batches, unpack):
-            doc, at = solve(*arrays)
-            docs.append(doc)
-            ats.append(at)
-            held += len(at)
+            found.append(solve(*arrays))
+            held += len(found[-1][0])
             if held >= BLOCK:
-                yield block(docs, ats)
-                docs, ats, held = [], [], 0
+                yield block(found)
+                found, held = [], 0
         if held:
-            yield block(docs, ats)
+            yield block(found)
 
     return run
 
 
 def _lists(batches):
-    """(doc, starts): one row a document."""
-    for _, doc, at, _ in _whole(batches, unpack):
-        order = np.argsort(doc, kind="stable")
-        doc, at = doc[order], at[order]
-        edge = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
-        yield [doc[edge], pa.ListArray.from_arrays(pa.array(np.append(edge, len(doc)), pa.int32()), pa.array(at, pa.int32()))]
+    """(doc, slot, starts): one row a text."""
+    for _, doc, slot, at, _ in _whole(batches, unpack):
+        order = np.lexsort((slot, doc))
+        doc, slot, at = doc[order], slot[order], at[order]
+        edge = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (slot[1:] != slot[:-1])]))
+        yield [doc[edge], slot[edge], pa.ListArray.from_arrays(pa.array(np.append(edge, len(doc)), pa.int32()), pa.array(at, pa.int32()))]
 
 
 def covered_words(starts: np.ndarray, n_words: int) -> np.ndarray:
@@ -282,19 +302,36 @@ def _kept(batches):
         yield [batch.column(0), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.binary()), pa.array(out[3], pa.string())]
 
 
-def repeated_windows(docs: DataFrame) -> DataFrame:
-    """(doc, places array<int>): starts of the repeated windows; docs has doc (no nulls) and text."""
-    size = docs.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()[0]
+def placed(docs: DataFrame) -> tuple[DataFrame, int]:
+    """(docs with doc and slot, bytes of all texts): which document and which of its texts each row of docs(doc_id, text) is.
+
+    Rows of one id and one text are the same text. Which ids have several is found by the least and greatest hash of each
+    id's texts; they are sent to every task if they are few, else joined. All rows without an id are told apart by text.
+    """
+    plain = docs.withColumn("doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)))
+    text = F.xxhash64(F.coalesce("text", F.lit("")))
+    ids = cut(plain.groupBy("doc").agg(F.min(text).alias("low"), F.max(text).alias("high"), F.sum(F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")).alias("bytes")).select("doc", (F.col("low") != F.col("high")).alias("several"), "bytes"))
+    size, n = ids.agg(F.coalesce(F.sum("bytes"), F.lit(0)), F.coalesce(F.count_if("several"), F.lit(0))).first()
+    several = ids.where(F.col("several") & (F.col("doc") != NO_ID)).select("doc", "several")
+    if n:
+        plain = plain.join(F.broadcast(several) if n <= FEW_IDS else several, "doc", "left")
+        return plain.withColumn("slot", F.when(F.col("several") | F.col("doc_id").isNull(), text).otherwise(F.lit(0).cast("long"))).drop("several"), size
+    return plain.withColumn("slot", F.lit(0).cast("long")), size
+
+
+def repeated_windows(docs: DataFrame, size: int) -> DataFrame:
+    """(doc, slot, places array<int>): starts of the repeated windows; docs has doc, slot (no nulls) and text, of size bytes."""
     buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // (2 * BUCKET_BYTES)))
 
     def sent(df: DataFrame, function) -> DataFrame:
         return map_arrow(df, function, "bucket int, blob binary").repartition("bucket").sortWithinPartitions("bucket")
 
     def gathered(dealt: DataFrame, solve, name: str) -> DataFrame:
-        return map_arrow(sent(dealt, _places(solve, buckets)), _lists, "doc long, at array<int>").withColumnRenamed("at", name)
+        return map_arrow(sent(dealt, _places(solve, buckets)), _lists, "doc long, slot long, at array<int>").withColumnRenamed("at", name)
 
-    repeated = gathered(sent(docs, _anchors(2 * buckets)), _met, "anchors")
-    near = docs.join(repeated.hint("shuffle_hash"), "doc").select("doc", "text", "anchors")
+    texts = docs.select("doc", "slot", "text")
+    repeated = gathered(sent(texts, _anchors(2 * buckets)), _met, "anchors")
+    near = texts.join(repeated.hint("shuffle_hash"), ["doc", "slot"]).select("doc", "slot", "text", "anchors")
     return gathered(sent(near, _windows(2 * buckets)), _late, "places")
 
 
@@ -303,14 +340,14 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
     kept: the words that stay, joined by one space (UTF-8); text: the text without the words that go, white space around
     the others unchanged. Windows are judged on the input. Null and empty texts have no words; texts of under WINDOW words
-    stay whole; texts may have any length. Rows of one doc_id are one document: repeated rows both stay, and where texts
-    of one doc_id differ, a start that is repeated in one counts in all of them. A null doc_id counts as before every
-    other. An empty table gives no rows. Other columns, whatever their names, are not read.
+    stay whole; texts may have any length. Repeated rows, of one doc_id and one text, are one document and all stay as one
+    would. Texts that differ are documents of their own, also where they share a doc_id or have none: those of an id are in
+    the order of a hash of the text, and those without an id come before all others. So a row loses only words that one of
+    its own repeated windows covers. An empty table gives no rows. Other columns, whatever their names, are not read.
     """
-    plain = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), F.col("text").cast("string").alias("text"))
-    both = plain.join(repeated_windows(plain).hint("shuffle_hash"), "doc", "left").select("doc", "text", "places")
-    out = map_arrow(both, _kept, "doc long, n_words long, n_removed long, kept binary, text string")
-    return out.select(F.when(F.col("doc") != NO_ID, F.col("doc")).alias("doc_id"), "n_words", "n_removed", "kept", "text")
+    plain, size = placed(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")))
+    both = plain.join(repeated_windows(plain, size).hint("shuffle_hash"), ["doc", "slot"], "left").select("doc_id", "text", "places")
+    return map_arrow(both, _kept, "doc_id long, n_words long, n_removed long, kept binary, text string")
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -323,17 +360,16 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Odd rows are treated as remove_repeats says; a text that loses nothing keeps its n_chars, whatever it says.
     """
-    plain = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), "text", "lang", "source", "n_chars")
-    places = repeated_windows(plain.select("doc", "text"))
-    both = plain.join(places.hint("shuffle_hash"), "doc", "left").select("doc", "text", "places", "lang", "source", "n_chars")
+    plain, size = placed(docs.select(*DOCUMENT_COLUMNS))
+    both = plain.join(repeated_windows(plain, size).hint("shuffle_hash"), ["doc", "slot"], "left").select("doc_id", "text", "places", "lang", "source", "n_chars")
 
     def run(batches):
         for batch in batches:
             for out in _kept([batch]):
                 yield [out[0], out[4], batch.column(3), batch.column(4), batch.column(5), out[2]]
 
-    out = map_arrow(both, run, "doc long, text string, lang string, source string, n_chars long, gone long")
-    return out.select(F.when(F.col("doc") != NO_ID, F.col("doc")).alias("doc_id"), "text", "lang", "source", F.when(F.col("gone") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")).alias("n_chars")).select(*DOCUMENT_COLUMNS)
+    out = map_arrow(both, run, "doc_id long, text string, lang string, source string, n_chars long, gone long")
+    return out.withColumn("n_chars", F.when(F.col("gone") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*DOCUMENT_COLUMNS)
 
 
 ORACLE_SQL = rf"""

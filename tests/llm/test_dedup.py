@@ -46,13 +46,19 @@ def test_small_blocks_agree(spark, sf, monkeypatch):
 
 def test_windows_are_told_apart_by_all_bits():
     """Windows whose first bits collide are still different ones, within a block and between blocks."""
-    h, doc, pos = np.zeros(6, np.uint64), np.array([1, 1, 2, 2, 3, 3]), np.array([0, 7, 0, 7, 0, 7], np.int32)
+    h, doc, slot, pos = np.zeros(6, np.uint64), np.array([1, 1, 2, 2, 3, 3]), np.array([0, 0, 0, 0, 9, 9]), np.array([0, 7, 0, 7, 0, 7], np.int32)
     more = np.array([5, 6, 5, 7, 6, 8], np.uint32)
-    late = {(2, 0), (3, 0)}
-    settled = substring_dedup._settle_windows(h, doc, pos, more)
-    assert set(zip(*(x.tolist() for x in substring_dedup._late(*settled)), strict=True)) == late
-    parts = [substring_dedup._settle_windows(*(x[k::2] for x in (h, doc, pos, more))) for k in (0, 1)]
-    assert set(zip(*(x.tolist() for x in substring_dedup._late(*(np.concatenate(x) for x in zip(*parts, strict=True)))), strict=True)) == late
+    late = {(2, 0, 0), (3, 9, 0)}
+
+    def settled(k):
+        h_, place, more_ = substring_dedup._settle_windows(h[k], (doc[k], slot[k], pos[k]), more[k])
+        return h_, *place, more_
+
+    def places(rows):
+        return set(zip(*(x.tolist() for x in substring_dedup._late(*rows)), strict=True))
+
+    assert places(settled(slice(None))) == late
+    assert places([np.concatenate(x) for x in zip(settled(slice(0, None, 2)), settled(slice(1, None, 2)), strict=True)]) == late
 
 
 @pytest.mark.parametrize("a", range(26))
@@ -66,14 +72,44 @@ def test_windows_share_an_anchor(a, gap):
 
 
 @settings(max_examples=60, deadline=None)
-@given(st.lists(st.tuples(st.integers(0, 2**64 - 1), st.integers(-(2**63), 2**63 - 1), st.integers(0, 2**31 - 1), st.integers(0, 2**32 - 1)), min_size=1, max_size=50))
+@given(st.lists(st.tuples(st.integers(0, 2**64 - 1), st.integers(-(2**63), 2**63 - 1), st.integers(-(2**63), 2**63 - 1), st.integers(0, 2**31 - 1), st.integers(0, 2**32 - 1)), min_size=1, max_size=50))
 def test_blobs_round_trip(rows):
-    h, doc, pos, more = (np.array([r[k] for r in rows], kind) for k, kind in enumerate((np.uint64, np.int64, np.int32, np.uint32)))
-    _, blobs = substring_dedup.pack(h, doc, pos, more, 3)
+    h, doc, slot, pos, more = (np.array([r[k] for r in rows], kind) for k, kind in enumerate((np.uint64, np.int64, np.int64, np.int32, np.uint32)))
+    _, blobs = substring_dedup.pack(h, (doc, slot, pos), more, 3)
     back = [x for b in blobs.to_pylist() for x in zip(*(c.tolist() for c in substring_dedup.unpack(b)), strict=True)]
     assert sorted(back) == sorted(rows)
 
 
+PASSAGE = " ".join(f"p{i}" for i in range(20))
+
+
+def test_texts_without_an_id_are_told_apart(spark):
+    """A row loses only words that a repeated window of its own covers: the verdict's three rows, and more of them."""
+    unique = " ".join(f"u{i}" for i in range(30))
+    rows = [(None, PASSAGE), (None, f"a b c d e {PASSAGE}"), (None, unique)]
+    got = {r.text: (r.n_words, r.n_removed) for r in substring_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[unique] == (30, 0) and sorted(got.values()) in ([(20, 0), (25, 20), (30, 0)], [(20, 20), (25, 0), (30, 0)])
+    assert sum(n for _, n in got.values()) == 20
+
+
+@pytest.mark.parametrize("few", [100_000, 0])
+def test_texts_of_one_id_are_told_apart(spark, monkeypatch, few):
+    """Texts that differ and share an id or have none: what brute force over texts, in their order, removes; copies stay alike."""
+    monkeypatch.setattr(substring_dedup, "FEW_IDS", few)
+    unique = [" ".join(f"u{k}x{i}" for i in range(30)) for k in range(6)]
+    rows = [(7, PASSAGE), (7, f"x {PASSAGE} y"), (7, unique[0]), (3, f"{PASSAGE} three"), (3, unique[1]), (None, f"n {PASSAGE}"), (None, unique[2]), (None, f"{unique[3]} {PASSAGE}"), (9, unique[4]), (9, unique[4]), (8, f"{unique[5]} {unique[5]}"), (8, None), (8, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    hashed = {r.text or "": r.h for r in docs.withColumn("h", F.xxhash64(F.coalesce("text", F.lit("")))).collect()}
+    texts = sorted({(i, t or "") for i, t in rows}, key=lambda r: (r[0] is not None, r[0] or 0, hashed[r[1]]))
+    want = removed(list(enumerate(t for _, t in texts)))
+    by_row = {r: want[k] for k, r in enumerate(texts)}
+    got = substring_dedup.remove_repeats(docs).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept")).collect()
+    assert sorted(map(tuple, got), key=str) == sorted(((i, *by_row[i, t or ""]) for i, t in rows), key=str)
+    assert sum(r.n_removed for r in got) == 4 * 20 + 30
+    staged = substring_dedup.stage(spark, docs.selectExpr("*", "'en' AS lang", "'s' AS source", "CAST(length(text) AS BIGINT) AS n_chars"), "")
+    assert sorted((r.doc_id, hashlib.sha256(b" ".join((r.text or "").encode().split())).hexdigest()) for r in staged.collect() if r.doc_id is not None) == sorted((r.doc_id, r.kept) for r in got if r.doc_id is not None)
+
+
 def test_odd_rows(odd, nothing):
     rows = substring_dedup.remove_repeats(odd).collect()
     got = {(r.doc_id, r.n_words, r.n_removed) for r in rows}
