@@ -38,7 +38,7 @@ BLOCK = 500_000
 BUCKET_BYTES = 64_000_000
 #: Seed of the hashes of words that the further bits of a window come from.
 OTHER = 1
-#: Stands for a null doc_id: before every other one.
+#: Stands for a null doc_id: before every other one. No document may have this id.
 NO_ID = -(1 << 63)
 #: Ids with several texts that are sent to every task, at most; more of them are joined.
 FEW_IDS = 100_000
@@ -346,8 +346,10 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     its own repeated windows covers. An empty table gives no rows. Other columns, whatever their names, are not read.
     """
     plain, size = placed(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")))
-    both = plain.join(repeated_windows(plain, size).hint("shuffle_hash"), ["doc", "slot"], "left").select("doc_id", "text", "places")
-    return map_arrow(both, _kept, "doc_id long, n_words long, n_removed long, kept binary, text string")
+    plain = plain.select("doc", "slot", "text")  # the columns that repeated_windows deals by text: dealt once for both
+    both = plain.join(repeated_windows(plain, size).hint("shuffle_hash"), ["doc", "slot"], "left").select("doc", "text", "places")
+    out = map_arrow(both, _kept, "doc long, n_words long, n_removed long, kept binary, text string")
+    return out.select(F.when(F.col("doc") != NO_ID, F.col("doc")).alias("doc_id"), "n_words", "n_removed", "kept", "text")
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
