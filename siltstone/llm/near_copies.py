@@ -2,9 +2,11 @@
 
 Two texts are near copies if the sets of their five-word shingles have a Jaccard similarity of 0.8 or more. Fingerprints
 have 256 bits here, since that similarity is about one bit in seven, too far for 64 bits to tell from chance. Close pairs
-share a block: a block is a choice of bits, agreed in by a pair at the threshold with a known probability, and there are
-blocks enough that such a pair shares none of them in MISSED of all cases. Blocks get longer with the corpus, so that
-chance fills them with a few hundred texts at most, and more in number, so that what is missed stays the same.
+share a block: a block is a choice of bits, and there are blocks enough that a pair at the threshold shares none of them
+in at most MISSED of all cases. All blocks are cut from the same bits, so a pair with more differing bits misses all of
+them together: the number of blocks follows from the share that misses them for each number of differing bits, weighed by
+how often a pair has so many. Blocks get longer with the corpus, so that chance fills them with a few hundred texts at
+most, and more in number, so that no more is missed (66 at 16 bits, 155 at 20, 369 at 24).
 
 Members of a block are verified by Hamming distance, with a bound so wide that it loses next to nothing. The components of
 these links are small; within each of them shingle sets are compared exactly, and the components of the exact links are
@@ -14,7 +16,7 @@ over grids of cells, and no cell returns more links than a few for each member.
 
 from __future__ import annotations
 
-from math import acos, ceil, log, log2, pi, sqrt
+from math import acos, ceil, exp, lgamma, log, log2, pi, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -26,12 +28,14 @@ from siltstone.llm.common import ASCII_LOWER, cut, map_arrow, mix, pair_hash
 from siltstone.llm.components import connected_components
 
 SHINGLE, SIMILARITY, LANES = 5, 0.8, 4
-#: Share of the pairs at the threshold that share no block.
-MISSED = 0.02
+#: Share of the pairs at the threshold that share no block, at most.
+MISSED = 0.03
 #: Bits of a block, at least; members that chance gives a block are held to 2**SPARE by longer ones.
 BLOCK_BITS, SPARE = 16, 8
 #: Members of a cell of a block; bytes of the shingle sets of a cell of a component.
 CELL, CELL_BYTES = 2048, 8_000_000
+#: Texts of components that are looked up by a broadcast of their ids and fingerprints, at most; beyond it texts are shuffled.
+FEW_MEMBERS = 200_000
 #: Hot blocks or components whose cells are broadcast, at most; beyond it they are joined by shuffle.
 FEW_HOT = 50_000
 #: Groups up to this size are compared by shifts, larger ones in rows of a matrix.
@@ -76,10 +80,32 @@ def widest(similarity: float, bits: int) -> int:
     return ceil(bits * p + 3.1 * sqrt(bits * p * (1 - p)))
 
 
+def missed(similarity: float, size: int, blocks: int) -> float:
+    """Share of the pairs of this similarity that share none of so many blocks of size bits."""
+    width, p = 64 * LANES, 1 - agreement(similarity)
+    choose = lambda n, k: lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1)
+    total = 0.0
+    for d in range(width + 1):  # differing bits
+        shared = exp(choose(width - size, d) - choose(width, d)) if d <= width - size else 0.0
+        total += exp(choose(width, d) + d * log(p) + (width - d) * log(1 - p)) * (1 - shared) ** blocks
+    return total
+
+
+def blocks_for(similarity: float, size: int) -> int:
+    """The least number of blocks of size bits that misses at most MISSED."""
+    low, high = 0, 1
+    while missed(similarity, size, high) > MISSED:
+        low, high = high, 2 * high
+    while high - low > 1:
+        middle = (low + high) // 2
+        low, high = (middle, high) if missed(similarity, size, middle) > MISSED else (low, middle)
+    return high
+
+
 def block_columns(n: int, similarity: float) -> list[np.ndarray]:
     """The bit numbers of each block, for n fingerprints: whole permutations of the bits, cut into blocks."""
     size = max(BLOCK_BITS, ceil(log2(max(n, 2))) - SPARE)
-    tables, width = ceil(-log(MISSED) / agreement(similarity) ** size), 64 * LANES
+    tables, width = blocks_for(similarity, size), 64 * LANES
     rng, out = np.random.default_rng(7), []
     while len(out) < tables:
         order = rng.permutation(width)
@@ -243,7 +269,7 @@ def near_copies(docs: DataFrame, similarity: float = SIMILARITY, shingle: int =
     similarity; components of the links are classes. Null, empty and wordless texts are copies of one another; a text of
     fewer words than a shingle is one shingle. Repeated rows stay repeated; rows of one doc_id are one document. A null
     doc_id forms no links and has a null component_id. Texts may have any length. An empty table gives no rows. Other
-    columns, whatever their names, are not read. Of the pairs at the threshold MISSED are not found, above it fewer.
+    columns, whatever their names, are not read. Of the pairs at the threshold at most MISSED are not found, above it fewer.
     """
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
@@ -261,7 +287,8 @@ def near_copies(docs: DataFrame, similarity: float = SIMILARITY, shingle: int =
     coarse = connected_components(map_arrow(cells, _coarse(similarity), "u long, v long"))
 
     members = cut(coarse.join(nodes, "node").select(F.col("node").alias("doc_id"), "component", *_FP))
-    texts = plain.join(members, "doc_id").select("component", F.col("doc_id").alias("node"), "text", *_FP)
+    few = members.count() <= FEW_MEMBERS
+    texts = plain.join(F.broadcast(members) if few else members, "doc_id").select("component", F.col("doc_id").alias("node"), "text", *_FP)
 
     def gather(batches):
         """The shingle sets of the texts that have the fingerprint they stand for."""

@@ -278,7 +278,28 @@ def test_blocks_grow_with_the_corpus():
     sizes = {n: (len(c[0]), len(c)) for n in (0, 10**4, 10**7, 10**9, 10**11) for c in [near_copies.block_columns(n, 0.8)]}
     assert [sizes[n][0] for n in sorted(sizes)] == [16, 16, 16, 22, 29]
     for size, count in sizes.values():
-        assert (1 - near_copies.agreement(0.8) ** size) ** count < 1.1 * near_copies.MISSED
+        assert near_copies.missed(0.8, size, count) <= near_copies.MISSED < near_copies.missed(0.8, size, count - 1)
+
+
+@pytest.mark.parametrize("n", [10**4, 2**28, 2**32])
+def test_missed_pairs_are_as_stated(n):
+    """Simulated pairs at the threshold: no more than MISSED share no block, by the fingerprints themselves."""
+    rng, columns = np.random.default_rng(n % 1000), near_copies.block_columns(n, 0.8)
+    both, own = 240, 30  # 240 shared shingles of 270 each: similarity 0.8
+    left = []
+    for _ in range(1500):
+        sets = rng.integers(0, 2**63, both + 2 * own, dtype=np.uint64)
+        pair = [near_copies.fingerprint(np.concatenate([sets[:both], sets[both + k * own : both + (k + 1) * own]])) for k in (0, 1)]
+        differ = np.unpackbits((pair[0] ^ pair[1]).view(np.uint8), bitorder="little")
+        left.append(not any(not differ[c].any() for c in columns))
+    assert np.mean(left) <= near_copies.MISSED + 0.005
+
+
+def test_texts_are_found_with_and_without_a_broadcast(spark, sf, monkeypatch):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    whole = {r.doc_id: r.component_id for r in near_copies.near_copies(docs).collect()}
+    monkeypatch.setattr(near_copies, "FEW_MEMBERS", 0)
+    assert {r.doc_id: r.component_id for r in near_copies.near_copies(docs).collect()} == whole
 
 
 def test_components(spark):
