@@ -35,6 +35,7 @@ SORT_HASHES = 3
 #: Documents sampled for the borders of the shards: a share that gives some twenty a shard of usual texts, within bounds.
 SAMPLE, LEAST_SAMPLE, MOST_SAMPLE = 0.01, 2_000, 200_000
 K1, B = 1.2, 0.75
+_HASHES = 1 << 40
 
 #: A run of white space and the run of other characters after it: the tokenizer's pieces never cross a border between them.
 _CHUNK = re.compile(r"[^\S\x1c-\x1f]*(?:\S|[\x1c-\x1f])+|[^\S\x1c-\x1f]+")
@@ -282,17 +283,20 @@ def _hashed(batches):
 def in_shards(docs: DataFrame) -> DataFrame:
     """(doc_id, text, shard): docs(doc_id, text) dealt over shards, a few to a partition, related documents side by side.
 
-    Where one partition ends and the next begins is read off a bounded sample of the documents; every document is dealt,
-    and goes where its min-hashes say.
+    Where one shard ends and the next begins is read off a bounded sample of the documents, by a hash of id and text; every
+    document is dealt, and goes where its min-hashes say.
     """
     names = [f"_h{k}" for k in range(SORT_HASHES)]
     kind = "doc_id long, text string, " + ", ".join(f"{n} long" for n in names)
     n = docs.count()
     part = min(max(SAMPLE, LEAST_SAMPLE / max(n, 1)), MOST_SAMPLE / max(n, 1), 1.0)
-    seen = map_arrow(docs.sample(part, 11) if part < 1 else docs, _hashed, kind).select(*names, "doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).alias("size")).toPandas()
     place = [*names, "doc_id"]
+    few = docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(_HASHES)) < int(part * _HASHES)) if part < 1 else docs
+    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
+    # a row for each distinct document: repeated rows, however many, are one with their bytes
+    seen = map_arrow(few, _hashed, kind).groupBy(*place).agg(F.sum(size).alias("size"), F.count(F.lit(1)).alias("n")).toPandas()
     seen = seen.sort_values(place, na_position="first")
-    shards = min(MAX_SHARDS, max(1, -(-int(seen["size"].sum() / max(len(seen), 1) * n) // SHARD_BYTES)))
+    shards = min(MAX_SHARDS, max(1, -(-int(seen["size"].sum() / max(int(seen["n"].sum()), 1) * n) // SHARD_BYTES)))
     at = np.searchsorted(seen["size"].cumsum().to_numpy(), seen["size"].sum() * np.arange(1, shards) / shards)
     edges = _keys(*(seen[c].fillna(-(1 << 63)).to_numpy(np.int64)[at] for c in place))
 

@@ -236,3 +236,10 @@ def test_neighbours_by_all_words():
         return total
 
     assert np.allclose(index.scores(0)[1:], [score(d) for d in docs[1:]], rtol=1e-5) and index.scores(0)[2] > 0
+
+
+def test_shards_depend_on_documents_alone(spark):
+    """However the documents lie in partitions, each goes to the same shard."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
+    found = [{r.doc_id: r.shard for r in packing.in_shards(docs.repartition(n)).select("doc_id", "shard").collect()} for n in (3, 7)]
+    assert found[0] == found[1] and len(set(found[0].values())) > 2
