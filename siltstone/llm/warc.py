@@ -1,8 +1,9 @@
 """WARC archives: writing with payload deduplication, and reading by boundary-chain verification.
 
 Writing: records of equal payloads are one response, that of the largest page_id, and revisits that refer to it. Digests
-and the choice are DataFrame functions; a text writer whose line separator is the record separator writes the archives,
-gzipped and rolled by classes of payload size, so that an archive is bounded in bytes.
+and the choice are DataFrame functions; each task deals its records to archives of bounded bytes, and a text writer whose
+line separator is the record separator writes these, gzipped. Pages are read twice: for the digests that several of them
+have, and to be written.
 
 Reading: a task takes whole archives, looks for the record magic everywhere in one, payloads included, and notes for each
 candidate its offset and the offset where its successor has to begin by its content length. Starting at the beginning of
@@ -20,14 +21,17 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.llm.common import cut, map_arrow, remove, shared_dir, table
 
 MAGIC = b"WARC/1.0\r\n"
-#: (payload bytes, records of an archive), at most: archives of some 64 MB, or of one record where that is larger.
-CLASSES = [(1 << 16, 1000), (1 << 20, 64), (1 << 24, 4), (1 << 62, 1)]
+#: Bytes of an archive before it is packed, at most; one record where that is larger.
+ARCHIVE_BYTES = 64_000_000
+#: Digests of several pages that are sent to every task, at most; more of them are joined, with the pages dealt by digest.
+FEW_SHARED = 200_000
 #: Records that a task hands on at a time.
 STEP = 256
 #: Payloads of fewer bytes are never revisits.
@@ -55,7 +59,7 @@ def records(pages: DataFrame) -> DataFrame:
     p = pages.select(F.col("page_id").cast("long"), F.regexp_replace(F.coalesce(F.col("url").cast("string"), F.lit("")), r"[\r\n]+", " ").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     p = p.withColumn("digest", base32_sha1(F.col("html"))).withColumn("size", F.octet_length("html"))
     shared = cut(p.where(F.col("size") >= LEAST_BYTES).groupBy("digest").agg(F.max("page_id").alias("keeper"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "keeper"))
-    p = p.join(shared, "digest", "left").withColumn("revisit", F.coalesce(~F.col("page_id").eqNullSafe(F.col("keeper")) & F.col("keeper").isNotNull(), F.lit(False)))
+    p = p.join(F.broadcast(shared) if shared.count() <= FEW_SHARED else shared, "digest", "left").withColumn("revisit", F.coalesce(~F.col("page_id").eqNullSafe(F.col("keeper")) & F.col("keeper").isNotNull(), F.lit(False)))
     name = lambda c: F.concat(F.lit("<urn:siltstone:page:"), F.coalesce(c.cast("string"), F.lit("null")), F.lit(">"))
     http = F.concat(F.lit("HTTP/1.1 200 OK" + line + "Content-Type: text/html; charset=utf-8" + line + "Content-Length: "), F.col("size"), F.lit(line * 2))
     head = F.concat(
@@ -71,12 +75,22 @@ def records(pages: DataFrame) -> DataFrame:
 
 
 def write_warc(pages: DataFrame, path: str) -> None:
-    """Writes pages as gzipped WARC archives under path, a folder for each of CLASSES."""
-    found, least = records(pages), -1
-    for k, (most, count) in enumerate(CLASSES):
-        part = found.where((F.col("size") > least) & (F.col("size") <= most)).select("value")
-        part.write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", count).text(f"{path}/{k}")
-        least = most
+    """Writes pages as gzipped WARC archives under path, each of the records of one task and at most ARCHIVE_BYTES."""
+    most = ARCHIVE_BYTES
+
+    def deal(batches):
+        archive = held = 0
+        for batch in batches:
+            numbers = []
+            for size in pc.binary_length(batch.column(0)).to_pylist():
+                if held and held + size > most:
+                    archive, held = archive + 1, 0
+                held += size
+                numbers.append(archive)
+            yield [batch.column(0), numbers]
+
+    found = map_arrow(records(pages).select("value"), deal, "value string, archive int")
+    found.write.partitionBy("archive").option("lineSep", "\r\n\r\n").option("compression", "gzip").text(path)
 
 
 def candidates(data: bytes):

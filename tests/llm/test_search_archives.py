@@ -125,6 +125,22 @@ def test_archives(spark, tmp_path):
     assert warc.read_warc(spark, str(tmp_path / "none")).count() == 0
 
 
+def test_archives_are_bounded(spark, tmp_path, monkeypatch):
+    """An archive holds the records of one task up to a number of bytes, or one record; digests are found by either join."""
+    rows = [(i, f"http://a/{i}", "x" * (i * 37 % 900) + str(i % 9)) for i in range(60)] + [(100, "http://large/", "y" * 20_000)]
+    want = None
+    for few in (200_000, 0):
+        monkeypatch.setattr(warc, "ARCHIVE_BYTES", 4000)
+        monkeypatch.setattr(warc, "FEW_SHARED", few)
+        at = tmp_path / str(few)
+        warc.write_warc(page_rows(spark, rows).repartition(2), str(at))
+        sizes = [len(warc.inflate(f.read_bytes())) for f in at.rglob("*.gz")]
+        assert sorted(sizes)[-1] > 20_000 and sorted(sizes)[-2] < 4000 + 300 and 10 < len(sizes) < 40
+        got = sorted((r.page_id, r.payload_bytes, r.record_type, str(r.refers_to)) for r in warc.read_warc(spark, str(at), whole=True).collect())
+        assert len(got) == 61 and (want is None or got == want)
+        want = got
+
+
 def record(payload: bytes, page: int) -> bytes:
     return b"WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:siltstone:page:%d>\r\nContent-Length: %d\r\n\r\n" % (page, len(payload)) + payload + b"\r\n\r\n"
 
