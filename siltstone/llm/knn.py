@@ -9,6 +9,8 @@ other. A block's data are dealt over shards, solved there by exact integer produ
 
 Copies: a data vector goes to the blocks that need it, at most one for QUERY_BLOCK queries; a query goes to the shards of
 its block, one for SHARD vectors. What the bounds don't prune has to meet, so these two sizes are all there is to choose.
+The shards are solved in rounds, as many again in each as in all before: a query takes its k-th best score along, and a
+shard returns only what is as good. So a query's partial answers grow with the logarithm of the shards, not with them.
 """
 
 from __future__ import annotations
@@ -133,10 +135,12 @@ def _best(queries: np.ndarray, rows: np.ndarray, data: np.ndarray, others: np.nd
     return [np.concatenate(c) for c in zip(*found, strict=True)] if found else [np.empty(0, np.int64)] * 3
 
 
+_NO_BOUND = -(1 << 63)
 _FOUND = "query_row long, query_id long, vec_id long, score long"
 
 
 def _solver(k: int):
+    """Each query's best of a shard's rows; with a bound, what is at least that good."""
     kind = arrow_schema(_FOUND)
 
     def solve(asked: pa.Table, rows: pa.Table) -> pa.Table:
@@ -150,6 +154,13 @@ def _solver(k: int):
         found, answer, score = _best(q, names, x, rows.column("row").to_numpy(), ids.fill_null(0).to_numpy(), ids.is_null().to_numpy(zero_copy_only=False), k)
         order = np.argsort(names)
         at = order[np.searchsorted(names, np.asarray(found, np.int64), sorter=order)]
+        if "bound" in asked.column_names and len(at):
+            least = asked.column("bound").to_numpy()[at]
+            if isinstance(score, np.ndarray):
+                good = np.flatnonzero(score >= least)
+            else:  # wide: a score below 64 bits is null
+                good = np.array([i for i, (s, b) in enumerate(zip(score, least.tolist(), strict=True)) if b == _NO_BOUND or s is not None and s >= b], np.int64)
+            at, (found, answer, score) = at[good], ([x[i] for i in good.tolist()] if isinstance(x, list) else x[good] for x in (found, answer, score))
         return pa.table([pa.array(found, pa.int64()), asked.column("vec_id").combine_chunks().take(pa.array(at)), ids.take(pa.array(answer, pa.int64())), pa.array(score, pa.int64())], schema=kind)
 
     return solve
@@ -226,33 +237,53 @@ def _narrow(v: DataFrame, queries_where: str, k: int, n_pivots: int | None) -> D
     spans = {b: (first, count) for b, first, count in to.values()}
     shards = {b: max(1, -(-sum(n for j, (n, r, _) in cells.items() if least[b, j] <= r) // SHARD)) for b in spans}
 
-    def send(batches):
-        """Each vector to one shard of every block that may need it."""
-        for batch in batches:
-            cell, dist, row = (batch.column(i).to_numpy(zero_copy_only=False) for i in (3, 4, 0))
-            for b, (first, count) in spans.items():
-                at = np.flatnonzero(dist >= least[b, cell])
-                if len(at):
+    def send(span):
+        """Each vector to its shard of every block that may need it, if the shard is of the span."""
+
+        def run(batches):
+            for batch in batches:
+                cell, dist, row = (batch.column(i).to_numpy(zero_copy_only=False) for i in (3, 4, 0))
+                number = (row * 2654435761 & 0x7FFFFFFFFFFFFFFF) >> 16
+                for b, (first, count) in spans.items():
+                    shard = number % shards[b]
+                    at = np.flatnonzero((dist >= least[b, cell]) & (shard >= span[0]) & (shard < span[1]))
+                    if len(at):
+                        part = batch.take(pa.array(at))
+                        for block in range(first, first + count):
+                            yield [np.full(len(at), block, np.int32), shard[at].astype(np.int32), *part.columns[:3]]
+
+        return run
+
+    def ask(span):
+        """Each query to the shards of its block that are of the span."""
+
+        def run(batches):
+            for batch in batches:
+                cell, row = batch.column(3).to_numpy(), batch.column(0).to_numpy()
+                for g in np.unique(cell).tolist():
+                    b, first, count = to[g]
+                    at = np.flatnonzero(cell == g)
                     part = batch.take(pa.array(at))
-                    shard = ((row[at] * 2654435761 & 0x7FFFFFFFFFFFFFFF) >> 16) % shards[b]
-                    for block in range(first, first + count):
-                        yield [np.full(len(at), block, np.int32), shard.astype(np.int32), *part.columns[:3]]
-
-    def ask(batches):
-        """Each query to all shards of its block."""
-        for batch in batches:
-            cell, row = batch.column(3).to_numpy(), batch.column(0).to_numpy()
-            for g in np.unique(cell).tolist():
-                b, first, count = to[g]
-                at = np.flatnonzero(cell == g)
-                part = batch.take(pa.array(at))
-                block = first + ((row[at] * 2654435761 & 0x7FFFFFFFFFFFFFFF) >> 16) % count
-                for shard in range(shards[b]):
-                    yield [block.astype(np.int32), np.full(len(at), shard, np.int32), *part.columns[:3]]
-
-    kind = "block int, shard int, row long, vec_id long, v array<int>"
-    keys = ["block", "shard"]
-    return map_arrow(asked, ask, kind).groupBy(*keys).cogroup(map_arrow(dealt, send, kind).groupBy(*keys)).applyInArrow(_solver(k), _FOUND)
+                    block = first + ((row[at] * 2654435761 & 0x7FFFFFFFFFFFFFFF) >> 16) % count
+                    for shard in range(span[0], min(span[1], shards[b])):
+                        yield [block.astype(np.int32), np.full(len(at), shard, np.int32), *part.columns[:3], part.column("bound")]
+
+        return run
+
+    kind, keys = "block int, shard int, row long, vec_id long, v array<int>", ["block", "shard"]
+    asked = asked.select("row", "vec_id", "v", "cell").withColumn("bound", F.lit(_NO_BOUND).cast("long"))
+    found, done, most = None, 0, max(shards.values())
+    while done < most:
+        span = (done, max(1, 2 * done))
+        part = map_arrow(asked, ask(span), f"{kind}, bound long").groupBy(*keys).cogroup(map_arrow(dealt, send(span), kind).groupBy(*keys)).applyInArrow(_solver(k), _FOUND)
+        found = part if found is None else found.unionByName(part)
+        done = span[1]
+        if done < most:
+            best = Window.partitionBy("query_row").orderBy(F.desc("score"), F.asc_nulls_last("vec_id"))
+            found = cut(found.withColumn("n", F.row_number().over(best)).where(F.col("n") <= k).drop("n"))
+            kth = found.groupBy("query_row").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("kth")).where(F.col("n") >= k).select("query_row", "kth")
+            asked = asked.drop("bound").join(kth, F.col("row") == F.col("query_row"), "left").select("row", "vec_id", "v", "cell", F.coalesce("kth", F.lit(_NO_BOUND)).alias("bound"))
+    return found
 
 
 def op6_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
