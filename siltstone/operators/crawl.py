@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +16,10 @@ from siltstone.operators.state import consecutive_blocks, crawl_outcome, fetch_o
 from siltstone.sources.html import page_facts
 
 
+#: Refusals in a row after which a site is left alone.
+MAX_BLOCKS = 3
+
+
 @dataclass
 class Crawl:
     pages: DataFrame
@@ -33,7 +38,7 @@ def analyse_crawl(entries: DataFrame, answers: DataFrame) -> Crawl:
     outcome = F.when(~F.col("allowed"), "skipped_robots").when(F.col("error").isNotNull() | F.col("status").isNull(), "failed").otherwise(fetch_outcome(F.col("status"), F.col("content_type"), F.col("mitigated")))
     rows = rows.withColumn("fetch_status", outcome)
     asked = consecutive_blocks(rows.where("allowed"), "site", ["position"], F.col("fetch_status") == "blocked").withColumn("fetch_status", F.when(F.col("stopped"), "blocked").otherwise(F.col("fetch_status")))
-    rows = cut(asked.drop("run").unionByName(rows.where("not allowed").withColumn("stopped", F.lit(False))))
+    rows = cut(asked.unionByName(rows.where("not allowed").withColumns({"run": F.lit(0).cast("long"), "stopped": F.lit(False)})))
     html = rows.where("fetch_status = 'ok'").select("page_id", "site", F.coalesce("final_url", "url").alias("url"), decode_body(F.col("body"), F.col("content_type")).alias("html"), "x_robots")
     facts = page_facts(html).join(html.select("page_id", "site"), "page_id")
     facts = cut(facts)
@@ -43,7 +48,7 @@ def analyse_crawl(entries: DataFrame, answers: DataFrame) -> Crawl:
     issues = find_issues(facts).unionByName(fetch_failure_issues(failed))
     pages = rows.join(facts.select("page_id", "title", "meta_description", F.try_element_at("h1s", F.lit(1)).alias("h1"), "word_count", "lang"), "page_id", "left")
     pages = pages.select("page_id", "site", "url", F.col("position").alias("sitemap_position"), "fetch_status", F.col("status").alias("http_status"), "final_url", "title", "meta_description", "h1", "word_count", "lang", F.col("elapsed_ms").alias("response_ms"))
-    stopped = rows.groupBy("site").agg(F.max("stopped").alias("stopped"))
+    stopped = rows.groupBy("site").agg(F.max(F.col("run") >= MAX_BLOCKS).alias("stopped"))  # also where nothing came after
     outcomes = crawl_outcome(pages, "site").join(stopped, "site").withColumn("error_code", F.when(F.col("stopped"), "blocked_by_site")).drop("stopped")
     return Crawl(pages, keyword_picks(facts), issues, outcomes)
 
@@ -57,3 +62,17 @@ def rows_from_arrays(arrays: DataFrame, *columns: str) -> DataFrame:
 def is_alive(spark: SparkSession) -> bool:
     """A health probe."""
     return spark.range(1).count() == 1
+
+
+def health(spark: SparkSession, read: dict[str, Callable[[], DataFrame]]) -> DataFrame:
+    """(relation, ok, rows): whether each relation can be read, and how many rows it has; a row a relation.
+
+    What can't be read is not ok and has no rows; its cause is left to the log.
+    """
+    found = []
+    for name, relation in read.items():
+        try:
+            found.append((name, True, relation().count()))
+        except Exception:  # whatever it is, the relation isn't available
+            found.append((name, False, None))
+    return spark.createDataFrame(found, "relation string, ok boolean, rows long")

@@ -142,6 +142,11 @@ def default_series(keywords: DataFrame, key: str, order: list[str], count: int =
     return keywords.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where(F.col("_n") <= count).drop("_n")
 
 
+def range_spans(today: Column) -> Column:
+    """array<struct<days, first, last>> of the ranges that are offered on a day, each ending then."""
+    return F.array(*[F.struct(F.lit(n).alias("days"), F.date_sub(today, n - 1).alias("first"), today.alias("last")) for n in PRESET_RANGE_DAYS])
+
+
 def preset_ranges(today: date) -> list[tuple[date, date]]:
     """The ranges that are offered, each ending today."""
     return [(today - timedelta(n - 1), today) for n in PRESET_RANGE_DAYS]

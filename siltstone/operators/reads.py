@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siltstone.errors import InvalidRequest
 from siltstone.functions.constants import MAX_PAGE_SIZE, MAX_QUERY, PAGE_SIZE
 from siltstone.functions.dates import iso_utc
 from siltstone.functions.lineage import cut
@@ -33,16 +34,25 @@ def is_uuid(value: Column) -> Column:
     return F.coalesce(value.rlike(_UUID), F.lit(False))
 
 
+BAD_PAGE, BAD_SEARCH = f"page starts at 1, page_size is 1 to {MAX_PAGE_SIZE}", f"a search has at most {MAX_QUERY} characters"
+
+
 def checked_paging(page: int, page_size: int, q: str | None) -> str | None:
-    """The search text, trimmed, null if empty; ValueError outside the limits."""
+    """The search text, trimmed, null if empty; InvalidRequest, a ValueError, outside the limits."""
     if page < 1 or not 1 <= page_size <= MAX_PAGE_SIZE:
-        raise ValueError(f"page starts at 1, page_size is 1 to {MAX_PAGE_SIZE}")
+        raise InvalidRequest(BAD_PAGE, {"page": page, "page_size": page_size})
     q = (q or "").strip()
     if len(q) > MAX_QUERY:
-        raise ValueError(f"a search has at most {MAX_QUERY} characters")
+        raise InvalidRequest(BAD_SEARCH, {"length": len(q)})
     return q or None
 
 
+def paging_error(page: Column, page_size: Column, q: Column) -> Column:
+    """What checked_paging has against a request, for requests in rows; null for valid ones. Nulls are what wasn't asked for."""
+    size = F.coalesce(page_size, F.lit(PAGE_SIZE))
+    return F.when((F.coalesce(page, F.lit(1)) < 1) | ~size.between(1, MAX_PAGE_SIZE), BAD_PAGE).when(F.char_length(F.trim(q)) > MAX_QUERY, BAD_SEARCH)
+
+
 def matching_pages(t: Tables, user: str, client: str | None = None, q: str | None = None) -> DataFrame:
     """A user's pages with client_name; with q those whose URL or one of whose terms holds it, case apart, literally."""
     own = t.clients.where(F.col("user_id") == user).select(F.col("id").alias("client_id"), F.col("name").alias("client_name"))

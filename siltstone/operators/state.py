@@ -5,8 +5,10 @@ Plain Parquet has no MERGE; each function returns the whole next state, which th
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from siltstone.functions.constants import DEFAULT_DELAY_MS, MAX_DELAY_MS
 from siltstone.functions.lineage import cut
@@ -56,17 +58,26 @@ def insert_clients(clients: DataFrame, rows: DataFrame) -> DataFrame:
 def numbered(rows: DataFrame, order: list[str], name: str, start: int = 1) -> DataFrame:
     """rows with their place in an order, which is total: sorted over all partitions, numbered within each.
 
-    Only the row counts of the partitions reach the driver; no task holds more than a partition.
+    Only the row counts of the partitions reach the driver; no task holds more than a batch. The one shuffle is the sort:
+    the sorted rows are kept, and numbered where they lie.
     """
     sorted_rows = cut(rows.orderBy(*order).withColumn("_part", F.spark_partition_id()))
     sizes = dict(sorted_rows.groupBy("_part").agg(F.count(F.lit(1)).alias("n")).collect())
-    before, total = [], start - 1
-    for part in range(max(sizes, default=0) + 1):
-        before.append(total)
-        total += sizes.get(part, 0)
-    first = F.element_at(F.array(*[F.lit(n).cast("long") for n in before]), F.col("_part") + 1)
-    own = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
-    return sorted_rows.withColumn(name, first + own).drop("_part")
+    before, total = {}, start
+    for part in sorted(sizes):
+        before[part] = total
+        total += sizes[part]
+
+    def number(batches):
+        at = None
+        for batch in batches:
+            if batch.num_rows:
+                at = before[batch.column("_part")[0].as_py()] if at is None else at
+                kept = [c for c in batch.schema.names if c != "_part"]
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(range(at, at + batch.num_rows), pa.int64())], names=[*kept, name])
+                at += batch.num_rows
+
+    return sorted_rows.mapInArrow(number, StructType([*rows.schema.fields, StructField(name, LongType())]))
 
 
 def add_terms(keywords: DataFrame, picks: DataFrame) -> DataFrame:

@@ -44,6 +44,11 @@ def site_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.withColumn("site", site_key(host(F.col("url"))))
 
 
+def page_facts_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Facts of the web pages by the complete parser."""
+    return page_facts(table(spark, sf_dir, "pages"))
+
+
 def site_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Facts of the web pages by the complete parser, with their site; parsed once, whatever is asked of them."""
     return cut(page_facts(table(spark, sf_dir, "pages")).withColumn("site", site_key(host(F.col("url")))))

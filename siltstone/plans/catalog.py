@@ -28,32 +28,27 @@ def query(function):
     return function
 
 
-def _values(spark: SparkSession, rows: str, names: str) -> DataFrame:
-    return spark.sql(f"SELECT * FROM VALUES {rows} AS t({names})")
-
-
 # --- pages and rules
 
 
 @query
 def page_title(spark, d):
-    return A.table(spark, d, "pages").select("page_id", html.flat_title(F.col("html")).alias("title"))
+    return A.page_facts_of(spark, d).select("page_id", "title")
 
 
 @query
 def page_h1(spark, d):
-    return A.table(spark, d, "pages").select("page_id", F.try_element_at(html.flat_h1s(F.col("html")), F.lit(1)).alias("h1"), F.size(html.flat_h1s(F.col("html"))).cast("long").alias("n_h1"))
+    return A.page_facts_of(spark, d).select("page_id", F.try_element_at("h1s", F.lit(1)).alias("h1"), F.size("h1s").cast("long").alias("n_h1"))
 
 
 @query
 def page_lang(spark, d):
-    return A.table(spark, d, "pages").select("page_id", html.flat_lang(F.col("html")).alias("lang"))
+    return A.page_facts_of(spark, d).select("page_id", "lang")
 
 
 @query
 def page_main_text_words(spark, d):
-    x = html.flat_main_text(F.col("html"))
-    return A.table(spark, d, "pages").select("page_id", x.alias("main_text"), text.word_count(x).cast("long").alias("words"))
+    return A.page_facts_of(spark, d).select("page_id", "main_text", F.col("word_count").cast("long").alias("words"))
 
 
 @query
@@ -87,14 +82,16 @@ def issue_histogram(spark, d):
 
 @query
 def title_duplicates(spark, d):
-    f = issues.with_title_count(A.site_pages(spark, d).select("page_id", "site", html.flat_title(F.col("html")).alias("title")))
+    f = issues.with_title_count(A.site_facts(spark, d).select("page_id", "site", "title"))
     return f.where("title_count > 1").select("page_id", "site", "title", "title_count")
 
 
 @query
 def noindex_directives(spark, d):
-    rows = _values(spark, "(1, 'googlebot: noindex'), (2, 'otherbot: noindex'), (3, 'max-image-preview:none'), (4, 'index, NOINDEX'), (5, ','), (6, 'none'), (7, 'bingbot: none, follow'), (8, 'unavailable_after: noindex'), (9, 'noindexed')", "id, robots")
-    return rows.select("id", issues.blocks_indexing(F.col("robots")).alias("blocked"))
+    """Robots directives of every part's page, put together from one for all agents and one more."""
+    first = F.element_at(F.array(*map(F.lit, ["googlebot: noindex", "otherbot: noindex", "max-image-preview:none", "index, NOINDEX", ",", "none", "bingbot: none, follow", "unavailable_after: noindex", "noindexed"])), (F.col("p_partkey") % 9 + 1).cast("int"))
+    second = F.when(F.col("p_partkey") % 4 == 1, F.concat(F.lit(", follow, max-snippet:"), F.col("p_size").cast("string"))).when(F.col("p_partkey") % 4 == 2, " , Googlebot:NONE").otherwise("")
+    return A.table(spark, d, "part").select("p_partkey", issues.blocks_indexing(F.when(F.col("p_partkey") % 50 != 0, F.concat(first, second))).alias("blocked"))
 
 
 @query
@@ -148,8 +145,11 @@ def url_section_share(spark, d):
 
 @query
 def website_urls(spark, d):
-    rows = _values(spark, "(1, ' https://WWW.Teashop.com/blog?x=1#y '), (2, 'ftp://a.com'), (3, 'http://user:pw@a.com/'), (4, 'http://localhost/'), (5, 'teashop.com'), (6, 'HTTPS://teashop.com.'), (7, 'http://a.com:80/x'), (8, 'https://b.org:8443')", "id, entered")
-    return rows.select("id", urls.parse_website(F.col("entered")).alias("w")).select("id", "w.url", "w.origin", "w.site_key")
+    """Websites that suppliers enter: cases, ports, credentials, queries, other schemes."""
+    k = F.col("s_suppkey").cast("string")
+    forms = [F.concat(F.lit(" https://WWW.Teashop"), k, F.lit(".com/blog?x=1#y ")), F.concat(F.lit("ftp://a"), k, F.lit(".com")), F.concat(F.lit("http://user:pw@a"), k, F.lit(".com/")), F.concat(F.lit("http://localhost/"), k), F.concat(F.lit("teashop"), k, F.lit(".com")), F.concat(F.lit("HTTPS://teashop"), k, F.lit(".com.")), F.concat(F.lit("http://a"), k, F.lit(".com:80/x")), F.concat(F.lit("https://b.org:"), (F.col("s_suppkey") + 8000).cast("string"))]
+    rows = A.table(spark, d, "supplier").select("s_suppkey", F.element_at(F.array(*forms), (F.col("s_suppkey") % 8 + 1).cast("int")).alias("entered"))
+    return rows.select("s_suppkey", urls.parse_website(F.col("entered")).alias("w")).select("s_suppkey", "w.url", "w.origin", "w.site_key")
 
 
 @query
@@ -179,7 +179,7 @@ def term_document_frequency(spark, d):
 def term_idf(spark, d):
     t = A.table(spark, d, "documents").select("doc_id", "source", "text")
     terms = t.select("source", F.explode(F.array_distinct(phrase_array(F.col("text"), False))).alias("term"))
-    df = terms.groupBy("source", "term").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    df = terms.groupBy("source", "term").agg(F.count(F.lit(1)).alias("df"))
     n = t.groupBy("source").agg(F.count(F.lit(1)).alias("n"))
     return df.join(n, "source").select("source", "term", F.round(F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1, 9).alias("idf"))
 
@@ -206,7 +206,7 @@ def keyword_picks(spark, d):
 @query
 def brand_suffix(spark, d):
     """Titles with a made-up site name: pages of a host of four or more are branded by it."""
-    p = A.site_pages(spark, d).select("page_id", "site", F.concat(F.coalesce(html.flat_title(F.col("html")), F.lit("x")), F.when(F.col("page_id") % 4 != 0, F.concat(F.lit(" | "), F.split("site", r"\.")[0])).otherwise("")).alias("title"))
+    p = A.site_facts(spark, d).select("page_id", "site", F.concat(F.coalesce("title", F.lit("x")), F.when(F.col("page_id") % 4 != 0, F.concat(F.lit(" | "), F.split("site", r"\.")[0])).otherwise("")).alias("title"))
     return keywords.brand_words(p)
 
 
@@ -494,11 +494,9 @@ def _documents(spark, d):
 @query
 def hub_link_scores(spark, d):
     p = A.table(spark, d, "pages")
-    href = F.regexp_extract_all(F.col("html"), F.lit(r'(?i)<a href="(/[^"]*)"'), F.lit(1))
-    origin = F.regexp_extract("url", r"^https?://[^/]+", 0)
-    links = p.select("page_id", "url", origin.alias("o"), F.posexplode(href).alias("ord", "p")).withColumn("href", F.concat("o", "p"))
+    links = html.anchors(p).where(F.startswith("href", F.lit("/")))
     links = links.withColumn("text", F.when(F.col("ord") % 2 == 0, "blog").otherwise("news")).withColumn("in_nav", F.col("page_id") % 2 == 0)
-    return discovery.hub_link_scores(links, resolved=False).select("page_id", F.col("ord").cast("long").alias("ord"), "target", F.col("score").cast("long").alias("score"))
+    return discovery.hub_link_scores(links).select("page_id", F.col("ord").cast("long").alias("ord"), "target", F.col("score").cast("long").alias("score"))
 
 
 @query

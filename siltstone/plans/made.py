@@ -9,10 +9,13 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 from datetime import date
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siltstone import report
+from siltstone.errors import InvalidRequest
 from siltstone.functions import dates, net, text, urls
 from siltstone.functions.lineage import cut, remove, shared_dir
 from siltstone.operators import crawl, discovery, issues, keywords, ranks, reads, seed, state
@@ -229,6 +232,12 @@ def discover_site(spark, d):
     return found.select("page_id", "origin", "hub_url", F.col("round").cast("long").alias("round"), F.array_join("members", " ").alias("members"), F.col("post").cast("long").alias("post"), "url", "allowed", "crawl_delay", "error_code")
 
 
+@query
+def discovery_report(spark, d):
+    """What a discovery tells whoever asked for it, line by line."""
+    return report.lines(discovery.discover_sites(*made_sites(spark, d), "ExampleBot")).select("page_id", F.col("line").cast("long").alias("line"), "text")
+
+
 @query
 def site_hubs(spark, d):
     """The hub of every homepage that answers, by its best link or its entered path."""
@@ -241,7 +250,7 @@ def site_hubs(spark, d):
 def inferred_posts(spark, d):
     """Posts of sites without a hub: a folder of a blog word, one that most URLs share, none, a date, a language."""
     section = _pick("site", ["'news'", "'p'", "CAST(k % 7 AS STRING)", "'2024'", "'fr'"])
-    p = A.table(spark, d, "part").selectExpr("p_partkey AS k", "p_partkey % 5 AS site", "replace(p_name, ' ', '-') AS slug").where("k % 25 < 20")
+    p = A.table(spark, d, "part").selectExpr("p_partkey AS k", "p_partkey % 5 AS site", "replace(p_name, ' ', '-') AS slug")
     u = p.selectExpr("'shop' || site || '.example' AS site", "k AS ord", f"'https://shop' || site || '.example/' || {section} || '/' || slug || '-' || k AS loc")
     sites = u.select("site", F.lit(None).cast("string").alias("hub_path"), F.lit(False).alias("posts_only")).distinct()
     return discovery.select_posts(u, sites).select("site", F.col("post").cast("long").alias("post"), "url")
@@ -267,14 +276,11 @@ def history_spans(spark, d):
 
 @query
 def paging_checks(spark, d):
-    """Which requests for a page of a list are valid, and the search text that counts."""
-    rows = []
-    for i, (page, size, q) in enumerate([(1, 20, None), (0, 20, None), (1, 0, None), (1, 101, None), (3, 100, "  tea "), (1, 1, " "), (1, 20, "x" * 200), (1, 20, "x" * 201)]):
-        try:
-            rows.append((i, reads.checked_paging(page, size, q), None))
-        except ValueError as error:
-            rows.append((i, None, str(error)))
-    return spark.createDataFrame(rows, "id int, q string, error string")
+    """Which requests for a page of a list are valid, the search text that counts, and how others are answered."""
+    o = A.table(spark, d, "orders").selectExpr("o_orderkey AS k", f"{_pick('o_orderkey', ['1', '0', '3', 'NULL', '-2', '1', '7'])} AS page", f"{_pick('o_orderkey', ['20', '0', '100', '101', 'NULL'])} AS page_size", f"{_pick('o_orderkey', ['NULL', chr(39) + '  tea ' + chr(39), chr(39) + ' ' + chr(39), 'repeat(o_orderpriority, 20)', 'repeat(' + chr(39) + 'x' + chr(39) + ', 200)', 'repeat(' + chr(39) + 'é' + chr(39) + ', 201)'])} AS q")
+    error = reads.paging_error(F.col("page"), F.col("page_size"), F.col("q"))
+    status = F.when(error.isNotNull(), InvalidRequest.status).otherwise(200)
+    return o.select(F.col("k").alias("o_orderkey"), F.when(error.isNull(), F.nullif(F.trim("q"), F.lit(""))).alias("q"), error.alias("error"), status.cast("long").alias("status"))
 
 
 @query
@@ -286,13 +292,23 @@ def uuid_ids(spark, d):
 
 @query
 def health(spark, d):
-    return spark.createDataFrame([(crawl.is_alive(spark),)], "ok boolean")
+    """Whether each of the given tables can be read, how many rows it has, and one that isn't there."""
+    names = ["nation", "customer", "orders", "lineitem", "part", "events", "documents", "pages", "nowhere"]
+    return crawl.health(spark, {n: partial(A.table, spark, d, n) for n in names})
 
 
 @query
 def empty_relations(spark, d):
-    """Every relation of the schema, empty: its name, columns and rows."""
-    return spark.createDataFrame([(name, len(schema.empty(spark, name).columns), schema.empty(spark, name).count()) for name in schema.SCHEMAS], "name string, n_columns long, n_rows long")
+    """Every relation of the schema as a new store has it, loaded with the given tables where they hold any of it."""
+    t = A.read_tables(spark, d)
+    users = A.table(spark, d, "nation").select(F.col("n_nationkey").alias("id"), F.concat(F.lower("n_name"), F.lit("@shop.example")).alias("email"))
+    given = {"users": users, "clients": t.clients, "pages": t.pages, "keywords": t.keywords, "page_keywords": t.page_keywords, "seo_issues": t.seo_issues, "rank_snapshots": t.rank_snapshots}
+    at = f"{shared_dir(spark).rstrip('/')}/relations-{uuid.uuid4().hex}"
+    try:
+        stored = schema.migrate(given, at)
+        return spark.createDataFrame([(name, len(rows.columns), rows.count()) for name, rows in stored.items()], "name string, n_columns long, n_rows long")
+    finally:
+        remove(spark, at)
 
 
 # --- bulk loads, users, clients, sessions, analyses
@@ -429,8 +445,11 @@ def chart_series(spark, d):
 
 @query
 def chart_ranges(spark, d):
-    """The ranges on offer on a day."""
-    return spark.createDataFrame(ranks.preset_ranges(date(2026, 10, 7)), "first date, last date")
+    """The ranges on offer on the day of each owner's last capture, and the captures in each."""
+    shots = A.snapshots(spark, d).select("user_id", F.to_date("captured_at").alias("day"))
+    last = shots.groupBy("user_id").agg(F.max("day").alias("today")).select("user_id", F.inline(ranks.range_spans(F.col("today"))))
+    found = last.join(shots.groupBy("user_id", "day").agg(F.count(F.lit(1)).alias("n")), "user_id").where("day BETWEEN first AND last")
+    return found.groupBy("user_id", F.col("days").cast("long").alias("days"), "first", "last").agg(F.sum("n").alias("captures"))
 
 
 @query
@@ -446,17 +465,30 @@ def seeded_accounts(spark, d):
 
 @query
 def seeded_ranks(spark, d):
-    """A year of history for the pairs of an owner's pages with a term of their own, but for the days there are."""
+    """A year of history and more for all pairs of an owner's pages, but for the days there are."""
     t = A.read_tables(spark, d)
-    pages = reads.matching_pages(t, OWNER).where("id % 50 < 3").select(*t.pages.columns)
-    pairs = t.page_keywords.where("rank_order = 1").join(pages.select(F.col("id").alias("page_id")), "page_id", "left_semi")
-    clients = t.clients.join(pages.join(pairs, F.col("page_id") == pages.id, "left_semi").select(F.col("client_id").alias("id")).distinct(), "id", "left_semi")
-    shots = t.rank_snapshots.where("snapshot_date >= '1998-01-01'")
-    own = cut(pairs)
-    made = seed.seed_ranks(reads.Tables(clients, pages, own, t.keywords, t.seo_issues, shots), date(1998, 12, 31), 300)
+    pages = reads.matching_pages(t, OWNER).select(*t.pages.columns)
+    own = cut(t.page_keywords.join(pages.select(F.col("id").alias("page_id")), "page_id", "left_semi"))
+    clients = t.clients.join(pages.join(own, F.col("page_id") == pages.id, "left_semi").select(F.col("client_id").alias("id")).distinct(), "id", "left_semi")
+    made = seed.seed_ranks(reads.Tables(clients, pages, own, t.keywords, t.seo_issues, t.rank_snapshots), date(1998, 12, 31))
     return made.groupBy("page_keyword_id").agg(F.count(F.lit(1)).alias("days"))
 
 
+@query
+def analysed_crawl(spark, d):
+    """Whole crawls: pages, issues of what failed, and outcomes, where sites refuse, fail, forbid or answer with something else."""
+    p = made_pages(spark, d).withColumn("k", F.col("page_id")).selectExpr("*", "page_id % 5 = 2 AND floor(page_id / 5) % 10 IN (3, 4, 5) OR page_id % 5 = 3 AND floor(page_id / 5) % 4 = 1 AS refused")
+    p = p.selectExpr("*", "CASE WHEN k % 23 = 0 THEN 'timeout' END AS error", "CASE WHEN k % 23 = 0 THEN NULL WHEN refused THEN 403 WHEN k % 17 = 0 THEN 404 WHEN k % 19 = 0 THEN 500 ELSE 200 END AS status", "CASE WHEN k % 29 = 0 THEN 'application/pdf' WHEN k % 31 <> 0 THEN 'text/html; charset=utf-8' END AS content_type", "CASE WHEN k % 37 = 0 THEN 'challenge' END AS mitigated")
+    entries = p.select("page_id", "site", "url", F.col("page_id").cast("int").alias("position"), (F.col("k") % 13 != 0).alias("allowed"))
+    answers = p.where("k % 13 <> 0").select("url", "url", "status", "content_type", "x_robots", "mitigated", F.when(F.col("error").isNull(), F.encode("html", "UTF-8")).alias("body"), F.lit(7).alias("elapsed_ms"), "error").toDF("url", "final_url", "status", "content_type", "x_robots", "mitigated", "body", "elapsed_ms", "error")
+    c = crawl.analyse_crawl(entries, answers)
+    text_, none = (lambda x: F.col(x).alias("value")), F.lit(None).cast("string")
+    pages = c.pages.select(F.lit("page").alias("kind"), "page_id", "site", text_("fetch_status"), F.col("title").alias("more"), F.col("http_status").cast("long").alias("number"))
+    failed = c.issues.where("code = 'http_error'").select(F.lit("issue").alias("kind"), "page_id", none.alias("site"), text_("message"), F.col("severity").alias("more"), F.lit(None).cast("long").alias("number"))
+    ends = c.outcomes.select(F.lit("outcome").alias("kind"), F.lit(None).cast("long").alias("page_id"), "site", F.concat_ws(" ", "status", "error_code").alias("value"), F.col("message").alias("more"), F.col("analysed").alias("number"))
+    return pages.unionByName(failed).unionByName(ends)
+
+
 @query
 def stream_counts(spark, d):
     """Captures by day, counted by a stream that reads the table once and stops."""

@@ -85,6 +85,33 @@ _DETAILS = f"""WITH {_TABLES}, dk AS (SELECT page_id, string_agg(k.id || ':' ||
 di AS (SELECT page_id, string_agg(severity || ':' || code, ';' ORDER BY CASE severity WHEN 'error' THEN 0 ELSE 1 END, code) AS issues FROM i GROUP BY page_id),
 det AS (SELECT printf('%08x-0000-4000-8000-000000000000', p.id) AS id, url, c.name AS client_name, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%SZ') AS fetched_at, coalesce(keywords, '') AS keywords, coalesce(issues, '') AS issues FROM p JOIN c ON c.id = p.client_id JOIN orders ON o_orderkey = p.id LEFT JOIN dk ON dk.page_id = p.id LEFT JOIN di ON di.page_id = p.id WHERE c.user_id = 3)"""
 
+
+
+def _reported() -> str:
+    """The lines of a report, from what each kind of site has to give."""
+    said = {0: "blocked_by_site): The site refused the crawler (for example bot protection or rate limiting).", 1: "site_unreachable): The website did not respond or returned an error.", 2: "site_unreachable): The website did not respond or returned an error.", 3: "no_sitemap): No sitemap was found: none listed in robots.txt works and the usual locations are missing.", 4: "no_blog_found): Sitemaps were found, but none of them lists blog posts.", 8: "too_many_redirects): The website redirects in a loop."}
+    codes = " ".join(f"WHEN {k} THEN '{v}'" for k, v in said.items())
+    return f"""WITH {_DISCOVERED},
+g AS (SELECT k, max(members) AS members, list(printf('%3d  %s', CAST(post AS INTEGER), url) || CASE WHEN allowed THEN '' ELSE '  (forbidden by robots.txt)' END ORDER BY post) AS listed FROM posts GROUP BY k),
+r AS (SELECT hubs.k, CASE WHEN listed IS NULL THEN ['site: https://www.' || h, 'nothing found (' || CASE hubs.k % 10 {codes} END] ELSE list_concat(['site: https://' || CASE WHEN hubs.k % 10 = 6 THEN 'news.' ELSE '' END || h, 'hub: ' || coalesce(hub, 'none linked'), 'sitemaps: ' || replace(members, ' ', ', '), 'pause: ' || CASE WHEN hubs.k % 10 = 5 THEN '3.0 s' ELSE 'none' END, 'posts: ' || len(listed)], listed) END AS lines FROM hubs LEFT JOIN g USING (k))
+SELECT k AS page_id, generate_subscripts(lines, 1) - 1 AS line, unnest(lines) AS text FROM r"""
+
+
+def _crawled() -> str:
+    """Crawls from the keys: what each page gives, where a site is left after three refusals in a row, and the outcomes."""
+    return f"""WITH {_MADE},
+e AS (SELECT page_id AS k, site, title, page_id % 13 <> 0 AS allowed, page_id % 23 = 0 AS late, page_id % 5 = 2 AND page_id // 5 % 10 IN (3, 4, 5) OR page_id % 5 = 3 AND page_id // 5 % 4 = 1 AS refused, page_id % 29 <> 0 AND page_id % 31 <> 0 AS html FROM facts),
+s AS (SELECT *, CASE WHEN late THEN NULL WHEN refused THEN 403 WHEN k % 17 = 0 THEN 404 WHEN k % 19 = 0 THEN 500 ELSE 200 END AS status FROM e),
+o AS (SELECT *, CASE WHEN late THEN 'failed' WHEN status = 403 OR k % 37 = 0 THEN 'blocked' WHEN status >= 400 OR NOT html THEN 'failed' ELSE 'ok' END AS found FROM s),
+a AS (SELECT *, found = 'blocked' AND coalesce(lag(found) OVER w = 'blocked' AND lag(found, 2) OVER w = 'blocked', false) AS third FROM o WHERE allowed WINDOW w AS (PARTITION BY site ORDER BY k)),
+l AS (SELECT site, min(k) AS third FROM a WHERE third GROUP BY site),
+r AS (SELECT o.*, coalesce(k > third, false) AND allowed AS left_out, CASE WHEN NOT allowed THEN 'skipped_robots' WHEN k > third THEN 'blocked' ELSE found END AS fetched FROM o LEFT JOIN l USING (site)),
+n AS (SELECT site, count(*) AS total, count(*) FILTER (WHERE fetched = 'ok') AS analysed FROM r GROUP BY site)
+SELECT 'page' AS kind, k AS page_id, site, fetched AS value, CASE WHEN fetched = 'ok' THEN title END AS more, CASE WHEN allowed THEN CAST(status AS BIGINT) END AS number FROM r
+UNION ALL SELECT 'issue', k, NULL, CASE WHEN left_out THEN 'URL listed in the sitemap could not be fetched: blocked by the site' WHEN late THEN 'URL listed in the sitemap could not be fetched: timeout' WHEN fetched = 'failed' AND status < 400 THEN 'URL listed in the sitemap could not be fetched: Not an HTML page (' || CASE WHEN k % 29 = 0 THEN 'application/pdf' ELSE 'no content type' END || ')' ELSE 'URL listed in the sitemap returns HTTP ' || status END, 'error', NULL FROM r WHERE fetched IN ('failed', 'blocked')
+UNION ALL SELECT 'outcome', NULL, site, CASE WHEN total = analysed THEN 'done' ELSE 'partial' END || CASE WHEN third IS NOT NULL THEN ' blocked_by_site' ELSE '' END, CASE WHEN total <> analysed THEN (total - analysed) || ' of ' || total || ' pages could not be analysed' END, analysed FROM n LEFT JOIN l USING (site)"""
+
+
 MADE_ORACLES = {
     "made_page_facts": f"WITH {_MADE} SELECT page_id, site, title, meta_description, array_to_string(h1s, '|') AS h1s, array_to_string(headings, '|') AS headings, canonical, robots, lang, array_to_string(types, '|') AS jsonld_types, array_to_string(jsonld, '|') AS jsonld_keywords, images AS images_total, array_to_string(missing, '|') AS images_missing_alt, insecure AS insecure_resources, main_text, scripts AS script_count, words AS word_count FROM facts",
     "made_page_issues": f"WITH {_MADE}, counted AS (SELECT *, page_id % 6 AS k0, count(title) OVER (PARTITION BY site, title) AS copies FROM facts) {_FOUND}",
@@ -100,14 +127,15 @@ MADE_ORACLES = {
     "decoded_bodies": f"SELECT k AS p_partkey, {_pick('k', ['n || chr(32) || chr(233) || chr(8364)', 'n || chr(32) || chr(233)', chr(39) + '<meta charset=latin1>' + chr(39) + ' || n || chr(32) || chr(233)', 'n || chr(32) || chr(233) || chr(8364)', 'n', 'n || chr(32) || chr(233)'])} AS body FROM (SELECT CAST(p_partkey AS BIGINT) AS k, p_name AS n FROM part)",
     "text_hashes": f"SELECT p_partkey, list_reduce({_UNITS}, lambda h, u: (xor(h, u) * 16777619) % 4294967296, CAST(2166136261 AS BIGINT)) AS fnv, sha256(x) AS token_id, CAST({_UTF16.format(x='x')} AS BIGINT) AS units FROM (SELECT p_partkey, p_name || '|é😀' || p_partkey AS x FROM part)",
     "discover_site": f"""WITH {_DISCOVERED} SELECT s.k AS page_id, CASE WHEN s.k % 10 IN (0, 1, 2, 8) THEN NULL WHEN s.k % 10 = 6 THEN 'https://news.' || s.h ELSE 'https://' || s.h END AS origin, hub AS hub_url, CAST(round AS BIGINT) AS round, members, CAST(post AS BIGINT) AS post, url, allowed, delay AS crawl_delay, CASE s.k % 10 WHEN 0 THEN 'blocked_by_site' WHEN 1 THEN 'site_unreachable' WHEN 2 THEN 'site_unreachable' WHEN 3 THEN 'no_sitemap' WHEN 4 THEN 'no_blog_found' WHEN 8 THEN 'too_many_redirects' END AS error_code FROM s JOIN hubs USING (k) LEFT JOIN posts USING (k)""",
+    "discovery_report": _reported(),
     "site_hubs": f"WITH {_DISCOVERED} SELECT k AS page_id, hub AS hub_url FROM hubs WHERE k % 10 NOT IN (0, 1, 2, 8)",
-    "inferred_posts": "SELECT site, row_number() OVER (PARTITION BY site ORDER BY k) AS post, url FROM (SELECT CAST(p_partkey AS BIGINT) AS k, 'shop' || p_partkey % 5 || '.example' AS site, 'https://shop' || p_partkey % 5 || '.example/' || CASE p_partkey % 5 WHEN 0 THEN 'news' ELSE 'p' END || '/' || replace(p_name, ' ', '-') || '-' || p_partkey AS url FROM part WHERE p_partkey % 25 < 20 AND p_partkey % 5 < 2) QUALIFY post <= 15",
+    "inferred_posts": "SELECT site, row_number() OVER (PARTITION BY site ORDER BY k) AS post, url FROM (SELECT CAST(p_partkey AS BIGINT) AS k, 'shop' || p_partkey % 5 || '.example' AS site, 'https://shop' || p_partkey % 5 || '.example/' || CASE p_partkey % 5 WHEN 0 THEN 'news' ELSE 'p' END || '/' || replace(p_name, ' ', '-') || '-' || p_partkey AS url FROM part WHERE p_partkey % 5 < 2) QUALIFY post <= 15",
     "local_today": "SELECT c_custkey, CAST(timezone('America/Toronto', t) AS DATE) AS toronto, CAST(timezone('Asia/Tokyo', t) AS DATE) AS tokyo, CAST(timezone('UTC', t) AS DATE) AS utc FROM (SELECT c_custkey, to_timestamp(1704067200 + c_custkey * 3700) AS t FROM customer)",
     "history_spans": "SELECT c_custkey, CASE WHEN n > 0 THEN greatest(365, CAST(ceil(50000 / nullif(n, 0)) AS BIGINT)) ELSE 365 END AS days, CASE WHEN c_custkey % 3 = 0 THEN 1000.0::DOUBLE ELSE least(5000.0::DOUBLE, (c_custkey % 10) / 2 * 1000) END AS pause_ms, greatest(1, CAST(ceil(n / 20) AS BIGINT)) AS last_page FROM (SELECT c_custkey, c_custkey % 400 AS n FROM customer)",
-    "paging_checks": f"SELECT * FROM (VALUES (0, NULL, NULL), (1, NULL, 'page starts at 1, page_size is 1 to 100'), (2, NULL, 'page starts at 1, page_size is 1 to 100'), (3, NULL, 'page starts at 1, page_size is 1 to 100'), (4, 'tea', NULL), (5, NULL, NULL), (6, '{'x' * 200}', NULL), (7, NULL, 'a search has at most 200 characters')) AS t(id, q, error)",
+    "paging_checks": f"WITH r AS (SELECT o_orderkey, {_pick('o_orderkey', ['1', '0', '3', 'NULL', '-2', '1', '7'])} AS page, {_pick('o_orderkey', ['20', '0', '100', '101', 'NULL'])} AS size, {_pick('o_orderkey', ['NULL', chr(39) + 'tea' + chr(39), chr(39) + chr(39), 'repeat(o_orderpriority, 20)', 'repeat(' + chr(39) + 'x' + chr(39) + ', 200)', 'repeat(' + chr(39) + 'é' + chr(39) + ', 201)'])} AS q FROM orders), e AS (SELECT *, CASE WHEN coalesce(page, 1) < 1 OR coalesce(size, 20) < 1 OR size > 100 THEN 'page starts at 1, page_size is 1 to 100' WHEN length(trim(q)) > 200 THEN 'a search has at most 200 characters' END AS error FROM r) SELECT o_orderkey, CASE WHEN error IS NULL THEN nullif(trim(q), '') END AS q, error, CAST(CASE WHEN error IS NULL THEN 200 ELSE 400 END AS BIGINT) AS status FROM e",
     "uuid_ids": "SELECT c_custkey, c_custkey % 6 IN (0, 1) AS valid FROM customer",
-    "health": "SELECT true AS ok",
-    "empty_relations": "SELECT name, CAST(n AS BIGINT) AS n_columns, CAST(0 AS BIGINT) AS n_rows FROM (VALUES ('users', 5), ('sessions', 4), ('clients', 16), ('pages', 15), ('keywords', 2), ('page_keywords', 6), ('seo_issues', 5), ('rank_snapshots', 4)) AS t(name, n)",
+    "health": " UNION ALL ".join(f"SELECT '{t}' AS relation, true AS ok, count(*) AS rows FROM {t}" for t in ("nation", "customer", "orders", "lineitem", "part", "events", "documents", "pages")) + " UNION ALL SELECT 'nowhere', false, NULL",
+    "empty_relations": f"WITH {_TABLES} SELECT * FROM (VALUES ('users', 5), ('sessions', 4), ('clients', 16), ('pages', 15), ('keywords', 2), ('page_keywords', 6), ('seo_issues', 5), ('rank_snapshots', 4)) AS t(name, n_columns) JOIN (SELECT 'users' AS name, count(*) AS n_rows FROM nation UNION ALL SELECT 'sessions', 0 UNION ALL SELECT 'clients', count(*) FROM c UNION ALL SELECT 'pages', count(*) FROM p UNION ALL SELECT 'keywords', count(*) FROM k UNION ALL SELECT 'page_keywords', count(*) FROM pk UNION ALL SELECT 'seo_issues', count(*) FROM i UNION ALL SELECT 'rank_snapshots', count(*) FROM rs) USING (name)".replace("SELECT * FROM (VALUES", "SELECT name, CAST(n_columns AS BIGINT) AS n_columns, n_rows FROM (VALUES"),
     "bulk_rows": "SELECT user_id, event_id, event_type, value FROM events",
     "user_upserts": "SELECT CASE WHEN k % 3 = 0 THEN 'new' || k ELSE CAST(k AS VARCHAR) END AS id, 'user' || k || '@shop.example' AS email, CASE WHEN k % 3 = 1 THEN 'old' ELSE 'fresh' END AS password_hash, CASE WHEN k % 3 = 0 THEN 'America/Toronto' ELSE 'Asia/Tokyo' END AS timezone FROM (SELECT CAST(c_custkey AS BIGINT) AS k FROM customer)",
     "client_inserts": f"SELECT user_id, 'Shop ' || k AS name, {_pick('k', [chr(39) + 'https://www.shop' + chr(39) + ' || k || ' + chr(39) + '.example/' + chr(39), chr(39) + 'http://shop' + chr(39) + ' || k || ' + chr(39) + '.example/' + chr(39), 'NULL', chr(39) + 'https://shop' + chr(39) + ' || k || ' + chr(39) + '.example./x' + chr(39), chr(39) + 'https://shop' + chr(39) + ' || k || ' + chr(39) + '.example/' + chr(39)])} AS website_url, 'shop' || k || '.example' AS site_key FROM (SELECT CAST(c_custkey AS BIGINT) AS k, c_nationkey AS user_id FROM customer) WHERE k % 5 <> 2 AND k % 4 <> 0",
@@ -132,7 +160,8 @@ UNION ALL SELECT DISTINCT 'issue', page_id, NULL, 'noindex', NULL FROM li WHERE
     "page_detail_refused": f"{_DETAILS} SELECT * FROM det WHERE false",
     "chart_series": f"WITH {_TABLES} SELECT page_id, id FROM pk QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY rank_order, id) <= 3",
     "seeded_accounts": "WITH u AS (SELECT CAST(c_custkey AS BIGINT) AS k, CASE WHEN c_custkey % 2 = 0 THEN '' ELSE 'n' END || c_custkey AS id FROM customer) SELECT id, 'user' || k || '@shop.example' AS email, 'fresh' AS password_hash, NULL AS site_key FROM u UNION ALL SELECT id, NULL, NULL, 'shop' || k || '.example' FROM u WHERE k % 6 <> 0",
-    "seeded_ranks": f"WITH {_TABLES}, own AS (SELECT pk.id FROM pk JOIN p ON p.id = page_id JOIN c ON c.id = p.client_id WHERE c.user_id = 3 AND p.id % 50 < 3 AND rank_order = 1), n AS (SELECT greatest(365, CAST(ceil(300 / count(*)) AS BIGINT)) AS days FROM own), held AS (SELECT page_keyword_id, count(DISTINCT CAST(captured_at AS DATE)) AS k FROM rs, n WHERE CAST(captured_at AS DATE) BETWEEN greatest(DATE '1998-01-01', DATE '1998-12-31' - CAST(days - 1 AS INTEGER)) AND DATE '1998-12-31' GROUP BY 1) SELECT own.id AS page_keyword_id, days - coalesce(k, 0) AS days FROM own CROSS JOIN n LEFT JOIN held ON held.page_keyword_id = own.id",
+    "seeded_ranks": f"WITH {_TABLES}, own AS (SELECT pk.id FROM pk JOIN p ON p.id = page_id JOIN c ON c.id = p.client_id WHERE c.user_id = 3), n AS (SELECT greatest(365, CAST(ceil(50000 / count(*)) AS BIGINT)) AS days FROM own), held AS (SELECT page_keyword_id, count(DISTINCT CAST(captured_at AS DATE)) AS k FROM rs, n WHERE CAST(captured_at AS DATE) BETWEEN DATE '1998-12-31' - CAST(days - 1 AS INTEGER) AND DATE '1998-12-31' GROUP BY 1) SELECT own.id AS page_keyword_id, days - coalesce(k, 0) AS days FROM own CROSS JOIN n LEFT JOIN held ON held.page_keyword_id = own.id WHERE days > coalesce(k, 0)",
+    "analysed_crawl": _crawled(),
     "stream_counts": f"WITH {_SNAP} SELECT strftime(date_trunc('day', ts), '%Y-%m-%dT%H:%M:%SZ') AS start, count(*) AS n, count(*) - count(position) AS unranked FROM snaps GROUP BY 1",
-    "chart_ranges": "SELECT CAST(DATE '2026-10-07' - (n - 1) AS DATE) AS first, DATE '2026-10-07' AS last FROM (VALUES (7), (30), (90), (365)) AS t(n)",
+    "chart_ranges": "WITH t AS (SELECT user_id, CAST(max(ts) AS DATE) AS last FROM events GROUP BY user_id) SELECT t.user_id, CAST(n AS BIGINT) AS days, CAST(last - (n - 1) AS DATE) AS first, last, count(*) AS captures FROM t CROSS JOIN (VALUES (7), (30), (90), (365)) AS r(n) JOIN events e ON e.user_id = t.user_id AND CAST(ts AS DATE) BETWEEN last - (n - 1) AND last GROUP BY ALL",
 }

@@ -139,7 +139,7 @@ ORACLES = {
     "page_issue_counts": f"WITH {_ISSUES} SELECT page_id, count(code) AS issue_count, count(*) FILTER (WHERE severity = 'error') AS error_count FROM pages LEFT JOIN found USING (page_id) GROUP BY page_id",
     "issue_histogram": f"WITH {_ISSUES} SELECT code, severity, count(*) AS pages FROM found GROUP BY code, severity",
     "title_duplicates": f"WITH {_FACTS} SELECT page_id, site, title, title_count FROM worded WHERE title_count > 1",
-    "noindex_directives": "SELECT * FROM (VALUES (1, true), (2, false), (3, false), (4, true), (5, false), (6, true), (7, true), (8, false), (9, false)) AS t(id, blocked)",
+    "noindex_directives": "SELECT p_partkey, p_partkey % 50 <> 0 AND (p_partkey % 9 IN (0, 3, 5, 6) OR p_partkey % 4 = 2) AS blocked FROM part",
     "fetch_failures": "SELECT o_orderkey AS page_id, 'http_error' AS code, 'error' AS severity, CASE WHEN o_orderstatus = 'F' THEN 'URL listed in the sitemap returns HTTP 404' ELSE 'URL listed in the sitemap could not be fetched: ' || lower(o_orderpriority) END AS message FROM orders",
     "url_site_key": f"SELECT page_id, {_SITE} AS site FROM pages",
     "url_normalized": f"SELECT page_id, {_NORMAL} AS url FROM pages",
@@ -148,11 +148,11 @@ ORACLES = {
     "slug_text": f"SELECT page_id, {_SLUG} AS slug FROM pages",
     "article_shaped": rf"WITH x AS (SELECT p_partkey, '/' || lower(substr(p_type, 1, 4)) || '/' || replace(lower(p_name), ' ', '-') AS path FROM part) SELECT p_partkey, path, len(regexp_extract_all(list_filter(string_split(path, '/'), lambda s: s <> '')[-1], '[-_]')) >= 2 AND len(list_filter(string_split(path, '/'), lambda s: s <> '')) BETWEEN 1 AND 4 AS shaped, list_has_any(string_split(path, '/'), {_list(ARCHIVE_SEGMENTS)}) AS archive FROM x",
     "url_section_share": f"WITH x AS (SELECT {_SITE} AS site, list_filter(string_split({_PATH}, '/'), lambda s: s <> '') AS s FROM pages), n AS (SELECT site, s[1] AS segment, count(*) AS n FROM x WHERE len(s) >= 2 GROUP BY ALL) SELECT site, segment, n, round(n / sum(n) OVER (PARTITION BY site), 9) AS share FROM n",
-    "website_urls": "SELECT * FROM (VALUES (1, 'https://www.teashop.com/blog', 'https://www.teashop.com', 'teashop.com'), (2, NULL, NULL, NULL), (3, NULL, NULL, NULL), (4, NULL, NULL, NULL), (5, NULL, NULL, NULL), (6, 'https://teashop.com./', 'https://teashop.com.', 'teashop.com'), (7, 'http://a.com/x', 'http://a.com', 'a.com'), (8, 'https://b.org:8443/', 'https://b.org:8443', 'b.org')) AS t(id, url, origin, site_key)",
+    "website_urls": "SELECT s_suppkey, CASE s_suppkey % 8 WHEN 0 THEN 'https://www.teashop' || s_suppkey || '.com/blog' WHEN 5 THEN 'https://teashop' || s_suppkey || '.com./' WHEN 6 THEN 'http://a' || s_suppkey || '.com/x' WHEN 7 THEN 'https://b.org:' || (s_suppkey + 8000) || '/' END AS url, CASE s_suppkey % 8 WHEN 0 THEN 'https://www.teashop' || s_suppkey || '.com' WHEN 5 THEN 'https://teashop' || s_suppkey || '.com.' WHEN 6 THEN 'http://a' || s_suppkey || '.com' WHEN 7 THEN 'https://b.org:' || (s_suppkey + 8000) END AS origin, CASE s_suppkey % 8 WHEN 0 THEN 'teashop' || s_suppkey || '.com' WHEN 5 THEN 'teashop' || s_suppkey || '.com' WHEN 6 THEN 'a' || s_suppkey || '.com' WHEN 7 THEN 'b.org' END AS site_key FROM supplier",
     "ip_public": f"SELECT o_orderkey, (n >> 24) || '.' || ((n >> 16) & 255) || '.' || ((n >> 8) & 255) || '.' || (n & 255) AS ip, NOT ({_BLOCKED}) AS public FROM (SELECT o_orderkey, CAST({_IP_N} AS BIGINT) AS n FROM orders)",
     "doc_phrases": f"SELECT doc_id, term, count(*) AS n FROM (SELECT doc_id, unnest({_phrases('text', True)}) AS term FROM documents) GROUP BY doc_id, term",
     "term_document_frequency": f"SELECT source, term, count(*) AS df FROM (SELECT doc_id, source, unnest(list_distinct({_phrases('text', False)})) AS term FROM documents) GROUP BY source, term",
-    "term_idf": f"WITH t AS (SELECT source, term, count(*) AS df FROM (SELECT source, unnest(list_distinct({_phrases('text', False)})) AS term FROM documents) GROUP BY source, term), n AS (SELECT source, count(*) AS n FROM documents GROUP BY source) SELECT t.source, term, round(ln((n + 1) / (df + 1)) + 1, 9) AS idf FROM t JOIN n ON t.source = n.source WHERE df > 1",
+    "term_idf": f"WITH t AS (SELECT source, term, count(*) AS df FROM (SELECT source, unnest(list_distinct({_phrases('text', False)})) AS term FROM documents) GROUP BY source, term), n AS (SELECT source, count(*) AS n FROM documents GROUP BY source) SELECT t.source, term, round(ln((n + 1) / (df + 1)) + 1, 9) AS idf FROM t JOIN n ON t.source = n.source",
     "keyword_candidates": f"WITH {_CANDIDATES} SELECT site, page_id, term, array_to_string(sources, ',') AS sources, body_count FROM cands",
     "keyword_scores": f"WITH {_SCORES} SELECT site, page_id, term, round(score, 9) AS score, array_to_string(sources, ',') AS sources FROM scores WHERE score >= 2",
     "keyword_picks": f"WITH {_SCORES}, ordered AS (SELECT site, page_id, list(term ORDER BY score DESC, term COLLATE en) AS terms FROM scores WHERE score >= 2 GROUP BY site, page_id), kept AS (SELECT site, page_id, list_reduce(list_transform(terms, lambda t: [t]), lambda a, t: CASE WHEN len(a) >= 8 OR len(list_filter(a, lambda k: contains(' ' || k || ' ', ' ' || t[1] || ' ') OR contains(' ' || t[1] || ' ', ' ' || k || ' '))) > 0 THEN a ELSE list_concat(a, t) END) AS terms FROM ordered), ranked AS (SELECT site, page_id, unnest(terms) AS term, generate_subscripts(terms, 1) AS rank_order FROM kept) SELECT r.site, r.page_id, CAST(rank_order AS BIGINT) AS rank_order, r.term, floor(score * 100 + 0.5) / 100 AS score, array_to_string(sources, ',') AS sources FROM ranked r JOIN scores s ON r.page_id = s.page_id AND r.term = s.term",

@@ -168,42 +168,6 @@ def decode_entities(c: Column) -> Column:
     return c
 
 
-def flat_title(html: Column) -> Column:
-    return non_empty(collapse(decode_entities(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1))))
-
-
-def flat_h1s(html: Column) -> Column:
-    found = F.regexp_extract_all(html, F.lit(r"(?is)<h1[^>]*>(.*?)</h1>"), F.lit(1))
-    return F.filter(F.transform(found, lambda h: collapse(decode_entities(F.regexp_replace(h, r"(?s)<[^>]*>", "")))), lambda h: h != "")
-
-
-def flat_lang(html: Column) -> Column:
-    return non_empty(collapse(F.regexp_extract(html, r"""(?is)<html[^>]*\slang\s*=\s*["']([^"']*)["']""", 1)))
-
-
-def flat_main_text(html: Column) -> Column:
-    """Text of the first article of a page whose markup is flat: noise paired, no nested articles."""
-    noise, block = "|".join(NOISE_TAGS), "|".join(BLOCK_TAGS)
-    x = F.regexp_extract(html, r"(?is)<article[^>]*>(.*?)</article>", 1)
-    x = F.regexp_replace(x, rf"(?is)<({noise})\b.*?</({noise})>", "")
-    x = F.regexp_replace(F.regexp_replace(x, r"(?is)<!--.*?-->", ""), rf"(?i)</?({block})\b[^>]*>", " ")
-    return collapse(decode_entities(F.regexp_replace(x, r"(?s)<[^>]*>", "")))
-
-
-def flat_page_facts(pages: DataFrame) -> DataFrame:
-    """The same columns as page_facts without Python, for pages of flat markup that has neither metadata nor media.
-
-    Where a page has a link, meta description, JSON-LD, image or heading below h1, use page_facts.
-    """
-    html, none = F.coalesce(F.col("html"), F.lit("")), F.array().cast("array<string>")
-    found = pages.select(
-        F.col("page_id").cast("long"), "url", flat_title(html).alias("title"), F.lit(None).cast("string").alias("meta_description"), flat_h1s(html).alias("h1s"), none.alias("headings"),
-        F.lit(None).cast("string").alias("canonical"), F.lit(",").alias("robots"), flat_lang(html).alias("lang"), none.alias("jsonld_types"), none.alias("jsonld_keywords"), F.lit(0).alias("images_total"),
-        none.alias("images_missing_alt"), F.lit(0).alias("insecure_resources"), flat_main_text(html).alias("main_text"), F.regexp_count(html, F.lit(r"(?i)<script[^>]*\ssrc\s*=")).alias("script_count"),
-    )
-    return found.withColumn("word_count", word_count(F.col("main_text")))
-
-
 def anchors(pages: DataFrame) -> DataFrame:
     """(page_id, url, ord, href, text, in_nav) for every link of pages(page_id, url, html), in document order."""
     kind = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("ord", pa.int32()), ("href", pa.string()), ("text", pa.string()), ("in_nav", pa.bool_())])

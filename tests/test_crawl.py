@@ -110,7 +110,10 @@ def test_report(spark, capsys):
     from siltstone import report
 
     assert report.main([]) == 2 and "discovery finds" in capsys.readouterr().out
-    assert report.main(["/root/testdata/sf0.001", "nowhere.example"]) == 0 and "post" in capsys.readouterr().out
+    assert report.main(["/root/testdata/sf0.001", "nowhere.example"]) == 1 and "no such site" in capsys.readouterr().out
+    assert report.main(["/root/testdata/sf0.001", "s5.example"]) == 0
+    said = capsys.readouterr().out.splitlines()
+    assert said[0] == "site: https://s5.example" and "posts: 15" in said and sum("forbidden" in x for x in said) > 3
 
 
 def test_seed_conditions(spark):

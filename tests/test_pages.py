@@ -27,12 +27,6 @@ def test_facts(spark):
     assert (r.title, r.main_text, r.word_count, r.insecure_resources) == (None, "", 0, 0)
 
 
-def test_flat_facts_agree(spark):
-    p = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
-    names = ["page_id", "title", "h1s", "lang", "main_text", "script_count", "word_count"]
-    assert html.page_facts(p).select(names).exceptAll(html.flat_page_facts(p).select(names)).count() == 0
-
-
 def codes(spark, *rows, site="a.com"):
     facts = html.page_facts(pages(spark, *rows)).withColumn("site", F.lit(site))
     out = {}
