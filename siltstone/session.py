@@ -8,7 +8,10 @@ from siltstone.config import load
 
 
 def local_session(cpus: int | str = "*", partitions: int | None = None, memory: str | None = None) -> SparkSession:
-    """A local[cpus] session in UTC with adaptive execution, without the web page; the rest as the settings say."""
+    """A local[cpus] session in UTC with adaptive execution, without the web page; the rest as the settings say.
+
+    Checkpoints are removed when nothing refers to them any more, as a cluster's session should be told to do, too.
+    """
     settings = load()
     return (
         SparkSession.builder.master(f"local[{cpus}]")
@@ -17,6 +20,7 @@ def local_session(cpus: int | str = "*", partitions: int | None = None, memory:
         .config("spark.sql.shuffle.partitions", str(partitions or settings.shuffle_partitions))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
