@@ -205,7 +205,8 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
     """(doc_id, ids array<int>) of every row of docs(doc_id, text), without special tokens of its own.
 
     Null and empty texts have no ids. Special strings within a text are their ids, as the tokenizers library has it.
-    Repeated rows and null ids are encoded like others. An empty table gives no rows. Other columns are not read.
+    Texts may have any length. Repeated rows and null ids are encoded like others. An empty table gives no rows. Other
+    columns are not read.
     """
     path = path or tokenizer_file()
 
@@ -219,7 +220,10 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
 
 
 def decode(coded: DataFrame, path: str | None = None) -> DataFrame:
-    """(doc_id, ids, decoded) of coded(doc_id, ids): the tokens joined by one space, special ones too; null ids: none."""
+    """(doc_id, ids, decoded) of coded(doc_id, ids): the tokens joined by one space, special ones too; null ids: none.
+
+    Lists may have any length. Repeated rows stay repeated, and null doc_ids are kept. An empty table gives no rows.
+    """
     path = path or tokenizer_file()
 
     def run(batches):

@@ -97,7 +97,7 @@ def ranks_file() -> str:
 def token_counts(docs: DataFrame, ranks_path: str | None = None) -> DataFrame:
     """(doc_id, n_words, n_tokens) for every row of docs(doc_id, text).
 
-    Null, empty and wordless texts have 0 of each. Repeated rows and null ids are counted like others. An empty table
+    Null, empty and wordless texts have 0 of each; texts may have any length. Repeated rows and null ids are counted like others. An empty table
     gives no rows. Other columns are not read.
     """
     path = ranks_path or ranks_file()

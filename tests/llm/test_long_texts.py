@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from siltstone.llm import near_copies, packing, quality, simhash, substring_dedup, token_count, toxicity
+from siltstone.llm import divergence, filter_audit, near_copies, packing, quality, simhash, substring_dedup, token_count, toxicity
 
 PERIOD, WORDS = 5000, 1_600_000
 
@@ -52,6 +52,15 @@ def test_simhash(long_docs, long_text):
     assert {r.doc_id: r.component_id for r in near_copies.near_copies(long_docs).collect()} == {1: 1, 2: 1, 3: 3}
 
 
+def test_audits(spark, long_docs):
+    """Long texts in the filter audit and in the divergence of sources, in one piece and in several."""
+    joint = {r.part: r.everything for r in filter_audit.joint_failures(filter_audit.masks(long_docs, spark.createDataFrame([], "doc_id long, quality int, toxic int"))).collect()}["en"]
+    # the long ones repeat words (B), the second is a copy (E), the short one has few words (A)
+    assert joint[0] == 3 and joint[1] == 1 and joint[2] == 2 and joint[16] == 1 and joint[2 | 16] == 1 and joint[4] == joint[8] == joint[1 | 2] == 0
+    rows = divergence.kept_terms(long_docs.select("lang", "source", "text"), 2).collect()
+    assert {(r.term, r.n, r.lang_n, r.new) for r in rows} == {("w", 2 * WORDS, 2 * WORDS, 1)}
+
+
 def test_tokenizers(long_docs, long_text):
     public = pytest.importorskip("public_tokenizers")
     from tokenizers import Tokenizer
