@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from siltstone.functions.lineage import cut
 from siltstone.functions.net import decode_body
+from siltstone.functions.text import crawl_error_text
 from siltstone.operators.issues import fetch_failure_issues, find_issues
 from siltstone.operators.keywords import keyword_picks
 from siltstone.operators.state import consecutive_blocks, crawl_outcome, fetch_outcome
@@ -53,6 +54,26 @@ def analyse_crawl(entries: DataFrame, answers: DataFrame) -> Crawl:
     return Crawl(pages, keyword_picks(facts), issues, outcomes)
 
 
+def crawl_results(discovered: DataFrame, crawl: Crawl) -> DataFrame:
+    """(page_id, crawl_status, error_code, message, pages_total, pages_done) of every site of a whole crawl.
+
+    discovered: the rows of discovery.discover_sites, whose posts were crawled as entries of site = their origin. A site
+    without posts has failed with its code; the others are done or partial, as their pages came out.
+    """
+    sites = discovered.groupBy("page_id").agg(F.first("origin", ignorenulls=True).alias("site"), F.first("error_code", ignorenulls=True).alias("code"))
+    ends = crawl.outcomes.select("site", "status", F.col("error_code").alias("late"), "message", "total", "analysed")
+    failed = F.col("code").isNotNull()
+    none = F.lit(0).cast("long")
+    return sites.join(ends, "site", "left").select(
+        "page_id",
+        F.when(failed, "failed").otherwise(F.col("status")).alias("crawl_status"),
+        F.coalesce("code", "late").alias("error_code"),
+        F.when(failed, crawl_error_text(F.col("code"))).otherwise(F.col("message")).alias("message"),
+        F.coalesce("total", none).alias("pages_total"),
+        F.coalesce("analysed", none).alias("pages_done"),
+    )
+
+
 def rows_from_arrays(arrays: DataFrame, *columns: str) -> DataFrame:
     """The rows that come as equally long arrays, one a column, zipped: the shape of a bulk load. Other columns are repeated."""
     rest = [c for c in arrays.columns if c not in columns]

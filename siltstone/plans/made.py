@@ -256,6 +256,21 @@ def inferred_posts(spark, d):
     return discovery.select_posts(u, sites).select("site", F.col("post").cast("long").alias("post"), "url")
 
 
+@query
+def whole_crawls(spark, d):
+    """From homepages to results: sites discovered, their posts answered, pages analysed, and what each client is told.
+
+    The answer to a post follows from its place: some are missing, some are refused, one kind is no page.
+    """
+    found = cut(discovery.discover_sites(*made_sites(spark, d), "ExampleBot"))
+    posts = found.where("url is not null").select(F.xxhash64("url").alias("page_id"), F.col("origin").alias("site"), "url", F.col("post").cast("int").alias("position"), "allowed")
+    page = F.concat(F.lit("<html lang=en><title>Post "), F.col("position").cast("string"), F.lit(" of a shop that sells tea</title><article><h1>Tea</h1><p>"), F.expr("repeat('green tea is good ', position * 30)"), F.lit("</p></article></html>"))
+    status = F.when(F.col("position") % 7 == 3, 404).when(F.col("position") % 5 == 0, 429).otherwise(200)
+    kind = F.when(F.col("position") == 9, "image/png").otherwise("text/html")
+    answers = posts.where("allowed").select("url", F.col("url").alias("final_url"), status.alias("status"), kind.alias("content_type"), F.lit(None).cast("string").alias("x_robots"), F.lit(None).cast("string").alias("mitigated"), F.encode(page, "UTF-8").alias("body"), F.lit(5).alias("elapsed_ms"), F.lit(None).cast("string").alias("error"))
+    return crawl.crawl_results(found, crawl.analyse_crawl(posts, answers))
+
+
 # --- dates, pages of lists, limits
 
 

@@ -128,6 +128,9 @@ MADE_ORACLES = {
     "text_hashes": f"SELECT p_partkey, list_reduce({_UNITS}, lambda h, u: (xor(h, u) * 16777619) % 4294967296, CAST(2166136261 AS BIGINT)) AS fnv, sha256(x) AS token_id, CAST({_UTF16.format(x='x')} AS BIGINT) AS units FROM (SELECT p_partkey, p_name || '|é😀' || p_partkey AS x FROM part)",
     "discover_site": f"""WITH {_DISCOVERED} SELECT s.k AS page_id, CASE WHEN s.k % 10 IN (0, 1, 2, 8) THEN NULL WHEN s.k % 10 = 6 THEN 'https://news.' || s.h ELSE 'https://' || s.h END AS origin, hub AS hub_url, CAST(round AS BIGINT) AS round, members, CAST(post AS BIGINT) AS post, url, allowed, delay AS crawl_delay, CASE s.k % 10 WHEN 0 THEN 'blocked_by_site' WHEN 1 THEN 'site_unreachable' WHEN 2 THEN 'site_unreachable' WHEN 3 THEN 'no_sitemap' WHEN 4 THEN 'no_blog_found' WHEN 8 THEN 'too_many_redirects' END AS error_code FROM s JOIN hubs USING (k) LEFT JOIN posts USING (k)""",
     "discovery_report": _reported(),
+    "whole_crawls": f"""WITH {_DISCOVERED}, n AS (SELECT k, count(*) AS total, count(*) FILTER (WHERE allowed AND post % 7 <> 3 AND post % 5 <> 0 AND post <> 9) AS analysed FROM posts GROUP BY k),
+c AS (SELECT s.k, CASE s.k % 10 WHEN 0 THEN 'blocked_by_site' WHEN 1 THEN 'site_unreachable' WHEN 2 THEN 'site_unreachable' WHEN 3 THEN 'no_sitemap' WHEN 4 THEN 'no_blog_found' WHEN 8 THEN 'too_many_redirects' END AS code FROM s)
+SELECT k AS page_id, CASE WHEN code IS NOT NULL THEN 'failed' WHEN total = analysed THEN 'done' ELSE 'partial' END AS crawl_status, code AS error_code, CASE WHEN code IS NULL THEN CASE WHEN total <> analysed THEN (total - analysed) || ' of ' || total || ' pages could not be analysed' END ELSE CASE code WHEN 'blocked_by_site' THEN 'The site refused the crawler (for example bot protection or rate limiting).' WHEN 'site_unreachable' THEN 'The website did not respond or returned an error.' WHEN 'no_sitemap' THEN 'No sitemap was found: none listed in robots.txt works and the usual locations are missing.' WHEN 'no_blog_found' THEN 'Sitemaps were found, but none of them lists blog posts.' ELSE 'The website redirects in a loop.' END END AS message, coalesce(total, 0) AS pages_total, coalesce(analysed, 0) AS pages_done FROM c LEFT JOIN n USING (k)""",
     "site_hubs": f"WITH {_DISCOVERED} SELECT k AS page_id, hub AS hub_url FROM hubs WHERE k % 10 NOT IN (0, 1, 2, 8)",
     "inferred_posts": "SELECT site, row_number() OVER (PARTITION BY site ORDER BY k) AS post, url FROM (SELECT CAST(p_partkey AS BIGINT) AS k, 'shop' || p_partkey % 5 || '.example' AS site, 'https://shop' || p_partkey % 5 || '.example/' || CASE p_partkey % 5 WHEN 0 THEN 'news' ELSE 'p' END || '/' || replace(p_name, ' ', '-') || '-' || p_partkey AS url FROM part WHERE p_partkey % 5 < 2) QUALIFY post <= 15",
     "local_today": "SELECT c_custkey, CAST(timezone('America/Toronto', t) AS DATE) AS toronto, CAST(timezone('Asia/Tokyo', t) AS DATE) AS tokyo, CAST(timezone('UTC', t) AS DATE) AS utc FROM (SELECT c_custkey, to_timestamp(1704067200 + c_custkey * 3700) AS t FROM customer)",
