@@ -110,10 +110,14 @@ def test_report(spark, capsys):
     from siltstone import report
 
     assert report.main([]) == 2 and "discovery finds" in capsys.readouterr().out
-    assert report.main(["/root/testdata/sf0.001", "nowhere.example"]) == 1 and "no such site" in capsys.readouterr().out
-    assert report.main(["/root/testdata/sf0.001", "s5.example"]) == 0
-    said = capsys.readouterr().out.splitlines()
-    assert said[0] == "site: https://s5.example" and "posts: 15" in said and sum("forbidden" in x for x in said) > 3
+    kind = "page_id long, entered_url string, origin string, hub_url string, round int, members array<string>, post int, url string, allowed boolean, crawl_delay double, error_code string"
+    maps = [f"https://a.example/{i}.xml" for i in range(5)]
+    rows = [(1, "https://www.a.example/", "https://a.example", None, 1, maps, 2, "https://a.example/y", False, 2.5, None), (1, "https://www.a.example/", "https://a.example", None, 1, maps, 1, "https://a.example/x", True, 2.5, None), (2, "https://b.example/", None, None, None, None, None, None, None, None, "timeout")]
+    said = {}
+    for r in report.lines(spark.createDataFrame(rows, kind)).orderBy("page_id", "line").collect():
+        said.setdefault(r.page_id, []).append(r.text)
+    assert said[1] == ["site: https://a.example", "hub: none linked", f"sitemaps: {', '.join(maps[:3])} and 2 more", "pause: 2.5 s", "posts: 2", "  1  https://a.example/x", "  2  https://a.example/y  (forbidden by robots.txt)"]
+    assert said[2] == ["site: https://b.example/", "nothing found (timeout): The website took too long to respond."]
 
 
 def test_seed_conditions(spark):

