@@ -15,7 +15,6 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
-from itertools import islice
 from math import isqrt
 
 import numpy as np

@@ -20,7 +20,6 @@ import uuid
 import zlib
 
 import numpy as np
-import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
