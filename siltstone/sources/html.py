@@ -1,4 +1,4 @@
-"""HTML as a source: facts of pages, by a lenient parser or, for flat pages, by expressions alone; and their anchors."""
+"""HTML as a source: facts of pages, by a lenient parser, and their anchors."""
 
 from __future__ import annotations
 
@@ -7,11 +7,11 @@ import re
 from html.parser import HTMLParser
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.functions.constants import BLOCK_TAGS, NOISE_TAGS
-from siltstone.functions.text import collapse, non_empty, word_count
+from siltstone.functions.text import word_count
 
 _VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 #: What an opening tag closes if it is still open.
@@ -161,13 +161,6 @@ def page_facts(pages: DataFrame) -> DataFrame:
     return found.withColumn("word_count", word_count(F.col("main_text")))
 
 
-def decode_entities(c: Column) -> Column:
-    """The entities of plain Western text; the ampersand last, which may lack its semicolon."""
-    for name, value in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&"), ("&amp", "&")):
-        c = F.replace(c, F.lit(name), F.lit(value))
-    return c
-
-
 def anchors(pages: DataFrame) -> DataFrame:
     """(page_id, url, ord, href, text, in_nav) for every link of pages(page_id, url, html), in document order."""
     kind = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("ord", pa.int32()), ("href", pa.string()), ("text", pa.string()), ("in_nav", pa.bool_())])

@@ -7,7 +7,7 @@ the rows come in batches. They need the RocksDB state store (STATE_STORE).
 from __future__ import annotations
 
 from collections.abc import Iterator
-from datetime import datetime, timedelta, timezone
+from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
