@@ -197,11 +197,14 @@ def test_layout_gives_the_list(spark, tables, tmp_path):
 
 
 def test_layout_moves_no_pairs(spark, tables, tmp_path):
-    """The plan of a list reads the buckets of its pages and shuffles no pair."""
+    """The plan of a list looks the rows of its pages up by id, shuffles nothing, and sorts within one partition."""
     layout.write_layout(tables, "planned", str(tmp_path))
     try:
         plan = layout.list_pages(spark, "planned", 3, "UTC")._jdf.queryExecution().executedPlan().toString()
-        assert "Exchange hashpartitioning" not in plan and "SelectedBucketsCount" in plan
+        assert "hashpartitioning" not in plan and "rangepartitioning" not in plan, plan
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "Filter (page_id" in plan
+        pairs = spark.table("planned_pairs").withColumn("f", F.input_file_name())
+        assert pairs.select("f").distinct().count() == layout.BUCKETS and pairs.count() == tables.page_keywords.select("page_id").distinct().count()
     finally:
         layout.drop_layout(spark, "planned")
 
