@@ -128,8 +128,9 @@ def url_containment(spark, d):
 @query
 def ip_addresses(spark, d):
     """IPv6 addresses, IPv4 ones within them, and texts that are none."""
-    ip = _pick("k", ["'::1'", "'fe80::' || lower(hex(k))", "'2001:db8::' || lower(hex(k))", "'2606:4700::' || lower(hex(k))", "'::ffff:10.0.0.' || k % 250", "'::FFFF:8.8.8.' || k % 250", "'fc00::1'", "'not:an:address'", "'1.2.3'", "'172.' || (16 + k % 20) || '.0.1'"])
-    o = A.table(spark, d, "orders").selectExpr("o_orderkey AS k").selectExpr("k AS o_orderkey", f"{ip} AS ip")
+    low = "concat_ws(':', transform(sequence(48, 0, -16), i -> lower(hex(shiftrightunsigned(k, i) & 65535))))"  # a group has 16 bits
+    ip = _pick("k", ["'::1'", f"'fe80::' || {low}", f"'2001:db8::' || {low}", f"'2606:4700::' || {low}", "'::ffff:10.0.0.' || k % 250", "'::FFFF:8.8.8.' || k % 250", "'fc00::1'", "'not:an:address'", "'1.2.3'", "'172.' || (16 + k % 20) || '.0.1'"])
+    o = A.table(spark, d, "orders").selectExpr("CAST(o_orderkey AS BIGINT) AS k").selectExpr("k AS o_orderkey", f"{ip} AS ip")
     return o.select("o_orderkey", net.is_public_address(F.col("ip")).alias("public"))
 
 
