@@ -71,12 +71,12 @@ def name_score(url: Column, hub_path: Column) -> Column:
     return F.when(under, 40).otherwise(0) + F.when(has_positive(tokens), 15).otherwise(0) - F.when(has_negative(tokens), 30).otherwise(0) - F.when(has_locale(p), 10).otherwise(0)
 
 
-def family_scores(sitemaps: DataFrame, documents: DataFrame, hubs: DataFrame) -> DataFrame:
+def family_scores(sitemaps: DataFrame, documents: DataFrame, hubs: DataFrame, sample: int | None = SAMPLE_SIZE) -> DataFrame:
     """(site, family, members, first_url, prior, n, evidence, score) of the families of each site, best by name first.
 
     sitemaps(site, sitemap_url, ord), documents as above, hubs(site, hub_url or null). A family's sample is that of its
     first member, and of further ones while a known hub shows too few URLs. Without evidence of a blog a family has no
-    score.
+    score. Of a sitemap the first sample locations count, as many as a walk fetches; with None all of them.
     """
     hubs = hubs.select("site", path(F.col("hub_url")).alias("hub_path")).withColumn("hub_path", F.when(F.col("hub_path") != "", F.col("hub_path")))
     fam = sitemaps.groupBy("site", family_key(F.col("sitemap_url")).alias("family")).agg(F.array_sort(F.collect_list(F.struct("ord", "sitemap_url"))).alias("m"))
@@ -84,7 +84,9 @@ def family_scores(sitemaps: DataFrame, documents: DataFrame, hubs: DataFrame) ->
     fam = fam.withColumn("first_url", F.element_at("members", 1)).withColumn("prior", name_score(F.col("first_url"), F.col("hub_path")))
     best = Window.partitionBy("site").orderBy(F.desc("prior"), "ord")
     fam = fam.withColumn("place", F.row_number().over(best)).where(F.col("place") <= FAMILIES_SAMPLED)
-    urls = documents.where(F.col("ord") < SAMPLE_SIZE).select("sitemap_url", "ord", path(F.col("loc")).alias("p"), site_key(host(F.col("loc"))).alias("key"), "kind")
+    if sample is not None:
+        documents = documents.where(F.col("ord") < sample)
+    urls = documents.select("sitemap_url", "ord", path(F.col("loc")).alias("p"), site_key(host(F.col("loc"))).alias("key"), "kind")
     parts = fam.select("site", "family", "hub_path", F.posexplode(F.slice("members", 1, MAX_PARTS)).alias("part", "sitemap_url"))
     read = parts.join(urls.withColumnRenamed("ord", "at"), "sitemap_url").where((F.col("key") == F.col("site")) & ((F.col("part") == 0) | (F.col("kind") == "urlset")))
     hub_known = F.coalesce(F.col("hub_path") != "/", F.lit(False))

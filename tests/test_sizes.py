@@ -24,3 +24,9 @@ def against_twin(spark, folder, name, **tables):
 def test_addresses_of_large_keys(spark, tmp_path, start):
     """A key beyond 16 bits takes several groups of an address; in one it made a text that is no address."""
     against_twin(spark, tmp_path, "ip_addresses", orders=f"SELECT CAST({start} + i AS BIGINT) AS o_orderkey FROM range(40) x(i)")
+
+
+def test_families_of_large_sitemaps(spark, tmp_path):
+    """All URLs of a sitemap count, those beyond the first 500 too."""
+    pages = "SELECT CAST(i AS BIGINT) AS page_id, 'https://www.large.example/' || CASE WHEN i < 1500 THEN 'x' ELSE 'a-b-c-' || i END AS url, '' AS html FROM range(4500) x(i)"
+    against_twin(spark, tmp_path, "sitemap_family_score", pages=pages)
