@@ -78,10 +78,11 @@ def should_retry(status: Column, error: Column, attempt: Column) -> Column:
 def follow_redirects(urls: DataFrame, redirects: DataFrame, most: int = MAX_REDIRECTS) -> DataFrame:
     """(url, final_url, hops, error) of urls(url) over redirects(src, dst): hop by hop, each target checked.
 
-    error: that of a forbidden target, or too_many_redirects beyond the limit.
+    error: that of a forbidden target, or too_many_redirects beyond the limit. Redirects are joined by shuffle, whatever
+    their estimated size: rows made from small columns look small, and a broadcast would pass through the driver.
     """
     at = urls.select("url", F.col("url").alias("final_url"), F.lit(0).alias("hops"), target_error(F.col("url")).alias("error"))
-    checked = cut(redirects.select(F.col("src").alias("final_url"), "dst", target_error(F.col("dst")).alias("dst_error")))  # each target once
+    checked = cut(redirects.select(F.col("src").alias("final_url"), "dst", target_error(F.col("dst")).alias("dst_error"))).hint("merge")  # each target once
     for hop in range(most + 1):
         moved = at.join(checked, "final_url", "left").withColumn("go", F.col("dst").isNotNull() & F.col("error").isNull())
         if hop == most:

@@ -5,6 +5,7 @@ from collections import Counter
 import duckdb
 import pytest
 
+from siltstone.functions import net
 from siltstone.plans import catalog
 
 
@@ -30,3 +31,11 @@ def test_families_of_large_sitemaps(spark, tmp_path):
     """All URLs of a sitemap count, those beyond the first 500 too."""
     pages = "SELECT CAST(i AS BIGINT) AS page_id, 'https://www.large.example/' || CASE WHEN i < 1500 THEN 'x' ELSE 'a-b-c-' || i END AS url, '' AS html FROM range(4500) x(i)"
     against_twin(spark, tmp_path, "sitemap_family_score", pages=pages)
+
+
+def test_redirects_are_not_broadcast(spark):
+    """Redirects made from a narrow column are estimated far too small; none of them goes through the driver."""
+    links = spark.range(1000).selectExpr("concat('https://a.example/', id) AS src", "concat('https://a.example/', id + 1) AS dst")
+    found = net.follow_redirects(links.selectExpr("src AS url"), links)
+    assert {(r.hops, r.error) for r in found.where("url = 'https://a.example/0' OR url = 'https://a.example/998'").collect()} == {(5, "too_many_redirects"), (2, None)}
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
