@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import gzip
+import ipaddress
 import time
+from collections.abc import Iterable, Iterator
+from functools import cache
 from http.client import HTTPException
 from socket import timeout as SocketTimeout
 from urllib.error import HTTPError, URLError
@@ -14,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.functions.constants import BASE_DELAY_MS, DEFAULT_DELAY_MS, MAX_ATTEMPTS, MAX_REDIRECTS, MAX_RETRY_AFTER_MS, RETRY_STATUSES, SAMPLE_SIZE
+from siltstone.functions.constants import BASE_DELAY_MS, BLOCKED_IPV4, BLOCKED_IPV6, DEFAULT_DELAY_MS, MAX_ATTEMPTS, MAX_REDIRECTS, MAX_RETRY_AFTER_MS, RETRY_STATUSES, SAMPLE_SIZE
 from siltstone.functions.urls import host
 from siltstone.sources.sitemap import SitemapReader
 
@@ -24,6 +27,11 @@ KIND = pa.schema([("url", pa.string()), ("final_url", pa.string()), ("status", p
 DDL = "url string, final_url string, status int, content_type string, x_robots string, mitigated string, body binary, elapsed_ms int, error string"
 
 
+#: What a task holds back of its answers: so many rows, bytes of bodies and seconds, at most.
+BATCH_ROWS, BATCH_BYTES, BATCH_S = 1_000, 4_000_000, 1.0
+_BLOCKED = [ipaddress.ip_network(f"{a}/{p}") for a, p in BLOCKED_IPV4 + BLOCKED_IPV6]
+
+
 class FetchError(Exception):
     """A failure with one of the crawl's codes."""
 
@@ -33,12 +41,14 @@ class _Stay(HTTPRedirectHandler):
         return None
 
 
-def check_target(url: str, allow_private: bool) -> None:
-    """Raises for URLs that aren't http(s), carry credentials, or lead to other ports or addresses that aren't public."""
-    import ipaddress
+@cache
+def _opener():
+    """One opener a process: each new one reads the certificates of the system again."""
+    return build_opener(_Stay)
 
-    from siltstone.functions.constants import BLOCKED_IPV4, BLOCKED_IPV6
 
+def check_target(url: str, allow_private: bool) -> None:
+    """Raises for URLs that aren't http(s), carry credentials, or lead to other ports or addresses that aren't public."""
     try:
         parts = urlsplit(url)
         port = parts.port
@@ -56,10 +66,9 @@ def check_target(url: str, allow_private: bool) -> None:
         found = {ipaddress.ip_address(x[4][0].split("%")[0]) for x in socket.getaddrinfo(parts.hostname, port or 80, proto=socket.IPPROTO_TCP)}
     except OSError as error:
         raise FetchError("site_unreachable") from error
-    nets = [ipaddress.ip_network(f"{a}/{p}") for a, p in BLOCKED_IPV4 + BLOCKED_IPV6]
     for address in found:
         address = getattr(address, "ipv4_mapped", None) or address
-        if any(address in net for net in nets):
+        if any(address in net for net in _BLOCKED):
             raise FetchError("blocked_host")
 
 
@@ -83,11 +92,11 @@ def _read(answer, packed: bool, limit: int, until: float, take) -> bytes:
 
 
 def _open(url: str, accept: str, limit: int, timeout: float, allow_private: bool, take=None) -> dict:
-    opener, until = build_opener(_Stay), time.monotonic() + timeout
+    until = time.monotonic() + timeout
     for _ in range(MAX_REDIRECTS + 1):
         check_target(url, allow_private)
         try:
-            answer = opener.open(Request(url, headers={"Accept": accept, "User-Agent": "siltstone"}), timeout=timeout)
+            answer = _opener().open(Request(url, headers={"Accept": accept, "User-Agent": "siltstone"}), timeout=timeout)
         except HTTPError as error:
             answer = error
         except (TimeoutError, SocketTimeout) as error:
@@ -165,13 +174,26 @@ def fetch_sitemaps(urls: DataFrame, most: int = SAMPLE_SIZE, allow_private: bool
     return dealt.mapInArrow(run, "site string, sitemap_url string, kind string, ord int, loc string")
 
 
+def answer_batches(rows: Iterable[dict]) -> Iterator[pa.RecordBatch]:
+    """Answers in batches of KIND, bounded in rows, bytes and seconds: a batch a row costs more than a target refused."""
+    held, size, since = [], 0, time.monotonic()
+    for row in rows:
+        held.append({k: row.get(k) for k in KIND.names})
+        size += len(row.get("body") or b"")
+        if len(held) >= BATCH_ROWS or size >= BATCH_BYTES or time.monotonic() - since >= BATCH_S:
+            yield pa.RecordBatch.from_pylist(held, schema=KIND)
+            held, size, since = [], 0, time.monotonic()
+    if held:
+        yield pa.RecordBatch.from_pylist(held, schema=KIND)
+
+
 def fetch_pages(urls: DataFrame, partitions: int | None = None, delay_ms: float = DEFAULT_DELAY_MS, limit: int = HTML_BYTES, timeout: float = TIMEOUT_S, allow_private: bool = False, base_delay_ms: float = BASE_DELAY_MS) -> DataFrame:
     """The answer for each of urls(url): one row a URL, an error code where there is none.
 
     URLs of a host are asked by one task, one after another with a pause between; hosts go on side by side.
     """
 
-    def run(batches):
+    def answers(batches):
         last: dict[str, float] = {}
         for batch in batches:
             for url in batch.column(0).to_pylist():
@@ -181,7 +203,10 @@ def fetch_pages(urls: DataFrame, partitions: int | None = None, delay_ms: float
                     time.sleep(wait)
                 row = fetch(url or "", limit=limit, timeout=timeout, allow_private=allow_private, base_delay_ms=base_delay_ms)
                 last[name] = time.monotonic()
-                yield pa.RecordBatch.from_pylist([{k: row.get(k) for k in KIND.names}], schema=KIND)
+                yield row
+
+    def run(batches):
+        return answer_batches(answers(batches))
 
     key = F.coalesce(host(F.col("url")), F.lit(""))
     dealt = urls.select("url").repartition(partitions, key) if partitions else urls.select("url").repartition(key)

@@ -7,6 +7,7 @@ import pytest
 
 from siltstone.functions import net
 from siltstone.plans import catalog
+from siltstone.sources import http
 
 
 def against_twin(spark, folder, name, **tables):
@@ -39,3 +40,12 @@ def test_redirects_are_not_broadcast(spark):
     found = net.follow_redirects(links.selectExpr("src AS url"), links)
     assert {(r.hops, r.error) for r in found.where("url = 'https://a.example/0' OR url = 'https://a.example/998'").collect()} == {(5, "too_many_redirects"), (2, None)}
     assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_refusals_are_cheap():
+    """A target that is never asked needs no opener, and answers go out in batches, not a batch each."""
+    http._opener.cache_clear()
+    rows = [http.fetch(f"http://10.0.0.{k % 250}/{k}") for k in range(2500)]
+    assert http._opener.cache_info().currsize == 0 and {r["error"] for r in rows} == {"blocked_host"}
+    assert [b.num_rows for b in http.answer_batches(rows)] == [1000, 1000, 500]
+    assert len(list(http.answer_batches([{"url": "u", "body": b"x" * 3_000_000}] * 4))) == 2
