@@ -28,7 +28,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from siltstone.functions.constants import BASE_DELAY_MS, DEFAULT_DELAY_MS, SAMPLE_SIZE
 from siltstone.functions.urls import host
-from siltstone.sources.http import DDL, HTML_BYTES, KIND, TIMEOUT_S, fetch, sitemap_rows
+from siltstone.sources.http import DDL, HTML_BYTES, TIMEOUT_S, answer_batches, fetch, sitemap_rows
 
 SITEMAP_DDL = "site string, sitemap_url string, kind string, ord int, loc string"
 _SITEMAP_KIND = pa.schema([("site", pa.string()), ("sitemap_url", pa.string()), ("kind", pa.string()), ("ord", pa.int32()), ("loc", pa.string())])
@@ -66,8 +66,8 @@ def _store(path: str):
 
 
 class HttpReader(DataSourceReader):
-    def __init__(self, options: dict, answer):
-        self.options, self.answer = {k.lower(): v for k, v in options.items()}, answer
+    def __init__(self, options: dict, answer, batches):
+        self.options, self.answer, self.batches = {k.lower(): v for k, v in options.items()}, answer, batches
         if ("list" in self.options) == ("urls" in self.options):
             raise ValueError("one of the options list and urls is needed")
 
@@ -107,15 +107,19 @@ class HttpReader(DataSourceReader):
         for name, kind in (("limit", int), ("timeout", float), ("most", int)):
             if name in self.options:
                 settings[name] = kind(self.options[name])
-        for site, url in self._rows(partition):
-            name = _host(url)
-            wait = last.get(name, -pause) + pause - time.monotonic()
-            if wait > 0:
-                time.sleep(wait)
-            found = self.answer(site, url, settings)
-            last[name] = time.monotonic()
-            if found is not None:
-                yield found
+
+        def answers():
+            for site, url in self._rows(partition):
+                name = _host(url)
+                wait = last.get(name, -pause) + pause - time.monotonic()
+                if wait > 0:
+                    time.sleep(wait)
+                found = self.answer(site, url, settings)
+                last[name] = time.monotonic()
+                if found is not None:
+                    yield found
+
+        yield from self.batches(answers())
 
 
 def _host(url: str) -> str:
@@ -125,9 +129,8 @@ def _host(url: str) -> str:
         return ""
 
 
-def page_answer(site: str | None, url: str, settings: dict) -> pa.RecordBatch:
-    row = fetch(url, **({"limit": HTML_BYTES, "timeout": TIMEOUT_S} | {k: v for k, v in settings.items() if k != "most"}))
-    return pa.RecordBatch.from_pylist([{k: row.get(k) for k in KIND.names}], schema=KIND)
+def page_answer(site: str | None, url: str, settings: dict) -> dict:
+    return fetch(url, **({"limit": HTML_BYTES, "timeout": TIMEOUT_S} | {k: v for k, v in settings.items() if k != "most"}))
 
 
 def sitemap_answer(site: str | None, url: str, settings: dict) -> pa.RecordBatch | None:
@@ -146,7 +149,7 @@ class HttpPages(DataSource):
         return DDL
 
     def reader(self, schema) -> DataSourceReader:
-        return HttpReader(dict(self.options), page_answer)
+        return HttpReader(dict(self.options), page_answer, answer_batches)
 
 
 class HttpSitemaps(DataSource):
@@ -160,7 +163,7 @@ class HttpSitemaps(DataSource):
         return SITEMAP_DDL
 
     def reader(self, schema) -> DataSourceReader:
-        return HttpReader(dict(self.options), sitemap_answer)
+        return HttpReader(dict(self.options), sitemap_answer, iter)
 
 
 def register(spark: SparkSession) -> None:
