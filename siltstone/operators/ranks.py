@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from datetime import date, timedelta
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from siltstone.functions.constants import CAPTURE_TIME, DEFAULT_SERIES, NOT_RANKING, PRESET_RANGE_DAYS, UPDATE_DAY
 from siltstone.functions.dates import checked_range, local_day, local_start
-from siltstone.functions.text import draw, fnv1a, let
+from siltstone.functions.text import draw, fnv1a
 
 #: Beyond every position.
 NO_POSITION = 1000
@@ -64,10 +68,16 @@ def history_pivot(history: DataFrame, column: str, values: list, key: tuple[str,
     return history.groupBy("date", *key).pivot(column, values).agg(last).orderBy("date", *key)
 
 
+def _unheld(pairs: DataFrame, existing: DataFrame, key: list[str], rows: Column, day: Callable[[Column], Column]) -> DataFrame:
+    """pairs with _rows: of the array rows those whose day has no snapshot yet. A pair's days meet as one row, not as a row each."""
+    held = existing.groupBy(*key).agg(F.collect_set("snapshot_date").alias("_held"))
+    kept = F.filter(rows, lambda r: ~F.array_contains(F.coalesce("_held", F.array().cast("array<date>")), day(r)))
+    return pairs.join(held, key, "left").withColumn("_rows", kept).drop("_held")
+
+
 def missing_days(pairs: DataFrame, existing: DataFrame, key: list[str], days: Column) -> DataFrame:
     """(key, snapshot_date) of pairs and days that have no snapshot yet."""
-    spine = pairs.select(*key, F.explode(days).alias("snapshot_date"))
-    return spine.join(existing.select(*key, "snapshot_date").distinct(), [*key, "snapshot_date"], "left_anti")
+    return _unheld(pairs.select(*key), existing, key, days, lambda d: d).select(*key, F.explode("_rows").alias("snapshot_date"))
 
 
 def first_of_day(snapshots: DataFrame, key: list[str]) -> DataFrame:
@@ -84,43 +94,79 @@ def with_draws(days: Column) -> Column:
     return F.aggregate(flagged, start, step, lambda a: a["out"])
 
 
+#: Numbers of a walk that are worked on at a time.
+WALK_BLOCK = 4096
+
+
+def _draws(seed: np.ndarray, k: int) -> np.ndarray:
+    """functions.text.draw of unsigned 64-bit seeds: products of 32-bit numbers fit."""
+    low = np.uint64(0xFFFFFFFF)
+    s = (seed + np.uint64(k * 0x6D2B79F5 & 0xFFFFFFFF)) & low
+    t = ((s ^ (s >> np.uint64(15))) * (s | np.uint64(1))) & low
+    u = ((t + (((t ^ (t >> np.uint64(7))) * (t | np.uint64(61))) & low)) & low) ^ t
+    return (u ^ (u >> np.uint64(14))) / 4294967296.0
+
+
+def _walks(seed: np.ndarray, base: np.ndarray, days: list[tuple[int, int]]) -> np.ndarray:
+    """The position of each seed (row) on each of days(update, before), -1 for none; all seeds go a day at a time."""
+    out = np.empty((len(seed), len(days)), np.int32)
+    way = np.where(_draws(seed, 2) < 0.5, -1.0, 1.0)
+    at = base + (_draws(seed, 3) - 0.5) * 10
+    for i, (update, before) in enumerate(days):
+        k = 3 + i * 4 + before
+        walk = _draws(seed, k + 1) + _draws(seed, k + 2) + _draws(seed, k + 3)
+        jump = _draws(seed, k + 4)
+        at = at + (0.15 * (base - at) + (walk - 1.5) * 2)
+        at = np.minimum(100.0, np.maximum(1.0, at + (way * (5 + jump * 10) if update else 0.0)))
+        shown = _draws(seed, k + 5) if update else jump
+        out[:, i] = np.where(shown >= NOT_RANKING, np.floor(at + 0.5), -1)
+    return out
+
+
+def _positions(days: list[tuple[int, int]]):
+    """(seed, base) to an array of positions, one a day; null where there is none, or no seed."""
+
+    @F.arrow_udf(T.ArrayType(T.IntegerType()))
+    def positions(seed: pa.Array, base: pa.Array) -> pa.Array:
+        parts = []
+        for a in range(0, len(seed), WALK_BLOCK):
+            own = seed.slice(a, WALK_BLOCK)
+            found = _walks(own.fill_null(0).to_numpy(zero_copy_only=False).astype(np.uint64), base.slice(a, WALK_BLOCK).to_numpy(zero_copy_only=False), days)
+            found[own.is_null().to_numpy(zero_copy_only=False)] = -1
+            flat = found.ravel()
+            parts.append(pa.array(flat, mask=flat < 0))
+        size = np.arange(len(seed) + 1, dtype=np.int32) * np.int32(len(days))
+        return pa.ListArray.from_arrays(pa.array(size), pa.concat_arrays(parts or [pa.array([], pa.int32())]))
+
+    return positions
+
+
+def _series(pairs: DataFrame, seed_key: Column, rank_order: Column, days: Column) -> DataFrame:
+    """pairs with _points array<struct<snapshot_date, captured_at, position>> of all days."""
+    captured = F.transform(days, lambda d: F.to_timestamp(F.concat(d.cast("string"), F.lit(f" {CAPTURE_TIME}"))))
+    one = pairs.sparkSession.range(1)
+    known = one.select(with_draws(days)).first()[0]  # the days alone
+    # The numbers of the walk, here and in _walks.
+    rows = pairs.withColumn("_seed", fnv1a(seed_key)).withColumn("_base", F.least(F.lit(90.0), F.lit(2) + rank_order * 6 + draw(F.col("_seed"), F.lit(1)) * 15))
+    rows = rows.withColumn("_position", _positions([(d["update"], d["before"]) for d in known])(F.col("_seed"), F.col("_base")))
+    rows = rows.join(F.broadcast(one.select(days.alias("_date"), captured.alias("_captured"))), F.lit(True))
+    points = F.transform(F.arrays_zip("_date", "_captured", "_position"), lambda x: F.struct(x["_date"].alias("snapshot_date"), x["_captured"].alias("captured_at"), x["_position"].alias("position")))
+    return rows.select(*pairs.columns, points.alias("_points"))
+
+
 def generate_series(pairs: DataFrame, seed_key: Column, rank_order: Column, days: Column) -> DataFrame:
     """pairs with (snapshot_date, captured_at, position): an invented history that depends on the key and days alone.
 
     A walk that returns to a base, jumps on shared update days, is held to 1..100, and has no position on some days. The
-    k-th draw of a seed is a closed form, so all draws of a day are expressions; only the clamped walk is a fold.
+    k-th draw of a seed is a closed form, so a batch of pairs goes a day at a time; only the clamped walk is a fold.
     """
-    dated = pairs.sparkSession.range(1).select(with_draws(days).alias("_days"))  # one row: the days
-    # The numbers of the walk, here and below.
-    rows = pairs.withColumn("_seed", fnv1a(seed_key)).withColumn("_base", F.least(F.lit(90.0), F.lit(2) + rank_order * 6 + draw(F.col("_seed"), F.lit(1)) * 15))
-    rows = rows.join(F.broadcast(dated), F.lit(True))
-    seed, base = F.col("_seed"), F.col("_base")
-    direction = F.when(draw(seed, F.lit(2)) < 0.5, -1.0).otherwise(1.0)
-    begin = base + (draw(seed, F.lit(3)) - 0.5) * 10
-
-    def drawn(d: Column, i: Column) -> Column:
-        k = F.lit(3) + i * 4 + d["before"]
-        walk = draw(seed, k + 1) + draw(seed, k + 2) + draw(seed, k + 3)
-        return F.struct(d["date"].alias("date"), d["update"].alias("update"), walk.alias("walk"), draw(seed, k + 4).alias("jump"), draw(seed, k + 4 + d["update"]).alias("shown"))
-
-    none = F.array().cast("array<struct<snapshot_date:date,position:int>>")
-
-    def step(a: Column, d: Column) -> Column:
-        moved = a["p"] + (F.lit(0.15) * (base - a["p"]) + (d["walk"] - 1.5) * 2)
-        moved = moved + F.when(d["update"] == 1, F.col("_direction") * (F.lit(5) + d["jump"] * 10)).otherwise(0.0)
-        point = lambda held: F.struct(d["date"].alias("snapshot_date"), F.when(d["shown"] >= NOT_RANKING, F.floor(held + 0.5).cast("int")).alias("position"))
-        return let(F.least(F.lit(100.0), F.greatest(F.lit(1.0), moved)), lambda held: F.struct(held.alias("p"), F.array_append(a["out"], point(held)).alias("out")))
-
-    rows = rows.withColumn("_direction", direction).withColumn("_draws", F.transform("_days", drawn))
-    points = F.aggregate("_draws", F.struct(begin.alias("p"), none.alias("out")), step, lambda a: a["out"])
-    found = rows.select(*pairs.columns, F.inline(points))
-    return found.select(*pairs.columns, "snapshot_date", F.to_timestamp(F.concat(F.col("snapshot_date").cast("string"), F.lit(f" {CAPTURE_TIME}"))).alias("captured_at"), "position")
+    return _series(pairs, seed_key, rank_order, days).select(*pairs.columns, F.inline("_points"))
 
 
 def fill_snapshots(existing: DataFrame, pairs: DataFrame, key: list[str], seed_key: Column, rank_order: Column, days: Column) -> DataFrame:
     """Only the generated rows whose (pair, day) is not there yet: appending them again and again changes nothing."""
-    made = generate_series(pairs, seed_key, rank_order, days).select(*key, "snapshot_date", "captured_at", "position")
-    return made.join(existing.select(*key, "snapshot_date").distinct(), [*key, "snapshot_date"], "left_anti").select(*key, "snapshot_date", "captured_at", "position")
+    made = _unheld(_series(pairs, seed_key, rank_order, days), existing, key, F.col("_points"), lambda x: x["snapshot_date"])
+    return made.select(*key, F.inline("_rows"))
 
 
 def position_tone(position: Column, captured: Column) -> Column:

@@ -40,8 +40,10 @@ def seed_ranks(t: reads.Tables, today: date, min_rows: int = MIN_SNAPSHOTS) -> D
         raise LookupError(f"no keywords of {', '.join(without)}")
     days = t.clients.sparkSession.range(1).select(dates.history_days(F.lit(n), min_rows)).first()[0]
     pairs = reads.all_pairs(t).select(F.col("id").alias("page_keyword_id"), F.concat_ws("|", "url", "term").alias("_key"), "rank_order")
-    made = cut(ranks.fill_snapshots(t.rank_snapshots, pairs, ["page_keyword_id"], F.col("_key"), F.col("rank_order"), dates.snapshot_days(F.lit(today), int(days))))
-    total = made.count() + t.rank_snapshots.count()
+    spine = dates.snapshot_days(F.lit(today), int(days))
+    total = ranks.missing_days(pairs, t.rank_snapshots, ["page_keyword_id"], spine).count()
+    if total < min_rows:
+        total += t.rank_snapshots.count()
     if total < min_rows:
         raise ValueError(f"only {total} snapshots exist; expected at least {min_rows}")
-    return made
+    return ranks.fill_snapshots(t.rank_snapshots, pairs, ["page_keyword_id"], F.col("_key"), F.col("rank_order"), spine)

@@ -1,11 +1,15 @@
 """Queries over keys and groups larger than those of the smallest tables, against their SQL twins."""
 
 from collections import Counter
+from datetime import date
 
 import duckdb
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from siltstone.functions import net
+from siltstone.functions import net, text
+from siltstone.operators import ranks
 from siltstone.plans import catalog
 from siltstone.sources import http
 
@@ -49,3 +53,17 @@ def test_refusals_are_cheap():
     assert http._opener.cache_info().currsize == 0 and {r["error"] for r in rows} == {"blocked_host"}
     assert [b.num_rows for b in http.answer_batches(rows)] == [1000, 1000, 500]
     assert len(list(http.answer_batches([{"url": "u", "body": b"x" * 3_000_000}] * 4))) == 2
+
+
+def test_histories_by_pair(spark):
+    """Draws in numpy are those of the expression; days that exist are left out pair by pair, without a row for each day."""
+    seeds = [0, 1, 2**31, 2**32 - 1, 123456789]
+    for k in (1, 3, 5000, 2**31 - 1):
+        want = [r[0] for r in spark.createDataFrame([(s,) for s in seeds], "s long").coalesce(1).select(text.draw(F.col("s"), F.lit(k))).collect()]
+        assert ranks._draws(np.array(seeds, np.uint64), k).tolist() == want
+    pairs = spark.createDataFrame([(1, "a"), (2, None)], "pair int, k string")
+    held = spark.createDataFrame([(1, date(2026, 9, 2)), (1, None), (3, date(2026, 9, 1))], "pair int, snapshot_date date")
+    found = ranks.fill_snapshots(held, pairs, ["pair"], F.col("k"), F.lit(1), F.sequence(F.lit(date(2026, 9, 1)), F.lit(date(2026, 9, 3))))
+    assert "LeftAnti" not in found._jdf.queryExecution().executedPlan().toString()
+    rows = found.collect()
+    assert sorted((r.pair, r.snapshot_date.day) for r in rows) == [(1, 1), (1, 3), (2, 1), (2, 2), (2, 3)] and all(r.position is None for r in rows if r.pair == 2)
