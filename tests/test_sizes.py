@@ -1,10 +1,13 @@
 """Queries over keys and groups larger than those of the smallest tables, against their SQL twins."""
 
+import random
 from collections import Counter
 from datetime import date
+from types import SimpleNamespace
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -12,6 +15,7 @@ from siltstone.functions import net, text
 from siltstone.operators import ranks
 from siltstone.plans import catalog
 from siltstone.sources import http
+from siltstone.streaming import heartbeats
 
 
 def against_twin(spark, folder, name, **tables):
@@ -67,3 +71,62 @@ def test_histories_by_pair(spark):
     assert "LeftAnti" not in found._jdf.queryExecution().executedPlan().toString()
     rows = found.collect()
     assert sorted((r.pair, r.snapshot_date.day) for r in rows) == [(1, 1), (1, 3), (2, 1), (2, 2), (2, 3)] and all(r.position is None for r in rows if r.pair == 2)
+
+
+class Kept:
+    """A state value and its handle, counting the messages that Spark would get."""
+
+    def __init__(self):
+        self.value, self.timers, self.messages = None, set(), 0
+
+    def getValueState(self, *_):
+        return self
+
+    def get(self):
+        self.messages += 1
+        return self.value
+
+    def update(self, value):
+        self.messages, self.value = self.messages + 1, value
+
+    def clear(self):
+        self.messages, self.value = self.messages + 1, None
+
+    def registerTimer(self, at):
+        self.messages += 1
+        self.timers.add(at)
+
+    def fire(self, processor, passed):
+        """The rows of all timers up to the watermark."""
+        found, clock = [], SimpleNamespace(getCurrentWatermarkInMs=lambda: passed)
+        for at in sorted(t for t in self.timers if t <= passed):
+            self.timers.discard(at)
+            found += [tuple(r) for part in processor.handleExpiredTimer((1,), clock, SimpleNamespace(getExpiryTimeInMs=lambda at=at: at)) for r in part.astype("int64").to_numpy().tolist()]
+        return found
+
+
+def test_many_beats_take_few_messages():
+    """A key's state is read and written once a batch, whatever the number of its beats; before, once a beat."""
+    kept, beats = Kept(), sorted(random.Random(1).sample(range(0, 10**9), 3000))
+    owners = heartbeats.StaleOwners()
+    owners.init(kept)
+    for part in (beats[1::2], beats[::2]):
+        assert not list(owners.handleInputRows((1,), iter([pd.DataFrame({"ms": part})]), None))
+    passed = beats[2000] + 60_000
+    found = kept.fire(owners, passed) + kept.fire(owners, 2 * 10**9)
+    want = [b for b, after in zip(beats, [*beats[1:], 10**12], strict=True) if after > b + 120_000]
+    assert [r[1] // 1000 for r in found] == want and kept.messages < 20 and kept.value is None
+
+
+def test_sweeps_in_one_pass():
+    """All due sweeps at once give what sweeping hour by hour does, sessions that end before they start included."""
+    rng, hour = random.Random(2), heartbeats.HOUR_MS
+    for _ in range(300):
+        spans = sorted({(a := rng.randrange(40) * hour // 2, a + rng.randrange(-2, 8) * hour // 2) for _ in range(rng.randrange(1, 30))})
+        passed, left, want = rng.randrange(45) * hour, spans, []
+        for h in sorted({-(-e // hour) * hour for _, e in spans if -(-e // hour) * hour <= passed}):
+            begun = [e for a, e in left if a <= h]
+            left = [s for s in left if s[0] > h or s[1] > h]
+            want += [(max(begun), h)] if begun and max(begun) <= h else []
+        over, rest = heartbeats.swept(spans, passed)
+        assert over == want and sorted(rest) == left
