@@ -86,8 +86,14 @@ class Chunks(dict):
         return found
 
 
-def tokenize(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
-    """(ids with END, bounds by text) of a shard's texts.
+def spaced_parts(texts: pa.Array) -> tuple[pa.ListArray, pa.DictionaryArray]:
+    """(the parts of each text between single spaces, the parts numbered): the costly half of tokens and of words alike."""
+    parts = pc.split_pattern(pc.fill_null(texts, ""), " ")
+    return parts, parts.values.dictionary_encode()
+
+
+def tokenize(texts: pa.Array, path: str, parts: tuple[pa.ListArray, pa.DictionaryArray] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(ids with END, bounds by text) of a shard's texts; parts: their spaced_parts, if known.
 
     In almost all texts every single space starts a chunk: these are split and numbered by Arrow, and Python sees each
     distinct chunk once. The others are split by the pattern.
@@ -95,9 +101,8 @@ def tokenize(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     texts = pc.fill_null(texts, "")
     uneven = pc.match_substring_regex(texts, _UNEVEN).to_numpy(zero_copy_only=False)
     even = np.flatnonzero(~uneven)
-    lists = pc.split_pattern(texts.take(pa.array(even)), " ")
+    lists, coded = parts if parts is not None and not uneven.any() else spaced_parts(texts.take(pa.array(even)))
     bound = lists.offsets.to_numpy().astype(np.int64)
-    coded = lists.values.dictionary_encode()
     spaced, of_even = len(coded.dictionary), coded.indices.to_numpy().astype(np.int64)
     other = Chunks(path)  # numbered after the chunks that follow a space
     first = bound[:-1]
@@ -130,11 +135,10 @@ def tokenize(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     return out, np.append(0, end + np.arange(1, len(texts) + 1))
 
 
-def word_numbers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, int]:
+def word_numbers(texts: pa.Array, parts: tuple[pa.ListArray, pa.DictionaryArray] | None = None) -> tuple[np.ndarray, np.ndarray, int]:
     """(numbers of the words, bounds by text, number of distinct words) of a shard's texts."""
-    lists = _words(texts)
-    coded = lists.values.dictionary_encode()
-    return coded.indices.to_numpy().astype(np.int64), lists.offsets.to_numpy().astype(np.int64), len(coded.dictionary)
+    words, numbers, bound = _words(*(parts or spaced_parts(texts)))
+    return numbers, bound, len(words)
 
 
 class Bm25:
@@ -157,20 +161,30 @@ class Bm25:
         self.weight = (idf[word] * count * (K1 + 1) / (count + norm[doc]))[order]
         self.start = np.append(0, np.cumsum(self.df))
 
+    def keep(self, kept: np.ndarray) -> None:
+        """Takes the documents that are not kept out of the lists; the scores of the others, and their sums' order, stay."""
+        mask = kept[self.docs]
+        self.start = np.append(0, np.cumsum(mask))[self.start]
+        self.docs, self.weight, self.df = self.docs[mask], self.weight[mask], np.diff(self.start)
+
     def scores(self, seed: int) -> np.ndarray:
-        """BM25 scores of all documents of the shard for all words of the seed."""
+        """BM25 scores of all kept documents of the shard for all words of the seed."""
         words = self.words[seed]
-        words = words[self.df[words] > 1]  # the others are the seed's alone
+        words = words[self.df[words] > 0]
         size = self.df[words]
         upto = np.cumsum(size)
         at = np.repeat(self.start[words] - upto + size, size) + np.arange(upto[-1] if len(upto) else 0)
         return np.bincount(self.docs[at], self.weight[at], len(self.words))
 
 
-def pack_shard(lengths: list[int], neighbours) -> list[tuple[int, int, int, int, int]]:
-    """Pieces (document, start, length, sequence, offset). neighbours(seed) scores the documents for a seed."""
+def pack_shard(lengths: list[int], neighbours, keep=None) -> list[tuple[int, int, int, int, int]]:
+    """Pieces (document, start, length, sequence, offset). neighbours(seed) scores the documents for a seed.
+
+    keep, if given, is told which documents are still unused each time that their number has fallen by a fifth.
+    """
     n, nxt = len(lengths), 0
     free, out, sequence, fill = np.ones(n, bool), [], 0, 0
+    left, known = n, n  # unused documents, now and when keep was called
     seed, start = -1, 0  # the document that is being placed, and how much of it is
     scores = None
     while True:
@@ -188,7 +202,7 @@ def pack_shard(lengths: list[int], neighbours) -> list[tuple[int, int, int, int,
                 if nxt == n:
                     break
                 seed = nxt
-            free[seed], start = False, 0
+            free[seed], start, left = False, 0, left - 1
         if not fill:
             scores = None
         take = min(lengths[seed] - start, WINDOW - fill)
@@ -198,6 +212,9 @@ def pack_shard(lengths: list[int], neighbours) -> list[tuple[int, int, int, int,
             sequence, fill, scores = sequence + 1, 0, None
         if start == lengths[seed]:
             if fill and scores is None:
+                if keep and left < 0.8 * known:
+                    keep(free)
+                    known = left
                 scores = np.where(free, neighbours(seed), 0)
             seed = -1
     if fill & (fill - 1):  # the last window: cut at powers of two
@@ -238,10 +255,12 @@ def _packer(path: str):
         task, sequences = TaskContext.get(), 0
         base = (task.partitionId() if task else 0) << 40
         for shard in _shards(batches):
-            ids, to = tokenize(shard.column(1), path)
-            index = Bm25(*word_numbers(shard.column(1)))
+            parts = spaced_parts(shard.column(1))
+            ids, to = tokenize(shard.column(1), path, parts)
+            index = Bm25(*word_numbers(shard.column(1), parts))
+            del parts
             total = np.diff(to)
-            doc, start, size, sequence, offset = (np.array(x, np.int64) for x in zip(*pack_shard(total.tolist(), index.scores), strict=True))
+            doc, start, size, sequence, offset = (np.array(x, np.int64) for x in zip(*pack_shard(total.tolist(), index.scores, index.keep), strict=True))
             names, begin, data = shard.column(0), to[doc] + start, ids.astype("<u4")
             for k in range(0, len(doc), 2048):
                 at = slice(k, k + 2048)
@@ -254,25 +273,28 @@ def _packer(path: str):
 
 def min_hashes(texts: pa.Array) -> np.ndarray:
     """SORT_HASHES least hashes of each text's words, lower case; zeros without words. Each distinct word is hashed once."""
-    lists = _words(texts)
-    coded = lists.values.dictionary_encode()
-    edges, data = (coded.dictionary.buffers()[i] for i in (1, 2))  # their bytes, without a string for each
-    edges, data = np.frombuffer(edges, np.int32)[: len(coded.dictionary) + 1].tolist() if edges else [0], data.to_pybytes() if data else b""
-    one = np.fromiter((xxhash.xxh64_intdigest(data[a:b]) for a, b in pairwise(edges)), np.uint64, len(coded.dictionary))
-    bound = lists.offsets.to_numpy().astype(np.int64)
+    words, numbers, bound = _words(*spaced_parts(texts))
+    edges, data = (words.buffers()[i] for i in (1, 2))  # their bytes, without a string for each
+    edges, data = np.frombuffer(edges, np.int32)[: len(words) + 1].tolist() if edges else [0], data.to_pybytes() if data else b""
+    one = np.fromiter((xxhash.xxh64_intdigest(data[a:b]) for a, b in pairwise(edges)), np.uint64, len(words))
     full = np.flatnonzero(np.diff(bound))
     out = np.zeros((len(texts), SORT_HASHES), np.uint64)
     for k in range(SORT_HASHES if len(full) else 0):
-        out[full, k] = np.minimum.reduceat((mix(one ^ np.uint64(k)) if k else one)[coded.indices.to_numpy()], bound[:-1][full])
+        out[full, k] = np.minimum.reduceat((mix(one ^ np.uint64(k)) if k else one)[numbers], bound[:-1][full])
     return out
 
 
-def _words(texts: pa.Array) -> pa.ListArray:
-    """The words of each text, in lower case, between white space."""
-    lists = pc.utf8_split_whitespace(pc.utf8_lower(pc.fill_null(texts, "")))
-    own = pc.greater(pc.binary_length(lists.values), 0)  # an empty text has no word
-    bound = np.append(0, np.cumsum(own.to_numpy(zero_copy_only=False)))[lists.offsets.to_numpy()]
-    return pa.ListArray.from_arrays(pa.array(bound, pa.int32()), lists.values.filter(own))
+def _words(parts: pa.ListArray, coded: pa.DictionaryArray) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """(distinct words, their numbers in text order, bounds by text): words in lower case, between white space.
+
+    Only the distinct spaced_parts are put in lower case and cut at other white space.
+    """
+    lists = pc.utf8_split_whitespace(pc.utf8_lower(coded.dictionary))
+    own = pc.greater(pc.binary_length(lists.values), 0)  # an empty part has no word
+    edges = np.append(0, np.cumsum(own.to_numpy(zero_copy_only=False)))[lists.offsets.to_numpy()]
+    words = lists.values.filter(own).dictionary_encode()
+    numbers, bound = spread(words.indices.to_numpy().astype(np.int64), edges, coded.indices.to_numpy())
+    return words.dictionary, numbers, bound[parts.offsets.to_numpy()]
 
 
 def _hashed(batches):

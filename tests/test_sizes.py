@@ -8,10 +8,12 @@ from types import SimpleNamespace
 import duckdb
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from siltstone.functions import net, text
+from siltstone.llm import packing
 from siltstone.operators import ranks
 from siltstone.plans import catalog
 from siltstone.sources import http
@@ -130,3 +132,16 @@ def test_sweeps_in_one_pass():
             want += [(max(begun), h)] if begun and max(begun) <= h else []
         over, rest = heartbeats.swept(spans, passed)
         assert over == want and sorted(rest) == left
+
+
+def test_packing_forgets_used_documents():
+    """Lists without used documents give the same pieces, and get shorter; parts are cut once for tokens and words."""
+    rng = np.random.default_rng(3)
+    texts = pa.array([" ".join(f"w{x}" for x in rng.zipf(1.3, rng.integers(1, 400)) % 3000) for _ in range(300)])
+    parts = packing.spaced_parts(texts)
+    ids, bound = packing.tokenize(texts, packing.ranks_file(), parts)
+    assert np.array_equal(ids, packing.tokenize(texts, packing.ranks_file())[0])
+    whole, short = (packing.Bm25(*packing.word_numbers(texts, parts)) for _ in range(2))
+    sizes = np.diff(bound).tolist()
+    assert packing.pack_shard(sizes, short.scores, short.keep) == packing.pack_shard(sizes, whole.scores)
+    assert len(short.docs) < len(whole.docs) / 2
