@@ -7,6 +7,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from siltstone.functions.constants import BODY_ONLY_WEIGHT, INTRO_WORDS, MAX_KEYWORDS, MIN_SCORE, SOURCE_WEIGHTS
 from siltstone.functions.lineage import cut
@@ -20,6 +21,35 @@ def phrases(df: DataFrame, id_col: str, text_col: str, inner_stopwords: bool = T
     return df.select(id_col, F.explode(phrase_array(F.col(text_col), inner_stopwords, compose)).alias("term"))
 
 
+#: Texts whose phrases are held at a time: a text has some ten times its size in phrases.
+HELD_TEXTS = 500
+
+
+def _counted(batches, name: str, inner: bool, compose: bool):
+    """phrase_counts of batches (id, text), HELD_TEXTS at a time."""
+    for batch in batches:
+        for a in range(0, batch.num_rows, HELD_TEXTS):
+            own = batch.slice(a, HELD_TEXTS)
+            found, size = phrase_lists(own.column(1).to_pylist(), inner, compose)
+            coded = found.dictionary_encode()
+            many = max(1, len(coded.dictionary))
+            key, n = np.unique(np.repeat(np.arange(own.num_rows), size) * many + coded.indices.to_numpy(), return_counts=True)
+            yield pa.RecordBatch.from_arrays([own.column(0).take(pa.array(key // many)), coded.dictionary.take(pa.array(key % many)), pa.array(n.astype(np.int64))], names=[name, "term", "n"])
+
+
+def phrase_counts(df: DataFrame, id_col: str, text_col: str, inner_stopwords: bool = True, compose: bool = True) -> DataFrame:
+    """(id, term, n): each text's different phrases and how often it has them; rows with one id are counted each.
+
+    Counted where the text is cut, and handed on a few texts at a time.
+    """
+    rows = df.select(id_col, text_col)
+
+    def run(batches):
+        return _counted(batches, id_col, inner_stopwords, compose)
+
+    return rows.mapInArrow(run, StructType([rows.schema[0], *StructType.fromDDL("term string, n long").fields]))
+
+
 def brand_words(facts: DataFrame, site_col: str = "site", compose: bool = True) -> DataFrame:
     """(site, word): words of the title suffix that at least two pages and half of a site's pages share.
 

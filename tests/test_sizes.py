@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from siltstone.functions import net, text
 from siltstone.llm import packing
-from siltstone.operators import ranks
+from siltstone.operators import keywords, ranks
 from siltstone.plans import catalog
 from siltstone.sources import http
 from siltstone.streaming import heartbeats
@@ -145,3 +145,13 @@ def test_packing_forgets_used_documents():
     sizes = np.diff(bound).tolist()
     assert packing.pack_shard(sizes, short.scores, short.keep) == packing.pack_shard(sizes, whole.scores)
     assert len(short.docs) < len(whole.docs) / 2
+
+
+def test_phrases_go_out_a_few_texts_at_a_time(spark, monkeypatch):
+    """Counts by text, whatever the batch: a batch's phrases are not held at once."""
+    rows = spark.createDataFrame([(i % 7, "red tea pot, red tea pot" if i % 5 else None) for i in range(1200)], "id int, text string").coalesce(1)
+    found = keywords.phrase_counts(rows, "id", "text")
+    batch = pa.RecordBatch.from_pylist([r.asDict() for r in rows.collect()])
+    assert [b.num_rows for b in keywords._counted([batch], "id", True, True)] == [2400, 2400, 960]
+    assert {(r.term, r.n) for r in found.collect()} == {(t, 2) for t in ("red", "tea", "pot", "red tea", "tea pot", "red tea pot")}
+    assert found.count() == 960 * 6
