@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import cache
 
 import numpy as np
@@ -29,52 +31,86 @@ def normalize(text: str, compose: bool) -> str:
     return (unicodedata.normalize("NFKC", text) if compose else text).lower().replace("’", "'").replace("‘", "'")
 
 
+def _coded(texts: list[str | None], compose: bool) -> pa.DictionaryArray:
+    """The words and borders of the texts, one after another; each text ends with \\0."""
+    tokens = _PARTS.findall(normalize("\0".join([(t or "").replace("\0", "\1") for t in texts] + [""]), compose))
+    return pa.array(tokens, pa.string()).dictionary_encode()
+
+
+@dataclass
+class Places:
+    """The words of texts, one after another: arrays by place, but for known, the different words and borders."""
+
+    known: pa.Array
+    codes: np.ndarray
+    text: np.ndarray
+    first: np.ndarray
+    last: np.ndarray
+    stop: np.ndarray
+    long: np.ndarray
+    segment: np.ndarray
+
+    @classmethod
+    def of(cls, known: pa.Array, codes: np.ndarray) -> Places:
+        """Of coded words and borders."""
+        names = known.to_pylist()
+        flag = lambda test: np.fromiter(map(test, names), bool, len(names))
+        stop, number = flag(_STOP.__contains__), flag(_NUMBER.fullmatch)
+        owner, word, long = flag(lambda w: w.endswith("'s")), flag(lambda w: w[0].isalnum()), flag(lambda w: len(w) >= 3)
+        at = np.flatnonzero(word[codes])
+        segment, text = np.cumsum(~word[codes])[at], np.cumsum(flag("\0".__eq__)[codes])[at]
+        codes = codes[at]
+        return cls(known, codes, text, ~(stop | number)[codes], ~(stop | number | owner)[codes], stop[codes], long[codes], segment)
+
+    def good(self, n: int, inner: bool) -> np.ndarray:
+        """The places where a phrase of n words begins."""
+        many = len(self.codes) - n + 1
+        if many <= 0:
+            return np.zeros(0, np.int64)
+        good = self.first[:many] & self.last[n - 1 :] & (self.segment[:many] == self.segment[n - 1 :])
+        if n == 1:
+            good &= self.long
+        for k in range(1, n - 1 if not inner else 1):
+            good &= ~self.stop[k : k + many]
+        return np.flatnonzero(good)
+
+
 def _block(texts: list[str | None], inner: bool, compose: bool) -> tuple[pa.Array, np.ndarray]:
     """(phrases of all texts, one after another; how many each text has)."""
-    tokens = _PARTS.findall(normalize("\0".join([(t or "").replace("\0", "\1") for t in texts]), compose))
-    coded = pa.array(tokens, pa.string()).dictionary_encode()
-    known = coded.dictionary.to_pylist()
-    flag = lambda test: np.fromiter(map(test, known), bool, len(known))
-    stop, number = flag(_STOP.__contains__), flag(_NUMBER.fullmatch)
-    owner, word = flag(lambda w: w.endswith("'s")), flag(lambda w: w[0].isalnum())
-    codes = coded.indices.to_numpy()
-    at = np.flatnonzero(word[codes])
-    segment = np.cumsum(~word[codes])[at]
-    text = np.cumsum(flag("\0".__eq__)[codes])[at]
-    codes = codes[at]
-    first, last = ~(stop | number)[codes], ~(stop | number | owner)[codes]
+    coded = _coded(texts, compose)
+    p = Places.of(coded.dictionary, coded.indices.to_numpy())
     found, place = [], []
     for n in range(MAX_PHRASE_WORDS):
-        many = len(codes) - n
-        if many <= 0:
-            break
-        good = first[:many] & last[n:] & (segment[:many] == segment[n:])
-        if n == 0:
-            good &= flag(lambda w: len(w) >= 3)[codes]
-        for k in range(1, n if not inner else 1):
-            good &= ~stop[codes[k : k + many]]
-        own = np.flatnonzero(good)
-        words = [coded.dictionary.take(pa.array(codes[own + k])) for k in range(n + 1)]
+        own = p.good(n + 1, inner)
+        words = [p.known.take(pa.array(p.codes[own + k])) for k in range(n + 1)]
         found.append(words[0] if n == 0 else pc.binary_join_element_wise(*words, " "))
         place.append(own * MAX_PHRASE_WORDS + n)
-    if not found:
-        return pa.array([], pa.string()), np.zeros(len(texts), np.int64)
     place = np.concatenate(place)
     order = np.argsort(place, kind="stable")
     phrases = pa.concat_arrays([x.cast(pa.string()) for x in found]).take(pa.array(order))
-    return phrases, np.bincount(text[place // MAX_PHRASE_WORDS], minlength=len(texts))
+    return phrases, np.bincount(p.text[place // MAX_PHRASE_WORDS], minlength=len(texts))
 
 
-def phrase_lists(texts: list[str | None], inner: bool = True, compose: bool = True) -> tuple[pa.Array, np.ndarray]:
-    """(phrases of all texts, one after another; how many each text has), worked out in bounded blocks."""
-    found, sizes, begin, held = [], [], 0, 0
+def _blocks(texts: list[str | None]) -> Iterator[list[str | None]]:
+    """The texts in runs of some BLOCK_CHARS."""
+    begin, held = 0, 0
     for i, t in enumerate(texts):
         held += len(t or "") + 1
         if held >= BLOCK_CHARS or i == len(texts) - 1:
-            phrases, size = _block(texts[begin : i + 1], inner, compose)
-            found.append(phrases)
-            sizes.append(size)
+            yield texts[begin : i + 1]
             begin, held = i + 1, 0
+
+
+def places(texts: list[str | None], compose: bool = True) -> Places:
+    """The words of all texts, cut in bounded blocks."""
+    coded = pa.chunked_array([_coded(x, compose) for x in _blocks(texts)], pa.dictionary(pa.int32(), pa.string())).unify_dictionaries().chunks
+    return Places.of(coded[0].dictionary if coded else pa.array([], pa.string()), np.concatenate([x.indices.to_numpy() for x in coded] or [np.zeros(0, np.int32)]))
+
+
+def phrase_lists(texts: list[str | None], inner: bool = True, compose: bool = True) -> tuple[pa.Array, np.ndarray]:
+    """(phrases of all texts, one after another; how many each text has), worked out in bounded blocks."""
+    done = [_block(x, inner, compose) for x in _blocks(texts)]
+    found, sizes = [x[0] for x in done], [x[1] for x in done]
     return pa.concat_arrays(found or [pa.array([], pa.string())]), np.concatenate(sizes or [np.zeros(0, np.int64)])
 
 

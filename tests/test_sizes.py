@@ -13,8 +13,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from siltstone.functions import net, text
+from siltstone.functions.phrases import phrase_lists
 from siltstone.llm import packing
-from siltstone.operators import keywords, ranks
+from siltstone.operators import keywords, ranks, term_trees
 from siltstone.plans import catalog
 from siltstone.sources import http
 from siltstone.streaming import heartbeats
@@ -155,3 +156,48 @@ def test_phrases_go_out_a_few_texts_at_a_time(spark, monkeypatch):
     assert [b.num_rows for b in keywords._counted([batch], "id", True, True)] == [2400, 2400, 960]
     assert {(r.term, r.n) for r in found.collect()} == {(t, 2) for t in ("red", "tea", "pot", "red tea", "tea pot", "red tea pot")}
     assert found.count() == 960 * 6
+
+
+def shuffled_bytes(spark):
+    """Bytes that all stages so far have written for shuffles."""
+    sc = spark.sparkContext
+    sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList())
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
+def test_document_frequencies_shuffle_little(spark, tmp_path):
+    """What is shuffled for term_document_frequency is not every phrase as a row, which made over five times the texts' size here."""
+    rng = np.random.default_rng(5)
+    words = np.array(["".join(rng.choice(list("aeioubdfgklmnprstvz"), rng.integers(3, 11))) for _ in range(5000)])
+    texts = [" ".join(words[np.minimum(rng.zipf(1.2, 400), 5000) - 1]) for _ in range(400)]
+    rows = pd.DataFrame({"doc_id": range(400), "source": [f"s{i % 3}" for i in range(400)], "text": texts})
+    rows.to_parquet(tmp_path / "documents.parquet")
+    before = shuffled_bytes(spark)
+    found = catalog.queries()["term_document_frequency"](spark, str(tmp_path)).toPandas()
+    assert shuffled_bytes(spark) - before < 3 * sum(map(len, texts))
+    assert len(found) > 100_000 and found.df.sum() == sum(len(set(phrase_lists([t], False)[0].to_pylist())) for t in texts)
+
+
+@pytest.mark.parametrize("inner", [False, True])
+def test_document_frequencies_are_counts_of_texts(monkeypatch, inner):
+    """Over blocks of a few texts, groups of any name or none, and phrases whose beginnings are none themselves."""
+    rng = random.Random(8)
+    words = "a of tea red pot's 12 é ab x9 the green leaf it's".split()
+    rows = [{"source": rng.choice(["s", "", "a\n\1", None, "é"]), "text": rng.choice([None, "", *[" ".join(rng.choice([*words, "tea,", "- "]) for _ in range(rng.randrange(1, 30))) for _ in range(6)]])} for _ in range(300)]
+    monkeypatch.setattr(term_trees, "BLOCK_CHARS", 500)
+    batch = pa.RecordBatch.from_pylist(rows, pa.schema({"source": pa.string(), "text": pa.string()}))
+    sent = pa.Table.from_batches(term_trees._sent([batch.slice(0, 97), batch.slice(97)], inner, True, 7))
+    merged = [term_trees._merged(sent.filter(pa.array([b == k for b in sent["bucket"].to_pylist()])), "source") for k in set(sent["bucket"].to_pylist())]
+    want = Counter((r["source"], t) for r in rows for t in set(phrase_lists([r["text"]], inner)[0].to_pylist()))
+    found = [(r["source"], r["term"], r["df"]) for table in merged for r in table.to_pylist()]
+    assert sent.num_rows > 50 and sorted(found, key=repr) == sorted(((*k, n) for k, n in want.items()), key=repr)
+
+
+def test_document_frequencies_of_other_groups(spark):
+    """Groups need not be texts, and there may be no phrase at all."""
+    rows = spark.createDataFrame([(1, "red tea"), (None, "red tea"), (1, "tea"), (2, None)], "id int, text string")
+    want = {(g, t, 1) for g in (1, None) for t in ("red", "red tea")} | {(None, "tea", 1), (1, "tea", 2)}
+    assert set(map(tuple, term_trees.document_frequencies(rows, "id", "text").collect())) == want
+    assert term_trees.document_frequencies(rows.where("id = 2"), "id", "text").collect() == []
+    assert term_trees.document_frequencies(rows.limit(0), "id", "text").collect() == []
