@@ -22,8 +22,8 @@ BLOCK_CHARS = 2_000_000
 _SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 # A word, a border (punctuation, or a hyphen between spaces), or the end of a text.
 _PARTS = re.compile(rf"[^\W_]+(?:'[^\W\d_]+)?|[.,;:!?()\[\]{{}}\"“”|/\\–—]+|[{_SPACE}]-[{_SPACE}]|\0")
-_NUMBER = re.compile(r"[0-9]+")
-_STOP = frozenset(STOPWORDS)
+_NUMBER = "^[0-9]+$"
+_STOP = list(STOPWORDS)
 
 
 def normalize(text: str, compose: bool) -> str:
@@ -53,12 +53,12 @@ class Places:
     @classmethod
     def of(cls, known: pa.Array, codes: np.ndarray) -> Places:
         """Of coded words and borders."""
-        names = known.to_pylist()
-        flag = lambda test: np.fromiter(map(test, names), bool, len(names))
-        stop, number = flag(_STOP.__contains__), flag(_NUMBER.fullmatch)
-        owner, word, long = flag(lambda w: w.endswith("'s")), flag(lambda w: w[0].isalnum()), flag(lambda w: len(w) >= 3)
+        flag = lambda found: found.to_numpy(zero_copy_only=False)
+        stop, number = flag(pc.is_in(known, pa.array(_STOP, pa.string()))), flag(pc.match_substring_regex(known, _NUMBER))
+        owner, long = flag(pc.ends_with(known, "'s")), pc.utf8_length(known).to_numpy() >= 3
+        word = np.fromiter((w[0].isalnum() for w in known.to_pylist()), bool, len(known))
         at = np.flatnonzero(word[codes])
-        segment, text = np.cumsum(~word[codes])[at], np.cumsum(flag("\0".__eq__)[codes])[at]
+        segment, text = np.cumsum(~word[codes], dtype=np.int32)[at], np.cumsum(flag(pc.equal(known, "\0"))[codes], dtype=np.int32)[at]
         codes = codes[at]
         return cls(known, codes, text, ~(stop | number)[codes], ~(stop | number | owner)[codes], stop[codes], long[codes], segment)
 

@@ -23,8 +23,8 @@ def _unique(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(an index of each different key, in their order; each key's number)."""
     order = np.argsort(key)
     new = np.diff(key[order], prepend=-1) != 0
-    number = np.empty_like(order)
-    number[order] = np.cumsum(new) - 1
+    number = np.empty(len(order), np.int32)
+    number[order] = np.cumsum(new, dtype=np.int32) - 1
     return order[new], number
 
 
@@ -32,13 +32,22 @@ def _numbered(key: np.ndarray, text: np.ndarray, good: np.ndarray) -> tuple[np.n
     """(an index of each different key, in their order; each key's number; how many texts have it at a good place)."""
     at, number = _unique(key)
     many = int(text.max(initial=0)) + 1
-    own = np.unique(number[good] * many + text[good]) // many
-    return at, number, np.bincount(own, minlength=len(at))
+    own = np.sort(number[good] * np.int64(many) + text[good])  # np.unique would hash, in several times the time and memory
+    return at, number, np.bincount(own[np.diff(own, prepend=-1) != 0] // many, minlength=len(at))
+
+
+def _any(lists: list[np.ndarray], size: int) -> np.ndarray:
+    """The places that are in any of the lists, in order."""
+    found = np.zeros(size, bool)
+    for p in lists:
+        found[p] = True
+    return np.flatnonzero(found)
 
 
 def _hashes(values: pa.Array) -> np.ndarray:
     """A number for each value, the same in every process."""
-    return np.fromiter((zlib.crc32(repr(v).encode("utf-8", "surrogatepass")) for v in values.to_pylist()), np.uint64, len(values))
+    named = values.to_pylist() if pa.types.is_binary(values.type) else [repr(v).encode("utf-8", "surrogatepass") for v in values.to_pylist()]
+    return np.fromiter(map(zlib.crc32, named), np.uint64, len(values))
 
 
 def _mixed(*hashes: np.ndarray) -> np.ndarray:
@@ -54,21 +63,21 @@ def _heads(p: Places, group: np.ndarray, groups: pa.Array, good: list[np.ndarray
 
     The number is an array by place, for pairs that begin a phrase; it is the pair's index among the pairs, which follow the words.
     """
-    words, word_hash, group_hash = np.int64(len(p.known) + 1), _hashes(p.known), _hashes(groups)
-    one, pair = good[0], np.flatnonzero(np.bincount(np.concatenate(good[1:]), minlength=len(p.codes)))
+    words, word_hash, group_hash = np.int64(len(p.known) + 1), _hashes(p.known.cast(pa.binary())), _hashes(groups)
+    one, pair = good[0], _any(good[1:], len(p.codes))
     base = group[p.text] * words + p.codes
     at, _, n1 = _numbered(base[one], p.text[one], np.ones(len(one), bool))
     one = one[at]
     whole = np.zeros(len(p.codes), bool)
     whole[good[1]] = True
     at, number, n2 = _numbered(base[pair] * words + p.codes[pair + 1], p.text[pair], whole[pair])
-    own = np.zeros(len(p.codes), np.int64)
-    own[pair] = number
+    own = np.zeros(len(p.codes), np.int32)
+    own[pair] = number + len(one)
     pair = pair[at]
     g1, g2 = group[p.text[one]], group[p.text[pair]]
     bucket = np.concatenate([_mixed(group_hash[g1], word_hash[p.codes[one]]), _mixed(group_hash[g2], word_hash[p.codes[pair]], word_hash[p.codes[pair + 1]])])
     second = np.concatenate([np.full(len(one), -1), p.codes[pair + 1]])
-    return (bucket % np.uint64(buckets)).astype(np.int64), np.concatenate([g1, g2]), p.codes[np.concatenate([one, pair])], second, np.concatenate([n1, n2]), own + len(one)
+    return (bucket % np.uint64(buckets)).astype(np.int64), np.concatenate([g1, g2]), p.codes[np.concatenate([one, pair])], second, np.concatenate([n1, n2]), own
 
 
 def _trees(texts: list[str | None], group: np.ndarray, groups: pa.Array, inner: bool, compose: bool, buckets: int) -> tuple[list, ...]:
@@ -83,24 +92,30 @@ def _trees(texts: list[str | None], group: np.ndarray, groups: pa.Array, inner:
         return [], [], [], [], []
     bucket, owner, w1, w2, n_head, head = _heads(p, group, groups, good, buckets)
     words = np.int64(len(p.known) + 1)
-    three, four = np.union1d(good[2], good[3]), good[3]
+    three, four = _any(good[2:], len(p.codes)), good[3]
+    whole = np.zeros(len(p.codes), bool)
+    whole[good[2]] = True
     key = head[three] * words + p.codes[three + 2]
-    at3, number, n3 = _numbered(key, p.text[three], np.isin(three, good[2], assume_unique=True))
-    third = np.zeros(len(p.codes), np.int64)
+    at3, number, n3 = _numbered(key, p.text[three], whole[three])
+    third = np.zeros(len(p.codes), np.int32)
     third[three] = number
     at4, _, n4 = _numbered(third[four] * words + p.codes[four + 3], p.text[four], np.ones(len(four), bool))
     three, four = three[at3], four[at4]
     # A node is sorted by its head's rank and its third word's number; heads come before thirds, thirds before fourths.
+    ahead, below, w3, w4 = head[three], (head[four], third[four]), p.codes[three + 2], p.codes[four + 3]
+    known, many = p.known, len(three) + 1
+    del p, good, key, number, whole, head, third, three, four, at3, at4
     order = np.lexsort((w2, w1, owner, bucket))
     rank = np.empty_like(order)
     rank[order] = np.arange(len(order))
-    key = np.concatenate([rank * (len(three) + 1), rank[head[three]] * (len(three) + 1) + 1 + np.arange(len(three)), rank[head[four]] * (len(three) + 1) + 1 + third[four]])
+    key = np.concatenate([rank * many, rank[ahead] * many + 1 + np.arange(len(w3)), rank[below[0]] * many + 1 + below[1]])
     node = np.argsort(key, kind="stable")
-    depth = np.repeat([0, 1, 2], [len(order), len(three), len(four)])[node]
-    take = lambda codes: p.known.take(pa.array(codes))
+    del key, rank, ahead, below
+    depth = np.repeat(np.arange(3, dtype=np.int8), [len(order), len(w3), len(w4)])[node]
+    take = lambda codes: known.take(pa.array(codes))
     single = w2 < 0
     pairs = pc.binary_join_element_wise(take(w1[~single]), take(w2[~single]), " ")
-    text = pa.concat_arrays([x.cast(pa.string()) for x in (take(w1[single]), pairs, take(p.codes[three + 2]), take(p.codes[four + 3]))])
+    text = pa.concat_arrays([x.cast(pa.string()) for x in (take(w1[single]), pairs, take(w3), take(w4))])
     text = pc.binary_join_element_wise(pa.array(["\1", "\2", "\3"]).take(pa.array(depth)), text.take(pa.array(node)), "")
     counts = np.concatenate([n_head, n3, n4])[node].astype("<i4")
     begin, data = np.frombuffer(text.buffers()[1], np.int32)[: len(text) + 1], text.buffers()[2]
@@ -144,40 +159,38 @@ def _opened(x: bytes) -> bytes:
     return pa.input_stream(pa.py_buffer(x), compression="zstd").read()
 
 
+def _nodes(tree: bytes) -> tuple[np.ndarray, pa.DictionaryArray]:
+    """(depths, words) of a tree's nodes."""
+    data = np.frombuffer(tree, np.uint8)
+    mark = data < 4
+    at = np.flatnonzero(mark)
+    begin = (np.append(at, len(data)) - np.arange(len(at) + 1)).astype(np.int32)
+    return data[at], pa.StringArray.from_buffers(len(at), pa.py_buffer(begin), pa.py_buffer(data[~mark])).dictionary_encode()
+
+
 def _merged(table: pa.Table, name: str) -> pa.Table:
     """(group, term, df) of a bucket's trees; name: the group's."""
     named = pc.list_flatten(table.column("groups")).combine_chunks().dictionary_encode("encode")
     heads = np.frombuffer(b"".join(table.column("heads").to_pylist()), "<i4")
-    tree = np.frombuffer(b"".join(_opened(x.as_py()) for x in table.column("tree")), np.uint8)
-    counts = np.frombuffer(b"".join(_opened(x.as_py()) for x in table.column("counts")), "<i4")
-    mark = np.flatnonzero(tree < 4)
-    depth = tree[mark]
-    begin = np.append(mark, len(tree)) - np.arange(len(mark) + 1)
-    text = pa.LargeStringArray.from_buffers(len(mark), pa.py_buffer(begin.astype(np.int64)), pa.py_buffer(np.delete(tree, mark))).dictionary_encode()
-    code, known = text.indices.to_numpy().astype(np.int64), text.dictionary
+    depth, text = zip(*[_nodes(_opened(x.as_py())) for x in table.column("tree")], strict=True)
+    depth = np.concatenate(depth)
+    text = pa.chunked_array(text).unify_dictionaries()
+    code, known = np.concatenate([x.indices.to_numpy() for x in text.chunks]), text.chunk(0).dictionary
+    counts = np.concatenate([np.frombuffer(_opened(x.as_py()), "<i4") for x in table.column("counts")])
     words = np.int64(len(known) + 1)
-    terms, groups, dfs, parent, up = [], [], [], None, None
-    above = np.zeros(len(mark), np.int64)  # of each node at the last depth: its number there
+    found, base = [], np.repeat(named.indices.to_numpy(), heads)
     for d in (1, 2, 3):
         at = np.flatnonzero(depth == d)
-        if d == 1:
-            base = np.repeat(named.indices.to_numpy().astype(np.int64), heads)
-        else:
-            base = above[parent[at]]
         first, number = _unique(base * words + code[at])
         own = known.take(pa.array(code[at[first]]))
-        term = own if d == 1 else pc.binary_join_element_wise(up[0].take(pa.array(base[first])), own, pa.scalar(" ", own.type))
-        group = base[first] if d == 1 else up[1][base[first]]
+        up = base[first]
+        term, group = (own, up) if d == 1 else (pc.binary_join_element_wise(term.take(pa.array(up)), own, " "), group[up])
         df = np.bincount(number, counts[at], len(first)).astype(np.int64)
-        keep = np.flatnonzero(df)
-        terms.append(term.take(pa.array(keep)))
-        groups.append(group[keep])
-        dfs.append(df[keep])
-        up = term, group
-        above[at] = number
-        parent = np.maximum.accumulate(np.where(depth == d, np.arange(len(depth)), 0))  # the last node at this depth, for each
-    term = pa.concat_arrays(terms).cast(pa.string())
-    return pa.Table.from_arrays([named.dictionary.take(pa.array(np.concatenate(groups))), term, pa.array(np.concatenate(dfs))], names=[name, "term", "df"])
+        keep = pa.array(df > 0)
+        found.append(pa.RecordBatch.from_arrays([named.dictionary.take(pa.array(group).filter(keep)), term.filter(keep), pa.array(df).filter(keep)], names=[name, "term", "df"]))
+        if d < 3:  # what stands above each node of the next depth: the last node at this one before it
+            base = number[(np.cumsum(depth == d, dtype=np.int32) - 1)[depth == d + 1]]
+    return pa.Table.from_batches(found)
 
 
 def document_frequencies(df: DataFrame, group_col: str, text_col: str, inner_stopwords: bool = True, compose: bool = True) -> DataFrame:
