@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -11,9 +14,10 @@ from pyspark.sql.types import StructType
 
 from siltstone.functions.constants import BODY_ONLY_WEIGHT, INTRO_WORDS, MAX_KEYWORDS, MIN_SCORE, SOURCE_WEIGHTS
 from siltstone.functions.lineage import cut
-from siltstone.functions.phrases import phrase_array, phrase_lists
+from siltstone.functions.phrases import phrase_array, phrase_lists, places
 from siltstone.functions.text import round2, site_name, strip_site_name
 from siltstone.functions.urls import slug_text
+from siltstone.operators import term_trees
 
 
 def phrases(df: DataFrame, id_col: str, text_col: str, inner_stopwords: bool = True, compose: bool = True) -> DataFrame:
@@ -21,20 +25,65 @@ def phrases(df: DataFrame, id_col: str, text_col: str, inner_stopwords: bool = T
     return df.select(id_col, F.explode(phrase_array(F.col(text_col), inner_stopwords, compose)).alias("term"))
 
 
-#: Texts whose phrases are held at a time: a text has some ten times its size in phrases.
-HELD_TEXTS = 500
+#: Texts, and bytes of text, whose phrases are held at a time: a text has some ten times its size in phrases.
+HELD_TEXTS, HELD_BYTES = 500, 2_000_000
+#: Ids that are looked up by broadcast, and bytes of text of an id that become one value.
+FEW_IDS, UNITED_BYTES = 200_000, 1_000_000
+
+
+def _repeats(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(an index of each different key, in their order; how often it is there)."""
+    order = np.argsort(key)
+    new = np.flatnonzero(np.diff(key[order], prepend=-1))
+    return order[new], np.diff(np.append(new, len(key)))
+
+
+def _numbers(key: np.ndarray) -> np.ndarray:
+    """Each key's number among the different ones."""
+    order = np.argsort(key)
+    number = np.empty(len(key), np.int64)
+    number[order] = np.cumsum(np.diff(key[order], prepend=-1) != 0) - 1
+    return number
+
+
+def _own_counts(texts: list[str | None], inner: bool, compose: bool) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    """(text, term, n): the different phrases of each text, told apart by the numbers of their words; only what goes out is put together."""
+    p = places(texts, compose)
+    words, code = np.int64(len(p.known) + 1), p.codes.astype(np.int64)
+    one = p.text * words + code
+    two = one[:-1] * words + code[1:]
+    pair = _numbers(two)
+    keys = [one, two, pair[:-1] * words + code[2:], pair[:-2] * np.int64(len(pair) + 1) + pair[2:]]
+    text, term, n = [], [], []
+    for size, key in enumerate(keys, 1):
+        good = p.good(size, inner)
+        first, many = _repeats(key[good])
+        at = good[first]
+        own = [p.known.take(pa.array(p.codes[at + k])) for k in range(size)]
+        text.append(p.text[at])
+        term.append(own[0] if size == 1 else pc.binary_join_element_wise(*own, " "))
+        n.append(many)
+    return np.concatenate(text), pa.concat_arrays([x.cast(pa.string()) for x in term]), np.concatenate(n).astype(np.int64)
+
+
+def _held(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """(begin, end) of runs of at most HELD_TEXTS texts and, but for the last one of a run, HELD_BYTES."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    begin = 0
+    while begin < len(texts):
+        held = int(np.searchsorted(size, (size[begin - 1] if begin else 0) + HELD_BYTES)) + 1
+        end = min(begin + HELD_TEXTS, held, len(texts))
+        yield begin, end
+        begin = end
 
 
 def _counted(batches, name: str, inner: bool, compose: bool):
-    """phrase_counts of batches (id, text), HELD_TEXTS at a time."""
+    """phrase_counts of batches (id, text), HELD_TEXTS and HELD_BYTES at a time."""
     for batch in batches:
-        for a in range(0, batch.num_rows, HELD_TEXTS):
-            own = batch.slice(a, HELD_TEXTS)
-            found, size = phrase_lists(own.column(1).to_pylist(), inner, compose)
-            coded = found.dictionary_encode()
-            many = max(1, len(coded.dictionary))
-            key, n = np.unique(np.repeat(np.arange(own.num_rows), size) * many + coded.indices.to_numpy(), return_counts=True)
-            yield pa.RecordBatch.from_arrays([own.column(0).take(pa.array(key // many)), coded.dictionary.take(pa.array(key % many)), pa.array(n.astype(np.int64))], names=[name, "term", "n"])
+        for a, b in _held(batch.column(1)):
+            own = batch.slice(a, b - a)
+            text, term, n = _own_counts(own.column(1).to_pylist(), inner, compose)
+            yield pa.RecordBatch.from_arrays([own.column(0).take(pa.array(text)), term, pa.array(n)], names=[name, "term", "n"])
 
 
 def phrase_counts(df: DataFrame, id_col: str, text_col: str, inner_stopwords: bool = True, compose: bool = True) -> DataFrame:
@@ -50,6 +99,27 @@ def phrase_counts(df: DataFrame, id_col: str, text_col: str, inner_stopwords: bo
     return rows.mapInArrow(run, StructType([rows.schema[0], *StructType.fromDDL("term string, n long").fields]))
 
 
+def phrase_totals(df: DataFrame, id_col: str, text_col: str, inner_stopwords: bool = True, compose: bool = True) -> DataFrame:
+    """(id, term, n): each id's different phrases and how often its texts have them; rows with a null id are one id.
+
+    An id with one row is counted where it is read, without a shuffle. Of others the texts are shuffled, not their phrases: an id's texts
+    become one value, a border between them, or trees if they have more than UNITED_BYTES. With more than FEW_IDS such ids all texts are.
+    """
+    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text is not null")
+    size = F.sum(F.octet_length("text") + F.lit(1).cast("long"))
+    several = rows.groupBy("id").agg(F.count(F.lit(1)).alias("rows"), size.alias("bytes")).where("rows > 1")
+    several = cut(several.select(F.col("id").alias("of"), (F.col("bytes") > UNITED_BYTES).alias("large")))
+    ids, large = several.agg(F.count(F.lit(1)), F.count_if("large")).first()
+    few = ids <= FEW_IDS
+    found, parts = rows, []
+    if ids:
+        own = rows.join(F.broadcast(several if few else several.where("large")), F.col("id").eqNullSafe(F.col("of")), "left")
+        united = own.where("not large" if few else "large is null").groupBy("id").agg(F.array_join(F.collect_list("text"), "|").alias("text"))
+        found = own.where("large is null").select("id", "text").union(united) if few else united
+        parts = [term_trees.occurrences(own.where("large"), "id", "text", inner_stopwords, compose)] if large else []
+    return reduce(DataFrame.union, parts, phrase_counts(found, "id", "text", inner_stopwords, compose)).withColumnRenamed("id", id_col)
+
+
 def brand_words(facts: DataFrame, site_col: str = "site", compose: bool = True) -> DataFrame:
     """(site, word): words of the title suffix that at least two pages and half of a site's pages share.
 

@@ -1,4 +1,4 @@
-"""Document frequencies of phrases by group, shuffled as trees: what phrases of a block share at their beginning goes out once."""
+"""Counts of phrases by group, shuffled as trees: what phrases of a block share at their beginning goes out once."""
 
 from __future__ import annotations
 
@@ -58,19 +58,20 @@ def _mixed(*hashes: np.ndarray) -> np.ndarray:
     return total
 
 
-def _heads(p: Places, group: np.ndarray, groups: pa.Array, good: list[np.ndarray], buckets: int) -> tuple[np.ndarray, ...]:
+def _heads(p: Places, unit: np.ndarray, group: np.ndarray, groups: pa.Array, good: list[np.ndarray], buckets: int) -> tuple[np.ndarray, ...]:
     """(bucket, group, first word, second word or -1, count, number of the place's pair) of single words and pairs of words.
 
-    The number is an array by place, for pairs that begin a phrase; it is the pair's index among the pairs, which follow the words.
+    unit: by place, what counts once. The number is an array by place, for pairs that begin a phrase; it is the pair's index among the
+    pairs, which follow the words.
     """
     words, word_hash, group_hash = np.int64(len(p.known) + 1), _hashes(p.known.cast(pa.binary())), _hashes(groups)
     one, pair = good[0], _any(good[1:], len(p.codes))
     base = group[p.text] * words + p.codes
-    at, _, n1 = _numbered(base[one], p.text[one], np.ones(len(one), bool))
+    at, _, n1 = _numbered(base[one], unit[one], np.ones(len(one), bool))
     one = one[at]
     whole = np.zeros(len(p.codes), bool)
     whole[good[1]] = True
-    at, number, n2 = _numbered(base[pair] * words + p.codes[pair + 1], p.text[pair], whole[pair])
+    at, number, n2 = _numbered(base[pair] * words + p.codes[pair + 1], unit[pair], whole[pair])
     own = np.zeros(len(p.codes), np.int32)
     own[pair] = number + len(one)
     pair = pair[at]
@@ -80,31 +81,32 @@ def _heads(p: Places, group: np.ndarray, groups: pa.Array, good: list[np.ndarray
     return (bucket % np.uint64(buckets)).astype(np.int64), np.concatenate([g1, g2]), p.codes[np.concatenate([one, pair])], second, np.concatenate([n1, n2]), own
 
 
-def _trees(texts: list[str | None], group: np.ndarray, groups: pa.Array, inner: bool, compose: bool, buckets: int) -> tuple[list, ...]:
+def _trees(texts: list[str | None], group: np.ndarray, groups: pa.Array, inner: bool, compose: bool, buckets: int, each: bool = False) -> tuple[list, ...]:
     """The columns _NAMES, a row a bucket: its phrases by group as a tree in preorder.
 
     A node is its depth as a byte, 1 for a head (one or two words), and its word; each has the number of texts that have the phrase from
-    the head down to it, 0 where that is none. heads: how many heads each group has.
+    the head down to it (each: how often they have it), 0 where that is none. heads: how many heads each group has.
     """
     p = places(texts, compose)
     good = [p.good(n, inner) for n in range(1, 5)]
     if not any(map(len, good)):
         return [], [], [], [], []
-    bucket, owner, w1, w2, n_head, head = _heads(p, group, groups, good, buckets)
+    unit = np.arange(len(p.codes)) if each else p.text
+    bucket, owner, w1, w2, n_head, head = _heads(p, unit, group, groups, good, buckets)
     words = np.int64(len(p.known) + 1)
     three, four = _any(good[2:], len(p.codes)), good[3]
     whole = np.zeros(len(p.codes), bool)
     whole[good[2]] = True
     key = head[three] * words + p.codes[three + 2]
-    at3, number, n3 = _numbered(key, p.text[three], whole[three])
+    at3, number, n3 = _numbered(key, unit[three], whole[three])
     third = np.zeros(len(p.codes), np.int32)
     third[three] = number
-    at4, _, n4 = _numbered(third[four] * words + p.codes[four + 3], p.text[four], np.ones(len(four), bool))
+    at4, _, n4 = _numbered(third[four] * words + p.codes[four + 3], unit[four], np.ones(len(four), bool))
     three, four = three[at3], four[at4]
     # A node is sorted by its head's rank and its third word's number; heads come before thirds, thirds before fourths.
     ahead, below, w3, w4 = head[three], (head[four], third[four]), p.codes[three + 2], p.codes[four + 3]
     known, many = p.known, len(three) + 1
-    del p, good, key, number, whole, head, third, three, four, at3, at4
+    del p, unit, good, key, number, whole, head, third, three, four, at3, at4
     order = np.lexsort((w2, w1, owner, bucket))
     rank = np.empty_like(order)
     rank[order] = np.arange(len(order))
@@ -129,12 +131,12 @@ def _trees(texts: list[str | None], group: np.ndarray, groups: pa.Array, inner:
     return tuple(map(list, zip(*found, strict=True)))
 
 
-def _sent(batches: Iterator[pa.RecordBatch], inner: bool, compose: bool, buckets: int) -> Iterator[pa.RecordBatch]:
+def _sent(batches: Iterator[pa.RecordBatch], inner: bool, compose: bool, buckets: int, each: bool = False) -> Iterator[pa.RecordBatch]:
     """The trees of batches (group, text), block by block."""
 
     def trees() -> pa.RecordBatch:
         named = pa.concat_arrays(held).dictionary_encode("encode")
-        cols = _trees(texts, named.indices.to_numpy().astype(np.int64), named.dictionary, inner, compose, buckets)
+        cols = _trees(texts, named.indices.to_numpy().astype(np.int64), named.dictionary, inner, compose, buckets, each)
         size = np.cumsum([0, *map(len, cols[1])]).astype(np.int32)
         lists = pa.ListArray.from_arrays(pa.array(size), pa.concat_arrays([*cols[1], named.dictionary[:0]]))
         return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), lists, *[pa.array(c, pa.binary()) for c in cols[2:]]], names=_NAMES)
@@ -168,8 +170,8 @@ def _nodes(tree: bytes) -> tuple[np.ndarray, pa.DictionaryArray]:
     return data[at], pa.StringArray.from_buffers(len(at), pa.py_buffer(begin), pa.py_buffer(data[~mark])).dictionary_encode()
 
 
-def _merged(table: pa.Table, name: str) -> pa.Table:
-    """(group, term, df) of a bucket's trees; name: the group's."""
+def _merged(table: pa.Table, name: str, count: str = "df") -> pa.Table:
+    """(group, term, count) of a bucket's trees; name, count: of the columns."""
     named = pc.list_flatten(table.column("groups")).combine_chunks().dictionary_encode("encode")
     heads = np.frombuffer(b"".join(table.column("heads").to_pylist()), "<i4")
     depth, text = zip(*[_nodes(_opened(x.as_py())) for x in table.column("tree")], strict=True)
@@ -187,17 +189,16 @@ def _merged(table: pa.Table, name: str) -> pa.Table:
         term, group = (own, up) if d == 1 else (pc.binary_join_element_wise(term.take(pa.array(up)), own, " "), group[up])
         df = np.bincount(number, counts[at], len(first)).astype(np.int64)
         keep = pa.array(df > 0)
-        found.append(pa.RecordBatch.from_arrays([named.dictionary.take(pa.array(group).filter(keep)), term.filter(keep), pa.array(df).filter(keep)], names=[name, "term", "df"]))
+        found.append(pa.RecordBatch.from_arrays([named.dictionary.take(pa.array(group).filter(keep)), term.filter(keep), pa.array(df).filter(keep)], names=[name, "term", count]))
         if d < 3:  # what stands above each node of the next depth: the last node at this one before it
             base = number[(np.cumsum(depth == d, dtype=np.int32) - 1)[depth == d + 1]]
     return pa.Table.from_batches(found)
 
 
-def document_frequencies(df: DataFrame, group_col: str, text_col: str, inner_stopwords: bool = True, compose: bool = True) -> DataFrame:
-    """(group, term, df): how many texts of a group have each phrase; rows with a null group are one group.
-
-    Each block's phrases become trees, dealt over buckets by group and first two words; a bucket's trees are merged by one call, and there are
-    buckets enough that each holds the phrases of BUCKET_BYTES of text, but for a group's phrases with one beginning, which stay together.
+def _by_trees(df: DataFrame, group_col: str, text_col: str, inner: bool, compose: bool, count: str, each: bool) -> DataFrame:
+    """(group, term, count). Each block's phrases become trees, dealt over buckets by group and first two words; a bucket's trees are merged by
+    one call, and there are buckets enough that each holds the phrases of BUCKET_BYTES of text, but for a group's phrases with one beginning,
+    which stay together.
     """
     spark = df.sparkSession
     rows = df.select(group_col, text_col)
@@ -205,6 +206,16 @@ def document_frequencies(df: DataFrame, group_col: str, text_col: str, inner_sto
     buckets = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES))
     kind = rows.schema[0].dataType
     sent = StructType([StructField("bucket", IntegerType()), StructField("groups", ArrayType(kind)), *[StructField(x, BinaryType()) for x in _NAMES[2:]]])
-    found = StructType([StructField(group_col, kind), *StructType.fromDDL("term string, df long").fields])
-    trees = rows.mapInArrow(lambda batches: _sent(batches, inner_stopwords, compose, buckets), sent)
-    return trees.groupBy("bucket").applyInArrow(lambda table: _merged(table, group_col), found)
+    found = StructType([StructField(group_col, kind), *StructType.fromDDL(f"term string, {count} long").fields])
+    trees = rows.mapInArrow(lambda batches: _sent(batches, inner, compose, buckets, each), sent)
+    return trees.groupBy("bucket").applyInArrow(lambda table: _merged(table, group_col, count), found)
+
+
+def document_frequencies(df: DataFrame, group_col: str, text_col: str, inner_stopwords: bool = True, compose: bool = True) -> DataFrame:
+    """(group, term, df): how many texts of a group have each phrase; rows with a null group are one group."""
+    return _by_trees(df, group_col, text_col, inner_stopwords, compose, "df", False)
+
+
+def occurrences(df: DataFrame, group_col: str, text_col: str, inner_stopwords: bool = True, compose: bool = True) -> DataFrame:
+    """(group, term, n): how often the texts of a group have each phrase; rows with a null group are one group."""
+    return _by_trees(df, group_col, text_col, inner_stopwords, compose, "n", True)

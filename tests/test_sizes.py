@@ -179,6 +179,52 @@ def test_document_frequencies_shuffle_little(spark, tmp_path):
     assert len(found) > 100_000 and found.df.sum() == sum(len(set(phrase_lists([t], False)[0].to_pylist())) for t in texts)
 
 
+def test_doc_phrases_shuffle_no_phrases(spark, tmp_path):
+    """Phrases of an id's only text aren't shuffled, which made several times the texts' size; a text or two more of an id change little."""
+    words = [f"{a}{b}{c}" for a in ("tea", "pot", "leaf") for b in "aeiou" for c in ("lo", "mi", "ra", "tu")]
+    texts = [" ".join(random.Random(i).choices(words, k=300)) for i in range(300)]
+    for name, repeated in (("own", 0), ("shared", 20)):
+        ids = [i if i >= repeated else i // 2 for i in range(300)]
+        table = spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string")
+        table.repartition(16).write.parquet(str(tmp_path / name / "documents.parquet"))  # files enough that the reader doesn't deal texts out
+        before = shuffled_bytes(spark)
+        found = catalog.queries()["doc_phrases"](spark, str(tmp_path / name)).toPandas()
+        assert shuffled_bytes(spark) - before < sum(map(len, texts)) / 5
+        assert len(found) > 100_000 and found.n.sum() == len(phrase_lists(texts)[0])
+
+
+@pytest.mark.parametrize(("few", "united"), [(200_000, 1_000_000), (200_000, 400), (2, 1_000_000), (2, 400), (200_000, 0)])
+def test_doc_phrases_of_repeated_ids(spark, tmp_path, monkeypatch, few, united):
+    """Rows of one id, or of none, are counted together: few and many such ids, small and large ones, texts that end or begin oddly."""
+    monkeypatch.setattr(keywords, "FEW_IDS", few)
+    monkeypatch.setattr(keywords, "UNITED_BYTES", united)
+    monkeypatch.setattr(term_trees, "BLOCK_CHARS", 300)
+    rng = random.Random(3)
+    ends = ["", " -", "- ", "'", "'s", "\u0301", "\u0338", "Σ", "x", "|", "\0", "."]
+    words = "tea red pot's 12 of leaf it's green Σαςθ tea, tea".split()
+    rows = [(rng.choice([*range(12), 7, 7, None]), rng.choice(ends) + " ".join(rng.choices(words, k=rng.randrange(1, 12))) + rng.choice(ends)) for _ in range(90)]
+    rows += [(100 + i, "red tea pot, red tea pot") for i in range(9)] + [(100, None), (None, None), (200, None), (201, ""), (201, "")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    df = catalog.queries()["doc_phrases"](spark, str(tmp_path))
+    want = Counter()
+    for i, t in rows:
+        want.update((i, term) for term in phrase_lists([t])[0].to_pylist())
+    assert df.dtypes == [("doc_id", "bigint"), ("term", "string"), ("n", "bigint")]
+    assert Counter({(r.doc_id, r.term): r.n for r in df.collect()}) == want and df.count() == len(want)
+
+
+def test_doc_phrases_of_repeated_ids_are_the_twins(spark, tmp_path):
+    """As above, with the rows of the SQL."""
+    text = "'red tea pot ' || (i % 4) || ', green leaf ' || repeat('of tea ', CAST(i % 3 AS INT))"
+    against_twin(spark, tmp_path, "doc_phrases", documents=f"SELECT CASE WHEN i % 5 > 0 THEN i // 2 END AS doc_id, CASE WHEN i % 11 > 0 THEN {text} END AS text FROM range(60) x(i)")
+
+
+def test_long_texts_go_out_alone():
+    """Phrases are held of a bounded number of bytes, but for the last text of a run."""
+    size = [0, 1_500_000, 600_000, 5, 2_500_000, 0, 0, 1]
+    assert list(keywords._held(pa.array(["x" * n or None for n in size]))) == [(0, 3), (3, 5), (5, 8)]
+
+
 @pytest.mark.parametrize("inner", [False, True])
 def test_document_frequencies_are_counts_of_texts(monkeypatch, inner):
     """Over blocks of a few texts, groups of any name or none, and phrases whose beginnings are none themselves."""
